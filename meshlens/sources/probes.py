@@ -99,24 +99,22 @@ def brand_numbers(t: Tables) -> DataFrame:
 
 
 def v_edges(t: Tables) -> DataFrame:
-    """``relations``: consecutive line items of an order call each other.
+    """``relations``: line items of an order call their successor line.
 
-    The reference shape is a self-join on ``(orderkey, linenumber + 1)``; we get
-    the same pairs from ``lead`` over the order's lines, which needs one shuffle
-    by ``l_orderkey`` instead of a two-sided sort-merge self-join
-    ((orderkey, linenumber) is the lineitem key, so the successor is unique).
+    An equi-join on ``(orderkey, linenumber + 1)``.  In this data the pair
+    (orderkey, linenumber) is *not* unique, so the join (not a ``lead``
+    window) is the exact form; its fan-out is bounded by lines per order.
     """
     l = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    nxt = (l.withColumn("n_line", F.lead("l_linenumber").over(w))
-           .withColumn("n_part", F.lead("l_partkey").over(w))
-           .where((F.col("n_line") == F.col("l_linenumber") + 1)
-                  & (F.col("l_partkey") != F.col("n_part"))))
-    etype = F.when(F.col("l_returnflag") == "A", "CALLS") \
-        .when(F.col("l_returnflag") == "N", "USES") \
-        .when(F.col("l_returnflag") == "R", "IMPORTS")
-    item_edges = (nxt.select(F.col("l_partkey").alias("src"), F.col("n_part").alias("dst"),
-                             etype.alias("type"))
+    a = l.select(F.col("l_orderkey").alias("ok"), (F.col("l_linenumber") + 1).alias("ln"),
+                 F.col("l_partkey").alias("src"), F.col("l_returnflag").alias("flag"))
+    b = l.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"),
+                 F.col("l_partkey").alias("dst"))
+    etype = (F.when(F.col("flag") == "A", "CALLS").when(F.col("flag") == "N", "USES")
+             .when(F.col("flag") == "R", "IMPORTS"))
+    item_edges = (a.join(b, ["ok", "ln"], "inner")
+                  .where(F.col("src") != F.col("dst"))
+                  .select("src", "dst", etype.alias("type"))
                   .distinct())
     brands = brand_numbers(t)
     impl = (brands.where(F.col("b") % 5 != 0)
