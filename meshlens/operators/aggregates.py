@@ -337,10 +337,14 @@ def format_size(c: Column) -> Column:
     """X-24: 1024-step units with one decimal (``500.0 B``, ``2.0 KB``)."""
     units = ["B", "KB", "MB", "GB", "TB"]
     x = c.cast("double")
-    expr = F.concat(F.format_string("%.1f", x / (1024.0 ** 5)), F.lit(" PB"))
+
+    def one_decimal(v):  # half-even like the reference's float formatting
+        return F.format_string("%.1f", F.bround(v, 1))
+
+    expr = F.concat(one_decimal(x / (1024.0 ** 5)), F.lit(" PB"))
     for i in reversed(range(len(units))):
         expr = F.when(x < 1024.0 ** (i + 1),
-                      F.concat(F.format_string("%.1f", x / (1024.0 ** i)), F.lit(" " + units[i]))).otherwise(expr)
+                      F.concat(one_decimal(x / (1024.0 ** i)), F.lit(" " + units[i]))).otherwise(expr)
     return expr
 
 
