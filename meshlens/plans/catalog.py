@@ -36,6 +36,7 @@ _MODULES = (
     "meshlens.plans.graph_queries",
     "meshlens.plans.quality_queries",
     "meshlens.plans.lifecycle_queries",
+    "meshlens.plans.refresh_queries",
 )
 
 

@@ -100,8 +100,8 @@ SELECT id, repository, path, content, content_hash FROM v_files WHERE id % 10 <>
     "v_new": """
 SELECT id, repository,
        CASE WHEN id % 10 = 3 THEN 'moved/' || path ELSE path END AS path,
-       CASE WHEN id % 10 = 2 THEN upper(content) ELSE content END AS content,
-       sha256(CASE WHEN id % 10 = 2 THEN upper(content) ELSE content END) AS content_hash
+       CASE WHEN id % 10 = 2 THEN translate(content, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE content END AS content,
+       sha256(CASE WHEN id % 10 = 2 THEN translate(content, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE content END) AS content_hash
 FROM v_files WHERE id % 10 <> 1""",
 }
 

@@ -22,6 +22,8 @@ ACCESS_BY_MOD4 = ("PUBLIC", "PRIVATE", "PROTECTED", None)
 EDGE_TYPE_BY_FLAG = {"A": "CALLS", "N": "USES", "R": "IMPORTS"}
 TYPE_ID_BASE = 1_000_000
 HTTP_BY_MOD4 = ("GET", "POST", "PUT", "DELETE")
+ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
+ASCII_UPPER = ASCII_LOWER.upper()
 
 
 def _pick(idx: F.Column, values) -> F.Column:
@@ -265,7 +267,8 @@ def v_old(t: Tables) -> DataFrame:
 
 def v_new(t: Tables) -> DataFrame:
     f = v_files(t).where(F.col("id") % 10 != 1)
-    content = F.when(F.col("id") % 10 == 2, F.upper("content")).otherwise(F.col("content"))
+    # ASCII upper-casing (translate) — engine-independent, unlike full Unicode case mapping
+    content = F.when(F.col("id") % 10 == 2, F.translate("content", ASCII_LOWER, ASCII_UPPER)).otherwise(F.col("content"))
     path = F.when(F.col("id") % 10 == 3, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path"))
     return f.select("id", "repository", path.alias("path"), content.alias("content"),
                     F.sha2(content, 256).alias("content_hash"))
