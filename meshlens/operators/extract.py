@@ -291,3 +291,43 @@ def chunk_lines(docs: DataFrame, id_col: str, text_col: str, size: int = 50) ->
             .select(id_col, "chunk_no", (F.col("start") + 1).alias("start_line"),
                     F.least(F.col("start") + size, F.size("_l")).alias("end_line"),
                     F.array_join(F.slice("_l", F.col("start") + 1, F.lit(size)), "\n").alias("chunk")))
+
+
+# --------------------------------------------------------------------------- configuration (E-06)
+
+def extract_config(files: DataFrame, id_col: str, text_col: str, name_col: str) -> DataFrame:
+    """E-06: JSON configuration (comments and trailing commas allowed) → one row
+    per flattened key with value (``***`` when the key looks secret), type,
+    environment (from the file name) and ``is_secret``."""
+    from meshlens.functions.code import environment_of, is_secret_key
+    from meshlens.functions.jsonflat import flatten_json, strip_json_comments
+
+    cleaned = files.select(F.col(id_col), strip_json_comments(F.col(text_col)).alias("_json"),
+                           environment_of(F.col(name_col)).alias("environment"))
+    flat = flatten_json(cleaned.select(id_col, "_json"), id_col, "_json")
+    secret = is_secret_key(F.col("key"))
+    return (flat.join(cleaned.select(id_col, "environment"), id_col)
+            .select(id_col, F.col("key").alias("config_key"),
+                    F.when(secret, F.lit("***")).otherwise(F.col("value")).alias("config_value"),
+                    F.col("type").alias("config_type"), "environment", secret.cast("int").alias("is_secret")))
+
+
+XML_SETTING = r"<add\s+key=\"([^\"]*)\"\s+value=\"([^\"]*)\""
+XML_CONNECTION = r"<add\s+name=\"([^\"]*)\"\s+connectionString=\"([^\"]*)\""
+
+
+def extract_xml_config(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """E-06 (XML): ``appSettings`` / ``connectionStrings`` ``<add …/>`` entries."""
+    from meshlens.functions.code import is_secret_key
+    t = F.col(text_col)
+    app = files.select(id_col, F.explode(F.arrays_zip(F.regexp_extract_all(t, F.lit(XML_SETTING), 1).alias("k"),
+                                                     F.regexp_extract_all(t, F.lit(XML_SETTING), 2).alias("v")))
+                       .alias("z")).select(id_col, F.col("z.k").alias("config_key"), F.col("z.v").alias("v"))
+    con = files.select(id_col, F.explode(F.arrays_zip(F.regexp_extract_all(t, F.lit(XML_CONNECTION), 1).alias("k"),
+                                                     F.regexp_extract_all(t, F.lit(XML_CONNECTION), 2).alias("v")))
+                       .alias("z")).select(id_col, F.concat(F.lit("ConnectionStrings:"), F.col("z.k")).alias("config_key"),
+                                           F.col("z.v").alias("v"))
+    allx = app.unionByName(con)
+    secret = is_secret_key(F.col("config_key"))
+    return allx.select(id_col, "config_key", F.when(secret, F.lit("***")).otherwise(F.col("v")).alias("config_value"),
+                       secret.cast("int").alias("is_secret"))

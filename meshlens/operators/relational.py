@@ -366,3 +366,22 @@ def sample_per_group(df: DataFrame, group: list[str], id_col: str, n: int = 5, s
 
 
 _GLOB_SPECIAL = re.compile(r"[.*?]")
+
+
+def assign_files_to_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """J-18: each file → the deepest project whose directory contains it
+    (lowest project id among equally deep ones); files outside every project
+    get null.  The theta "path starts with directory" becomes an equi-join on
+    the file's exploded ancestor directories."""
+    pdir = F.regexp_replace(F.regexp_replace("project_path", r"\\", "/"), r"/[^/]*$", "")
+    p = projects.select(F.col("id").alias("project_id"), pdir.alias("dir")).where(F.col("dir") != "")
+    parts = F.split(F.col("path"), "/")
+    anc = files.select("id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
+                                                           lambda k: F.struct(k.alias("depth"),
+                                                                              F.array_join(F.slice(parts, 1, k), "/").alias("dir"))))
+                       .alias("a")).where(F.size(parts) > 1).select("id", "path", F.col("a.depth").alias("depth"),
+                                                                    F.col("a.dir").alias("dir"))
+    hit = anc.join(p, "dir")
+    best = hit.groupBy("id").agg(F.max(F.struct(F.col("depth"), (-F.col("project_id")).alias("neg"))).alias("_b"))
+    best = best.select("id", (-F.col("_b.neg")).alias("project_id"))
+    return files.select("id", "path").join(best, "id", "left")

@@ -150,3 +150,39 @@ def boosted_search(symbols: DataFrame, vectors: DataFrame, query: str, qvec: Col
                       F.round(F.coalesce(F.col("vscore"), F.lit(0.0)) + boost, digits).alias("score"))
     order = [F.col("score").desc(), F.col("symbol_id").asc()]
     return _ranked(scored, order, k, "rank")
+
+
+def reuse_vectors(chunks: DataFrame, cached: DataFrame, model: str) -> DataFrame:
+    """V-09: chunks whose (content hash, model) already has a vector reuse it
+    (``hit``); the others are returned with ``hit = false`` for embedding."""
+    c = cached.where(F.col("model") == model).select("content_hash", F.col("vector").alias("cached_vector"))
+    c = c.dropDuplicates(["content_hash"])
+    return chunks.join(c, "content_hash", "left").withColumn("hit", F.col("cached_vector").isNotNull())
+
+
+def ivf_search(spark, vectors: DataFrame, qvec: list[float], k: int = 20, n_lists: int = 16, n_probe: int = 4,
+               seed: int = 7, vec_col: str = "vector", id_col: str = "symbol_id") -> DataFrame:
+    """V-05: approximate cosine top-k over coarse clusters (IVF).
+
+    Vectors are L2-normalized and clustered with ``pyspark.ml`` KMeans
+    (``n_lists`` centroids); the query probes its ``n_probe`` nearest centroids
+    and ranks only their members — the candidate scan shrinks to about
+    n_probe / n_lists of the table.  Exact cosine is used inside the probed lists."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    normed = vectors.select(F.col(id_col).alias("symbol_id"), F.col(vec_col).alias("vector"),
+                            F.transform(F.col(vec_col).cast("array<double>"),
+                                        lambda x: x / l2_norm(F.col(vec_col))).alias("unit"))
+    feats = normed.withColumn("features", array_to_vector("unit"))
+    model = KMeans(k=n_lists, seed=seed, featuresCol="features", predictionCol="list_id").fit(feats)
+    centers = [[float(x) for x in c] for c in model.clusterCenters()]
+    q = F.array(*[F.lit(float(x)) for x in qvec])
+    cent = spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "list_id int, centroid array<double>")
+    probe = (cent.select("list_id", cosine(F.col("centroid"), q).alias("cs"))
+             .orderBy(F.col("cs").desc(), "list_id").limit(n_probe).select("list_id"))
+    assigned = model.transform(feats).select("symbol_id", "vector", "list_id")
+    cand = assigned.join(F.broadcast(probe), "list_id")
+    scored = cand.select("symbol_id", F.round(cosine(F.col("vector"), q), 6).alias("score"))
+    order = [F.col("score").desc(), F.col("symbol_id").asc()]
+    return _ranked(scored, order, k, "rank")

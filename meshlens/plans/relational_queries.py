@@ -380,3 +380,35 @@ UNION ALL SELECT 'R', old_path, new_path FROM ren""")
 def s04_snapshot_diff(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     return R.snapshot_diff(probes.v_old(t), probes.v_new(t))
+
+
+PROJECTS_SQL = """(SELECT CAST(row_number() OVER (ORDER BY repository, language) AS BIGINT) AS id,
+   repository || '/' || language || '/App.csproj' AS project_path FROM (SELECT DISTINCT repository, language FROM v_files)
+ UNION ALL
+ SELECT CAST(100000 + row_number() OVER (ORDER BY repository, language) AS BIGINT),
+   repository || '/' || language || '/d3/Sub.csproj' FROM (SELECT DISTINCT repository, language FROM v_files WHERE id % 7 = 3))"""
+
+
+def _projects(t):
+    from pyspark.sql import Window
+    f = probes.v_files(t)
+    # one project per (repository, language): a small set by nature
+    top = (f.select("repository", "language").distinct()
+           .select(F.row_number().over(Window.orderBy("repository", "language")).cast("bigint").alias("id"),
+                   F.concat_ws("/", "repository", "language", F.lit("App.csproj")).alias("project_path")))
+    sub = (f.where(F.col("id") % 7 == 3).select("repository", "language").distinct()
+           .select((F.lit(100000) + F.row_number().over(Window.orderBy("repository", "language"))).cast("bigint").alias("id"),
+                   F.concat_ws("/", "repository", "language", F.lit("d3"), F.lit("Sub.csproj")).alias("project_path")))
+    return top.unionByName(sub)
+
+
+@register("j18_assign_files_to_projects", sql=f"""
+WITH p AS (SELECT id AS project_id, regexp_replace(project_path, '/[^/]*$', '') AS dir FROM {PROJECTS_SQL}),
+anc AS (SELECT f.id, f.path, k AS depth, array_to_string(string_split(f.path, '/')[1:k], '/') AS dir
+        FROM v_files f, unnest(generate_series(1, greatest(len(string_split(f.path, '/')) - 1, 1))) AS g(k)
+        WHERE len(string_split(f.path, '/')) > 1),
+best AS (SELECT a.id, arg_max(p.project_id, (a.depth, -p.project_id)) AS project_id FROM anc a JOIN p USING (dir) GROUP BY a.id)
+SELECT f.id, f.path, best.project_id FROM v_files f LEFT JOIN best USING (id)""")
+def j18_assign_files_to_projects(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    return R.assign_files_to_projects(probes.v_files(t), _projects(t))

@@ -62,3 +62,95 @@ def v04_hybrid_search(spark, sf_dir):
     members = probes.v_symbols(t)
     return search.hybrid_search(members, probes.v_vec(t), QUERY_TEXT, _qvec(t),
                                 limit=LIMIT, threshold=VEC_THRESHOLD)
+
+
+KW_SCORED_SQL = f"""
+(SELECT id, name,
+    (CASE WHEN lower(name) = '{QUERY_TEXT}' THEN 10.0 WHEN contains(lower(name), '{QUERY_TEXT}') THEN 5.0
+          WHEN contains(lower(coalesce(fqn, '')), '{QUERY_TEXT}') THEN 4.0
+          WHEN contains(lower(coalesce(signature, '')), '{QUERY_TEXT}') THEN 2.0
+          WHEN contains(lower(coalesce(documentation, '')), '{QUERY_TEXT}') THEN 1.0 ELSE 0.0 END)
+    + t1 + t2 + ((CASE WHEN t1 > 0 THEN 1 ELSE 0 END) + (CASE WHEN t2 > 0 THEN 1 ELSE 0 END)) / 2.0 * 3.0 AS score
+  FROM (SELECT *,
+    CASE WHEN contains(lower(name), 'red') THEN 2.0 WHEN contains(lower(coalesce(fqn, '')), 'red') THEN 1.5
+         WHEN contains(lower(coalesce(signature, '')), 'red') THEN 1.0
+         WHEN contains(lower(coalesce(documentation, '')), 'red') THEN 0.5 ELSE 0.0 END AS t1,
+    CASE WHEN contains(lower(name), 'widget') THEN 2.0 WHEN contains(lower(coalesce(fqn, '')), 'widget') THEN 1.5
+         WHEN contains(lower(coalesce(signature, '')), 'widget') THEN 1.0
+         WHEN contains(lower(coalesce(documentation, '')), 'widget') THEN 0.5 ELSE 0.0 END AS t2
+    FROM v_symbols
+    WHERE contains(lower(name), 'red') OR contains(lower(coalesce(signature, '')), 'red')
+       OR contains(lower(coalesce(documentation, '')), 'red') OR contains(lower(coalesce(fqn, '')), 'red')
+       OR contains(lower(name), 'widget') OR contains(lower(coalesce(signature, '')), 'widget')
+       OR contains(lower(coalesce(documentation, '')), 'widget') OR contains(lower(coalesce(fqn, '')), 'widget')))"""
+
+
+@register("v01_keyword_search", sql=f"""
+SELECT id, name, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (ORDER BY score DESC, name, id) AS BIGINT) AS rank
+FROM {KW_SCORED_SQL} ORDER BY score DESC, name, id LIMIT 100""")
+def v01_keyword_search(spark, sf_dir):
+    """V-01: top 100 keyword hits (every match scored before the limit)."""
+    t = load_tables(spark, sf_dir)
+    return search.keyword_search(probes.v_symbols(t), QUERY_TEXT, 100).select(
+        "id", "name", F.col("score").cast("double"), "rank")
+
+
+@register("v02_vector_search", sql=f"""
+WITH q AS (SELECT vector::DOUBLE[] AS qv FROM v_vec WHERE chunk_id = {QUERY_VEC_ID}),
+sims AS (SELECT symbol_id, round(list_cosine_similarity(vector::DOUBLE[], (SELECT qv FROM q)), 6) AS score FROM v_vec),
+best AS (SELECT symbol_id, max(score) AS score FROM sims WHERE score >= {VEC_THRESHOLD} GROUP BY symbol_id)
+SELECT symbol_id, score, CAST(row_number() OVER (ORDER BY score DESC, symbol_id) AS BIGINT) AS rank
+FROM best ORDER BY score DESC, symbol_id LIMIT 50""")
+def v02_vector_search(spark, sf_dir):
+    """V-02: best chunk per symbol above the threshold, top 50."""
+    t = load_tables(spark, sf_dir)
+    return search.vector_search(probes.v_vec(t), _qvec(t), 50, VEC_THRESHOLD)
+
+
+BOOST_TERM = "gear"
+
+
+@register("v03_boosted_search", sql=f"""
+WITH q AS (SELECT vector::DOUBLE[] AS qv FROM v_vec WHERE chunk_id = {QUERY_VEC_ID}),
+sims AS (SELECT symbol_id, round(list_cosine_similarity(vector::DOUBLE[], (SELECT qv FROM q)), 6) AS score FROM v_vec),
+best AS (SELECT symbol_id, max(score) AS score FROM sims WHERE score >= {VEC_THRESHOLD} GROUP BY symbol_id),
+vec AS (SELECT symbol_id, score AS vscore FROM best ORDER BY score DESC, symbol_id LIMIT 20),
+s AS (SELECT v.*, f.path FROM v_symbols v LEFT JOIN v_files f ON f.id = v.file_id),
+txt AS (SELECT id AS symbol_id FROM s WHERE contains(lower(name), '{BOOST_TERM}') OR contains(lower(coalesce(fqn, '')), '{BOOST_TERM}')
+        ORDER BY id LIMIT 10),
+cand AS (SELECT coalesce(vec.symbol_id, txt.symbol_id) AS symbol_id, vec.vscore FROM vec FULL OUTER JOIN txt ON vec.symbol_id = txt.symbol_id),
+sc AS (SELECT c.symbol_id, s.name, round(coalesce(c.vscore, 0.0)
+         + CASE WHEN lower(s.name) = '{BOOST_TERM}' THEN 0.5 WHEN contains(lower(s.name), '{BOOST_TERM}') THEN 0.2 ELSE 0.0 END
+         + CASE WHEN contains(lower(coalesce(s.path, '')), '{BOOST_TERM}') THEN 0.1 ELSE 0.0 END
+         + CASE WHEN s.kind IN ('CLASS', 'INTERFACE', 'STRUCT', 'MODULE') THEN 0.1
+                WHEN s.kind IN ('FUNCTION', 'METHOD') THEN 0.05 ELSE 0.0 END, 6) AS score
+       FROM cand c JOIN s ON s.id = c.symbol_id)
+SELECT symbol_id, name, score, CAST(row_number() OVER (ORDER BY score DESC, symbol_id) AS BIGINT) AS rank
+FROM sc ORDER BY score DESC, symbol_id LIMIT 10""")
+def v03_boosted_search(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    files = probes.v_files(t).select(F.col("id").alias("file_id"), "path")
+    syms = probes.v_symbols(t).join(files, "file_id", "left")
+    return search.boosted_search(syms, probes.v_vec(t), BOOST_TERM, _qvec(t), k=10, threshold=VEC_THRESHOLD)
+
+
+@register("v05_ivf_search")
+def v05_ivf_search(spark, sf_dir):
+    """V-05: approximate top-20 by cosine over 16 lists, 4 probed."""
+    t = load_tables(spark, sf_dir)
+    v = probes.v_vec(t)
+    row = v.where(F.col("chunk_id") == QUERY_VEC_ID).select("vector").limit(1).collect()
+    return search.ivf_search(spark, v, [float(x) for x in row[0][0]], k=20)
+
+
+@register("v09_reuse_vectors", sql="""
+WITH cache AS (SELECT sha256(d.text) AS content_hash, 'm1' AS model FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)
+SELECT f.id, f.content_hash, f.content_hash IN (SELECT content_hash FROM cache WHERE model = 'm1') AS hit FROM v_files f""")
+def v09_reuse_vectors(spark, sf_dir):
+    """V-09: files whose content hash already has a vector (model ``m1``) reuse it."""
+    t = load_tables(spark, sf_dir)
+    cache = (t.documents.join(t.embeddings, t.documents["doc_id"] == t.embeddings["vec_id"])
+             .select(F.sha2("text", 256).alias("content_hash"), F.lit("m1").alias("model"),
+                     F.col("embedding").alias("vector")))
+    files = probes.v_files(t).select("id", "content_hash")
+    return search.reuse_vectors(files, cache, "m1").select("id", "content_hash", "hit")

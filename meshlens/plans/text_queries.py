@@ -454,3 +454,62 @@ def v07_chunk_lines(spark, sf_dir):
     return E.chunk_lines(d, "doc_id", "text").select(
         "doc_id", F.col("chunk_no").cast("int"), F.col("start_line").cast("bigint"),
         F.col("end_line").cast("bigint"), "chunk")
+
+
+# ----------------------------------------------------------------------------- X-27 / X-28 / E-06
+
+from meshlens.functions.jsonflat import COMMENT_RE, TRAILING_COMMA_RE, flatten_json, strip_json_comments  # noqa: E402
+
+CONFIG_TEXT_SQL = """('{ // settings' || chr(10) || '"App": {"Props": ' || json || ', "Tags": ["a", "b"], "Enabled": '
+  || CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END || ', "Missing": null, "Empty": {},' || chr(10)
+  || '/* block */ "ApiToken": "tok' || CAST(id AS VARCHAR) || '", "Url": "http://h/x//y", '
+  || '"ConnectionStrings": {"Default": "Server=db;Password=p' || CAST(user_id AS VARCHAR) || '"},}, "Version": 2.5,}')"""
+
+
+def _config_text():
+    return F.concat(
+        F.lit('{ // settings\n"App": {"Props": '), F.col("json"), F.lit(', "Tags": ["a", "b"], "Enabled": '),
+        F.when(F.col("id") % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
+        F.lit(', "Missing": null, "Empty": {},\n/* block */ "ApiToken": "tok'), F.col("id").cast("string"),
+        F.lit('", "Url": "http://h/x//y", "ConnectionStrings": {"Default": "Server=db;Password=p'),
+        F.col("user_id").cast("string"), F.lit('"},}, "Version": 2.5,}'))
+
+
+CLEAN_SQL = (f"regexp_replace(regexp_replace({CONFIG_TEXT_SQL}, {sq(COMMENT_RE)}, '\\1', 'g'), "
+             f"{sq(TRAILING_COMMA_RE)}, '\\1\\2', 'g')")
+FLAT_SQL = f"""(SELECT c.id,
+   ltrim(replace(regexp_replace(regexp_replace(t.fullkey, '^\\$', ''), '\\[([0-9]+)\\]', ':\\1', 'g'), '.', ':'), ':') AS key,
+   json_extract_string(t.value, '$') AS value,
+   CASE WHEN t.type = 'BOOLEAN' THEN 'boolean' WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'INTEGER')
+        THEN 'number' ELSE 'string' END AS type
+ FROM (SELECT id, {CLEAN_SQL} AS j FROM v_json) c, json_tree(c.j) t
+ WHERE t.type NOT IN ('OBJECT', 'ARRAY'))"""
+
+
+def _config_files(t):
+    j = probes.v_json(t)
+    return j.select("id", _config_text().alias("text"),
+                    F.concat(F.lit("config/appsettings."), F.col("event_type"), F.lit(".json")).alias("file_name"))
+
+
+@register("x27_flatten_json", sql=f"SELECT id, key, value, type FROM {FLAT_SQL}")
+def x27_flatten_json(spark, sf_dir):
+    f = _config_files(_t(spark, sf_dir)).select("id", strip_json_comments(F.col("text")).alias("j"))
+    return flatten_json(f, "id", "j")
+
+
+@register("x28_secret_keys", sql=f"""
+SELECT DISTINCT key, {X.contains_any_sql('lower(key)', X.SECRET_KEY_TERMS)} AS is_secret FROM {FLAT_SQL}""")
+def x28_secret_keys(spark, sf_dir):
+    f = _config_files(_t(spark, sf_dir)).select("id", strip_json_comments(F.col("text")).alias("j"))
+    return flatten_json(f, "id", "j").select("key", X.is_secret_key(F.col("key")).alias("is_secret")).distinct()
+
+
+@register("e06_extract_config", sql=f"""
+SELECT f.id, f.key AS config_key,
+       CASE WHEN {X.contains_any_sql('lower(f.key)', X.SECRET_KEY_TERMS)} THEN '***' ELSE f.value END AS config_value,
+       f.type AS config_type, lower(j.event_type) AS environment,
+       CAST({X.contains_any_sql('lower(f.key)', X.SECRET_KEY_TERMS)} AS INTEGER) AS is_secret
+FROM {FLAT_SQL} f JOIN v_json j ON j.id = f.id""")
+def e06_extract_config(spark, sf_dir):
+    return E.extract_config(_config_files(_t(spark, sf_dir)), "id", "text", "file_name")
