@@ -126,7 +126,8 @@ def stream_link_events(events_stream: DataFrame, subs: DataFrame, watermark: str
     """ST-06: published events (stream) joined to the static subscription table
     on event type (exact tier of J-15), repeated publications of the same
     (event, subscription) pair within the watermark dropped."""
-    pubs = (events_stream.withWatermark("ts", watermark)
+    # watermarks need TIMESTAMP (the tables store TIMESTAMP_NTZ in UTC)
+    pubs = (events_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
             .select("ts", "event_type", (F.col("user_id") % 10).alias("pub_repo"),
                     F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("topic"),
                     F.concat(F.col("event_type"), F.lit("."), (F.col("user_id") % 2).cast("string")).alias("routing_key")))
