@@ -155,10 +155,11 @@ DELETED_REPO = "src3"
 
 
 @register("snk06_cascade_delete", sql=f"""
-WITH f AS (SELECT * FROM v_files WHERE repository <> '{DELETED_REPO}'),
-s AS (SELECT * FROM v_symbols WHERE file_id IN (SELECT id FROM f)),
+WITH gone AS (SELECT id FROM v_files WHERE repository = '{DELETED_REPO}'),
+f AS (SELECT * FROM v_files WHERE id NOT IN (SELECT id FROM gone)),
+s AS (SELECT * FROM v_symbols WHERE file_id IS NULL OR file_id NOT IN (SELECT id FROM gone)),
 e AS (SELECT * FROM v_edges WHERE src IN (SELECT id FROM s) AND dst IN (SELECT id FROM s)),
-v AS (SELECT * FROM v_vec WHERE chunk_id IN (SELECT id FROM f))
+v AS (SELECT * FROM v_vec WHERE chunk_id IS NULL OR chunk_id NOT IN (SELECT id FROM gone))
 SELECT 'files' AS table_name, count(*) AS remaining FROM f UNION ALL SELECT 'symbols', count(*) FROM s
 UNION ALL SELECT 'relations', count(*) FROM e UNION ALL SELECT 'embeddings', count(*) FROM v""")
 def snk06_cascade_delete(spark, sf_dir):
