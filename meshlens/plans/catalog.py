@@ -37,6 +37,7 @@ _MODULES = (
     "meshlens.plans.quality_queries",
     "meshlens.plans.lifecycle_queries",
     "meshlens.plans.refresh_queries",
+    "meshlens.plans.resolution_queries",
 )
 
 
