@@ -385,3 +385,95 @@ def assign_files_to_projects(files: DataFrame, projects: DataFrame) -> DataFrame
     best = hit.groupBy("id").agg(F.max(F.struct(F.col("depth"), (-F.col("project_id")).alias("neg"))).alias("_b"))
     best = best.select("id", (-F.col("_b.neg")).alias("project_id"))
     return files.select("id", "path").join(best, "id", "left")
+
+
+# --------------------------------------------------------------------------- more filters (F-04 … F-17)
+
+def like_glob(glob: str) -> str:
+    """F-04: ``*`` → ``%`` (other LIKE wildcards, e.g. ``_``, stay active as in the reference)."""
+    return glob.replace("*", "%")
+
+
+def config_search(cfg: DataFrame, key_glob: str, repository=None, environment=None) -> DataFrame:
+    """F-04: config entries whose key matches the glob (case-insensitive),
+    optional repository / environment filters; secrets shown as ``[REDACTED]``."""
+    df = cfg.where(F.col("config_key").ilike(like_glob(key_glob)))
+    if repository is not None:
+        df = df.where(F.col("repository_id") == repository)
+    if environment is not None:
+        df = df.where(F.col("environment") == environment)
+    return df.withColumn("display_value", F.when(F.col("is_secret") == 1, F.lit("[REDACTED]"))
+                         .otherwise(F.col("config_value")))
+
+
+def config_findings(cfg: DataFrame, cap: int = 50) -> DataFrame:
+    """F-06: secret entries or keys about connections / endpoints / keys, value
+    masked; the first ``cap`` by (id, key)."""
+    k = F.lower("config_key")
+    hit = (F.col("is_secret") == 1) | k.contains("connection") | k.contains("endpoint") | k.contains("key")
+    return (cfg.where(hit).withColumn("masked_value", F.lit("********"))
+            .orderBy("id", "config_key").limit(cap))
+
+
+def doc_search(sections: DataFrame, query: str, preview: int = 300) -> DataFrame:
+    """F-05: DOCUMENT_SECTION / CODE_EXAMPLE rows whose name, documentation or
+    signature contains the query (case-folded), with a preview."""
+    q = query.lower()
+    cond = (F.lower(F.coalesce("name", F.lit(""))).contains(q) | F.lower(F.coalesce("documentation", F.lit(""))).contains(q)
+            | F.lower(F.coalesce("signature", F.lit(""))).contains(q))
+    return (sections.where(F.col("kind").isin("DOCUMENT_SECTION", "CODE_EXAMPLE") & cond)
+            .withColumn("preview", F.substring(F.coalesce("documentation", F.lit("")), 1, preview)))
+
+
+# Words ignored by the generic keyword filter (F-12).
+GENERIC_STOP_WORDS = ("find", "get", "list", "show", "all", "the")
+
+
+def generic_keywords(text: str) -> list[str]:
+    """F-12 keyword list (driver-side, from the user's text): words longer than
+    3 characters, not stop words, first 3."""
+    return [w for w in text.lower().split() if len(w) > 3 and w not in GENERIC_STOP_WORDS][:3]
+
+
+def generic_keyword_filter(ctx: DataFrame, text: str) -> DataFrame:
+    """F-12: OR of ``contains`` on lower-case name / signature per keyword (all rows when none)."""
+    kws = generic_keywords(text)
+    if not kws:
+        return ctx
+    cond = reduce(lambda a, b: a | b, [F.lower(F.coalesce("name", F.lit(""))).contains(k)
+                                       | F.lower(F.coalesce("signature", F.lit(""))).contains(k) for k in kws])
+    return ctx.where(cond)
+
+
+def endpoint_filter(endpoints: DataFrame, method: str | None = None, route_glob: str | None = None) -> DataFrame:
+    """F-13: method equality (case-folded) and a ``*`` → ``.*`` anchored route match."""
+    df = endpoints
+    if method:
+        df = df.where(F.upper("http_method") == method.upper())
+    if route_glob:
+        rx = "^" + re.escape(route_glob).replace(r"\*", ".*") + "$"
+        df = df.where(F.col("route").rlike(rx))
+    return df
+
+
+def file_tree(files: DataFrame, symbols: DataFrame, prefix: str = "", depth: int = 2) -> DataFrame:
+    """F-16: directories below ``prefix`` down to ``depth`` levels with their
+    direct-file and symbol counts (directories holding no direct file appear
+    with zeros)."""
+    pre = prefix.strip("/")
+    f = files if not pre else files.where(F.col("path").startswith(pre + "/"))
+    rel = F.expr(f"substring(path, {len(pre) + 2})") if pre else F.col("path")
+    f = f.select("id", rel.alias("rel"))
+    parts = F.split("rel", "/")
+    ndir = F.size(parts) - 1
+    dirs = (f.where(ndir >= 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.least(ndir, F.lit(depth))),
+                                                            lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir"))
+            .distinct())
+    spf = symbols.groupBy(F.col("file_id").alias("id")).agg(F.count(F.lit(1)).alias("n_sym"))
+    direct = (f.where((ndir >= 1) & (ndir <= depth)).join(spf, "id", "left")
+              .groupBy(F.array_join(F.slice(parts, 1, ndir), "/").alias("dir"))
+              .agg(F.count(F.lit(1)).alias("direct_files"), F.sum(F.coalesce("n_sym", F.lit(0))).cast("bigint").alias("symbols")))
+    return (dirs.join(direct, "dir", "left")
+            .select("dir", F.size(F.split("dir", "/")).cast("int").alias("depth"),
+                    F.coalesce("direct_files", F.lit(0)).cast("bigint").alias("direct_files"),
+                    F.coalesce("symbols", F.lit(0)).cast("bigint").alias("symbols")))

@@ -38,6 +38,7 @@ _MODULES = (
     "meshlens.plans.lifecycle_queries",
     "meshlens.plans.refresh_queries",
     "meshlens.plans.resolution_queries",
+    "meshlens.plans.filter_queries",
 )
 
 
