@@ -39,6 +39,7 @@ _MODULES = (
     "meshlens.plans.refresh_queries",
     "meshlens.plans.resolution_queries",
     "meshlens.plans.filter_queries",
+    "meshlens.plans.config_queries",
 )
 
 
