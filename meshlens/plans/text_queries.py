@@ -513,3 +513,88 @@ SELECT f.id, f.key AS config_key,
 FROM {FLAT_SQL} f JOIN v_json j ON j.id = f.id""")
 def e06_extract_config(spark, sf_dir):
     return E.extract_config(_config_files(_t(spark, sf_dir)), "id", "text", "file_name")
+
+
+# ----------------------------------------------------------------------------- X-04 / X-07 / X-08
+
+from meshlens.functions.urls import (API_DOC, HTTP_ATTR_DOC, ROUTE_ATTR_DOC, SIG_ROUTE,  # noqa: E402
+                                     combine_routes, controller_route, extract_route, normalize_template_url)
+
+URL_TEXT_SQL = """(SELECT id, CASE id % 4 WHEN 0 THEN '"' || path || '"' WHEN 1 THEN '`${base}' || path || '/${id}`'
+  WHEN 2 THEN 'base + "' || path || '" + suffix' ELSE 'apiUrl' END AS url_text FROM v_calls)"""
+
+
+@register("x04_normalize_template_url", sql=r"""
+WITH u AS (SELECT id, url_text, regexp_replace(trim(url_text), '^["''`]+|["''`]+$', '', 'g') AS clean FROM {src}),
+p AS (SELECT *, array_to_string(list_transform(list_filter(string_split(url_text, '+'), lambda x: contains(x, '"') OR contains(x, '''')),
+        lambda x: regexp_replace(trim(x), '^["'']+|["'']+$', '', 'g')), '') AS static FROM u)
+SELECT id,
+  CASE WHEN contains(clean, '${') OR contains(url_text, '`') THEN regexp_replace(clean, '\$\{[^}]+\}', '{var}', 'g')
+       WHEN contains(url_text, '+') THEN CASE WHEN static = '' THEN '{dynamic_url}' ELSE static END
+       WHEN NOT starts_with(clean, '/') AND NOT starts_with(clean, 'http') THEN '{variable_url}'
+       ELSE clean END AS url,
+  (contains(clean, '${') OR contains(url_text, '`') OR contains(url_text, '+')
+   OR (NOT starts_with(clean, '/') AND NOT starts_with(clean, 'http'))) AS is_dynamic
+FROM p""".replace("{src}", URL_TEXT_SQL))
+def x04_normalize_template_url(spark, sf_dir):
+    c = probes.v_calls(_t(spark, sf_dir))
+    i = F.col("id")
+    txt = (F.when(i % 4 == 0, F.concat(F.lit('"'), F.col("path"), F.lit('"')))
+           .when(i % 4 == 1, F.concat(F.lit("`${base}"), F.col("path"), F.lit("/${id}`")))
+           .when(i % 4 == 2, F.concat(F.lit('base + "'), F.col("path"), F.lit('" + suffix')))
+           .otherwise(F.lit("apiUrl")))
+    n = normalize_template_url(txt)
+    return c.select("id", n["url"].alias("url"), n["is_dynamic"].alias("is_dynamic"))
+
+
+ROUTE_SYM_SQL = """(SELECT id, NULL::VARCHAR AS doc_route, CASE WHEN id % 5 = 4 THEN path END AS attr_route,
+  CASE WHEN id % 5 = 0 THEN http_method || ' ' || path ELSE 'void M' || CAST(id AS VARCHAR) || '()' END AS signature,
+  CASE id % 5 WHEN 1 THEN '[Route("' || path || '")]' WHEN 2 THEN 'x [HttpGet("' || path || '")] y'
+              WHEN 3 THEN 'API Endpoint: GET ' || path || ' more' END AS documentation FROM v_calls)"""
+
+
+def _route_syms(t):
+    c = probes.v_calls(t)
+    i = F.col("id")
+    return c.select("id", F.lit(None).cast("string").alias("doc_route"),
+                    F.when(i % 5 == 4, F.col("path")).alias("attr_route"),
+                    F.when(i % 5 == 0, F.concat_ws(" ", "http_method", "path"))
+                    .otherwise(F.concat(F.lit("void M"), i.cast("string"), F.lit("()"))).alias("signature"),
+                    F.when(i % 5 == 1, F.concat(F.lit('[Route("'), F.col("path"), F.lit('")]')))
+                    .when(i % 5 == 2, F.concat(F.lit('x [HttpGet("'), F.col("path"), F.lit('")] y')))
+                    .when(i % 5 == 3, F.concat(F.lit("API Endpoint: GET "), F.col("path"), F.lit(" more")))
+                    .alias("documentation"))
+
+
+@register("x07_extract_route", sql=f"""
+SELECT id, coalesce(doc_route, attr_route,
+  nullif(regexp_extract(coalesce(signature, ''), {sq(SIG_ROUTE)}, 2), ''),
+  nullif(regexp_extract(coalesce(documentation, ''), {sq(ROUTE_ATTR_DOC)}, 1), ''),
+  nullif(regexp_extract(coalesce(documentation, ''), {sq(HTTP_ATTR_DOC)}, 1), ''),
+  nullif(regexp_extract(coalesce(documentation, ''), {sq(API_DOC)}, 1), '')) AS route
+FROM {ROUTE_SYM_SQL}""")
+def x07_extract_route(spark, sf_dir):
+    s = _route_syms(_t(spark, sf_dir))
+    return s.select("id", extract_route(F.col("doc_route"), F.col("attr_route"), F.col("signature"),
+                                        F.col("documentation")).alias("route"))
+
+
+@register("x08_combine_routes", sql="""
+WITH r AS (SELECT id, replace(CASE WHEN id % 2 = 0 THEN 'api/[area]/[controller]' ELSE '/api/[controller]/' END,
+                              '[controller]', replace('Brand' || CAST(id % 25 AS VARCHAR) || 'Controller', 'Controller', '')) AS t0,
+                  CASE WHEN id % 3 = 0 THEN 'v' || CAST(id % 4 AS VARCHAR) END AS area, path FROM v_calls),
+c AS (SELECT id, CASE WHEN area IS NOT NULL AND area <> '' THEN replace(t0, '[area]', area) ELSE t0 END AS base,
+             CASE WHEN id % 7 = 0 THEN '' ELSE trim(path, '/') END AS method FROM r),
+s AS (SELECT id, CASE WHEN base <> '' AND NOT starts_with(base, '/') THEN '/' || base ELSE base END AS b,
+             CASE WHEN method <> '' AND NOT starts_with(method, '/') THEN '/' || method ELSE method END AS m FROM c)
+SELECT id, CASE WHEN regexp_replace(b || m, '/{2,}', '/', 'g') = '' THEN '/' ELSE regexp_replace(b || m, '/{2,}', '/', 'g') END AS full_route
+FROM s""")
+def x08_combine_routes(spark, sf_dir):
+    c = probes.v_calls(_t(spark, sf_dir))
+    i = F.col("id")
+    tmpl = F.when(i % 2 == 0, F.lit("api/[area]/[controller]")).otherwise(F.lit("/api/[controller]/"))
+    name = F.concat(F.lit("Brand"), (i % 25).cast("string"), F.lit("Controller"))
+    area = F.when(i % 3 == 0, F.concat(F.lit("v"), (i % 4).cast("string")))
+    base = controller_route(tmpl, name, area)
+    method = F.when(i % 7 == 0, F.lit("")).otherwise(F.regexp_replace("path", r"^/+|/+$", ""))
+    return c.select("id", combine_routes(base, method).alias("full_route"))
