@@ -401,3 +401,99 @@ def extract_xml_config(files: DataFrame, id_col: str, text_col: str) -> DataFram
     secret = is_secret_key(F.col("config_key"))
     return allx.select(id_col, "config_key", F.when(secret, F.lit("***")).otherwise(F.col("v")).alias("config_value"),
                        secret.cast("int").alias("is_secret"))
+
+
+# --------------------------------------------------------------------------- symbols, events, components
+
+# Arrow functions: ``const f = (…) => …``.  Written unrolled — parenthesised
+# groups iterate per group, other characters as one class — so the Java engine
+# does not recurse per character (the alternation form overflows its stack on
+# long minified lines).
+ARROW_RULE = r"(?:export\s+)?const\s+(\w+)\s*=\s*[^=(]*(?:\([^)]*\)[^=(]*)*=>"
+
+# Lightweight symbol rules by language (E-01); group 1 is the name.
+SYMBOL_RULES = {
+    "go": (r"^func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", r"^type\s+(\w+)\s+(?:struct|interface)\b"),
+    "python": (r"^(?:async\s+)?def\s+(\w+)\s*\(", r"^class\s+(\w+)"),
+    "javascript": (r"(?:export\s+)?(?:async\s+)?function\s+(\w+)", r"(?:export\s+)?class\s+(\w+)",
+                   ARROW_RULE),
+    "typescript": (r"(?:export\s+)?(?:async\s+)?function\s+(\w+)", r"(?:export\s+)?class\s+(\w+)",
+                   r"(?:export\s+)?interface\s+(\w+)", r"(?:export\s+)?type\s+(\w+)\s*=",
+                   ARROW_RULE),
+    "csharp": (r"\b(?:public|private|protected|internal)\s+(?:static\s+)?(?:async\s+)?[\w<>\[\],\s]+\s+(\w+)\s*\(",
+               r"\b(?:public|private|internal)\s+(?:partial\s+)?class\s+(\w+)",
+               r"\b(?:public|private|internal)\s+interface\s+(\w+)"),
+    "java": (r"\b(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\],\s]+\s+(\w+)\s*\(",
+             r"\b(?:public|private)\s+(?:abstract\s+)?class\s+(\w+)", r"\b(?:public|private)\s+interface\s+(\w+)"),
+    "yaml": (r"^(\w[\w-]*):",),
+}
+# Names never reported as symbols (E-01).
+SYMBOL_STOP_NAMES = ("if", "for", "else", "return", "var", "let", "const")
+MAX_SYMBOL_FILE_BYTES = 1_000_000
+
+
+def extract_symbols(files: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """E-01: symbol names by language rules, line by line (``^`` anchors at
+    line starts, as with MULTILINE); names longer than one character and not
+    keywords; files over 1 MB skipped.  Every name is kept (long form); the
+    reference's 50-name display cap is a presentation limit."""
+    f = files.where(F.octet_length(F.col(text_col)) <= MAX_SYMBOL_FILE_BYTES)
+    lines = f.select(id_col, lang_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    arrays = []
+    for lang, rules in SYMBOL_RULES.items():
+        for i, rx in enumerate(rules):
+            hits = F.regexp_extract_all(F.col("line"), F.lit(rx), 1)
+            tagged = F.transform(hits, _rule_tag(i))
+            arrays.append(F.when(F.col(lang_col) == lang, tagged))
+    allhits = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
+    ex = lines.select(id_col, lang_col, (F.col("pos") + 1).alias("line_no"), F.explode(allhits).alias("h"))
+    name = F.col("h.name")
+    return (ex.where((F.length(name) > 1) & ~name.isin(list(SYMBOL_STOP_NAMES)))
+            .select(id_col, lang_col, "line_no", F.col("h.rule_no").alias("rule_no"), name.alias("name")))
+
+
+def _rule_tag(i: int):
+    return lambda h: F.struct(F.lit(i).alias("rule_no"), h.alias("name"))
+
+
+# Event publication rules (E-04): (library, regex); group 1 = event type.
+EVENT_RULES = (
+    ("MassTransit.Publish", r"\.Publish\s*<([^>]+)>"),
+    ("MassTransit.Publish", r"\.Publish\s*\(\s*new\s+([^\s{(]+)"),
+    ("MassTransit.PublishBatch", r"\.PublishBatch\s*<([^>]+)>"),
+    ("MassTransit.Send", r"\.Send\s*<([^>]+)>"),
+    ("MassTransit.Send", r"\.Send\s*\(\s*new\s+([^\s{(]+)"),
+    ("MassTransit.Request", r"\.Request\s*<([^>]+)>"),
+    ("QueueEvent", r"\.QueueEvent\s*\(\s*new\s+(\w+)"),
+)
+CONSUMER_RULE = r"IConsumer\s*<\s*(\w+)\s*>"
+
+
+def extract_events(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """E-04: published events (library, event type, line) and ``IConsumer<T>``
+    subscriptions, one row per finding, lines numbered."""
+    rules = tuple((lib, "PUBLISH", rx) for lib, rx in EVENT_RULES) + (("MassTransit.Consumer", "SUBSCRIBE", CONSUMER_RULE),)
+    out = extract_calls(files, id_col, text_col, rules)
+    return out.select(id_col, "line_no", F.col("library").alias("messaging_library"),
+                      F.col("http_method").alias("direction"), F.col("url_pattern").alias("event_type_name"))
+
+
+HOOK_RE = r"\b(use[A-Z]\w*)\s*\(([^()]*)"
+
+
+def extract_hooks(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """E-19: React hook calls ``use[A-Z]…(`` per line: name, line, up to 3
+    argument texts, custom flag (not one of React's own hooks)."""
+    react = F.array(*[F.lit(h) for h in REACT_HOOKS])
+    lines = numbered_lines(files.where(F.col(text_col).contains("use")), id_col, text_col)
+    z = F.arrays_zip(F.regexp_extract_all(F.col("line"), F.lit(HOOK_RE), 1).alias("hook"),
+                     F.regexp_extract_all(F.col("line"), F.lit(HOOK_RE), 2).alias("args"))
+    ex = lines.select(id_col, "line_no", F.explode(z).alias("h"))
+    args = F.slice(F.filter(F.transform(F.split(F.col("h.args"), ","), lambda a: F.trim(a)), lambda a: a != ""), 1, 3)
+    return ex.select(id_col, "line_no", F.col("h.hook").alias("hook"), F.array_join(args, "|").alias("arguments"),
+                     (~F.array_contains(react, F.col("h.hook"))).alias("is_custom"))
+
+
+# React's built-in hooks (E-19).
+REACT_HOOKS = ("useState", "useEffect", "useContext", "useReducer", "useCallback", "useMemo", "useRef",
+               "useLayoutEffect", "useImperativeHandle", "useDebugValue")

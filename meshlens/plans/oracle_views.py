@@ -93,6 +93,22 @@ SELECT doc_id, source, array_to_string(list_transform(string_split(text, chr(10)
                     THEN '```' || chr(10) ELSE '' END)
               || (CASE WHEN k % 5 = 0 THEN '## ' || x ELSE x END) END), chr(10)) AS text
 FROM documents""",
+    "v_code": """
+SELECT p_partkey AS id,
+  CASE p_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'typescript' ELSE 'csharp' END AS language,
+  CASE p_partkey % 4
+    WHEN 0 THEN 'class ' || replace(p_brand, '#', '') || ':' || chr(10) || '    def ' || replace(p_name, ' ', '_')
+      || '(self):' || chr(10) || '        return 1' || chr(10) || 'def helper_' || CAST(p_partkey AS VARCHAR) || '():'
+      || chr(10) || '    pass'
+    WHEN 1 THEN 'func ' || replace(p_name, ' ', '_') || '() {}' || chr(10) || 'type ' || replace(p_brand, '#', '') || ' struct {}'
+    WHEN 2 THEN 'export class ' || replace(p_brand, '#', '') || ' {}' || chr(10) || 'export const ' || replace(p_name, ' ', '_')
+      || ' = (a) => a;' || chr(10) || 'interface I' || replace(p_brand, '#', '') || ' {}' || chr(10)
+      || 'const [v, setV] = useState(0); useEffect(() => {}, []);'
+    ELSE 'public class ' || replace(p_brand, '#', '') || 'Handler : IConsumer<' || replace(p_brand, '#', '') || 'Created> {'
+      || chr(10) || '    public async Task<int> ' || replace(p_name, ' ', '_') || '(int a) { await bus.Publish<'
+      || replace(p_brand, '#', '') || 'Created>(msg); _bus.Send(new ' || replace(p_brand, '#', '') || 'Command()); }'
+      || chr(10) || '}' END AS content
+FROM part""",
     "v_turns": """
 SELECT conv_id, turn, role, text FROM conversations""",
     "v_old": """

@@ -598,3 +598,52 @@ def x08_combine_routes(spark, sf_dir):
     base = controller_route(tmpl, name, area)
     method = F.when(i % 7 == 0, F.lit("")).otherwise(F.regexp_replace("path", r"^/+|/+$", ""))
     return c.select("id", combine_routes(base, method).alias("full_route"))
+
+
+# ----------------------------------------------------------------------------- E-01 / E-04 / E-19
+
+def _symbols_sql() -> str:
+    parts = []
+    for lang, rules in E.SYMBOL_RULES.items():
+        for i, rx in enumerate(rules):
+            parts.append(f"SELECT id, language, line_no, {i} AS rule_no, unnest(regexp_extract_all(line, {sq(rx)}, 1)) AS name "
+                         f"FROM l WHERE language = '{lang}'")
+    stops = ", ".join(sq(w) for w in E.SYMBOL_STOP_NAMES)
+    lines = ("(SELECT id, language, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line_no, "
+             "unnest(string_split(content, chr(10))) AS line FROM v_code WHERE octet_length(encode(content)) <= 1000000)")
+    return (f"WITH l AS {lines}, h AS ({' UNION ALL '.join(parts)}) "
+            f"SELECT id, language, line_no, rule_no, name FROM h WHERE length(name) > 1 AND name NOT IN ({stops})")
+
+
+@register("e01_extract_symbols", sql=_symbols_sql())
+def e01_extract_symbols(spark, sf_dir):
+    c = probes.v_code(_t(spark, sf_dir))
+    return E.extract_symbols(c, "id", "content", "language").select(
+        "id", "language", F.col("line_no").cast("int"), F.col("rule_no").cast("int"), "name")
+
+
+_EVENT_RULES = tuple((lib, "PUBLISH", rx) for lib, rx in E.EVENT_RULES) + (("MassTransit.Consumer", "SUBSCRIBE", E.CONSUMER_RULE),)
+
+
+@register("e04_extract_events", sql="SELECT id, line_no, library AS messaging_library, http_method AS direction, "
+                                    "url_pattern AS event_type_name FROM (" + _calls_sql(_EVENT_RULES, "v_code", "id", "content")
+                                    .replace("WITH l AS", "WITH l AS", 1) + ")")
+def e04_extract_events(spark, sf_dir):
+    c = probes.v_code(_t(spark, sf_dir))
+    return E.extract_events(c, "id", "content").withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+_REACT = ", ".join(sq(h) for h in E.REACT_HOOKS)
+
+
+@register("e19_extract_hooks", sql=f"""
+WITH l AS {LINES_SQL.format(id="id", text="content", src="v_code", where="WHERE contains(content, 'use')")},
+h AS (SELECT id, line_no, unnest(regexp_extract_all(line, {sq(E.HOOK_RE)}, 1)) AS hook,
+             unnest(regexp_extract_all(line, {sq(E.HOOK_RE)}, 2)) AS args FROM l)
+SELECT id, line_no, hook,
+       array_to_string(list_filter(list_transform(string_split(args, ','), lambda a: trim(a)), lambda a: a <> '')[1:3], '|') AS arguments,
+       hook NOT IN ({_REACT}) AS is_custom
+FROM h""")
+def e19_extract_hooks(spark, sf_dir):
+    c = probes.v_code(_t(spark, sf_dir))
+    return E.extract_hooks(c, "id", "content").withColumn("line_no", F.col("line_no").cast("bigint"))

@@ -272,3 +272,27 @@ def v_new(t: Tables) -> DataFrame:
     path = F.when(F.col("id") % 10 == 3, F.concat(F.lit("moved/"), F.col("path"))).otherwise(F.col("path"))
     return f.select("id", "repository", path.alias("path"), content.alias("content"),
                     F.sha2(content, 256).alias("content_hash"))
+
+
+CODE_LANGS = ("python", "go", "typescript", "csharp")
+
+
+def v_code(t: Tables) -> DataFrame:
+    """Source-code probe: one small file per part, in one of four languages
+    (by part key), naming the part's brand as a type and its name as a function."""
+    p = t.part
+    b = F.regexp_replace("p_brand", "#", "")
+    n = F.regexp_replace("p_name", " ", "_")
+    k = F.col("p_partkey")
+    nl = F.lit("\n")
+    py = F.concat(F.lit("class "), b, F.lit(":"), nl, F.lit("    def "), n, F.lit("(self):"), nl, F.lit("        return 1"),
+                  nl, F.lit("def helper_"), k.cast("string"), F.lit("():"), nl, F.lit("    pass"))
+    go = F.concat(F.lit("func "), n, F.lit("() {}"), nl, F.lit("type "), b, F.lit(" struct {}"))
+    ts = F.concat(F.lit("export class "), b, F.lit(" {}"), nl, F.lit("export const "), n, F.lit(" = (a) => a;"), nl,
+                  F.lit("interface I"), b, F.lit(" {}"), nl, F.lit("const [v, setV] = useState(0); useEffect(() => {}, []);"))
+    cs = F.concat(F.lit("public class "), b, F.lit("Handler : IConsumer<"), b, F.lit("Created> {"), nl,
+                  F.lit("    public async Task<int> "), n, F.lit("(int a) { await bus.Publish<"), b,
+                  F.lit("Created>(msg); _bus.Send(new "), b, F.lit("Command()); }"), nl, F.lit("}"))
+    lang = F.when(k % 4 == 0, "python").when(k % 4 == 1, "go").when(k % 4 == 2, "typescript").otherwise("csharp")
+    code = F.when(k % 4 == 0, py).when(k % 4 == 1, go).when(k % 4 == 2, ts).otherwise(cs)
+    return p.select(k.alias("id"), lang.alias("language"), code.alias("content"))
