@@ -228,7 +228,7 @@ def is_secret_key(key: Column) -> Column:
 def environment_of(file_name: Column) -> Column:
     """X-29: ``appsettings.Development.json`` → ``development``; else ``default``."""
     parts = F.split(F.lower(F.element_at(F.split(file_name, "/"), -1)), r"\.")
-    env = F.element_at(parts, -2)
+    env = F.try_element_at(parts, F.lit(-2))
     return F.when((F.size(parts) > 2) & (F.element_at(parts, -1) == "json") & ~env.isin("appsettings", "json"),
                   env).otherwise(F.lit("default"))
 

@@ -536,3 +536,57 @@ def heuristic_module_summary(modules: DataFrame) -> DataFrame:
                           F.concat(F.lit("Module at "), F.col("path")).alias("business_purpose"),
                           F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("file_count") / 2)))
                           .cast("int").alias("complexity_score"))
+
+
+# --------------------------------------------------------------------------- module symbols, calls, controllers, libraries
+
+# Enum declaration orders used for sorting (T-03).
+ACCESS_ORDER = ("PUBLIC", "PRIVATE", "PROTECTED", "INTERNAL", "PROTECTED_INTERNAL", "PRIVATE_PROTECTED")
+KIND_ORDER = ("FUNCTION", "METHOD", "CLASS", "INTERFACE", "STRUCT", "ENUM", "VARIABLE", "CONSTANT", "PROPERTY",
+              "NAMESPACE", "MODULE", "TYPE_ALIAS", "DOCUMENT_SECTION", "CODE_EXAMPLE", "ENDPOINT")
+
+
+def ordinal(c: Column, values) -> Column:
+    """Position of ``c`` in an enum's declaration order (null when absent)."""
+    return F.array_position(F.array(*[F.lit(v) for v in values]), c).cast("int")
+
+
+def module_symbols(files: DataFrame, symbols: DataFrame, limit: int = 50) -> DataFrame:
+    """T-03: per directory module, the first ``limit`` CLASS / FUNCTION / METHOD /
+    INTERFACE symbols of its files (any depth below it), ordered by access
+    then kind in enum order (nulls last), then name and id.  Every module is
+    answered at once: symbols are exploded to their files' ancestor
+    directories and ranked per module with a partial top-k."""
+    f = files.select(F.col("id").alias("file_id"), "repository", F.explode(dir_prefixes(F.col("path"))).alias("module"))
+    s = symbols.where(F.col("kind").isin("CLASS", "FUNCTION", "METHOD", "INTERFACE")).select(
+        "id", "name", "kind", "access", "file_id")
+    j = f.join(s, "file_id")
+    w = Window.partitionBy("repository", "module").orderBy(
+        ordinal(F.col("access"), ACCESS_ORDER).asc_nulls_last(), ordinal(F.col("kind"), KIND_ORDER).asc_nulls_last(),
+        F.col("name").asc(), F.col("id").asc())
+    return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+            .select("repository", "module", "rank", "id", "name", "kind", "access"))
+
+
+def unique_external_calls(calls: DataFrame, key: str = "repository", n: int = 10) -> DataFrame:
+    """A-25: distinct (method, URL) per key, the first ``n`` by method then URL."""
+    d = calls.select(key, "http_method", "url_pattern").distinct()
+    w = Window.partitionBy(key).orderBy("http_method", "url_pattern")
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def library_services(projects: DataFrame, symbol_projects: DataFrame, min_symbols: int = 10) -> DataFrame:
+    """P-10: library projects with at least ``min_symbols`` symbols become
+    services: score 10 + n div 10, layer reason from the project name."""
+    counts = symbol_projects.where(F.col("project_id").isNotNull()).groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("symbol_count"))
+    n = F.lower("name")
+    reason = (F.when(n.contains("domain"), "Domain layer detected")
+              .when(n.contains("application"), "Application layer detected")
+              .when(n.contains("infrastructure") | n.contains("persistence"), "Infrastructure layer detected")
+              .when(n.contains("shared") | n.contains("common"), "Shared library detected")
+              .when(n.contains("core"), "Core library detected"))
+    return (projects.where(F.lower("output_type") == "library")
+            .join(counts, F.col("id") == F.col("project_id")).where(F.col("symbol_count") >= min_symbols)
+            .select("id", "name", "symbol_count", (F.lit(10) + F.floor(F.col("symbol_count") / 10)).cast("bigint").alias("score"),
+                    F.lit("Library").alias("service_type"), reason.alias("layer_reason")))

@@ -40,6 +40,7 @@ _MODULES = (
     "meshlens.plans.resolution_queries",
     "meshlens.plans.filter_queries",
     "meshlens.plans.config_queries",
+    "meshlens.plans.misc_queries",
 )
 
 
