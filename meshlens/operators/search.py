@@ -186,3 +186,57 @@ def ivf_search(spark, vectors: DataFrame, qvec: list[float], k: int = 20, n_list
     scored = cand.select("symbol_id", F.round(cosine(F.col("vector"), q), 6).alias("score"))
     order = [F.col("score").desc(), F.col("symbol_id").asc()]
     return _ranked(scored, order, k, "rank")
+
+
+def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_body_lines: int = 100,
+                  max_calls: int = 5) -> DataFrame:
+    """V-08: the code chunk text of every symbol — file, namespace, parent class
+    (name and signature), signature, body lines (≤ ``max_body_lines``), first
+    ``max_calls`` callees, implemented and inherited types — with its SHA-256
+    and word count.
+
+    Neighbour lists are bounded before they are collected: callees through a
+    per-symbol ``row_number() <= max_calls`` (partial top-k before the
+    shuffle); implemented / inherited types are a class's declared bases."""
+    from meshlens.functions.code import namespace_of
+
+    s = symbols.select("id", "name", "kind", "fqn", "signature", "parent_name", "start_line", "end_line", "file_id")
+    f = files.select(F.col("id").alias("file_id"), "path", F.split(F.col("content"), "\n").alias("lines"))
+    parents = (symbols.where(F.col("fqn").isNotNull()).groupBy(F.col("fqn").alias("parent_name"))
+               .agg(F.min_by(F.struct(F.col("name").alias("pname"), F.col("signature").alias("psig")), F.col("id")).alias("p")))
+    names = symbols.select(F.col("id").alias("dst"), F.col("name").alias("dst_name"))
+    calls = edges.where(F.col("type") == "CALLS").join(names, "dst")
+    wc = Window.partitionBy("src").orderBy("dst_name", "dst")
+    calls = (calls.withColumn("k", F.row_number().over(wc)).where(F.col("k") <= max_calls)
+             .groupBy(F.col("src").alias("id"))
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst_name", "dst"))),
+                                           lambda x: x["dst_name"]), ", ").alias("calls")))
+
+    def bases(t, col):
+        return (edges.where(F.col("type") == t).join(names, "dst").groupBy(F.col("src").alias("id"))
+                .agg(F.array_join(F.array_sort(F.collect_list("dst_name")), ", ").alias(col)))
+
+    j = (s.join(f, "file_id").join(parents, "parent_name", "left").join(calls, "id", "left")
+         .join(bases("IMPLEMENTS", "impl"), "id", "left").join(bases("INHERITS", "inh"), "id", "left"))
+    ns = namespace_of(F.col("fqn"))
+    n_lines = F.size("lines")
+    last = F.least(n_lines, F.col("end_line"), F.col("start_line") + max_body_lines - 1)
+    body = F.array_join(F.slice("lines", F.col("start_line"), F.greatest(last - F.col("start_line") + 1, F.lit(0))), "\n")
+    has_parent = F.col("p").isNotNull()
+    parts = F.array(
+        F.concat(F.lit("File: "), F.col("path")),
+        F.when(ns != "", F.concat(F.lit("Namespace: "), ns)),
+        F.lit(""),
+        F.when(has_parent, F.concat(F.lit("// In class: "), F.col("p.pname"))),
+        F.when(has_parent, F.concat(F.lit("// "), F.coalesce(F.col("p.psig"), F.lit("None")))),
+        F.when(has_parent, F.lit("")),
+        F.col("signature"),
+        F.when(F.col("start_line").isNotNull() & F.col("end_line").isNotNull() & (body != ""), body),
+        F.when(F.col("calls").isNotNull(), F.concat(F.lit("\n// Calls: "), F.col("calls"))),
+        F.when(F.col("impl").isNotNull(), F.concat(F.lit("// Implements: "), F.col("impl"))),
+        F.when(F.col("inh").isNotNull(), F.concat(F.lit("// Inherits from: "), F.col("inh"))))
+    content = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n")
+    out = j.select("id", content.alias("content"))
+    return out.select("id", F.lit("code").alias("content_type"), F.sha2("content", 256).alias("content_hash"),
+                      F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")).cast("bigint").alias("word_count"),
+                      F.length("content").cast("bigint").alias("char_count"))

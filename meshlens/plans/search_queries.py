@@ -154,3 +154,42 @@ def v09_reuse_vectors(spark, sf_dir):
                      F.col("embedding").alias("vector")))
     files = probes.v_files(t).select("id", "content_hash")
     return search.reuse_vectors(files, cache, "m1").select("id", "content_hash", "hit")
+
+
+@register("v08_symbol_chunks", sql="""
+WITH s AS (SELECT * FROM v_symbols),
+f AS (SELECT id AS file_id, path, string_split(content, chr(10)) AS lines FROM v_files),
+parents AS (SELECT fqn AS parent_name, arg_min(name, id) AS pname, arg_min_null(signature, id) AS psig, 1 AS has
+            FROM v_symbols WHERE fqn IS NOT NULL GROUP BY fqn),
+cn AS (SELECT e.src, d.name AS dst_name, e.dst,
+              row_number() OVER (PARTITION BY e.src ORDER BY d.name, e.dst) AS k
+       FROM v_edges e JOIN v_symbols d ON d.id = e.dst WHERE e.type = 'CALLS'),
+calls AS (SELECT src AS id, string_agg(dst_name, ', ' ORDER BY dst_name, dst) AS calls FROM cn WHERE k <= 5 GROUP BY src),
+impl AS (SELECT e.src AS id, string_agg(d.name, ', ' ORDER BY d.name) AS impl FROM v_edges e JOIN v_symbols d ON d.id = e.dst
+         WHERE e.type = 'IMPLEMENTS' GROUP BY e.src),
+inh AS (SELECT e.src AS id, string_agg(d.name, ', ' ORDER BY d.name) AS inh FROM v_edges e JOIN v_symbols d ON d.id = e.dst
+        WHERE e.type = 'INHERITS' GROUP BY e.src),
+j AS (SELECT s.*, f.path, f.lines, p.pname, p.psig, p.has, c.calls, i.impl, h.inh,
+             regexp_extract(s.fqn, '^(.*)\\.[^.]*$', 1) AS ns
+      FROM s JOIN f USING (file_id) LEFT JOIN parents p USING (parent_name) LEFT JOIN calls c ON c.id = s.id
+      LEFT JOIN impl i ON i.id = s.id LEFT JOIN inh h ON h.id = s.id),
+b AS (SELECT *, array_to_string(lines[start_line:least(len(lines), end_line, start_line + 99)], chr(10)) AS body FROM j),
+t AS (SELECT id, array_to_string(list_filter([
+        'File: ' || path,
+        CASE WHEN ns <> '' THEN 'Namespace: ' || ns END,
+        '',
+        CASE WHEN has = 1 THEN '// In class: ' || pname END,
+        CASE WHEN has = 1 THEN '// ' || coalesce(psig, 'None') END,
+        CASE WHEN has = 1 THEN '' END,
+        signature,
+        CASE WHEN start_line IS NOT NULL AND end_line IS NOT NULL AND body <> '' THEN body END,
+        CASE WHEN calls IS NOT NULL THEN chr(10) || '// Calls: ' || calls END,
+        CASE WHEN impl IS NOT NULL THEN '// Implements: ' || impl END,
+        CASE WHEN inh IS NOT NULL THEN '// Inherits from: ' || inh END], lambda x: x IS NOT NULL), chr(10)) AS content FROM b)
+SELECT id, 'code' AS content_type, sha256(content) AS content_hash,
+       CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count,
+       CAST(length(content) AS BIGINT) AS char_count
+FROM t""")
+def v08_symbol_chunks(spark, sf_dir):
+    t = load_tables(spark, sf_dir)
+    return search.symbol_chunks(probes.v_symbols(t), probes.v_files(t), probes.v_edges(t))
