@@ -335,3 +335,35 @@ def resolve_service_urls(urls: DataFrame, mappings: DataFrame) -> DataFrame:
         F.max(F.struct(F.col("confidence"), (-F.col("repo_id")).alias("neg"))).alias("_b"))
     best = best.select("service_name", (-F.col("_b.neg")).alias("repo_id"), F.col("_b.confidence").alias("confidence"))
     return urls.join(best, urls["host"] == best["service_name"], "inner").drop("service_name")
+
+
+# --------------------------------------------------------------------------- J-29
+
+def match_endpoint(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """J-29: request (path, method) → endpoint route template.  Tier 1: the
+    template with ``{x}`` → ``[^/]+`` matches the whole path (case-insensitive);
+    tier 2: template inside path or path inside template.  The method must be
+    equal when the request carries one; lowest tier, then lowest endpoint id.
+
+    Tier 1 meets endpoints through their first literal segment (templates that
+    start with a placeholder sit under ``*``); tier 2 through exploded
+    substrings (O(L²) per short path) — both equi-joins, no nested loop."""
+    ep = endpoints.select(F.col("id").alias("endpoint_id"), "template", F.col("http_method").alias("ep_method"))
+    rx = F.concat(F.lit("(?i)^"), F.regexp_replace("template", r"\{[^}]+\}", "[^/]+"), F.lit("$"))
+    first = F.lower(F.element_at(F.split(F.regexp_replace("template", r"^/+", ""), "/"), 1))
+    ep1 = ep.withColumn("rx", rx).withColumn("key", F.when(first.contains("{"), F.lit("*")).otherwise(first))
+    req = requests.select(F.col("id").alias("request_id"), "path", F.col("http_method").alias("req_method"))
+    rkey = F.lower(F.element_at(F.split(F.regexp_replace("path", r"^/+", ""), "/"), 1))
+    method_ok = F.col("req_method").isNull() | (F.col("req_method") == "") | (F.col("ep_method") == F.col("req_method"))
+    t1 = (req.select("request_id", "path", "req_method", F.explode(F.array(rkey, F.lit("*"))).alias("key"))
+          .join(ep1, "key").where(method_ok & F.regexp(F.col("path"), F.col("rx")))
+          .select("request_id", "endpoint_id", F.lit(1).alias("tier")))
+    subs_p = req.select("request_id", "req_method", F.explode(F.array_distinct(all_substrings(F.col("path")))).alias("s"))
+    in_path = (subs_p.join(ep, subs_p["s"] == ep["template"]).where(method_ok)
+               .select("request_id", "endpoint_id"))
+    subs_t = ep.select("endpoint_id", "ep_method", F.explode(F.array_distinct(all_substrings(F.col("template")))).alias("s"))
+    in_tpl = (subs_t.join(req, subs_t["s"] == req["path"]).where(method_ok).select("request_id", "endpoint_id"))
+    t2 = in_path.unionByName(in_tpl).withColumn("tier", F.lit(2))
+    allm = t1.unionByName(t2)
+    best = allm.groupBy("request_id").agg(F.min(F.struct("tier", "endpoint_id")).alias("b"))
+    return best.select("request_id", F.col("b.endpoint_id").alias("endpoint_id"), F.col("b.tier").alias("tier"))

@@ -291,3 +291,23 @@ def a07_integration_summary(spark, sf_dir):
     for part in (cnt(pubs, "published_events"), cnt(subs, "subscriptions"), cnt(links, "event_links"), top_url, top_ev):
         out = out.unionByName(part)
     return out
+
+
+def _templates(t):
+    e = probes.v_endpoints(t)
+    return e.select("id", F.concat(F.lit("/"), F.regexp_replace("route", r"\*", "{p}")).alias("template"), "http_method")
+
+
+@register("j29_match_endpoint", sql="""
+WITH ep AS (SELECT id AS endpoint_id, '/' || replace(route, '*', '{p}') AS template, http_method AS ep_method FROM v_endpoints),
+req AS (SELECT id AS request_id, path, http_method AS req_method FROM v_calls),
+m AS (SELECT r.request_id, e.endpoint_id,
+             CASE WHEN regexp_full_match(r.path, '(?i)' || regexp_replace(e.template, '\\{[^}]+\\}', '[^/]+', 'g')) THEN 1
+                  WHEN contains(r.path, e.template) OR contains(e.template, r.path) THEN 2 END AS tier
+      FROM req r JOIN ep e ON r.req_method IS NULL OR r.req_method = '' OR e.ep_method = r.req_method)
+SELECT request_id, arg_min(endpoint_id, (tier, endpoint_id)) AS endpoint_id, CAST(min(tier) AS INTEGER) AS tier
+FROM m WHERE tier IS NOT NULL GROUP BY request_id""")
+def j29_match_endpoint(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    req = probes.v_calls(t).select("id", "path", "http_method")
+    return L.match_endpoint(req, _templates(t)).select("request_id", "endpoint_id", F.col("tier").cast("int"))
