@@ -144,3 +144,53 @@ SELECT DISTINCT * FROM (SELECT * FROM impl UNION ALL SELECT * FROM heirs UNION A
 def g04_interface_edges(spark, sf_dir):
     t = _t(spark, sf_dir)
     return G.interface_edges(probes.v_symbols(t), probes.v_edges(t))
+
+
+# Node-id offsets of the service graph: symbols keep their ids, endpoints and
+# subscription handlers get their own ranges.
+ENDPOINT_BASE = 3_000_000
+HANDLER_BASE = 5_000_000
+
+
+def _service_edges(t):
+    """G-11 edge set: CALLS between symbols ∪ API links (caller symbol →
+    endpoint) ∪ event links (publisher symbol → subscription handler).  The
+    call / event rows carry their symbol: part key = row id mod part count."""
+    from meshlens.functions.urls import normalize_url
+    from meshlens.operators import linking as L
+    n_parts = t.part.select(F.count(F.lit(1))).scalar()
+    calls = probes.v_edges(t).where(F.col("type") == "CALLS").select("src", "dst", F.lit("CALLS").alias("type"))
+    c = probes.v_calls(t).select("id", normalize_url(F.col("path")).alias("route"))
+    e = probes.v_endpoints(t).select(F.col("id").alias("endpoint_id"), "route")
+    api = c.join(e, "route").select((F.col("id") % n_parts).alias("src"),
+                                    (F.lit(ENDPOINT_BASE) + F.col("endpoint_id")).alias("dst"), F.lit("API_CALL").alias("type"))
+    ev = L.link_events(probes.v_pub(t), probes.v_sub(t), fuzzy=False).select(
+        (F.col("pub_id") % n_parts).alias("src"), (F.lit(HANDLER_BASE) + F.col("sub_id")).alias("dst"),
+        F.lit("EVENT").alias("type"))
+    return calls.unionByName(api).unionByName(ev)
+
+
+SERVICE_EDGES_SQL = f"""(SELECT src, dst, 'CALLS' AS relation FROM v_edges WHERE type = 'CALLS'
+  UNION ALL
+  SELECT c.id % (SELECT count(*) FROM part), {ENDPOINT_BASE} + e.id, 'API_CALL'
+  FROM v_calls c JOIN v_endpoints e ON e.route = {{norm}}
+  UNION ALL
+  SELECT p.id % (SELECT count(*) FROM part), {HANDLER_BASE} + s.id, 'EVENT'
+  FROM v_pub p JOIN v_sub s ON p.event_type = s.event_type
+  WHERE p.repo <> s.repo AND 70 + CASE WHEN p.topic = s.queue THEN 20 ELSE 0 END
+        + CASE WHEN regexp_matches('.' || p.routing_key, '^' || array_to_string(list_transform(string_split(s.pattern, '.'),
+            lambda w: CASE WHEN w = '*' THEN '\\.[^.]*' WHEN w = '#' THEN '(?:\\.[^.]*)*' ELSE '\\.\\Q' || w || '\\E' END), '')
+            || '$') THEN 10 ELSE 0 END >= 80)"""
+
+
+def _svc_edges_sql() -> str:
+    from meshlens.plans.oracle_views import norm_url_sql
+    return SERVICE_EDGES_SQL.replace("{norm}", norm_url_sql("c.path"))
+
+
+@register("g11_cross_service_trace", sql=_walk_sql(DEPTH, _svc_edges_sql()))
+def g11_cross_service_trace(spark, sf_dir):
+    """G-11: one traversal across code calls, API links and event links from
+    the seed symbols; each node carries the edge kind that first reached it."""
+    t = _t(spark, sf_dir)
+    return G.traverse(_seeds(t), _service_edges(t), depth=DEPTH, direction="down")
