@@ -163,7 +163,7 @@ def a13_god_classes(spark, sf_dir):
 
 
 @register("a13_god_classes_same_file", sql="""
-SELECT c.id, c.name, m.methods, 0.8 AS confidence
+SELECT c.id, c.name, m.methods, CAST(0.8 AS DOUBLE) AS confidence
 FROM (SELECT * FROM v_symbols WHERE kind = 'CLASS') c
 JOIN (SELECT parent_name, file_id, count(*) AS methods FROM v_symbols WHERE kind = 'METHOD' GROUP BY ALL) m
   ON m.parent_name = c.fqn AND m.file_id = c.file_id WHERE m.methods > 20""")

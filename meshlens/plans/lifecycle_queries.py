@@ -92,7 +92,7 @@ SELECT class_id, class_name, 'Singleton' AS pattern, round((f1 + f2 + f3) / 3.0,
 FROM g WHERE f1 + f2 + f3 >= 2"""
 
 FACTORY_SQL = f"""WITH {PROBE_SQL}
-SELECT class_id, class_name, 'Factory' AS pattern, 0.8 AS confidence FROM j
+SELECT class_id, class_name, 'Factory' AS pattern, CAST(0.8 AS DOUBLE) AS confidence FROM j
 WHERE class_kind = 'CLASS' AND contains(lower(class_name), 'factory') GROUP BY ALL
 HAVING max(CASE WHEN m_kind = 'METHOD' AND (contains(lower(m_name), 'create') OR contains(lower(m_name), 'make')
            OR contains(lower(m_name), 'build') OR contains(lower(m_name), 'get')) THEN 1 ELSE 0 END) = 1"""
@@ -108,11 +108,11 @@ g AS (SELECT class_id, class_name,
         max(CASE WHEN m_kind = 'METHOD' AND lower(m_name) = 'build' THEN 1 ELSE 0 END) AS has_build,
         sum(CASE WHEN m_kind = 'METHOD' AND m_return IS NOT NULL AND contains(m_return, class_name) THEN 1 ELSE 0 END) AS fluent
       FROM j WHERE class_kind = 'CLASS' AND contains(lower(class_name), 'builder') GROUP BY ALL)
-SELECT class_id, class_name, 'Builder' AS pattern, round(least(0.9, 0.5 + fluent * 0.1), 4) AS confidence
+SELECT class_id, class_name, 'Builder' AS pattern, CAST(round(least(0.9, 0.5 + fluent * 0.1), 4) AS DOUBLE) AS confidence
 FROM g WHERE has_build = 1 AND fluent > 0"""
 
 OBSERVER_SQL = f"""WITH {PROBE_SQL}
-SELECT id AS class_id, name AS class_name, 'Observer' AS pattern, 0.7 AS confidence FROM cls
+SELECT id AS class_id, name AS class_name, 'Observer' AS pattern, CAST(0.7 AS DOUBLE) AS confidence FROM cls
 WHERE kind = 'CLASS' AND (contains(name, 'Observer') OR contains(name, 'Event') OR contains(name, 'Listener')
       OR contains(name, 'Handler'))"""
 

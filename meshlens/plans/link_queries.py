@@ -75,7 +75,7 @@ j AS (SELECT c.id AS call_id, e.id AS endpoint_id,
              0.5 + CASE WHEN upper(c.call_method) = upper(e.http_method) OR contains(lower(e.route), lower(c.call_method))
                         THEN 0.3 ELSE 0.0 END + 0.1 AS score
       FROM c JOIN v_endpoints e ON e.route = c.call_route)
-SELECT call_id, endpoint_id, round(score, 6) AS score, CAST(floor(score * 100 + 1e-9) AS INTEGER) AS match_confidence,
+SELECT call_id, endpoint_id, CAST(round(score, 6) AS DOUBLE) AS score, CAST(floor(score * 100 + 1e-9) AS INTEGER) AS match_confidence,
        CASE WHEN score >= 0.9 THEN 'exact' ELSE 'fuzzy' END AS match_method
 FROM j WHERE score * 100 >= 70 - 1e-9""".replace("{norm}", norm_url_sql("path")))
 def j12_exact_links(spark, sf_dir):

@@ -52,7 +52,7 @@ WITH cls AS (SELECT DISTINCT CAST(1000000 + b AS BIGINT) AS id, 'Brand' || CAST(
                WHEN 0 THEN 'Factory' WHEN 1 THEN 'Repository' WHEN 2 THEN 'Builder' WHEN 3 THEN 'Singleton'
                WHEN 4 THEN 'Controller' ELSE 'EventHandler' END AS name, b FROM (
              SELECT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS b FROM part))
-SELECT b % 3 AS service_id, id AS controller_id, name AS controller_name FROM cls WHERE ends_with(name, 'Controller')""")
+SELECT CAST(b % 3 AS BIGINT) AS service_id, id AS controller_id, name AS controller_name FROM cls WHERE ends_with(name, 'Controller')""")
 def a30_service_controllers(spark, sf_dir):
     """A-30: controllers (name suffix) of each service (probe: service = brand mod 3)."""
     classes, _ = pattern_probe(_t(spark, sf_dir))

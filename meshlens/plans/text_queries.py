@@ -139,7 +139,7 @@ SELECT e.src, e.dst, e.type,
              + CASE WHEN coalesce(c.documentation, '') <> '' THEN 0.1 ELSE 0.0 END
              + CASE WHEN contains(upper(e.type), 'CALL') THEN 0.2 ELSE 0.0 END
              + CASE WHEN {X.contains_any_sql("lower(coalesce(c.path, ''))", X.STANDARD_PATHS)} THEN 0.1 ELSE 0.0 END,
-             1.0), 4) AS confidence
+             1.0), 4)::DOUBLE AS confidence
 FROM v_edges e JOIN {CTX_SQL} c ON c.id = e.dst""")
 def x16_edge_confidence(spark, sf_dir):
     t = _t(spark, sf_dir)
