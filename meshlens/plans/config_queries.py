@@ -191,3 +191,63 @@ def e11_ddl_columns(spark, sf_dir):
     out = C.ddl_columns(_ddl(_t(spark, sf_dir)), "id", "text")
     return out.select("id", "table_name", F.col("ordinal").cast("int"), "column_name", "data_type", "nullable",
                       "default_value")
+
+
+MANIFESTS_SQL = """(
+  SELECT 'pkgs/' || CAST(p_partkey AS VARCHAR) || '/package.json' AS path,
+         '{"dependencies": {"' || replace(p_name, ' ', '-') || '": "^1.' || CAST(p_size AS VARCHAR) || '.0"}, '
+         || '"devDependencies": {"jest-' || CAST(p_partkey % 7 AS VARCHAR) || '": "~29.0.0"}, "peerDependencies": {}}' AS content
+  FROM part
+  UNION ALL SELECT 'pkgs/' || CAST(p_partkey AS VARCHAR) || '/package-lock.json', '{}' FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT 'py/' || CAST(p_partkey AS VARCHAR) || '/requirements.txt',
+         '# deps' || chr(10) || replace(p_name, ' ', '_') || '==1.' || CAST(p_size AS VARCHAR) || chr(10)
+         || 'flask[async] >= 2.0' || chr(10) || '-r base.txt' || chr(10) || '' FROM part
+  UNION ALL SELECT 'net/' || CAST(p_partkey AS VARCHAR) || '/App.csproj',
+         '<Project><ItemGroup><PackageReference Include="Pkg' || CAST(p_size AS VARCHAR) || '" Version="3.'
+         || CAST(p_partkey % 5 AS VARCHAR) || '.0" /><PackageReference Include="NoVersion" /></ItemGroup></Project>' FROM part)"""
+
+
+def _manifests(t):
+    p = t.part
+    k = F.col("p_partkey").cast("string")
+    npm = p.select(F.concat(F.lit("pkgs/"), k, F.lit("/package.json")).alias("path"),
+                   F.concat(F.lit('{"dependencies": {"'), F.regexp_replace("p_name", " ", "-"), F.lit('": "^1.'),
+                            F.col("p_size").cast("string"), F.lit('.0"}, "devDependencies": {"jest-'),
+                            (F.col("p_partkey") % 7).cast("string"),
+                            F.lit('": "~29.0.0"}, "peerDependencies": {}}')).alias("content"))
+    lock = p.where(F.col("p_partkey") % 5 == 0).select(F.concat(F.lit("pkgs/"), k, F.lit("/package-lock.json")).alias("path"),
+                                                       F.lit("{}").alias("content"))
+    req = p.select(F.concat(F.lit("py/"), k, F.lit("/requirements.txt")).alias("path"),
+                   F.concat(F.lit("# deps\n"), F.regexp_replace("p_name", " ", "_"), F.lit("==1."),
+                            F.col("p_size").cast("string"), F.lit("\nflask[async] >= 2.0\n-r base.txt\n")).alias("content"))
+    cs = p.select(F.concat(F.lit("net/"), k, F.lit("/App.csproj")).alias("path"),
+                  F.concat(F.lit('<Project><ItemGroup><PackageReference Include="Pkg'), F.col("p_size").cast("string"),
+                           F.lit('" Version="3.'), (F.col("p_partkey") % 5).cast("string"),
+                           F.lit('.0" /><PackageReference Include="NoVersion" /></ItemGroup></Project>')).alias("content"))
+    return npm.unionByName(lock).unionByName(req).unionByName(cs)
+
+
+@register("e07_extract_dependencies", sql=f"""
+WITH m AS {MANIFESTS_SQL},
+f AS (SELECT path, content, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, lower(split_part(path, '/', -1)) AS base FROM m),
+locks AS (SELECT DISTINCT dir FROM f WHERE base = 'package-lock.json'),
+npm AS (SELECT * FROM f WHERE base = 'package.json' AND dir NOT IN (SELECT dir FROM locks)),
+npmd AS (SELECT npm.path, e.key AS package, NULL::VARCHAR AS version, json_extract_string(e.value, '$') AS version_constraint,
+                g.dev AS is_dev_dependency, 'npm' AS dependency_type
+         FROM npm, (VALUES ('dependencies', false), ('devDependencies', true), ('peerDependencies', false)) g(field, dev),
+              json_each(npm.content::JSON, '$.' || g.field) e),
+pl AS (SELECT path, trim(unnest(string_split(content, chr(10)))) AS l FROM f
+       WHERE ends_with(base, '.txt') AND contains(base, 'requirements')),
+pip AS (SELECT path, regexp_extract(l, {sq(C.REQ_LINE)}, 1) AS package,
+               CASE WHEN contains(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 3)), '==')
+                    THEN trim(split_part(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 3)), '==', 2)) END AS version,
+               nullif(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 3)), '') AS version_constraint,
+               false AS is_dev_dependency, 'pip' AS dependency_type
+        FROM pl WHERE l <> '' AND NOT starts_with(l, '#') AND NOT starts_with(l, '-r ') AND NOT starts_with(l, '-c ')
+          AND NOT starts_with(l, '-e ') AND NOT starts_with(l, '--') AND regexp_matches(l, {sq(C.REQ_LINE)})),
+nu AS (SELECT path, unnest(regexp_extract_all(content, {sq(C.PACKAGE_REFERENCE)}, 1)) AS package,
+              unnest(regexp_extract_all(content, {sq(C.PACKAGE_REFERENCE)}, 2)) AS v FROM f WHERE ends_with(base, '.csproj'))
+SELECT * FROM npmd UNION ALL SELECT * FROM pip
+UNION ALL SELECT path, package, nullif(v, ''), nullif(v, ''), false, 'nuget' FROM nu""")
+def e07_extract_dependencies(spark, sf_dir):
+    return C.extract_dependencies(_manifests(_t(spark, sf_dir)))
