@@ -193,3 +193,45 @@ def history_page(jobs: DataFrame, key: str, n: int = 10) -> DataFrame:
     """L-08: newest ``n`` jobs per repository (partial top-n per key before the shuffle)."""
     w = Window.partitionBy(key).orderBy(F.col("started_at").desc(), F.col("id").desc())
     return jobs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+# --------------------------------------------------------------------------- P-09 service boundaries
+
+HOST_BUILDERS = ("CreateBuilder", "CreateDefaultBuilder", "CreateApplicationBuilder")
+
+
+def service_boundaries(projects: DataFrame, controllers: DataFrame) -> DataFrame:
+    """P-09: service score per project from its project file, its startup file
+    and its controller count: +50 Web / Worker SDK, +20 executable, +20 ASP.NET
+    Core, +100 controllers, +50 DI registrations, +30 MediatR, +30 message bus,
+    +100 host builder, +10 service-like name.  A service when a strong signal
+    (controllers, host builder) is present or the score reaches 50; type API /
+    Worker / Console by the same signals.
+
+    ``projects``: id, name, project_xml, startup; ``controllers``: project_id, n."""
+    px, st, name = F.coalesce(F.col("project_xml"), F.lit("")), F.coalesce(F.col("startup"), F.lit("")), F.col("name")
+    web = px.contains('Sdk="Microsoft.NET.Sdk.Web"')
+    worker = px.contains('Sdk="Microsoft.NET.Sdk.Worker"')
+    exe = px.contains("<OutputType>Exe</OutputType>") | web | worker
+    asp = px.contains("Microsoft.AspNetCore")
+    di = st.contains("services.Add") | st.contains("builder.Services.Add")
+    cqrs = st.contains("AddMediatR")
+    bus = st.contains("AddMassTransit") | st.contains("AddNServiceBus")
+    host = reduce(lambda a, b: a | b, [st.contains(h) for h in HOST_BUILDERS])
+    named = name.endswith(".API") | name.endswith(".Service") | name.endswith(".Web")
+    j = projects.join(controllers.withColumnRenamed("project_id", "id"), "id", "left")
+    has_ctrl = F.coalesce(F.col("n"), F.lit(0)) > 0
+
+    def pts(c, p):
+        return F.when(c, F.lit(p)).otherwise(F.lit(0))
+
+    score = (pts(web, 50) + pts(worker, 50) + pts(exe, 20) + pts(asp, 20) + pts(has_ctrl, 100) + pts(di, 50)
+             + pts(cqrs, 30) + pts(bus, 30) + pts(host, 100) + pts(named, 10))
+    is_service = has_ctrl | host | (score >= 50)
+    api_name = name.contains(".API") | name.contains(".Api") | name.contains(".WebApi")
+    stype = (F.when(~is_service, F.lit(None).cast("string"))
+             .when(has_ctrl, "API")
+             .when(web | asp, F.when(api_name, "API").otherwise("Worker"))
+             .when(name.contains("Console") | name.contains("Cli"), "Console")
+             .otherwise("Worker"))
+    return j.select("id", "name", score.alias("score"), is_service.alias("is_service"), stype.alias("service_type"))

@@ -256,3 +256,67 @@ SELECT repository_id, id, CAST(rank AS INTEGER) AS rank FROM (
   FROM v_jobs) WHERE rank <= 10""")
 def l08_sync_history(spark, sf_dir):
     return P.history_page(probes.v_jobs(_t(spark, sf_dir)), "repository_id").select("repository_id", "id", "rank")
+
+
+# ----------------------------------------------------------------------------- P-09
+
+SERVICE_PROJECTS_SQL = """(SELECT s_suppkey AS id,
+  'Svc' || CAST(s_suppkey AS VARCHAR) || CASE s_suppkey % 5 WHEN 0 THEN '.API' WHEN 1 THEN '.Service' WHEN 2 THEN '.Console'
+       WHEN 3 THEN '.Web' ELSE '' END AS name,
+  '<Project Sdk="' || CASE s_suppkey % 3 WHEN 0 THEN 'Microsoft.NET.Sdk.Web' WHEN 1 THEN 'Microsoft.NET.Sdk.Worker'
+       ELSE 'Microsoft.NET.Sdk' END || '">' || CASE WHEN s_suppkey % 4 = 0 THEN '<OutputType>Exe</OutputType>' ELSE '' END
+       || CASE WHEN s_suppkey % 2 = 0 THEN '<PackageReference Include="Microsoft.AspNetCore.App" />' ELSE '' END
+       || '</Project>' AS project_xml,
+  CASE s_suppkey % 7 WHEN 0 THEN 'var b = WebApplication.CreateBuilder(args); builder.Services.AddScoped<X>();'
+       WHEN 1 THEN 'services.AddMediatR(); services.AddMassTransit();' WHEN 2 THEN 'Host.CreateDefaultBuilder(args)'
+       ELSE NULL END AS startup FROM supplier)"""
+
+
+def _service_projects(t):
+    s = t.supplier
+    k = F.col("s_suppkey")
+    suffix = (F.when(k % 5 == 0, ".API").when(k % 5 == 1, ".Service").when(k % 5 == 2, ".Console")
+              .when(k % 5 == 3, ".Web").otherwise(""))
+    sdk = F.when(k % 3 == 0, "Microsoft.NET.Sdk.Web").when(k % 3 == 1, "Microsoft.NET.Sdk.Worker").otherwise("Microsoft.NET.Sdk")
+    xml = F.concat(F.lit('<Project Sdk="'), sdk, F.lit('">'),
+                   F.when(k % 4 == 0, "<OutputType>Exe</OutputType>").otherwise(""),
+                   F.when(k % 2 == 0, '<PackageReference Include="Microsoft.AspNetCore.App" />').otherwise(""),
+                   F.lit("</Project>"))
+    startup = (F.when(k % 7 == 0, "var b = WebApplication.CreateBuilder(args); builder.Services.AddScoped<X>();")
+               .when(k % 7 == 1, "services.AddMediatR(); services.AddMassTransit();")
+               .when(k % 7 == 2, "Host.CreateDefaultBuilder(args)"))
+    return s.select(k.alias("id"), F.concat(F.lit("Svc"), k.cast("string"), suffix).alias("name"),
+                    xml.alias("project_xml"), startup.alias("startup"))
+
+
+@register("p09_service_boundaries", sql=f"""
+WITH p AS {SERVICE_PROJECTS_SQL},
+cls AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS b FROM part),
+ctrl AS (SELECT b AS project_id, count(*) AS n FROM cls WHERE b % 6 = 4 GROUP BY b),
+f AS (SELECT p.*, coalesce(project_xml, '') AS px, coalesce(startup, '') AS st, coalesce(ctrl.n, 0) > 0 AS has_ctrl
+      FROM p LEFT JOIN ctrl ON ctrl.project_id = p.id),
+g AS (SELECT *, contains(px, 'Sdk="Microsoft.NET.Sdk.Web"') AS web, contains(px, 'Sdk="Microsoft.NET.Sdk.Worker"') AS worker,
+             contains(px, 'Microsoft.AspNetCore') AS asp,
+             contains(st, 'CreateBuilder') OR contains(st, 'CreateDefaultBuilder') OR contains(st, 'CreateApplicationBuilder') AS host
+      FROM f),
+s AS (SELECT *, (CASE WHEN web THEN 50 ELSE 0 END) + (CASE WHEN worker THEN 50 ELSE 0 END)
+        + (CASE WHEN contains(px, '<OutputType>Exe</OutputType>') OR web OR worker THEN 20 ELSE 0 END)
+        + (CASE WHEN asp THEN 20 ELSE 0 END) + (CASE WHEN has_ctrl THEN 100 ELSE 0 END)
+        + (CASE WHEN contains(st, 'services.Add') OR contains(st, 'builder.Services.Add') THEN 50 ELSE 0 END)
+        + (CASE WHEN contains(st, 'AddMediatR') THEN 30 ELSE 0 END)
+        + (CASE WHEN contains(st, 'AddMassTransit') OR contains(st, 'AddNServiceBus') THEN 30 ELSE 0 END)
+        + (CASE WHEN host THEN 100 ELSE 0 END)
+        + (CASE WHEN ends_with(name, '.API') OR ends_with(name, '.Service') OR ends_with(name, '.Web') THEN 10 ELSE 0 END) AS score
+      FROM g)
+SELECT id, name, score, (has_ctrl OR host OR score >= 50) AS is_service,
+       CASE WHEN NOT (has_ctrl OR host OR score >= 50) THEN NULL WHEN has_ctrl THEN 'API'
+            WHEN web OR asp THEN CASE WHEN contains(name, '.API') OR contains(name, '.Api') OR contains(name, '.WebApi')
+                                      THEN 'API' ELSE 'Worker' END
+            WHEN contains(name, 'Console') OR contains(name, 'Cli') THEN 'Console' ELSE 'Worker' END AS service_type
+FROM s""")
+def p09_service_boundaries(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    classes, _ = pattern_probe(t)
+    ctrl = (classes.where(F.col("name").endswith("Controller"))
+            .groupBy(((F.col("id") - 1_000_000).cast("bigint")).alias("project_id")).agg(F.count(F.lit(1)).alias("n")))
+    return P.service_boundaries(_service_projects(t), ctrl)
