@@ -38,10 +38,10 @@ kw_scored AS (
          WHEN contains(lower(coalesce(signature, '')), 'widget') THEN 1.0
          WHEN contains(lower(coalesce(documentation, '')), 'widget') THEN 0.5 ELSE 0.0 END AS t2
     FROM v_symbols
-    WHERE contains(lower(name), 'red') OR contains(lower(coalesce(signature, '')), 'red')
+    WHERE parent_name IS NOT NULL AND (contains(lower(name), 'red') OR contains(lower(coalesce(signature, '')), 'red')
        OR contains(lower(coalesce(documentation, '')), 'red') OR contains(lower(coalesce(fqn, '')), 'red')
        OR contains(lower(name), 'widget') OR contains(lower(coalesce(signature, '')), 'widget')
-       OR contains(lower(coalesce(documentation, '')), 'widget') OR contains(lower(coalesce(fqn, '')), 'widget'))
+       OR contains(lower(coalesce(documentation, '')), 'widget') OR contains(lower(coalesce(fqn, '')), 'widget')))
 ),
 kw AS (SELECT id AS symbol_id, row_number() OVER (ORDER BY score DESC, name, id) AS rank
        FROM kw_scored ORDER BY score DESC, name, id LIMIT {2 * LIMIT}),
@@ -59,7 +59,7 @@ FROM f ORDER BY score DESC, symbol_id LIMIT {LIMIT}
 """)
 def v04_hybrid_search(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    members = probes.v_symbols(t)
+    members = probes.v_members(t)
     return search.hybrid_search(members, probes.v_vec(t), QUERY_TEXT, _qvec(t),
                                 limit=LIMIT, threshold=VEC_THRESHOLD)
 
@@ -79,10 +79,10 @@ KW_SCORED_SQL = f"""
          WHEN contains(lower(coalesce(signature, '')), 'widget') THEN 1.0
          WHEN contains(lower(coalesce(documentation, '')), 'widget') THEN 0.5 ELSE 0.0 END AS t2
     FROM v_symbols
-    WHERE contains(lower(name), 'red') OR contains(lower(coalesce(signature, '')), 'red')
+    WHERE parent_name IS NOT NULL AND (contains(lower(name), 'red') OR contains(lower(coalesce(signature, '')), 'red')
        OR contains(lower(coalesce(documentation, '')), 'red') OR contains(lower(coalesce(fqn, '')), 'red')
        OR contains(lower(name), 'widget') OR contains(lower(coalesce(signature, '')), 'widget')
-       OR contains(lower(coalesce(documentation, '')), 'widget') OR contains(lower(coalesce(fqn, '')), 'widget')))"""
+       OR contains(lower(coalesce(documentation, '')), 'widget') OR contains(lower(coalesce(fqn, '')), 'widget'))))"""
 
 
 @register("v01_keyword_search", sql=f"""
@@ -91,7 +91,7 @@ FROM {KW_SCORED_SQL} ORDER BY score DESC, name, id LIMIT 100""")
 def v01_keyword_search(spark, sf_dir):
     """V-01: top 100 keyword hits (every match scored before the limit)."""
     t = load_tables(spark, sf_dir)
-    return search.keyword_search(probes.v_symbols(t), QUERY_TEXT, 100).select(
+    return search.keyword_search(probes.v_members(t), QUERY_TEXT, 100).select(
         "id", "name", F.col("score").cast("double"), "rank")
 
 
