@@ -148,3 +148,26 @@ def merge_edge_sets(*edge_sets: DataFrame) -> DataFrame:
     """Union of derived edge sets (src, dst, type), distinct."""
     return reduce(DataFrame.unionByName, [e.select("src", "dst", "type") for e in edge_sets]).distinct()
 
+
+
+def resolve_usages(usages: DataFrame, symbols: DataFrame) -> DataFrame:
+    """J-21: member usage → target by priority: (1) a member of that name in
+    the user's own class, (2) in the receiver's type, (3) a static
+    ``Type.member`` reference matched by FQN; lowest id within a tier.  Tiers
+    are reduced to one candidate per key before joining.
+
+    ``usages``: usage_id, user_id, member_name, receiver_type (nullable),
+    qualified (nullable ``Type.member``)."""
+    mem = symbols.where(F.col("parent_name").isNotNull())
+    t1 = mem.groupBy("parent_name", "name").agg(F.min("id").alias("t1"))
+    t3 = symbols.where(F.col("fqn").isNotNull()).groupBy("fqn").agg(F.min("id").alias("t3"))
+    user = symbols.select(F.col("id").alias("user_id"), F.col("parent_name").alias("own_class"))
+    u = usages.join(user, "user_id", "left")
+    j = (u.join(t1.withColumnRenamed("parent_name", "own_class").withColumnRenamed("name", "member_name"),
+                ["own_class", "member_name"], "left")
+         .join(t1.withColumnRenamed("parent_name", "receiver_type").withColumnRenamed("name", "member_name")
+               .withColumnRenamed("t1", "t2"), ["receiver_type", "member_name"], "left")
+         .join(t3.withColumnRenamed("fqn", "qualified"), "qualified", "left"))
+    target = F.coalesce("t1", "t2", "t3")
+    tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3)
+    return j.where(target.isNotNull()).select("usage_id", "user_id", target.alias("target_id"), tier.alias("tier"))

@@ -320,3 +320,36 @@ def p09_service_boundaries(spark, sf_dir):
     ctrl = (classes.where(F.col("name").endswith("Controller"))
             .groupBy(((F.col("id") - 1_000_000).cast("bigint")).alias("project_id")).agg(F.count(F.lit(1)).alias("n")))
     return P.service_boundaries(_service_projects(t), ctrl)
+
+
+# ----------------------------------------------------------------------------- E-14
+
+def api_endpoints(classes, members):
+    """E-14: every METHOD of a controller class becomes an endpoint row: verb
+    from the method-name prefix (X-24), route = ``api/[controller]`` with the
+    controller name substituted, joined with the lower-case action (X-08)."""
+    from meshlens.functions.code import http_verb
+    from meshlens.functions.urls import combine_routes, controller_route
+    c = classes.where(F.col("name").endswith("Controller")).select(
+        F.col("id").alias("controller_id"), F.col("name").alias("controller"), F.col("fqn").alias("parent_name"))
+    m = members.where(F.col("kind") == "METHOD").select(F.col("id").alias("method_id"), F.col("name").alias("action"),
+                                                       "parent_name")
+    j = c.join(m, "parent_name")
+    route = combine_routes(controller_route(F.lit("api/[controller]"), F.col("controller"), F.lit(None).cast("string")),
+                           F.lower("action"))
+    return j.select("controller_id", "method_id", "controller", "action", http_verb(F.col("action")).alias("http_method"),
+                    route.alias("route"))
+
+
+@register("e14_api_endpoints", sql=f"""WITH {PROBE_SQL},
+c AS (SELECT id AS controller_id, name AS controller, fqn FROM cls WHERE ends_with(name, 'Controller')),
+e AS (SELECT c.controller_id, m.id AS method_id, c.controller, m.name AS action FROM c JOIN mem m ON m.parent_name = c.fqn
+      WHERE m.kind = 'METHOD')
+SELECT controller_id, method_id, controller, action,
+       CASE WHEN starts_with(action, 'Get') THEN 'GET' WHEN starts_with(action, 'Post') THEN 'POST'
+            WHEN starts_with(action, 'Put') THEN 'PUT' WHEN starts_with(action, 'Delete') THEN 'DELETE'
+            WHEN starts_with(action, 'Patch') THEN 'PATCH' ELSE 'HTTP' END AS http_method,
+       regexp_replace('/api/' || replace(controller, 'Controller', '') || '/' || lower(action), '/{{2,}}', '/', 'g') AS route
+FROM e""")
+def e14_api_endpoints(spark, sf_dir):
+    return api_endpoints(*pattern_probe(_t(spark, sf_dir)))

@@ -210,3 +210,36 @@ def j34_link_symbols_to_service(spark, sf_dir):
     fp = R.assign_files_to_projects(probes.v_files(t), _projects(t))
     ps = _projects(t).select(F.col("id").alias("project_id"), (F.col("id") % 5).alias("service_id"))
     return RS.link_symbols_to_service(probes.v_symbols(t), fp, ps)
+
+
+USAGES_SQL = """(SELECT CAST(e.src AS VARCHAR) || ':' || CAST(e.dst AS VARCHAR) AS usage_id, e.src AS user_id,
+  d.name AS member_name, CASE WHEN e.src % 2 = 0 THEN d.parent_name END AS receiver_type,
+  CASE WHEN e.src % 3 = 0 THEN d.fqn END AS qualified
+  FROM v_edges e JOIN v_symbols d ON d.id = e.dst WHERE e.type = 'USES')"""
+
+
+@register("j21_resolve_usages", sql=f"""
+WITH u AS (SELECT x.*, s.parent_name AS own_class FROM {USAGES_SQL} x LEFT JOIN v_symbols s ON s.id = x.user_id),
+t1 AS (SELECT parent_name, name, min(id) AS t FROM v_symbols WHERE parent_name IS NOT NULL GROUP BY ALL),
+t3 AS (SELECT fqn, min(id) AS t FROM v_symbols WHERE fqn IS NOT NULL GROUP BY fqn),
+j AS (SELECT u.usage_id, u.user_id, a.t AS t1, b.t AS t2, c.t AS t3 FROM u
+      LEFT JOIN t1 a ON a.parent_name = u.own_class AND a.name = u.member_name
+      LEFT JOIN t1 b ON b.parent_name = u.receiver_type AND b.name = u.member_name
+      LEFT JOIN t3 c ON c.fqn = u.qualified)
+SELECT usage_id, user_id, coalesce(t1, t2, t3) AS target_id,
+       CAST(CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 ELSE 3 END AS INTEGER) AS tier
+FROM j WHERE coalesce(t1, t2, t3) IS NOT NULL""")
+def j21_resolve_usages(spark, sf_dir):
+    """J-21 over USES edges seen as member usages (the used member's name,
+    its type as receiver for even users, its FQN as static reference for
+    users divisible by 3)."""
+    t = _t(spark, sf_dir)
+    s = probes.v_symbols(t)
+    d = s.select(F.col("id").alias("dst"), F.col("name").alias("member_name"), F.col("parent_name").alias("ptype"),
+                 F.col("fqn").alias("dfqn"))
+    u = (probes.v_edges(t).where(F.col("type") == "USES").join(d, "dst")
+         .select(F.concat(F.col("src").cast("string"), F.lit(":"), F.col("dst").cast("string")).alias("usage_id"),
+                 F.col("src").alias("user_id"), "member_name",
+                 F.when(F.col("src") % 2 == 0, F.col("ptype")).alias("receiver_type"),
+                 F.when(F.col("src") % 3 == 0, F.col("dfqn")).alias("qualified")))
+    return RS.resolve_usages(u, s).select("usage_id", "user_id", "target_id", F.col("tier").cast("int"))
