@@ -497,3 +497,50 @@ def extract_hooks(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # React's built-in hooks (E-19).
 REACT_HOOKS = ("useState", "useEffect", "useContext", "useReducer", "useCallback", "useMemo", "useRef",
                "useLayoutEffect", "useImperativeHandle", "useDebugValue")
+
+
+# --------------------------------------------------------------------------- E-17 manifest sections
+
+def _category(header: Column) -> Column:
+    h = F.lower(header)
+    return (F.when(h.contains("capabilities"), "primary_capabilities")
+            .when(h.contains("dependencies"), "infrastructure_dependencies")
+            .when(h.contains("boundaries") | h.contains("domain"), "domain_boundaries")
+            .when(h.contains("workflows"), "key_workflows"))
+
+
+def manifest_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """E-17: structured fields of a service manifest (Markdown) in long form
+    ``(id, field, item_no, value)``: ``pitch`` (first non-heading line),
+    bullet lists under capabilities / dependencies / workflows headings and
+    the ``owns`` / ``reads`` data lists of a boundaries section.  When a
+    category repeats, its last section wins (as in the reference)."""
+    lines = numbered_lines(docs, id_col, text_col).withColumn("s", _strip(F.col("line")))
+    w = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("sec", F.sum(F.col("line").startswith("##").cast("int")).over(w))
+    pitch = (lines.where((F.col("s") != "") & ~F.col("s").startswith("#")).groupBy(id_col)
+             .agg(F.min_by("s", "line_no").alias("value"))
+             .select(id_col, F.lit("pitch").alias("field"), F.lit(1).alias("item_no"), "value"))
+    heads = (lines.where((F.col("sec") > 0) & F.col("line").startswith("##"))
+             .select(id_col, "sec", F.trim(F.regexp_replace("line", r"^##\s*", "")).alias("header"), "line_no"))
+    cats = heads.withColumn("field", _category(F.col("header"))).where(F.col("field").isNotNull())
+    last = cats.groupBy(id_col, "field").agg(F.max("sec").alias("sec"))
+    body = (lines.join(heads.select(id_col, "sec", F.col("line_no").alias("head_line")), [id_col, "sec"])
+            .where((F.col("line_no") > F.col("head_line")) & (F.col("s") != "")))
+    sec_lines = body.join(last, [id_col, "sec"])
+    bullets = (sec_lines.where((F.col("field") != "domain_boundaries")
+                               & (F.col("s").startswith("-") | F.col("s").startswith("*")))
+               .select(id_col, "field", "line_no", F.trim(F.regexp_replace("s", r"^[-* ]+", "")).alias("value")))
+    wb = Window.partitionBy(id_col, "field").orderBy("line_no")
+    bullets = bullets.select(id_col, "field", F.row_number().over(wb).alias("item_no"), "value")
+    bnd = sec_lines.where(F.col("field") == "domain_boundaries")
+    low = F.lower("s")
+    kind = F.when(low.contains("owns data"), "owns").when(low.contains("reads data"), "reads")
+    bnd = bnd.withColumn("kind", kind).where(F.col("kind").isNotNull() & F.col("s").contains(":"))
+    last_line = bnd.groupBy(id_col, "kind").agg(F.max_by("s", "line_no").alias("s"))
+    items = last_line.select(id_col, F.col("kind").alias("field"),
+                             F.posexplode(F.split(F.expr("substring(s, instr(s, ':') + 1)"), ",")).alias("pos", "v"))
+    items = items.where(F.trim("v") != "")
+    wi = Window.partitionBy(id_col, "field").orderBy("pos")
+    items = items.select(id_col, "field", F.row_number().over(wi).alias("item_no"), F.trim("v").alias("value"))
+    return pitch.unionByName(bullets).unionByName(items)

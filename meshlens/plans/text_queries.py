@@ -647,3 +647,62 @@ FROM h""")
 def e19_extract_hooks(spark, sf_dir):
     c = probes.v_code(_t(spark, sf_dir))
     return E.extract_hooks(c, "id", "content").withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+# ----------------------------------------------------------------------------- E-17
+
+MANIFEST_SQL = """(SELECT doc_id, '# Manifest ' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10)
+  || coalesce(nullif(trim(split_part(text, chr(10), 1)), ''), 'pitch') || chr(10)
+  || '## Primary Capabilities' || chr(10) || '- serve ' || lang || chr(10) || '* index ' || source || chr(10) || 'not a bullet' || chr(10)
+  || '## Infrastructure Dependencies' || chr(10) || '- store-' || CAST(doc_id % 4 AS VARCHAR) || chr(10)
+  || '##Domain Boundaries' || chr(10) || 'Owns Data: ' || source || ', ' || lang || ',' || chr(10)
+  || 'Reads data: events' || chr(10) || '## Key Workflows' || chr(10) || '- sync' || chr(10) || '- link' || chr(10)
+  || '## Primary Capabilities again' || chr(10) || '- replaced ' || CAST(doc_id % 3 AS VARCHAR) AS text FROM documents)"""
+
+
+def _manifests_md(t):
+    d = t.documents
+    nl = F.lit("\n")
+    first = F.trim(F.element_at(F.split("text", "\n"), 1))
+    txt = F.concat(F.lit("# Manifest "), F.col("doc_id").cast("string"), nl, nl,
+                   F.coalesce(F.when(first != "", first), F.lit("pitch")), nl,
+                   F.lit("## Primary Capabilities\n- serve "), F.col("lang"), F.lit("\n* index "), F.col("source"),
+                   F.lit("\nnot a bullet\n## Infrastructure Dependencies\n- store-"), (F.col("doc_id") % 4).cast("string"),
+                   F.lit("\n##Domain Boundaries\nOwns Data: "), F.col("source"), F.lit(", "), F.col("lang"),
+                   F.lit(",\nReads data: events\n## Key Workflows\n- sync\n- link\n## Primary Capabilities again\n- replaced "),
+                   (F.col("doc_id") % 3).cast("string"))
+    return d.select("doc_id", txt.alias("text"))
+
+
+@register("e17_manifest_sections", sql=f"""
+WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line_no,
+                  unnest(string_split(text, chr(10))) AS line FROM {MANIFEST_SQL}),
+l2 AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s,
+              sum(CASE WHEN starts_with(line, '##') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sec FROM l),
+pitch AS (SELECT doc_id, 'pitch' AS field, 1 AS item_no, arg_min(s, line_no) AS value FROM l2
+          WHERE s <> '' AND NOT starts_with(s, '#') GROUP BY doc_id),
+heads AS (SELECT doc_id, sec, line_no AS head_line, trim(regexp_replace(line, '^##\\s*', '')) AS header FROM l2
+          WHERE sec > 0 AND starts_with(line, '##')),
+cats AS (SELECT *, CASE WHEN contains(lower(header), 'capabilities') THEN 'primary_capabilities'
+                        WHEN contains(lower(header), 'dependencies') THEN 'infrastructure_dependencies'
+                        WHEN contains(lower(header), 'boundaries') OR contains(lower(header), 'domain') THEN 'domain_boundaries'
+                        WHEN contains(lower(header), 'workflows') THEN 'key_workflows' END AS field FROM heads),
+last AS (SELECT doc_id, field, max(sec) AS sec FROM cats WHERE field IS NOT NULL GROUP BY ALL),
+body AS (SELECT l2.*, h.head_line FROM l2 JOIN heads h USING (doc_id, sec) WHERE l2.line_no > h.head_line AND l2.s <> ''),
+sl AS (SELECT body.*, last.field FROM body JOIN last USING (doc_id, sec)),
+bullets AS (SELECT doc_id, field, row_number() OVER (PARTITION BY doc_id, field ORDER BY line_no) AS item_no,
+                   trim(regexp_replace(s, '^[-* ]+', '')) AS value
+            FROM sl WHERE field <> 'domain_boundaries' AND (starts_with(s, '-') OR starts_with(s, '*'))),
+bnd AS (SELECT *, CASE WHEN contains(lower(s), 'owns data') THEN 'owns' WHEN contains(lower(s), 'reads data') THEN 'reads' END AS kind
+        FROM sl WHERE field = 'domain_boundaries'),
+ll AS (SELECT doc_id, kind, arg_max(s, line_no) AS s FROM bnd WHERE kind IS NOT NULL AND contains(s, ':') GROUP BY ALL),
+items AS (SELECT doc_id, kind AS field, row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS item_no, trim(v) AS value
+          FROM (SELECT doc_id, kind, generate_subscripts(string_split(substr(s, instr(s, ':') + 1), ','), 1) AS pos,
+                       unnest(string_split(substr(s, instr(s, ':') + 1), ',')) AS v FROM ll) WHERE trim(v) <> '')
+SELECT doc_id, field, CAST(item_no AS INTEGER) AS item_no, value FROM pitch
+UNION ALL SELECT doc_id, field, CAST(item_no AS INTEGER), value FROM bullets
+UNION ALL SELECT doc_id, field, CAST(item_no AS INTEGER), value FROM items""")
+def e17_manifest_sections(spark, sf_dir):
+    out = E.manifest_sections(_manifests_md(_t(spark, sf_dir)), "doc_id", "text")
+    return out.select("doc_id", "field", F.col("item_no").cast("int"), "value")
