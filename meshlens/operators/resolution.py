@@ -171,3 +171,37 @@ def resolve_usages(usages: DataFrame, symbols: DataFrame) -> DataFrame:
     target = F.coalesce("t1", "t2", "t3")
     tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(F.col("t3").isNotNull(), 3)
     return j.where(target.isNotNull()).select("usage_id", "user_id", target.alias("target_id"), tier.alias("tier"))
+
+
+def all_suffixes(s):
+    """Every suffix of ``s`` (O(L) per value)."""
+    n = F.length(s)
+    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, 1 << 20))
+
+
+def match_existing_project(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """A-21: each parsed project → the stored project it updates: (1) same
+    repository and file path, (2) same GUID, (3) same name with one path a
+    suffix of the other, (4) a same-named stored project without a path;
+    lowest tier, then lowest id.  The suffix test is an equi-join on exploded
+    suffixes (both directions), so no (name)-group pairs are enumerated."""
+    ex = existing.select(F.col("id").alias("eid"), F.col("repository_id").alias("rid"), F.col("file_path").alias("epath"),
+                         F.col("project_guid").alias("eguid"), F.col("name").alias("ename"))
+    nw = new.select(F.col("id").alias("nid"), F.col("repository_id").alias("rid"), F.col("file_path").alias("npath"),
+                    F.col("project_guid").alias("nguid"), F.col("name").alias("nname"))
+    t1 = nw.join(ex, (nw["rid"] == ex["rid"]) & (F.col("npath") == F.col("epath"))).select("nid", "eid", F.lit(1).alias("tier"))
+    t2 = (nw.where(F.trim(F.coalesce("nguid", F.lit(""))) != "")
+          .join(ex, (nw["rid"] == ex["rid"]) & (F.col("nguid") == F.col("eguid"))).select("nid", "eid", F.lit(2).alias("tier")))
+    ex_suf = ex.where(F.col("epath") != "").select("eid", "rid", "ename", F.explode(all_suffixes(F.col("epath"))).alias("suf"))
+    nw_suf = nw.where(F.col("npath") != "").select("nid", "rid", "nname", F.explode(all_suffixes(F.col("npath"))).alias("suf"))
+    t3a = (nw.join(ex_suf, (nw["rid"] == ex_suf["rid"]) & (F.col("nname") == F.col("ename")) & (F.col("npath") == F.col("suf")))
+           .select("nid", "eid"))
+    t3b = (nw_suf.join(ex, (nw_suf["rid"] == ex["rid"]) & (F.col("nname") == F.col("ename")) & (F.col("epath") == F.col("suf")))
+           .select("nid", "eid"))
+    t3 = t3a.unionByName(t3b).withColumn("tier", F.lit(3))
+    t4 = (nw.join(ex.where(F.coalesce(F.col("epath"), F.lit("")) == ""),
+                  (nw["rid"] == ex["rid"]) & (F.col("nname") == F.col("ename"))).select("nid", "eid", F.lit(4).alias("tier")))
+    m = t1.unionByName(t2).unionByName(t3).unionByName(t4)
+    best = m.groupBy("nid").agg(F.min(F.struct("tier", "eid")).alias("b"))
+    return (new.select(F.col("id").alias("nid")).join(best, "nid", "left")
+            .select(F.col("nid").alias("id"), F.col("b.eid").alias("existing_id"), F.col("b.tier").alias("tier")))

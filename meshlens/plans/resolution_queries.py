@@ -243,3 +243,49 @@ def j21_resolve_usages(spark, sf_dir):
                  F.when(F.col("src") % 2 == 0, F.col("ptype")).alias("receiver_type"),
                  F.when(F.col("src") % 3 == 0, F.col("dfqn")).alias("qualified")))
     return RS.resolve_usages(u, s).select("usage_id", "user_id", "target_id", F.col("tier").cast("int"))
+
+
+EXISTING_SQL = f"""(SELECT id, id % 3 AS repository_id, project_path AS file_path,
+  CASE WHEN id % 2 = 0 THEN 'g' || CAST(id AS VARCHAR) END AS project_guid,
+  CASE WHEN id % 5 = 0 THEN 'orphan' ELSE regexp_replace(split_part(project_path, '/', -1), '\\.csproj$', '') END AS name
+  FROM {PROJECTS_SQL})"""
+NEW_SQL = f"""(SELECT id + 500000 AS id, repository_id,
+  CASE id % 4 WHEN 0 THEN file_path WHEN 1 THEN 'moved/' || file_path WHEN 2 THEN '/app/' || file_path
+              ELSE 'other/' || file_path END AS file_path,
+  CASE WHEN id % 4 = 1 THEN project_guid END AS project_guid,
+  CASE WHEN id % 5 = 0 THEN 'orphan' ELSE name END AS name FROM {EXISTING_SQL})"""
+
+
+def _existing_projects(t):
+    p = _projects(t)
+    i = F.col("id")
+    return p.select("id", (i % 3).alias("repository_id"), F.col("project_path").alias("file_path"),
+                    F.when(i % 2 == 0, F.concat(F.lit("g"), i.cast("string"))).alias("project_guid"),
+                    F.when(i % 5 == 0, F.lit("orphan")).otherwise(
+                        F.regexp_replace(F.element_at(F.split("project_path", "/"), -1), r"\.csproj$", "")).alias("name"))
+
+
+def _new_projects(t):
+    e = _existing_projects(t)
+    i = F.col("id")
+    path = (F.when(i % 4 == 0, F.col("file_path")).when(i % 4 == 1, F.concat(F.lit("moved/"), F.col("file_path")))
+            .when(i % 4 == 2, F.concat(F.lit("/app/"), F.col("file_path"))).otherwise(F.concat(F.lit("other/"), F.col("file_path"))))
+    return e.select((i + 500000).alias("id"), "repository_id", path.alias("file_path"),
+                    F.when(i % 4 == 1, F.col("project_guid")).alias("project_guid"), "name")
+
+
+@register("a21_match_existing_project", sql=f"""
+WITH ex AS {EXISTING_SQL}, nw AS {NEW_SQL},
+m AS (SELECT n.id AS nid, e.id AS eid, 1 AS tier FROM nw n JOIN ex e ON e.repository_id = n.repository_id AND e.file_path = n.file_path
+  UNION ALL SELECT n.id, e.id, 2 FROM nw n JOIN ex e ON e.repository_id = n.repository_id AND e.project_guid = n.project_guid
+    WHERE trim(coalesce(n.project_guid, '')) <> ''
+  UNION ALL SELECT n.id, e.id, 3 FROM nw n JOIN ex e ON e.repository_id = n.repository_id AND e.name = n.name
+    WHERE (ends_with(e.file_path, n.file_path) AND n.file_path <> '') OR (ends_with(n.file_path, e.file_path) AND e.file_path <> '')
+  UNION ALL SELECT n.id, e.id, 4 FROM nw n JOIN ex e ON e.repository_id = n.repository_id AND e.name = n.name
+    WHERE coalesce(e.file_path, '') = ''),
+best AS (SELECT nid, arg_min(eid, (tier, eid)) AS existing_id, min(tier) AS tier FROM m GROUP BY nid)
+SELECT nw.id, best.existing_id, CAST(best.tier AS INTEGER) AS tier FROM nw LEFT JOIN best ON best.nid = nw.id""")
+def a21_match_existing_project(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    out = RS.match_existing_project(_new_projects(t), _existing_projects(t))
+    return out.select("id", "existing_id", F.col("tier").cast("int"))
