@@ -590,3 +590,35 @@ def library_services(projects: DataFrame, symbol_projects: DataFrame, min_symbol
             .join(counts, F.col("id") == F.col("project_id")).where(F.col("symbol_count") >= min_symbols)
             .select("id", "name", "symbol_count", (F.lit(10) + F.floor(F.col("symbol_count") / 10)).cast("bigint").alias("score"),
                     F.lit("Library").alias("service_type"), reason.alias("layer_reason")))
+
+
+def library_layer(name: Column) -> Column:
+    n = F.lower(F.coalesce(name, F.lit("")))
+    return (F.when(n.contains("domain"), "Domain").when(n.contains("application"), "Application")
+            .when(n.contains("infrastructure"), "Infrastructure")
+            .when(n.contains("shared") | n.contains("common"), "Shared").otherwise("Library"))
+
+
+def project_structure(services: DataFrame) -> DataFrame:
+    """A-32: deployable services (API / Worker / Console) grouped with the
+    libraries named under their dotted prefix (``prefix.`` + …), each with a
+    layer, plus the standalone libraries no deployable claims (prefix null).
+
+    Long form — one row per (prefix group, member) — so a prefix shared by many
+    services and libraries stays linear; "the libraries of service S" is the
+    filter ``prefix = prefix(S)``.  "Name starts with prefix + '.'" is an
+    equi-join on the library's exploded dotted prefixes."""
+    dep = (services.where(F.col("service_type").isin("API", "Worker", "Console") & F.col("name").contains("."))
+           .select(F.regexp_extract("name", r"^(.*)\.[^.]*$", 1).alias("prefix"), "id", "name", "service_type"))
+    prefixes = dep.select("prefix").distinct()
+    libs = services.where(F.col("service_type") == "Library").select("id", "name", "service_type")
+    parts = F.split("name", r"\.")
+    lp = (libs.where(F.size(parts) > 1)
+          .select("id", "name", "service_type",
+                  F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
+                                        lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("prefix")))
+    claimed = lp.join(prefixes, "prefix", "left_semi")
+    standalone = (libs.join(claimed.select("id").distinct(), "id", "left_anti")
+                  .select(F.lit(None).cast("string").alias("prefix"), "id", "name", "service_type"))
+    out = dep.unionByName(claimed.select("prefix", "id", "name", "service_type")).unionByName(standalone)
+    return out.withColumn("layer", F.when(F.col("service_type") == "Library", library_layer(F.col("name"))))

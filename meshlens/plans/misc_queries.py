@@ -115,3 +115,41 @@ def src01_scan_corpus(spark, sf_dir):
     """SRC-01: the snapshot directory listed as files (parquet only) with sizes."""
     return scan_corpus(spark, sf_dir, "*.parquet").select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"), "size")
+
+
+SERVICES_SQL = """(SELECT s_suppkey AS id,
+  CASE s_suppkey % 4 WHEN 0 THEN 'API' WHEN 1 THEN 'Worker' WHEN 2 THEN 'Library' ELSE 'Console' END AS service_type,
+  'Org' || CAST(s_suppkey % 5 AS VARCHAR) || '.' || CASE s_suppkey % 4 WHEN 0 THEN 'Api' WHEN 1 THEN 'Jobs'
+     WHEN 2 THEN CASE s_suppkey % 3 WHEN 0 THEN 'Domain' WHEN 1 THEN 'Shared.Utils' ELSE 'Infrastructure' END ELSE 'Cli' END
+     || CAST(s_suppkey AS VARCHAR) AS name FROM supplier)"""
+
+
+def _services(t):
+    s = t.supplier
+    k = F.col("s_suppkey")
+    stype = F.when(k % 4 == 0, "API").when(k % 4 == 1, "Worker").when(k % 4 == 2, "Library").otherwise("Console")
+    part = (F.when(k % 4 == 0, "Api").when(k % 4 == 1, "Jobs")
+            .when(k % 4 == 2, F.when(k % 3 == 0, "Domain").when(k % 3 == 1, "Shared.Utils").otherwise("Infrastructure"))
+            .otherwise("Cli"))
+    return s.select(k.alias("id"), stype.alias("service_type"),
+                    F.concat(F.lit("Org"), (k % 5).cast("string"), F.lit("."), part, k.cast("string")).alias("name"))
+
+
+@register("a32_project_structure", sql=f"""
+WITH s AS {SERVICES_SQL},
+dep AS (SELECT regexp_extract(name, '^(.*)\\.[^.]*$', 1) AS prefix, id, name, service_type FROM s
+        WHERE service_type IN ('API', 'Worker', 'Console') AND contains(name, '.')),
+libs AS (SELECT id, name, service_type FROM s WHERE service_type = 'Library'),
+lp AS (SELECT id, name, service_type, array_to_string(string_split(name, '.')[1:k], '.') AS prefix
+       FROM libs, unnest(generate_series(1, len(string_split(name, '.')) - 1)) AS g(k) WHERE len(string_split(name, '.')) > 1),
+claimed AS (SELECT * FROM lp WHERE prefix IN (SELECT prefix FROM dep)),
+allr AS (SELECT prefix, id, name, service_type FROM dep
+         UNION ALL SELECT prefix, id, name, service_type FROM claimed
+         UNION ALL SELECT NULL, id, name, service_type FROM libs WHERE id NOT IN (SELECT id FROM claimed))
+SELECT *, CASE WHEN service_type <> 'Library' THEN NULL
+               WHEN contains(lower(name), 'domain') THEN 'Domain' WHEN contains(lower(name), 'application') THEN 'Application'
+               WHEN contains(lower(name), 'infrastructure') THEN 'Infrastructure'
+               WHEN contains(lower(name), 'shared') OR contains(lower(name), 'common') THEN 'Shared' ELSE 'Library' END AS layer
+FROM allr""")
+def a32_project_structure(spark, sf_dir):
+    return A.project_structure(_services(_t(spark, sf_dir)))
