@@ -309,23 +309,29 @@ def map_services_to_repos(services: DataFrame, repos: DataFrame, min_conf: int =
     """J-16: tiers 100 exact name, 95 image name, 80 service name inside the
     repository path, 70 either name contains the other; best tier per service,
     lowest repository id on ties.  Substring tiers are equi-joins on exploded
-    substrings (exact, no nested loop)."""
+    substrings (exact, no nested loop), and every repository-side key is first
+    reduced to its lowest repository id, so a service meets at most one row
+    per tier however many repositories share a name or substring."""
     sv = services.select("service_id", F.lower("service_name").alias("sname"), F.lower("image_name").alias("iname"))
     rp = repos.select("repo_id", F.lower("repo_name").alias("rname"), F.lower("repo_path").alias("rpath"))
-    t100 = sv.join(rp, sv["sname"] == rp["rname"]).select("service_id", "repo_id", F.lit(100).alias("confidence"))
-    t95 = (sv.where(F.col("iname").isNotNull()).join(rp, F.col("iname") == F.col("rname"))
+    by_name = rp.groupBy("rname").agg(F.min("repo_id").alias("repo_id"))
+    t100 = sv.join(by_name, sv["sname"] == by_name["rname"]).select("service_id", "repo_id", F.lit(100).alias("confidence"))
+    t95 = (sv.where(F.col("iname").isNotNull()).join(by_name, F.col("iname") == F.col("rname"))
            .select("service_id", "repo_id", F.lit(95).alias("confidence")))
-    path_subs = rp.select("repo_id", F.explode(F.array_distinct(all_substrings(F.col("rpath")))).alias("sub"))
+    path_subs = (rp.select("repo_id", F.explode(F.array_distinct(all_substrings(F.col("rpath")))).alias("sub"))
+                 .groupBy("sub").agg(F.min("repo_id").alias("repo_id")))
     t80 = (sv.join(path_subs, sv["sname"] == path_subs["sub"]).select("service_id", "repo_id")
            .withColumn("confidence", F.lit(80)))
-    name_subs = rp.select("repo_id", F.explode(F.array_distinct(all_substrings(F.col("rname")))).alias("sub"))
+    name_subs = (rp.select("repo_id", F.explode(F.array_distinct(all_substrings(F.col("rname")))).alias("sub"))
+                 .groupBy("sub").agg(F.min("repo_id").alias("repo_id")))
     svc_subs = sv.select("service_id", F.explode(F.array_distinct(all_substrings(F.col("sname")))).alias("sub"))
     t70a = sv.join(name_subs, sv["sname"] == name_subs["sub"]).select("service_id", "repo_id")
-    t70b = svc_subs.join(rp, svc_subs["sub"] == rp["rname"]).select("service_id", "repo_id")
+    t70b = (svc_subs.join(by_name, svc_subs["sub"] == by_name["rname"]).groupBy("service_id")
+            .agg(F.min("repo_id").alias("repo_id")))
     t70 = t70a.unionByName(t70b).withColumn("confidence", F.lit(70))
     allc = t100.unionByName(t95).unionByName(t80).unionByName(t70)
-    w = Window.partitionBy("service_id").orderBy(F.col("confidence").desc(), F.col("repo_id").asc())
-    return (allc.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    best = allc.groupBy("service_id").agg(F.max(F.struct(F.col("confidence"), (-F.col("repo_id")).alias("neg"))).alias("b"))
+    return (best.select("service_id", (-F.col("b.neg")).alias("repo_id"), F.col("b.confidence").alias("confidence"))
             .where(F.col("confidence") >= min_conf))
 
 
@@ -359,9 +365,13 @@ def match_endpoint(requests: DataFrame, endpoints: DataFrame) -> DataFrame:
           .join(ep1, "key").where(method_ok & F.regexp(F.col("path"), F.col("rx")))
           .select("request_id", "endpoint_id", F.lit(1).alias("tier")))
     subs_p = req.select("request_id", "req_method", F.explode(F.array_distinct(all_substrings(F.col("path")))).alias("s"))
-    in_path = (subs_p.join(ep, subs_p["s"] == ep["template"]).where(method_ok)
+    ep_by_tpl = ep.groupBy("template", "ep_method").agg(F.min("endpoint_id").alias("endpoint_id"))
+    in_path = (subs_p.join(ep_by_tpl, subs_p["s"] == ep_by_tpl["template"]).where(method_ok)
                .select("request_id", "endpoint_id"))
-    subs_t = ep.select("endpoint_id", "ep_method", F.explode(F.array_distinct(all_substrings(F.col("template")))).alias("s"))
+    # one candidate per (substring, method): a short path shared by many
+    # requests meets each template substring row once, not every template
+    subs_t = (ep.select("endpoint_id", "ep_method", F.explode(F.array_distinct(all_substrings(F.col("template")))).alias("s"))
+              .groupBy("s", "ep_method").agg(F.min("endpoint_id").alias("endpoint_id")))
     in_tpl = (subs_t.join(req, subs_t["s"] == req["path"]).where(method_ok).select("request_id", "endpoint_id"))
     t2 = in_path.unionByName(in_tpl).withColumn("tier", F.lit(2))
     allm = t1.unionByName(t2)
