@@ -205,3 +205,34 @@ def match_existing_project(new: DataFrame, existing: DataFrame) -> DataFrame:
     best = m.groupBy("nid").agg(F.min(F.struct("tier", "eid")).alias("b"))
     return (new.select(F.col("id").alias("nid")).join(best, "nid", "left")
             .select(F.col("nid").alias("id"), F.col("b.eid").alias("existing_id"), F.col("b.tier").alias("tier")))
+
+
+STRUCTURED_DOCS_SCHEMA = ("struct<references: array<struct<type: string, name: string, line: int>>, "
+                          "lambdas: array<struct<name: string, fully_qualified_name: string, start_line: int, "
+                          "end_line: int, signature: string, closure_variables: array<string>, linq_pattern: string>>>")
+
+
+def uses_edges(documented: DataFrame, symbols: DataFrame, docs_col: str = "structured_docs") -> DataFrame:
+    """J-25: each documented symbol's ``di_registration`` references (from its
+    structured docs JSON) → USES edges to the types they resolve to among
+    ``symbols`` (generic arguments cut), no self edges, one per target."""
+    refs = (documented.select(F.col("id").alias("src"),
+                           F.explode(F.from_json(F.col(docs_col), STRUCTURED_DOCS_SCHEMA)["references"]).alias("r"))
+            .where((F.col("r.type") == "di_registration") & F.col("r.name").isNotNull())
+            .select("src", F.trim(F.substring_index(F.col("r.name"), "<", 1)).alias("type_name")).distinct())
+    res = resolve_types(refs, symbols)
+    return (res.where(F.col("src") != F.col("symbol_id"))
+            .select("src", F.col("symbol_id").alias("dst"), F.lit("USES").alias("type")).distinct())
+
+
+def lambda_symbols(symbols: DataFrame, docs_col: str = "structured_docs") -> DataFrame:
+    """E-16: lambdas recorded in a symbol's structured docs become METHOD
+    child symbols (``is_lambda``), with their closure variables and LINQ pattern."""
+    lam = symbols.select(F.col("id").alias("parent_id"),
+                         F.explode(F.from_json(F.col(docs_col), STRUCTURED_DOCS_SCHEMA)["lambdas"]).alias("l"))
+    return lam.select("parent_id", F.col("l.name").alias("name"), F.col("l.fully_qualified_name").alias("fqn"),
+                      F.lit("METHOD").alias("kind"), F.col("l.start_line").alias("start_line"),
+                      F.col("l.end_line").alias("end_line"), F.col("l.signature").alias("signature"),
+                      F.lit(True).alias("is_lambda"),
+                      F.array_join(F.coalesce(F.col("l.closure_variables"), F.array().cast("array<string>")), ",")
+                      .alias("closure_variables"), F.col("l.linq_pattern").alias("linq_pattern"))

@@ -289,3 +289,51 @@ def a21_match_existing_project(spark, sf_dir):
     t = _t(spark, sf_dir)
     out = RS.match_existing_project(_new_projects(t), _existing_projects(t))
     return out.select("id", "existing_id", F.col("tier").cast("int"))
+
+
+SD_SQL = """(SELECT p_partkey AS id, p_name AS name, p_brand || '.' || p_name AS fqn,
+  '{"references": [{"type": "di_registration", "name": "' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Acme.' || p_brand END
+  || '<IOptions>", "line": 3}, {"type": "variable", "name": "tmp"}, {"type": "di_registration", "name": "Missing"}],'
+  || ' "lambdas": [{"name": "lambda_' || CAST(p_partkey AS VARCHAR) || '", "fully_qualified_name": "' || p_brand || '.'
+  || replace(p_name, ' ', '_') || '.lambda", "start_line": ' || CAST(p_size AS VARCHAR) || ', "end_line": '
+  || CAST(p_size + 2 AS VARCHAR) || ', "signature": "x => x", "closure_variables": ["a", "b' || CAST(p_partkey % 3 AS VARCHAR)
+  || '"], "linq_pattern": "Select"}]}' AS structured_docs FROM part)"""
+
+
+def _sd_symbols(t):
+    p = t.part
+    k = F.col("p_partkey")
+    ref = F.when(k % 2 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("Acme."), F.col("p_brand")))
+    sd = F.concat(F.lit('{"references": [{"type": "di_registration", "name": "'), ref,
+                  F.lit('<IOptions>", "line": 3}, {"type": "variable", "name": "tmp"}, {"type": "di_registration", "name": "Missing"}], '
+                        '"lambdas": [{"name": "lambda_'), k.cast("string"), F.lit('", "fully_qualified_name": "'),
+                  F.col("p_brand"), F.lit("."), F.regexp_replace("p_name", " ", "_"), F.lit('.lambda", "start_line": '),
+                  F.col("p_size").cast("string"), F.lit(', "end_line": '), (F.col("p_size") + 2).cast("string"),
+                  F.lit(', "signature": "x => x", "closure_variables": ["a", "b'), (k % 3).cast("string"),
+                  F.lit('"], "linq_pattern": "Select"}]}'))
+    return p.select(k.alias("id"), F.col("p_name").alias("name"),
+                    F.concat(F.col("p_brand"), F.lit("."), F.col("p_name")).alias("fqn"), sd.alias("structured_docs"))
+
+
+@register("j25_uses_edges", sql=f"""
+WITH sd AS {SD_SQL},
+refs AS (SELECT DISTINCT id AS src, trim(split_part(r.name, '<', 1)) AS type_name FROM (
+           SELECT id, unnest(from_json(structured_docs, '{{"references": [{{"type": "VARCHAR", "name": "VARCHAR", "line": "INTEGER"}}]}}').references) AS r
+           FROM sd) WHERE r.type = 'di_registration' AND r.name IS NOT NULL)
+SELECT DISTINCT src, symbol_id AS dst, 'USES' AS type FROM {_resolve_sql('refs', 'r.src, r.type_name')} x WHERE src <> symbol_id""")
+def j25_uses_edges(spark, sf_dir):
+    """J-25 over structured-docs JSON generated per part (DI registrations of
+    the part's brand type, a variable reference and an unresolvable name)."""
+    t = _t(spark, sf_dir)
+    return RS.uses_edges(_sd_symbols(t), probes.v_symbols(t))
+
+
+@register("e16_lambda_symbols", sql=f"""
+WITH sd AS {SD_SQL}
+SELECT id AS parent_id, l.name, l.fully_qualified_name AS fqn, 'METHOD' AS kind, l.start_line, l.end_line, l.signature,
+       true AS is_lambda, array_to_string(coalesce(l.closure_variables, []), ',') AS closure_variables, l.linq_pattern
+FROM (SELECT id, unnest(from_json(structured_docs, '{{"lambdas": [{{"name": "VARCHAR", "fully_qualified_name": "VARCHAR",
+  "start_line": "INTEGER", "end_line": "INTEGER", "signature": "VARCHAR", "closure_variables": ["VARCHAR"],
+  "linq_pattern": "VARCHAR"}}]}}').lambdas) AS l FROM sd)""")
+def e16_lambda_symbols(spark, sf_dir):
+    return RS.lambda_symbols(_sd_symbols(_t(spark, sf_dir)))
