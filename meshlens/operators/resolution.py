@@ -236,3 +236,36 @@ def lambda_symbols(symbols: DataFrame, docs_col: str = "structured_docs") -> Dat
                       F.lit(True).alias("is_lambda"),
                       F.array_join(F.coalesce(F.col("l.closure_variables"), F.array().cast("array<string>")), ",")
                       .alias("closure_variables"), F.col("l.linq_pattern").alias("linq_pattern"))
+
+
+PROJECT_REFERENCE = r"<ProjectReference\s+Include=\"([^\"]+)\""
+
+
+def project_references(projects: DataFrame, xml_col: str = "project_xml") -> DataFrame:
+    """E-18: ``<ProjectReference Include="..\\X\\X.csproj"/>`` → project-to-project
+    edges: the include is normalized against the referencing project's
+    directory (X-25) and resolved to a project id by path (null when unknown)."""
+    from meshlens.functions.code import normalize_project_path
+    refs = projects.select(F.col("id").alias("source_id"), F.col("project_path").alias("source_path"),
+                           F.explode(F.regexp_extract_all(F.col(xml_col), F.lit(PROJECT_REFERENCE), 1)).alias("include"))
+    base = F.regexp_extract(F.regexp_replace("source_path", r"\\", "/"), r"^(.*)/[^/]*$", 1)
+    refs = refs.withColumn("target_path", normalize_project_path(F.col("include"), base))
+    known = projects.select(F.col("id").alias("target_id"), F.regexp_replace("project_path", r"\\", "/").alias("target_path"))
+    return (refs.join(known, "target_path", "left")
+            .select("source_id", "source_path", "target_path", "target_id",
+                    F.lit("ProjectReference").alias("reference_type")))
+
+
+# Request interfaces whose implementers get a ``<Name>Handler`` (G-05).
+REQUEST_INTERFACES = ("IRequest", "ICommand", "IQuery")
+
+
+def request_handlers(classes: DataFrame) -> DataFrame:
+    """G-05: classes implementing IRequest / ICommand / IQuery → the class named
+    ``<Name>Handler`` (derived HANDLED_BY edges).  ``classes``: id, name, bases
+    (array of base type names)."""
+    base_names = F.transform(F.col("bases"), lambda b: F.trim(F.substring_index(b, "<", 1)))
+    is_req = F.exists(base_names, lambda b: b.isin(list(REQUEST_INTERFACES)))
+    req = classes.where(is_req).select(F.col("id").alias("src"), F.concat(F.col("name"), F.lit("Handler")).alias("hname"))
+    handlers = classes.groupBy(F.col("name").alias("hname")).agg(F.min("id").alias("dst"))
+    return req.join(handlers, "hname").select("src", "dst", F.lit("HANDLED_BY").alias("type"))

@@ -337,3 +337,62 @@ FROM (SELECT id, unnest(from_json(structured_docs, '{{"lambdas": [{{"name": "VAR
   "linq_pattern": "VARCHAR"}}]}}').lambdas) AS l FROM sd)""")
 def e16_lambda_symbols(spark, sf_dir):
     return RS.lambda_symbols(_sd_symbols(_t(spark, sf_dir)))
+
+
+PROJECT_XML_SQL = f"""(SELECT id, project_path,
+  '<Project><ItemGroup><ProjectReference Include="..\\\\' || CASE WHEN id % 2 = 0 THEN 'en' ELSE 'de' END
+  || '\\\\App.csproj" /><ProjectReference Include="..\\\\..\\\\lib\\\\Lib.csproj" /></ItemGroup></Project>' AS project_xml
+  FROM {PROJECTS_SQL})"""
+
+
+def _project_xml(t):
+    p = _projects(t)
+    lang = F.when(F.col("id") % 2 == 0, F.lit("en")).otherwise(F.lit("de"))
+    xml = F.concat(F.lit('<Project><ItemGroup><ProjectReference Include="..\\\\'), lang,
+                   F.lit('\\\\App.csproj" /><ProjectReference Include="..\\\\..\\\\lib\\\\Lib.csproj" /></ItemGroup></Project>'))
+    return p.select("id", "project_path", xml.alias("project_xml"))
+
+
+@register("e18_project_references", sql=f"""
+WITH p AS {PROJECT_XML_SQL},
+r AS (SELECT id AS source_id, project_path AS source_path,
+             unnest(regexp_extract_all(project_xml, '<ProjectReference\\s+Include="([^"]+)"', 1)) AS include FROM p),
+n AS (SELECT *, array_to_string(list_reduce(list_filter(string_split(
+         regexp_extract(replace(source_path, '\\', '/'), '^(.*)/[^/]*$', 1) || '/' || replace(include, '\\', '/'), '/'),
+         lambda s: s <> '' AND s <> '.'),
+       lambda acc, s: CASE WHEN s = '..' THEN acc[1:greatest(len(acc) - 1, 0)] ELSE list_append(acc, s) END,
+       []::VARCHAR[]), '/') AS target_path FROM r)
+SELECT n.source_id, n.source_path, n.target_path, k.id AS target_id, 'ProjectReference' AS reference_type
+FROM n LEFT JOIN (SELECT id, replace(project_path, '\\', '/') AS target_path FROM p) k USING (target_path)""")
+def e18_project_references(spark, sf_dir):
+    return RS.project_references(_project_xml(_t(spark, sf_dir)))
+
+
+CQRS_SQL = """(SELECT p_partkey AS id, replace(p_brand, '#', '') || 'Q' || CAST(p_partkey AS VARCHAR) AS name,
+  CASE p_partkey % 3 WHEN 0 THEN ['IRequest<int>'] WHEN 1 THEN ['ICommand', 'IDisposable'] ELSE ['BaseThing'] END AS bases
+  FROM part
+  UNION ALL
+  SELECT 10000000 + p_partkey, replace(p_brand, '#', '') || 'Q' || CAST(p_partkey AS VARCHAR) || 'Handler', ['IRequestHandler']
+  FROM part WHERE p_partkey % 2 = 0)"""
+
+
+def _cqrs(t):
+    p = t.part
+    k = F.col("p_partkey")
+    name = F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("Q"), k.cast("string"))
+    bases = (F.when(k % 3 == 0, F.array(F.lit("IRequest<int>"))).when(k % 3 == 1, F.array(F.lit("ICommand"), F.lit("IDisposable")))
+             .otherwise(F.array(F.lit("BaseThing"))))
+    req = p.select(k.alias("id"), name.alias("name"), bases.alias("bases"))
+    hnd = p.where(k % 2 == 0).select((F.lit(10_000_000) + k).alias("id"), F.concat(name, F.lit("Handler")).alias("name"),
+                                      F.array(F.lit("IRequestHandler")).alias("bases"))
+    return req.unionByName(hnd)
+
+
+@register("g05_request_handlers", sql=f"""
+WITH c AS {CQRS_SQL},
+req AS (SELECT id AS src, name || 'Handler' AS hname FROM c
+        WHERE len(list_filter(bases, lambda b: trim(split_part(b, '<', 1)) IN ('IRequest', 'ICommand', 'IQuery'))) > 0),
+h AS (SELECT name AS hname, min(id) AS dst FROM c GROUP BY name)
+SELECT req.src, h.dst, 'HANDLED_BY' AS type FROM req JOIN h USING (hname)""")
+def g05_request_handlers(spark, sf_dir):
+    return RS.request_handlers(_cqrs(_t(spark, sf_dir)))
