@@ -24,11 +24,12 @@ def _seeds(t):
     return probes.v_symbols(t).where(F.col("name") == SEED_NAME).select(F.col("id").alias("seed"))
 
 
-def _walk_ctes(depth: int, edges: str, allowed: str | None = None) -> str:
+def _walk_ctes(depth: int, edges: str, allowed: str | None = None, seeds_sql: str | None = None) -> str:
     """Recursive-CTE twin of :func:`meshlens.operators.graph.traverse`; the
     result is the CTE ``trav``."""
     allow = f" AND e.dst IN (SELECT id FROM {allowed})" if allowed else ""
-    return f"""seeds AS (SELECT id AS seed FROM v_symbols WHERE name = '{SEED_NAME}'),
+    seeds_sql = seeds_sql or f"SELECT id AS seed FROM v_symbols WHERE name = '{SEED_NAME}'"
+    return f"""seeds AS ({seeds_sql}),
 e AS (SELECT DISTINCT src, dst, relation FROM {edges}),
 walk(seed, node, depth) AS (
   SELECT seed, seed, 0 FROM seeds
@@ -194,3 +195,63 @@ def g11_cross_service_trace(spark, sf_dir):
     the seed symbols; each node carries the edge kind that first reached it."""
     t = _t(spark, sf_dir)
     return G.traverse(_seeds(t), _service_edges(t), depth=DEPTH, direction="down")
+
+
+# ----------------------------------------------------------------------------- G-08
+
+from meshlens.functions.code import layer, layer_sql  # noqa: E402
+from meshlens.plans.link_queries import _templates  # noqa: E402
+from meshlens.operators import linking as L  # noqa: E402
+from meshlens.operators import relational as R  # noqa: E402
+
+MATCH_SQL = """(WITH ep AS (SELECT id AS endpoint_id, '/' || replace(route, '*', '{p}') AS template, http_method AS ep_method
+                          FROM v_endpoints),
+  req AS (SELECT id AS request_id, path, http_method AS req_method FROM v_calls),
+  m AS (SELECT r.request_id, e.endpoint_id,
+               CASE WHEN regexp_full_match(r.path, '(?i)' || regexp_replace(e.template, '\\{[^}]+\\}', '[^/]+', 'g')) THEN 1
+                    WHEN contains(r.path, e.template) OR contains(e.template, r.path) THEN 2 END AS tier
+        FROM req r JOIN ep e ON r.req_method IS NULL OR r.req_method = '' OR e.ep_method = r.req_method)
+  SELECT request_id, arg_min(endpoint_id, (tier, endpoint_id)) AS endpoint_id FROM m WHERE tier IS NOT NULL GROUP BY request_id)"""
+SEEDS_G08 = f"SELECT DISTINCT endpoint_id % (SELECT count(*) FROM part) AS seed FROM {MATCH_SQL}"
+CTX_G08 = "(SELECT s.*, f.path FROM v_symbols s LEFT JOIN v_files f ON f.id = s.file_id)"
+
+
+@register("g08_request_trace", sql=f"""
+WITH RECURSIVE {_walk_ctes(DEPTH, DOWN_EDGES, seeds_sql=SEEDS_G08)},
+r AS (SELECT trav.*, s.tok, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS k
+      FROM trav JOIN (SELECT id, {TOKENS_SQL.replace('FROM (SELECT id,', 'AS tok FROM (SELECT id,', 1)}) s ON s.id = trav.node),
+r2 AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY seed ORDER BY depth, node
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM r WHERE k <= 101),
+r3 AS (SELECT *, k <= 100 AND spent < 20000 AS ok FROM r2),
+r4 AS (SELECT *, min(CASE WHEN NOT ok THEN k END) OVER (PARTITION BY seed) AS ff FROM r3),
+kept AS (SELECT r4.seed, r4.node, r4.depth, ff IS NOT NULL AS truncated,
+                {layer_sql('c.name', 'c.parent_name', 'c.path', 'c.kind')} AS layer
+         FROM r4 JOIN {CTX_G08} c ON c.id = r4.node WHERE ff IS NULL OR k < ff),
+per_seed AS (SELECT seed, count(*) AS n_symbols, max(depth) AS max_depth, bool_or(truncated) AS truncated,
+                    array_to_string(list_sort(list(DISTINCT layer)), ',') AS layers FROM kept GROUP BY seed)
+SELECT mt.request_id, mt.endpoint_id, ps.n_symbols, CAST(ps.max_depth AS INTEGER) AS max_depth, ps.truncated, ps.layers
+FROM {MATCH_SQL} mt JOIN per_seed ps ON ps.seed = mt.endpoint_id % (SELECT count(*) FROM part)""")
+def g08_request_trace(spark, sf_dir):
+    """G-08: each request → its endpoint (J-29) → the endpoint's handler symbol
+    (probe: endpoint id mod part count) → BFS (G-01) under the 100-symbol /
+    20 000-token budget (G-02); per request: symbols reached, depth, layers
+    visited (X-12), truncation."""
+    t = _t(spark, sf_dir)
+    n_parts = t.part.select(F.count(F.lit(1))).scalar()
+    req = probes.v_calls(t).select("id", "path", "http_method")
+    m = L.match_endpoint(req, _templates(t)).select("request_id", "endpoint_id")
+    seeds = m.select((F.col("endpoint_id") % n_parts).alias("seed")).distinct()
+    sym = probes.v_symbols(t)
+    trav = G.traverse(seeds, probes.v_edges(t), depth=DEPTH, direction="down")
+    nodes = trav.join(sym.select(F.col("id").alias("node"), "signature", "documentation"), "node")
+    kept = G.limit_traversal(nodes, X.token_estimate_signature(F.col("signature"), F.col("documentation")),
+                             max_symbols=100, max_tokens=20000)
+    ctx = sym.join(probes.v_files(t).select(F.col("id").alias("file_id"), "path"), "file_id", "left")
+    lay = ctx.select(F.col("id").alias("node"),
+                     layer(F.col("name"), F.col("parent_name"), F.col("path"), F.col("kind")).alias("layer"))
+    per_seed = (kept.join(lay, "node").groupBy("seed")
+                .agg(F.count(F.lit(1)).alias("n_symbols"), F.max("depth").cast("int").alias("max_depth"),
+                     F.max("truncated").alias("truncated"),
+                     F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("layers")))
+    return (m.withColumn("seed", F.col("endpoint_id") % n_parts).join(per_seed, "seed")
+            .select("request_id", "endpoint_id", "n_symbols", "max_depth", "truncated", "layers"))
