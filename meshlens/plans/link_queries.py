@@ -311,3 +311,43 @@ def j29_match_endpoint(spark, sf_dir):
     t = _t(spark, sf_dir)
     req = probes.v_calls(t).select("id", "path", "http_method")
     return L.match_endpoint(req, _templates(t)).select("request_id", "endpoint_id", F.col("tier").cast("int"))
+
+
+# ----------------------------------------------------------------------------- J-11
+
+@register("j11_connected_endpoints", sql=f"""
+WITH np AS (SELECT count(*) AS n FROM part),
+api AS (SELECT c.id AS call_id, c.repository AS call_repo, e.id AS endpoint_id, e.repository AS ep_repo
+        FROM v_calls c JOIN v_endpoints e ON e.route = {norm_url_sql('c.path')}),
+ev AS (SELECT * FROM {EVENT_LINKS_SQL})
+SELECT api.call_id % (SELECT n FROM np) AS symbol_id, 'outgoing_call' AS relation, api.endpoint_id AS other_id,
+       api.ep_repo AS other_repository FROM api
+UNION ALL SELECT api.endpoint_id % (SELECT n FROM np), 'incoming_call', api.call_id, api.call_repo FROM api
+UNION ALL SELECT ev.pub_id % (SELECT n FROM np), 'publishes_to', ev.sub_id, CAST(ev.sub_repo AS VARCHAR) FROM ev
+UNION ALL SELECT ev.sub_id % (SELECT n FROM np), 'subscribed_from', ev.pub_id, CAST(ev.pub_repo AS VARCHAR) FROM ev""")
+def j11_connected_endpoints(spark, sf_dir):
+    """J-11 in long form: for every symbol, the endpoints its calls reach, the
+    calls reaching the endpoints it serves, the subscriptions its events reach
+    and the publishers of the events it handles (probe: a call / endpoint /
+    event row belongs to the symbol id = row id mod part count)."""
+    t = _t(spark, sf_dir)
+    n = t.part.select(F.count(F.lit(1))).scalar()
+    c = probes.v_calls(t).select(F.col("id").alias("call_id"), F.col("repository").alias("call_repo"),
+                                 normalize_url(F.col("path")).alias("route"))
+    e = probes.v_endpoints(t).select(F.col("id").alias("endpoint_id"), F.col("repository").alias("ep_repo"), "route")
+    api = c.join(e, "route")
+    ev = L.link_events(probes.v_pub(t), probes.v_sub(t), fuzzy=False)
+    parts = [
+        api.select((F.col("call_id") % n).alias("symbol_id"), F.lit("outgoing_call").alias("relation"),
+                   F.col("endpoint_id").alias("other_id"), F.col("ep_repo").alias("other_repository")),
+        api.select((F.col("endpoint_id") % n).alias("symbol_id"), F.lit("incoming_call").alias("relation"),
+                   F.col("call_id").alias("other_id"), F.col("call_repo").alias("other_repository")),
+        ev.select((F.col("pub_id") % n).alias("symbol_id"), F.lit("publishes_to").alias("relation"),
+                  F.col("sub_id").alias("other_id"), F.col("sub_repo").cast("string").alias("other_repository")),
+        ev.select((F.col("sub_id") % n).alias("symbol_id"), F.lit("subscribed_from").alias("relation"),
+                  F.col("pub_id").alias("other_id"), F.col("pub_repo").cast("string").alias("other_repository")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
