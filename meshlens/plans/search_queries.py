@@ -193,3 +193,22 @@ FROM t""")
 def v08_symbol_chunks(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     return search.symbol_chunks(probes.v_symbols(t), probes.v_files(t), probes.v_edges(t))
+
+
+@register("s01_fuse_lists", sql=f"""
+WITH kw AS (SELECT id AS symbol_id, score FROM {KW_SCORED_SQL} ORDER BY score DESC, name, id LIMIT 40),
+q AS (SELECT vector::DOUBLE[] AS qv FROM v_vec WHERE chunk_id = {QUERY_VEC_ID}),
+sims AS (SELECT symbol_id, round(list_cosine_similarity(vector::DOUBLE[], (SELECT qv FROM q)), 6) AS score FROM v_vec),
+vs AS (SELECT symbol_id, max(score) AS score FROM sims WHERE score >= {VEC_THRESHOLD} GROUP BY symbol_id
+       ORDER BY score DESC, symbol_id LIMIT 40)
+SELECT coalesce(kw.symbol_id, vs.symbol_id) AS symbol_id, CAST(kw.score AS DOUBLE) AS score_a, vs.score AS score_b,
+       round(coalesce(CAST(kw.score AS DOUBLE), 0.0) + coalesce(vs.score, 0.0), 6) AS score
+FROM kw FULL OUTER JOIN vs ON kw.symbol_id = vs.symbol_id""")
+def s01_fuse_lists(spark, sf_dir):
+    """S-01: outer union by id of the keyword and vector hit lists with both scores and their sum."""
+    from meshlens.operators.relational import fuse_lists
+    t = load_tables(spark, sf_dir)
+    kw = search.keyword_search(probes.v_members(t), QUERY_TEXT, 40).select(F.col("id").alias("symbol_id"),
+                                                                          F.col("score").cast("double"))
+    vs = search.vector_search(probes.v_vec(t), _qvec(t), 40, VEC_THRESHOLD).select("symbol_id", "score")
+    return fuse_lists(kw, vs, "symbol_id").select("symbol_id", "score_a", "score_b", F.round("score", 6).alias("score"))
