@@ -115,11 +115,15 @@ def cycles_3(edges: DataFrame, types=("IMPORTS", "USES")) -> DataFrame:
     O(E^1.5) even when one node holds a large share of all edges.  A triangle
     is a directed cycle when its three edges can be oriented a→b→c→a or
     a→c→b→a."""
+    ensure_checkpoint_dir(edges.sparkSession)
     e = edges.where(F.col("type").isin(list(types)) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
+    # the undirected edge table with direction flags is read five times below:
+    # materialize it once (reliable checkpoint) instead of re-deriving it
     und = (e.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"),
                     (F.col("src") < F.col("dst")).alias("fwd"))
            .groupBy("u", "v").agg(F.max(F.col("fwd").cast("int")).alias("uv"),
-                                  F.max((~F.col("fwd")).cast("int")).alias("vu")))
+                                  F.max((~F.col("fwd")).cast("int")).alias("vu"))
+           .checkpoint(eager=True))
     deg = (und.select(F.col("u").alias("n")).unionByName(und.select(F.col("v").alias("n")))
            .groupBy("n").agg(F.count(F.lit(1)).alias("d")))
     du = deg.select(F.col("n").alias("u"), F.col("d").alias("du"))
