@@ -156,14 +156,14 @@ def jobs_by_status(jobs: DataFrame, spark) -> DataFrame:
 
 def stuck_jobs(jobs: DataFrame, asof: str, minutes: int = 60) -> DataFrame:
     """L-02: RUNNING and started before ``asof - minutes``."""
-    cutoff = F.to_timestamp(F.lit(asof)) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    cutoff = F.to_timestamp_ntz(F.lit(asof)) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
     return jobs.where((F.col("status") == "RUNNING") & (F.col("started_at") < cutoff))
 
 
 def retention(jobs: DataFrame, asof: str, days: int = 30) -> DataFrame:
     """L-04: terminal jobs last updated before ``asof - days`` are removed;
     returns the kept set."""
-    cutoff = F.to_timestamp(F.lit(asof)) - F.expr(f"INTERVAL {int(days)} DAYS")
+    cutoff = F.to_timestamp_ntz(F.lit(asof)) - F.expr(f"INTERVAL {int(days)} DAYS")
     drop = F.col("status").isin(list(TERMINAL)) & (F.col("updated_at") < cutoff)
     return jobs.where(~F.coalesce(drop, F.lit(False)))
 
@@ -175,7 +175,7 @@ def retry_eligible(jobs: DataFrame) -> DataFrame:
 
 def close_interrupted(jobs: DataFrame, asof: str) -> DataFrame:
     """L-06: RUNNING jobs become FAILED at ``asof`` with their duration in seconds."""
-    at = F.to_timestamp(F.lit(asof))
+    at = F.to_timestamp_ntz(F.lit(asof))
     running = F.col("status") == "RUNNING"
     return jobs.select(
         "id", "repository_id",
