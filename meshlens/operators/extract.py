@@ -9,7 +9,6 @@ join of rules × files.  Line numbers come from splitting on ``\\n`` first.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,9 +118,6 @@ def _tagger(lib: str, method: str):
     return lambda u: F.struct(F.lit(lib).alias("library"), F.lit(method).alias("http_method"), u.alias("url"))
 
 
-_EMPTY_HITS = "array<struct<library:string,http_method:string,url:string>>"
-
-
 def _rule_hits(line: Column, rules) -> Column:
     """Array<struct<library, http_method, url>> of every rule match in ``line``
     (rules with a literal prefix are searched by the regex engine's fast

@@ -365,8 +365,6 @@ def sample_per_group(df: DataFrame, group: list[str], id_col: str, n: int = 5, s
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-_GLOB_SPECIAL = re.compile(r"[.*?]")
-
 
 def assign_files_to_projects(files: DataFrame, projects: DataFrame) -> DataFrame:
     """J-18: each file → the deepest project whose directory contains it

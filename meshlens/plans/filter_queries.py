@@ -8,7 +8,7 @@ from meshlens.functions import code as X
 from meshlens.operators import extract as E
 from meshlens.operators import relational as R
 from meshlens.plans.catalog import register
-from meshlens.plans.text_queries import FLAT_SQL, _config_files, sq
+from meshlens.plans.text_queries import FLAT_SQL, _config_files
 from meshlens.sources import probes
 from meshlens.sources.tables import load_tables
 

@@ -202,7 +202,6 @@ def g11_cross_service_trace(spark, sf_dir):
 from meshlens.functions.code import layer, layer_sql  # noqa: E402
 from meshlens.plans.link_queries import _templates  # noqa: E402
 from meshlens.operators import linking as L  # noqa: E402
-from meshlens.operators import relational as R  # noqa: E402
 
 MATCH_SQL = """(WITH ep AS (SELECT id AS endpoint_id, '/' || replace(route, '*', '{p}') AS template, http_method AS ep_method
                           FROM v_endpoints),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshlens.operators import aggregates as A
-from meshlens.operators import linking as L
 from meshlens.plans.catalog import register
 from meshlens.sources import probes
 from meshlens.sources import sinks as S
