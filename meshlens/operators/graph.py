@@ -150,28 +150,47 @@ def cycles_3(edges: DataFrame, types=("IMPORTS", "USES")) -> DataFrame:
     return j.where(cyc).select("a", "b", "c")
 
 
-def strongly_connected(edges: DataFrame, types=None, max_rounds: int = 50, max_steps: int = 200) -> DataFrame:
+def strongly_connected(edges: DataFrame, types=None, max_rounds: int | None = None,
+                       max_steps: int | None = None) -> DataFrame:
     """G-07 (set form): strongly connected components with ≥ 2 nodes, by the
-    forward-coloring / backward-reach method.
-
-    Each round: propagate the largest id forward to a fix-point (colors), then
-    from each color root (node whose color is its own id) walk edges backwards
-    inside the color; the reached nodes form the root's component and leave
-    the graph.  Every step is a join + aggregate, checkpointed."""
+    forward-coloring / backward-reach method, run until every node is placed.
+
+    Each round first trims nodes without remaining in- or out-edges (they are
+    singleton components), then propagates the largest id forward to a
+    fix-point (colors); from each color root (node whose color is its own id)
+    edges are walked backwards inside the color and the reached nodes form the
+    root's component, which leaves the graph.  Every step is a join +
+    aggregate, cut from its lineage by a reliable checkpoint.  ``max_rounds`` /
+    ``max_steps`` only bound runaway inputs; by default the loops run to the end
+    so no component is dropped."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges if not types else edges.where(F.col("type").isin(list(types)))
     e = e.where(F.col("src") != F.col("dst")).select("src", "dst").distinct().checkpoint(eager=True)
-    nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     found = []
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
+        # trim: a node that has no incoming or no outgoing edge is its own component
+        while True:
+            has_in = e.select(F.col("dst").alias("id")).distinct()
+            has_out = e.select(F.col("src").alias("id")).distinct()
+            both = has_in.join(has_out, "id").checkpoint(eager=True)
+            trimmed = (e.join(both.withColumnRenamed("id", "src"), "src", "left_semi")
+                       .join(both.withColumnRenamed("id", "dst"), "dst", "left_semi").checkpoint(eager=True))
+            if trimmed.count() == e.count():
+                e = trimmed
+                break
+            e = trimmed
+        nodes = e.select(F.col("src").alias("id")).distinct()
         if nodes.isEmpty():
             break
         color = nodes.select("id", F.col("id").alias("color")).checkpoint(eager=True)
-        for _ in range(max_steps):
+        steps = 0
+        while max_steps is None or steps < max_steps:
+            steps += 1
             prop = (color.join(e, color["id"] == e["src"]).select(F.col("dst").alias("id"), "color")
-                    .unionByName(color).groupBy("id").agg(F.max("color").alias("color")))
+                    .unionByName(color).groupBy("id").agg(F.max("color").alias("color"))).checkpoint(eager=True)
             changed = prop.join(color.withColumnRenamed("color", "old"), "id").where(F.col("color") != F.col("old"))
-            prop = prop.checkpoint(eager=True)
             done = changed.isEmpty()
             color = prop
             if done:
@@ -180,7 +199,9 @@ def strongly_connected(edges: DataFrame, types=None, max_rounds: int = 50, max_s
               .join(color.select(F.col("id").alias("dst"), F.col("color").alias("cd")), "dst")
               .where(F.col("cs") == F.col("cd")).select("src", "dst", F.col("cs").alias("color")))
         reach = color.where(F.col("id") == F.col("color")).select("id", "color").checkpoint(eager=True)
-        for _ in range(max_steps):
+        steps = 0
+        while max_steps is None or steps < max_steps:
+            steps += 1
             back = (reach.join(ce.select(F.col("dst").alias("id"), F.col("src").alias("nid"), "color"),
                                ["id", "color"])
                     .select(F.col("nid").alias("id"), "color"))
@@ -190,7 +211,6 @@ def strongly_connected(edges: DataFrame, types=None, max_rounds: int = 50, max_s
             reach = reach.unionByName(new).checkpoint(eager=True)
         comp = reach.select("id", F.col("color").alias("component")).checkpoint(eager=True)
         found.append(comp)
-        nodes = nodes.join(comp.select("id"), "id", "left_anti").checkpoint(eager=True)
         e = (e.join(comp.select(F.col("id").alias("src")), "src", "left_anti")
              .join(comp.select(F.col("id").alias("dst")), "dst", "left_anti").checkpoint(eager=True))
     if not found:

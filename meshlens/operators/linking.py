@@ -194,10 +194,28 @@ def _segments(route: Column) -> Column:
     return F.array_distinct(F.filter(F.split(route, "/"), lambda s: ~s.isin("", "*", "api")))
 
 
-def candidate_endpoints(call_routes: DataFrame, endpoints: DataFrame, min_ratio: float = 0.6) -> DataFrame:
+FALLBACK_MIN_CANDIDATES = 20
+FALLBACK_ENDPOINTS = 500
+
+
+def fallback_endpoint_ids(endpoints: DataFrame, n: int = FALLBACK_ENDPOINTS) -> list[int]:
+    """The reference's fallback candidates: up to ``n`` endpoint-like symbols
+    (lowest ids here).  A bounded list (at most ``n`` ids) read once."""
+    ids = [r[0] for r in endpoints.select("id").orderBy("id").limit(n).collect()]
+    if len(ids) > n:
+        raise ValueError("fallback endpoint list exceeds its bound")
+    return ids
+
+
+def candidate_endpoints(call_routes: DataFrame, endpoints: DataFrame, min_ratio: float = 0.6,
+                        fallback_ids: list[int] | None = None) -> DataFrame:
     """J-13 on distinct normalized call routes: endpoints with the same route,
     or sharing a path segment (``''``, ``*``, ``api`` ignored) whose route length
-    allows ``ratio ≥ min_ratio`` (exact bound ``2·min/(la+lb)``)."""
+    allows ``ratio ≥ min_ratio`` (exact bound ``2·min/(la+lb)``); a route with
+    fewer than 20 such candidates also gets the fallback endpoints (the
+    reference's ≤ 500 endpoint-like symbols), attached by exploding that
+    bounded id list and equi-joining on id.  The reference's arbitrary cut at
+    200 candidates is not applied (every candidate is scored)."""
     cr = call_routes.select("call_route").distinct()
     ep = endpoints.select(F.col("id").alias("endpoint_id"), F.col("route").alias("ep_route"))
     exact = cr.join(ep, cr["call_route"] == ep["ep_route"]).select("call_route", "endpoint_id", "ep_route")
@@ -205,7 +223,14 @@ def candidate_endpoints(call_routes: DataFrame, endpoints: DataFrame, min_ratio:
     es = ep.select("endpoint_id", "ep_route", F.explode(_segments(F.col("ep_route"))).alias("seg"))
     shared = (cs.join(es, "seg").select("call_route", "endpoint_id", "ep_route").distinct()
               .where(ratio_upper_bound(F.length("call_route"), F.length("ep_route")) >= min_ratio))
-    return exact.unionByName(shared).distinct()
+    cand = exact.unionByName(shared).distinct()
+    if fallback_ids is None:
+        return cand
+    counts = cand.groupBy("call_route").agg(F.count(F.lit(1)).alias("n"))
+    needy = (cr.join(counts, "call_route", "left").where(F.coalesce("n", F.lit(0)) < FALLBACK_MIN_CANDIDATES)
+             .select("call_route", F.explode(F.array(*[F.lit(i).cast("bigint") for i in fallback_ids])).alias("endpoint_id")))
+    extra = needy.join(ep, "endpoint_id").select("call_route", "endpoint_id", "ep_route")
+    return cand.unionByName(extra).distinct()
 
 
 def link_calls_to_endpoints(calls: DataFrame, endpoints: DataFrame, resolved: DataFrame | None = None,
@@ -223,7 +248,7 @@ def link_calls_to_endpoints(calls: DataFrame, endpoints: DataFrame, resolved: Da
     else:
         c = c.withColumn("resolved_path", F.lit(None).cast("string"))
     c = c.withColumn("call_route", normalize_url(F.coalesce("resolved_path", "path")))
-    cand = candidate_endpoints(c.select("call_route"), endpoints)
+    cand = candidate_endpoints(c.select("call_route"), endpoints, fallback_ids=fallback_endpoint_ids(endpoints))
     sim = cand.withColumn("url_score", F.when(F.col("call_route") == F.col("ep_route"), F.lit(1.0))
                           .otherwise(sequence_ratio(F.col("call_route"), F.col("ep_route"))))
     ep = endpoints.select(F.col("id").alias("endpoint_id"), F.col("http_method").alias("ep_method"),

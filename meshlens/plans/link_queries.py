@@ -56,17 +56,23 @@ _SEG = "list_distinct(list_filter(string_split({r}, '/'), lambda s: s NOT IN (''
 
 @register("j13_candidate_endpoints", sql=f"""
 WITH cr AS (SELECT DISTINCT {norm_url_sql('path')} AS call_route FROM v_calls),
-ep AS (SELECT id AS endpoint_id, route AS ep_route FROM v_endpoints)
-SELECT DISTINCT call_route, endpoint_id, ep_route FROM (
+ep AS (SELECT id AS endpoint_id, route AS ep_route FROM v_endpoints),
+cand AS (SELECT DISTINCT call_route, endpoint_id, ep_route FROM (
   SELECT cr.call_route, ep.endpoint_id, ep.ep_route FROM cr JOIN ep ON cr.call_route = ep.ep_route
   UNION ALL
   SELECT cr.call_route, ep.endpoint_id, ep.ep_route FROM cr JOIN ep
     ON len(list_intersect({_SEG.format(r='cr.call_route')}, {_SEG.format(r='ep.ep_route')})) >= 1
-  WHERE 2.0 * least(length(cr.call_route), length(ep.ep_route)) / (length(cr.call_route) + length(ep.ep_route)) >= 0.6)""")
+  WHERE 2.0 * least(length(cr.call_route), length(ep.ep_route)) / (length(cr.call_route) + length(ep.ep_route)) >= 0.6)),
+counts AS (SELECT call_route, count(*) AS n FROM cand GROUP BY call_route),
+fb AS (SELECT endpoint_id, ep_route FROM ep ORDER BY endpoint_id LIMIT 500),
+extra AS (SELECT cr.call_route, fb.endpoint_id, fb.ep_route FROM cr LEFT JOIN counts USING (call_route), fb
+          WHERE coalesce(counts.n, 0) < 20)
+SELECT DISTINCT * FROM (SELECT * FROM cand UNION ALL SELECT * FROM extra)""")
 def j13_candidate_endpoints(spark, sf_dir):
     t = _t(spark, sf_dir)
     c = probes.v_calls(t).select(normalize_url(F.col("path")).alias("call_route"))
-    return L.candidate_endpoints(c, probes.v_endpoints(t))
+    e = probes.v_endpoints(t)
+    return L.candidate_endpoints(c, e, fallback_ids=L.fallback_endpoint_ids(e))
 
 
 @register("j12_exact_links", sql="""
