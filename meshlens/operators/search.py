@@ -240,3 +240,34 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_bo
     return out.select("id", F.lit("code").alias("content_type"), F.sha2("content", 256).alias("content_hash"),
                       F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")).cast("bigint").alias("word_count"),
                       F.length("content").cast("bigint").alias("char_count"))
+
+
+PARSED_SYMBOL_SCHEMA = ("struct<name: string, kind: string, fully_qualified_name: string, signature: string, "
+                        "return_type: string, complexity: int, parameters: array<struct<name: string, type: string>>, "
+                        "structured_docs: struct<is_partial: boolean, is_lambda: boolean, "
+                        "closure_variables: array<string>, linq_pattern: string>>")
+
+
+def build_symbol_rows(parsed: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """V-10: symbol rows from parser output (JSON): complexity (parser value,
+    default 1, plus the parameter count when the parser left the default),
+    FQN (name when missing) cut at 2000, return type cut at 1000, token count
+    = words of the signature, partial / lambda flags, closure variables, LINQ
+    pattern."""
+    p = F.from_json(F.col(json_col), PARSED_SYMBOL_SCHEMA)
+    d = parsed.select(F.col(id_col), p.alias("p"))
+    c = F.coalesce(F.col("p.complexity"), F.lit(1))
+    n_params = F.coalesce(F.size(F.col("p.parameters")), F.lit(0))
+    complexity = F.when((c == 1) & (n_params > 0), c + n_params).otherwise(c)
+    sig = F.col("p.signature")
+    tokens = F.when(sig.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split(sig, r"\s+"), lambda w: w != "")))
+    sd = F.col("p.structured_docs")
+    return d.select(id_col, F.col("p.name").alias("name"), F.col("p.kind").alias("kind"),
+                    F.substring(F.coalesce(F.col("p.fully_qualified_name"), F.col("p.name")), 1, 2000).alias("fqn"),
+                    F.substring(F.col("p.return_type"), 1, 1000).alias("return_type"),
+                    complexity.cast("int").alias("complexity"), complexity.cast("int").alias("complexity_score"),
+                    tokens.cast("int").alias("token_count"),
+                    F.when(F.coalesce(sd["is_partial"], F.lit(False)), 1).otherwise(0).alias("is_partial"),
+                    F.when(F.coalesce(sd["is_lambda"], F.lit(False)), 1).otherwise(0).alias("is_lambda"),
+                    F.array_join(F.coalesce(sd["closure_variables"], F.array().cast("array<string>")), ",")
+                    .alias("closure_variables"), sd["linq_pattern"].alias("linq_pattern"))

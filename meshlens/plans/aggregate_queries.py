@@ -473,3 +473,20 @@ def a33_system_map(spark, sf_dir):
     return (top.join(pl, "repository", "left").join(A.tech_stack(files), "repository", "left")
             .select("repository", "primary_language", "tech_stack", F.col("id").alias("symbol_id"), "name",
                     F.col("rank").cast("bigint").alias("rank")))
+
+
+@register("s03_merge_id_sets", sql=f"""
+WITH p AS {PARTS_SQL},
+g AS (SELECT fqn, kind FROM p GROUP BY fqn, kind HAVING count(*) > 1)
+SELECT DISTINCT fqn, kind, 'file' AS id_kind, file_id AS value FROM p JOIN g USING (fqn, kind) WHERE file_id IS NOT NULL
+UNION ALL SELECT DISTINCT fqn, kind, 'symbol', id FROM p JOIN g USING (fqn, kind)""")
+def s03_merge_id_sets(spark, sf_dir):
+    """S-03: the union of file ids and merged symbol ids of each merged
+    partial-type group (A-18), in long form (no per-group array)."""
+    parts = _parts(_t(spark, sf_dir))
+    groups = A.merge_partials(parts).select("fqn", "kind")
+    p = parts.join(groups, ["fqn", "kind"], "left_semi")
+    files = p.where(F.col("file_id").isNotNull()).select("fqn", "kind", F.lit("file").alias("id_kind"),
+                                                          F.col("file_id").alias("value")).distinct()
+    syms = p.select("fqn", "kind", F.lit("symbol").alias("id_kind"), F.col("id").alias("value")).distinct()
+    return files.unionByName(syms)

@@ -212,3 +212,54 @@ def s01_fuse_lists(spark, sf_dir):
                                                                           F.col("score").cast("double"))
     vs = search.vector_search(probes.v_vec(t), _qvec(t), 40, VEC_THRESHOLD).select("symbol_id", "score")
     return fuse_lists(kw, vs, "symbol_id").select("symbol_id", "score_a", "score_b", F.round("score", 6).alias("score"))
+
+
+PARSED_SQL = """(SELECT p_partkey AS id, '{"name": "' || replace(p_name, ' ', '_') || '", "kind": "'
+  || CASE p_partkey % 3 WHEN 0 THEN 'METHOD' WHEN 1 THEN 'FUNCTION' ELSE 'CLASS' END || '", "fully_qualified_name": '
+  || CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE '"' || replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') || '"' END
+  || ', "signature": "public ' || p_type || ' ' || replace(p_name, ' ', '_') || '(int a,  string b)", "return_type": "'
+  || p_type || '", "complexity": ' || CASE WHEN p_partkey % 3 = 0 THEN '1' ELSE CAST(p_size AS VARCHAR) END
+  || ', "parameters": [' || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '{"name": "a", "type": "int"}'
+       ELSE '{"name": "a", "type": "int"}, {"name": "b", "type": "string"}' END || '], "structured_docs": {"is_partial": '
+  || CASE WHEN p_partkey % 6 = 0 THEN 'true' ELSE 'false' END || ', "is_lambda": false, "closure_variables": ["x"], '
+  || '"linq_pattern": null}}' AS j FROM part)"""
+
+
+def _parsed(t):
+    p = t.part
+    k = F.col("p_partkey")
+    name = F.regexp_replace("p_name", " ", "_")
+    fqn = F.when(k % 5 == 0, F.lit("null")).otherwise(
+        F.concat(F.lit('"'), F.regexp_replace("p_brand", "#", ""), F.lit("."), name, F.lit('"')))
+    params = (F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit('{"name": "a", "type": "int"}'))
+              .otherwise(F.lit('{"name": "a", "type": "int"}, {"name": "b", "type": "string"}')))
+    j = F.concat(F.lit('{"name": "'), name, F.lit('", "kind": "'),
+                 F.when(k % 3 == 0, "METHOD").when(k % 3 == 1, "FUNCTION").otherwise("CLASS"),
+                 F.lit('", "fully_qualified_name": '), fqn, F.lit(', "signature": "public '), F.col("p_type"), F.lit(" "),
+                 name, F.lit('(int a,  string b)", "return_type": "'), F.col("p_type"), F.lit('", "complexity": '),
+                 F.when(k % 3 == 0, F.lit("1")).otherwise(F.col("p_size").cast("string")), F.lit(', "parameters": ['),
+                 params, F.lit('], "structured_docs": {"is_partial": '),
+                 F.when(k % 6 == 0, F.lit("true")).otherwise(F.lit("false")),
+                 F.lit(', "is_lambda": false, "closure_variables": ["x"], "linq_pattern": null}}'))
+    return p.select(k.alias("id"), j.alias("j"))
+
+
+@register("v10_build_symbol_rows", sql=f"""
+WITH p AS (SELECT id, j::JSON AS j FROM {PARSED_SQL}),
+x AS (SELECT id, j->>'$.name' AS name, j->>'$.kind' AS kind, j->>'$.fully_qualified_name' AS fqn0,
+             j->>'$.signature' AS signature, j->>'$.return_type' AS return_type,
+             coalesce(CAST(j->>'$.complexity' AS INTEGER), 1) AS c, coalesce(json_array_length(j->'$.parameters'), 0) AS np,
+             CAST(j->>'$.structured_docs.is_partial' AS BOOLEAN) AS is_partial,
+             CAST(j->>'$.structured_docs.is_lambda' AS BOOLEAN) AS is_lambda,
+             from_json(j->'$.structured_docs.closure_variables', '["VARCHAR"]') AS cv,
+             j->>'$.structured_docs.linq_pattern' AS linq_pattern FROM p)
+SELECT id, name, kind, left(coalesce(fqn0, name), 2000) AS fqn, left(return_type, 1000) AS return_type,
+       CAST(CASE WHEN c = 1 AND np > 0 THEN c + np ELSE c END AS INTEGER) AS complexity,
+       CAST(CASE WHEN c = 1 AND np > 0 THEN c + np ELSE c END AS INTEGER) AS complexity_score,
+       CAST(CASE WHEN signature IS NULL THEN 0 ELSE len(list_filter(string_split_regex(signature, '\\s+'), lambda w: w <> '')) END AS INTEGER) AS token_count,
+       CASE WHEN coalesce(is_partial, false) THEN 1 ELSE 0 END AS is_partial,
+       CASE WHEN coalesce(is_lambda, false) THEN 1 ELSE 0 END AS is_lambda,
+       array_to_string(coalesce(cv, []), ',') AS closure_variables, linq_pattern
+FROM x""")
+def v10_build_symbol_rows(spark, sf_dir):
+    return search.build_symbol_rows(_parsed(load_tables(spark, sf_dir)), "id", "j")
