@@ -55,6 +55,10 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 3, direction: str
         nxt = (step.groupBy("seed", "node")
                .agg(F.min("relation").alias("relation"), F.min("parent").alias("parent"))
                .withColumn("depth", F.lit(d)))
+        if d == depth:
+            # the last (and largest) level is never expanded: no checkpoint, no emptiness test
+            levels.append(nxt)
+            break
         nxt = nxt.checkpoint(eager=True)
         if nxt.isEmpty():
             break
