@@ -153,3 +153,41 @@ SELECT *, CASE WHEN service_type <> 'Library' THEN NULL
 FROM allr""")
 def a32_project_structure(spark, sf_dir):
     return A.project_structure(_services(_t(spark, sf_dir)))
+
+
+@register("j32_service_bundle", sql=f"""
+WITH s AS {SERVICES_SQL},
+sv AS (SELECT id AS service_id, id % 25 AS b, id % 10 AS repo FROM s),
+cls AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS b, p_brand FROM part),
+ctrl AS (SELECT b, p_brand, 'Brand' || CAST(b AS VARCHAR) || 'Controller' AS name FROM cls WHERE b % 6 = 4),
+meth AS (SELECT c.b, CASE WHEN split_part(p.p_name, ' ', 2) = 'anvil' THEN c.name ELSE split_part(p.p_name, ' ', 1) || '_' || split_part(p.p_name, ' ', 2) END AS name
+         FROM ctrl c JOIN part p ON p.p_brand = c.p_brand WHERE p.p_partkey % 3 <> 2),
+deps AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS b, replace(p_name, ' ', '-') AS name FROM part),
+ev AS (SELECT DISTINCT repo, event_type FROM v_pub)
+SELECT sv.service_id, 'controller' AS item_kind, c.name AS item FROM sv JOIN ctrl c USING (b)
+UNION ALL SELECT sv.service_id, 'method', m.name FROM sv JOIN meth m USING (b)
+UNION ALL SELECT sv.service_id, 'dependency', d.name FROM sv JOIN deps d USING (b)
+UNION ALL SELECT sv.service_id, 'published_event', ev.event_type FROM sv JOIN ev USING (repo)""")
+def j32_service_bundle(spark, sf_dir):
+    """J-32 in long form: per service (probe: supplier services; service s owns
+    brand s mod 25 and repository s mod 10) its controller classes, their
+    methods, its package dependencies and its published event types — each
+    list is an equi-join on the service's key, no per-service arrays."""
+    t = _t(spark, sf_dir)
+    sv = _services(t).select(F.col("id").alias("service_id"), (F.col("id") % 25).alias("b"),
+                             (F.col("id") % 10).alias("repo"))
+    p = t.part.withColumn("b", F.substring_index("p_brand", "#", -1).cast("int"))
+    ctrl = (p.select("b", "p_brand").distinct().where(F.col("b") % 6 == 4)
+            .withColumn("name", F.concat(F.lit("Brand"), F.col("b").cast("string"), F.lit("Controller"))))
+    first = F.substring_index("p_name", " ", 1)
+    second = F.substring_index("p_name", " ", -1)
+    meth = (ctrl.select("b", "p_brand", F.col("name").alias("cname"))
+            .join(p.where(F.col("p_partkey") % 3 != 2).select("p_brand", "p_name"), "p_brand")
+            .select("b", F.when(second == "anvil", F.col("cname")).otherwise(F.concat(first, F.lit("_"), second)).alias("name")))
+    deps = p.select("b", F.regexp_replace("p_name", " ", "-").alias("name")).distinct()
+    ev = probes.v_pub(t).select("repo", "event_type").distinct()
+    return (sv.join(ctrl, "b").select("service_id", F.lit("controller").alias("item_kind"), F.col("name").alias("item"))
+            .unionByName(sv.join(meth, "b").select("service_id", F.lit("method").alias("item_kind"), F.col("name").alias("item")))
+            .unionByName(sv.join(deps, "b").select("service_id", F.lit("dependency").alias("item_kind"), F.col("name").alias("item")))
+            .unionByName(sv.join(ev, "repo").select("service_id", F.lit("published_event").alias("item_kind"),
+                                                   F.col("event_type").alias("item"))))
