@@ -159,16 +159,18 @@ def j20_resolve_calls(spark, sf_dir):
 
 
 IMPORTS_SQL = """(SELECT id AS import_id, path AS file_path, CASE id % 3
-  WHEN 0 THEN './' || CAST(id + 7 AS VARCHAR)
-  WHEN 1 THEN '../d' || CAST((id + 1) % 7 AS VARCHAR) || '/' || CAST(id + 1 AS VARCHAR)
+  WHEN 0 THEN './' || CAST(id + 140 AS VARCHAR)
+  WHEN 1 THEN '../d' || CAST((id + 20) % 7 AS VARCHAR) || '/' || CAST(id + 20 AS VARCHAR)
   ELSE '@/x/' || CAST(id AS VARCHAR) END AS spec FROM v_files)"""
 
 
 def _imports(t):
     f = probes.v_files(t)
     i = F.col("id")
-    spec = (F.when(i % 3 == 0, F.concat(F.lit("./"), (i + 7).cast("string")))
-            .when(i % 3 == 1, F.concat(F.lit("../d"), ((i + 1) % 7).cast("string"), F.lit("/"), (i + 1).cast("string")))
+    # sources are src<id mod 20> and directories d<id mod 7>: id + 140 stays in the
+    # same directory, id + 20 in a sibling directory of the same source
+    spec = (F.when(i % 3 == 0, F.concat(F.lit("./"), (i + 140).cast("string")))
+            .when(i % 3 == 1, F.concat(F.lit("../d"), ((i + 20) % 7).cast("string"), F.lit("/"), (i + 20).cast("string")))
             .otherwise(F.concat(F.lit("@/x/"), i.cast("string"))))
     return f.select(i.alias("import_id"), F.col("path").alias("file_path"), spec.alias("spec"))
 
@@ -396,3 +398,34 @@ h AS (SELECT name AS hname, min(id) AS dst FROM c GROUP BY name)
 SELECT req.src, h.dst, 'HANDLED_BY' AS type FROM req JOIN h USING (hname)""")
 def g05_request_handlers(spark, sf_dir):
     return RS.request_handlers(_cqrs(_t(spark, sf_dir)))
+
+
+@register("j23_import_edges", sql=f"""
+WITH i AS {IMPORTS_SQL},
+r AS (SELECT import_id, CASE WHEN starts_with(spec, './') OR starts_with(spec, '../')
+                             THEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) || '/' || spec
+                             WHEN starts_with(spec, '@/') THEN 'src/' || substr(spec, 3) ELSE spec END AS resolved FROM i),
+n AS (SELECT import_id, array_to_string(list_reduce(list_filter(string_split(resolved, '/'), lambda s: s <> '' AND s <> '.'),
+        lambda acc, s: CASE WHEN s = '..' THEN acc[1:greatest(len(acc) - 1, 0)] ELSE list_append(acc, s) END,
+        []::VARCHAR[]), '/') AS base FROM r),
+c AS (SELECT import_id, base || ({_SUFFIXES_SQL})[k] AS path, k - 1 AS rank
+      FROM n, unnest(generate_series(1, {len(RS.IMPORT_SUFFIXES)})) AS g(k)),
+best AS (SELECT c.import_id, arg_min(f.id, c.rank) AS file_id FROM c JOIN v_files f ON f.path = c.path GROUP BY c.import_id),
+spf AS (SELECT file_id, count(*) AS n FROM v_symbols GROUP BY file_id)
+SELECT b.import_id AS src_file, b.file_id AS dst_file, a.n AS src_symbols, d.n AS dst_symbols,
+       CAST(a.n * d.n AS BIGINT) AS symbol_edges
+FROM best b JOIN spf a ON a.file_id = b.import_id JOIN spf d ON d.file_id = b.file_id""")
+def j23_import_edges(spark, sf_dir):
+    """J-23: the symbol × symbol IMPORTS edges between an importing and an
+    imported file, kept as one row per file pair with both symbol counts (the
+    edge set is their product; a consumer expands a single pair on demand) —
+    the full product would be all pairs inside every file pair."""
+    t = _t(spark, sf_dir)
+    res = RS.resolve_imports(_imports(t), probes.v_files(t)).where(F.col("file_id").isNotNull())
+    spf = probes.v_symbols(t).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    a = spf.select(F.col("file_id").alias("src_file"), F.col("n").alias("src_symbols"))
+    d = spf.select(F.col("file_id").alias("dst_file"), F.col("n").alias("dst_symbols"))
+    return (res.select(F.col("import_id").alias("src_file"), F.col("file_id").alias("dst_file"))
+            .join(a, "src_file").join(d, "dst_file")
+            .select("src_file", "dst_file", "src_symbols", "dst_symbols",
+                    (F.col("src_symbols") * F.col("dst_symbols")).cast("bigint").alias("symbol_edges")))
