@@ -85,3 +85,33 @@ def test_upsert_versions(spark):
     upd = spark.createDataFrame([(2, "B"), (3, "c")], "id long, v string")
     got = {r["id"]: (r["v"], r["version"]) for r in sinks.upsert(target, upd, ["id"], "version").collect()}
     assert got == {1: ("a", 1), 2: ("B", 2), 3: ("c", 1)}
+
+
+def test_stream_link_events_drops_late_and_repeated_events(spark):
+    """ST-06 state: within the watermark a repeated publication links once;
+    an event older than the watermark (after it advanced) is dropped."""
+    import datetime as dt
+    root = scratch()
+    src = f"{root}/events"
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    subs = spark.createDataFrame([(1, "click", 7, "t1", "click.*")],
+                                 "id long, event_type string, repo long, queue string, pattern string")
+    t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
+    first = [(1, t0, 1, "click", 1.0, "{}"), (2, t0 + dt.timedelta(minutes=5), 1, "click", 1.0, "{}")]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    name = "late_" + os.path.basename(root).replace("-", "_")
+    q = I.stream_link_events(stream, subs).writeStream.format("memory").queryName(name).outputMode("append").start()
+    q.processAllAvailable()
+    # the watermark is now t0 + 5 min - 1 hour; a later batch brings one late and one fresh event
+    later = [(3, t0 + dt.timedelta(hours=3), 1, "click", 1.0, "{}"), (4, t0 - dt.timedelta(hours=2), 4, "click", 1.0, "{}")]
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(src)
+    q.processAllAvailable()
+    third = [(5, t0 - dt.timedelta(hours=1), 4, "click", 1.0, "{}")]   # older than the advanced watermark
+    spark.createDataFrame(third, schema).coalesce(1).write.mode("append").parquet(src)
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.sql(f"SELECT pub_repo, ts FROM {name}").collect()
+    repos = sorted(r["pub_repo"] for r in rows)
+    # user 1 (repo 1) links once despite two publications; user 4's events are both late
+    assert repos == [1]
