@@ -191,3 +191,19 @@ def j32_service_bundle(spark, sf_dir):
             .unionByName(sv.join(deps, "b").select("service_id", F.lit("dependency").alias("item_kind"), F.col("name").alias("item")))
             .unionByName(sv.join(ev, "repo").select("service_id", F.lit("published_event").alias("item_kind"),
                                                    F.col("event_type").alias("item"))))
+
+
+from meshlens.sources.tables import TABLE_NAMES  # noqa: E402
+
+
+@register("src02_load_tables", sql=" UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLE_NAMES))
+def src02_load_tables(spark, sf_dir):
+    """SRC-02: every entity table of the snapshot, loaded lazily, with its row
+    count (a count reads only parquet row-group metadata)."""
+    t = _t(spark, sf_dir)
+    out = None
+    for n in TABLE_NAMES:
+        c = getattr(t, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+        out = c if out is None else out.unionByName(c)
+    return out
