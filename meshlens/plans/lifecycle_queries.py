@@ -179,7 +179,7 @@ def p08_architecture_styles(spark, sf_dir):
 
 
 @register("p11_pattern_report", sql=f"""
-SELECT pattern, count(*) AS n, round(avg(confidence), 4) AS avg_confidence FROM (
+SELECT pattern, count(*) AS n, CAST(round(sum(confidence), 4) AS DOUBLE) AS total_confidence FROM (
   SELECT * FROM ({SINGLETON_SQL}) UNION ALL SELECT * FROM ({FACTORY_SQL}) UNION ALL SELECT * FROM ({REPOSITORY_SQL})
   UNION ALL SELECT * FROM ({BUILDER_SQL}) UNION ALL SELECT * FROM ({OBSERVER_SQL})) GROUP BY pattern""")
 def p11_pattern_report(spark, sf_dir):
