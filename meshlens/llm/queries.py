@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshlens.llm.common import table
 from meshlens.llm.exact_dedup import exact_dedup
+from meshlens.llm.jaccard_join import jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +34,8 @@ SELECT doc_id,
 FROM n""")
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@_query("op4_jaccard_join")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
