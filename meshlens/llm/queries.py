@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meshlens.llm.common import table
+from meshlens.llm.decontaminate import decontaminate
 from meshlens.llm.exact_dedup import exact_dedup
 from meshlens.llm.jaccard_join import jaccard_join
+from meshlens.llm.language_id import language_id
+from meshlens.llm.quality import quality
+from meshlens.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +43,23 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_jaccard_join")
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_toxicity")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op6_language_id")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_decontaminate")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op10_quality")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
