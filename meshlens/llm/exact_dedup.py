@@ -1,13 +1,13 @@
 """Operator 1, exact dedup by deterministic block naming.
 
 Every text is normalised (white space deleted) and cut into fixed-size byte blocks.  The distinct blocks are sorted
-and numbered; then adjacent pairs of names are sorted and numbered in turn, until one name is left per document.  Two
+(within hash partitions) and numbered; then adjacent pairs of names likewise, until one name is left per document.  Two
 documents carry the same (level, name) exactly when their normalised texts are equal: names stand for whole contents,
 so there are no collisions.
 
 Scale: each task first replaces equal blocks of a batch by one reference, so a block that a third of all documents
 share crosses the shuffle once per batch, not once per document.  Only the dictionary of blocks (text, once) is
-shuffled by range; everything after that is integers.
+shuffled and sorted; everything after that is integers.
 
 Cases: null text counts as empty and all empty texts are equal; among equal rows the longest original text stays,
 then the smallest doc_id (null last); repeated rows of one doc_id form a group, one row of which has ``kept`` true;
@@ -61,7 +61,7 @@ def _cut(block_bytes: int):
 
 
 def _name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the distinct blocks of one sorted range partition, one row at a time."""
+    """Number the distinct blocks of one sorted partition, one row at a time."""
     name, last = TaskContext.get().partitionId() << 40, None
     for batch in batches:
         names = []
@@ -80,8 +80,8 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     meta = cut.where("block is null").select("rid", "doc_id", "code_points", "text_sha256", "n_blocks", "refs")
     blocks = cut.where("block is not null").select("ref", "block")
 
-    # level 0: range partitions of sorted blocks, numbered in one pass; equal blocks meet at most once per batch
-    named = scratch.save(blocks.repartitionByRange("block").sortWithinPartitions("block")
+    # level 0: every block's partition is sorted and numbered in one pass; equal blocks meet once per batch at most
+    named = scratch.save(blocks.repartition("block").sortWithinPartitions("block")
                          .mapInArrow(_name_runs, "ref long, name long"))
     cur = (meta.select("rid", "n_blocks", F.posexplode("refs").alias("pos", "ref"))
            .join(named, "ref").select("rid", F.col("n_blocks").alias("n"), "pos", "name"))
@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                  .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"),
                       F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r")))
         pairs = scratch.save(pairs)
-        names = (pairs.select("l", "r").distinct().repartitionByRange("l", "r").sortWithinPartitions("l", "r")
+        names = (pairs.select("l", "r").distinct().sortWithinPartitions("l", "r")
                  .withColumn("name", F.monotonically_increasing_id()))
         cur = scratch.save(pairs.join(names, ["l", "r"])
                            .select("rid", "n", "pos", "name"))
@@ -104,9 +104,10 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     ident = scratch.save(meta.drop("n_blocks", "refs").join(done, "rid"))
     best = F.struct("code_points", (-F.col("doc_id")).alias("minus_id"), (-F.col("rid")).alias("minus_rid"))
-    groups = (ident.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(best).alias("best"))
-              .select("level", "name", "group_size", (-F.col("best.minus_id")).alias("keep_id"),
-                      (-F.col("best.minus_rid")).alias("keep_rid")))
+    groups = scratch.save(
+        ident.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(best).alias("best"))
+        .select("level", "name", "group_size", (-F.col("best.minus_id")).alias("keep_id"),
+                (-F.col("best.minus_rid")).alias("keep_rid")))  # saved, so that the join can split a large group
     return (ident.join(groups, ["level", "name"])
             .select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"),
                     "text_sha256"))
