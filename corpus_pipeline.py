@@ -1,16 +1,25 @@
-"""The corpus pipeline: toxicity, exact dedup, near-duplicate join, decontamination, mixing.
+"""The corpus pipeline: toxicity, exact dedup, near-duplicate join, benchmark decontamination, mixing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its decisions take effect before the next stage.
-``run`` writes every stage's result as Parquet in the shared checkpoint folder and reads it again, so a lost executor
-costs one stage at most.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its decisions take effect before the next stage.  All
+stages but the last return the columns of ``documents``.  ``run`` writes every stage's result as Parquet in the shared
+checkpoint folder and reads it again, so a lost executor costs one stage at most.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshlens.llm import mixing
 from meshlens.llm.common import Scratch, table
+from meshlens.llm.decontaminate import drop_contaminated
 from meshlens.llm.exact_dedup import drop_copies
+from meshlens.llm.jaccard_join import drop_near_copies
+from meshlens.llm.toxicity import drop_toxic
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model is trained on the labels of the documents given."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,15 +27,32 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays."""
+    return drop_near_copies(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to the raked source, language and topic weights."""
+    return mixing.sample(docs)
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_dedup_stage), ("near_duplicates", near_duplicate_stage),
+          ("decontamination", decontamination_stage), ("mixing", mixing_stage)]
 
-#: The toxicity stage is a trained model, which SQL can't express.
+#: The toxicity stage is a trained model, which SQL can't express; the tests hold the run against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents`` of ``sf_dir``."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
