@@ -2,9 +2,8 @@
 
 ``flatten_json`` turns every leaf of a JSON document into a row
 ``(key path "A:B:0", value text, type)`` by exploding objects and arrays level
-by level with ``variant_explode`` (a lateral, row-local generator — no
-shuffle).  Depth is bounded by ``max_depth`` (8 by default); empty containers
-produce no rows, as in the reference.
+by level with ``variant_explode_outer`` (a lateral, row-local generator — no
+shuffle).  Empty containers produce no rows, as in the reference.
 """
 
 from __future__ import annotations
@@ -38,23 +37,38 @@ def _leaf_type(v: Column) -> Column:
             .otherwise(F.lit("string")))
 
 
-def flatten_json(df: DataFrame, id_col: str, json_col: str, max_depth: int = 8, sep: str = ":") -> DataFrame:
-    """X-27: (id, key, value, type) for every JSON leaf (nulls kept with a null value)."""
+def nesting_depth(json: Column) -> Column:
+    """Levels of containers in a JSON text (an upper bound on malformed text)."""
+    bare = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    brackets = F.filter(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""), lambda b: b != "")
+
+    def step(acc: Column, b: Column) -> Column:
+        depth = acc["depth"] + F.when(b.isin("{", "["), 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), F.greatest(acc["top"], depth).alias("top"))
+
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("top")), step, lambda acc: acc["top"])
+
+
+def flatten_json(df: DataFrame, id_col: str, json_col: str, sep: str = ":", keep: tuple[str, ...] = ()) -> DataFrame:
+    """X-27: (id, ``keep`` columns, key, value, type) for every JSON leaf at any depth (nulls kept with a null value).
+
+    One scan and one chain of generators: each level opens the containers and
+    passes leaves through.  The number of levels is that of the data, read by
+    one aggregate beforehand."""
     spark = df.sparkSession
-    cur = (df.select(F.col(id_col).alias("_id"), F.parse_json(F.col(json_col)).alias("v"))
-           .select("_id", "v", F.lit("").alias("path")))
-    cur = cur.where(_is_container(F.col("v")))
-    leaves = []
-    for _ in range(max_depth):
-        ex = cur.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    depth = df.agg(F.max(nesting_depth(F.col(json_col)))).first()[0] or 0
+    cols = ["_id", *keep]
+    cur = (df.select(F.col(id_col).alias("_id"), *keep, F.parse_json(F.col(json_col)).alias("v"), F.lit("").alias("path"))
+           .where(_is_container(F.col("v"))))
+    for _ in range(max(1, depth)):
+        cur = cur.withColumn("box", F.when(_is_container(F.col("v")), F.col("v")))
+        ex = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("box").outer()))
         step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-        path = F.when(F.col("path") == "", step).otherwise(F.concat(F.col("path"), F.lit(sep), step))
-        ex = ex.select("_id", path.alias("path"), F.col("value").alias("v"))
-        leaves.append(ex.where(~_is_container(F.col("v"))).select(
-            "_id", F.col("path").alias("key"), F.expr("variant_get(v, '$', 'string')").alias("value"),
-            _leaf_type(F.col("v")).alias("type")))
-        cur = ex.where(_is_container(F.col("v")))
-    out = leaves[0]
-    for l in leaves[1:]:
-        out = out.unionByName(l)
-    return out.withColumnRenamed("_id", id_col)
+        opened = F.col("box").isNotNull()
+        path = (F.when(~opened, F.col("path")).when(F.col("path") == "", step)
+                .otherwise(F.concat(F.col("path"), F.lit(sep), step)))
+        cur = (ex.where(~opened | step.isNotNull())  # an empty container gives no row
+               .select(*cols, path.alias("path"), F.when(opened, F.col("value")).otherwise(F.col("v")).alias("v")))
+    return (cur.where(~_is_container(F.col("v")))
+            .select(F.col("_id").alias(id_col), *keep, F.col("path").alias("key"),
+                    F.expr("variant_get(v, '$', 'string')").alias("value"), _leaf_type(F.col("v")).alias("type")))

@@ -181,67 +181,58 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+# Fixed value: a heading line.
 HEADING_RE = r"^(#{1,6})\s+(.+)$"
 
 
-def doc_sections(docs: DataFrame, id_col: str, text_col: str, max_lines: int = 50) -> DataFrame:
-    """E-08: Markdown headings with level, title, line span and the first
-    ``max_lines`` lines of their section (until the next line starting ``#``).
+def _numbered_spans(lines: Column, starts: Column, ends: Column, body: Column) -> Column:
+    """Structs (start, end, first line, text between) from aligned arrays of 0-based line positions."""
+    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.struct(
+        x["a"].alias("a"), x["b"].alias("b"), F.element_at(lines, x["a"] + 1).alias("head"),
+        F.array_join(F.slice(body, x["a"] + 2, F.greatest(x["b"] - x["a"] - 1, F.lit(0))), "\n").alias("text")))
 
-    Lines are numbered, every ``#`` line opens a segment (running count over
-    the document's lines), and each heading's segment is aggregated; only the
-    first ``max_lines`` content lines are collected, so a section's row size is
-    bounded whatever its length."""
-    lines = numbered_lines(docs, id_col, text_col).withColumn("s", _strip(F.col("line")))
-    w = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = (lines.withColumn("is_boundary", F.col("s").startswith("#"))
-             .withColumn("seg", F.sum(F.col("is_boundary").cast("int")).over(w)))
-    heads = (lines.where(F.col("s").rlike(HEADING_RE))
-             .select(id_col, "seg", F.col("line_no").alias("start_line"),
-                     F.length(F.regexp_extract("s", HEADING_RE, 1)).alias("level"),
-                     F.trim(F.regexp_extract("s", HEADING_RE, 2)).alias("title")))
-    body = lines.where(~F.col("is_boundary") & (F.col("seg") > 0))
-    counts = body.groupBy(id_col, "seg").agg(F.count(F.lit(1)).alias("n_lines"),
-                                            F.min("line_no").alias("first_line"))
-    firsts = (body.join(counts, [id_col, "seg"])
-              .where(F.col("line_no") < F.col("first_line") + max_lines)
-              .groupBy(id_col, "seg")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))),
-                                            lambda x: x["line"]), "\n").alias("content")))
-    out = (heads.join(counts, [id_col, "seg"], "left").join(firsts, [id_col, "seg"], "left")
-           .select(id_col, "start_line", "level", "title",
-                   (F.col("start_line") + F.coalesce("n_lines", F.lit(0))).alias("end_line"),
-                   F.coalesce("content", F.lit("")).alias("content")))
-    return out
 
+def doc_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """E-08: Markdown headings with level, title, line span and the whole text of
+    their section (until the next line starting ``#``).
 
-def code_blocks(docs: DataFrame, id_col: str, text_col: str, max_lines: int = 50) -> DataFrame:
-    """E-09: fenced blocks: opening/closing line, language hint, line count and
-    the first ``max_lines`` lines.  Fence parity is a running count over the
-    document's lines; an unclosed last block is dropped (as in the reference)."""
-    lines = numbered_lines(docs, id_col, text_col).withColumn("s", _strip(F.col("line")))
-    w = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = (lines.withColumn("is_fence", F.col("s").startswith("```"))
-             .withColumn("nf", F.sum(F.col("is_fence").cast("int")).over(w)))
-    fences = lines.where("is_fence").select(id_col, "line_no", "nf", "s")
-    opens = (fences.where(F.col("nf") % 2 == 1)
-             .select(id_col, ((F.col("nf") + 1) / 2).cast("int").alias("block"), F.col("line_no").alias("start_line"),
-                     F.coalesce(F.nullif(F.regexp_extract("s", r"^```(\w+)", 1), F.lit("")), F.lit("unknown"))
-                     .alias("language")))
-    closes = (fences.where(F.col("nf") % 2 == 0)
-              .select(id_col, (F.col("nf") / 2).cast("int").alias("block"), F.col("line_no").alias("end_line")))
-    inner = (lines.where(~F.col("is_fence") & (F.col("nf") % 2 == 1))
-             .select(id_col, ((F.col("nf") + 1) / 2).cast("int").alias("block"), "line_no", "line"))
-    counts = inner.groupBy(id_col, "block").agg(F.count(F.lit(1)).alias("line_count"),
-                                               F.min("line_no").alias("first_line"))
-    firsts = (inner.join(counts, [id_col, "block"]).where(F.col("line_no") < F.col("first_line") + max_lines)
-              .groupBy(id_col, "block")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))),
-                                            lambda x: x["line"]), "\n").alias("code")))
-    return (opens.join(closes, [id_col, "block"]).join(counts, [id_col, "block"]).join(firsts, [id_col, "block"])
-            .select(id_col, "start_line", "end_line", "language", "line_count", "code"))
+    Row-local: the positions of ``#`` lines in the array of lines bound the
+    sections; no line crosses a shuffle."""
+    d = docs.select(id_col, F.split(F.col(text_col), "\n").alias("_l"))
+    d = d.withColumn("_s", F.transform("_l", _strip))
+    marks = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.element_at("_s", i + 1).startswith("#"))
+    d = d.withColumn("_m", marks).where(F.size("_m") > 0)
+    ends = F.concat(F.slice("_m", 2, F.size("_m")), F.array(F.size("_l")))
+    ex = d.select(id_col, F.explode(F.filter(_numbered_spans(F.col("_s"), F.col("_m"), ends, F.col("_l")),
+                                             lambda x: x["head"].rlike(HEADING_RE))).alias("x"))
+    return ex.select(id_col, (F.col("x.a") + 1).alias("start_line"),
+                     F.length(F.regexp_extract("x.head", HEADING_RE, 1)).alias("level"),
+                     F.trim(F.regexp_extract("x.head", HEADING_RE, 2)).alias("title"),
+                     F.col("x.b").alias("end_line"), F.col("x.text").alias("content"))
 
 
+def code_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """E-09: fenced blocks: opening/closing line, language hint, line count and
+    the whole code.  Row-local: fences alternate between opening and closing;
+    an unclosed last block and blocks without a line are dropped (as in the
+    reference)."""
+    d = docs.where(F.col(text_col).contains("```")).select(id_col, F.split(F.col(text_col), "\n").alias("_l"))
+    d = d.withColumn("_s", F.transform("_l", _strip))
+    fences = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.element_at("_s", i + 1).startswith("```"))
+    d = d.withColumn("_f", fences)
+    pairs = F.sequence(F.lit(0), F.floor(F.size("_f") / 2).cast("int") - 1)
+    d = d.where(F.size("_f") > 1).withColumns({
+        "_a": F.transform(pairs, lambda k: F.element_at("_f", 2 * k + 1)),
+        "_b": F.transform(pairs, lambda k: F.element_at("_f", 2 * k + 2))})
+    ex = d.select(id_col, F.explode(_numbered_spans(F.col("_s"), F.col("_a"), F.col("_b"), F.col("_l"))).alias("x"))
+    language = F.coalesce(F.nullif(F.regexp_extract("x.head", r"^```(\w+)", 1), F.lit("")), F.lit("unknown"))
+    return (ex.where(F.col("x.b") > F.col("x.a") + 1)
+            .select(id_col, (F.col("x.a") + 1).alias("start_line"), (F.col("x.b") + 1).alias("end_line"),
+                    language.alias("language"), (F.col("x.b") - F.col("x.a") - 1).cast("long").alias("line_count"),
+                    F.col("x.text").alias("code")))
+
+
+# Inline and reference links.
 LINK_INLINE = r"\[([^\]]+)\]\(([^\)]+)\)"
 LINK_REF = r"\[([^\]]+)\]\[([^\]]+)\]"
 
@@ -320,9 +311,9 @@ DANGEROUS_PATTERNS = (r";\s*DROP\s+TABLE", r"<script", r"javascript:", r"\.\./\.
                       r"exec\s*\(", r"__import__")
 
 
-def sanitize_text(text: Column, max_length: int = 10000) -> Column:
-    """DQ-06: cut to ``max_length``, drop NUL, delete dangerous patterns."""
-    out = F.regexp_replace(F.substring(text, 1, max_length), "\u0000", "")
+def sanitize_text(text: Column, max_length: int | None = None) -> Column:
+    """DQ-06: drop NUL, delete dangerous patterns (of the first ``max_length`` characters when asked for)."""
+    out = F.regexp_replace(text if max_length is None else F.substring(text, 1, max_length), "\u0000", "")
     for rx in DANGEROUS_PATTERNS:
         out = F.regexp_replace(out, "(?i)" + rx, "")
     return out
@@ -370,9 +361,8 @@ def extract_config(files: DataFrame, id_col: str, text_col: str, name_col: str)
 
     cleaned = files.select(F.col(id_col), strip_json_comments(F.col(text_col)).alias("_json"),
                            environment_of(F.col(name_col)).alias("environment"))
-    flat = flatten_json(cleaned.select(id_col, "_json"), id_col, "_json")
     secret = is_secret_key(F.col("key"))
-    return (flat.join(cleaned.select(id_col, "environment"), id_col)
+    return (flatten_json(cleaned, id_col, "_json", keep=("environment",))
             .select(id_col, F.col("key").alias("config_key"),
                     F.when(secret, F.lit("***")).otherwise(F.col("value")).alias("config_value"),
                     F.col("type").alias("config_type"), "environment", secret.cast("int").alias("is_secret")))
@@ -425,16 +415,14 @@ SYMBOL_RULES = {
 }
 # Names never reported as symbols (E-01).
 SYMBOL_STOP_NAMES = ("if", "for", "else", "return", "var", "let", "const")
-MAX_SYMBOL_FILE_BYTES = 1_000_000
 
 
 def extract_symbols(files: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """E-01: symbol names by language rules, line by line (``^`` anchors at
     line starts, as with MULTILINE); names longer than one character and not
-    keywords; files over 1 MB skipped.  Every name is kept (long form); the
+    keywords; files of any size.  Every name is kept (long form); the
     reference's 50-name display cap is a presentation limit."""
-    f = files.where(F.octet_length(F.col(text_col)) <= MAX_SYMBOL_FILE_BYTES)
-    lines = f.select(id_col, lang_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    lines = files.select(id_col, lang_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     arrays = []
     for lang, rules in SYMBOL_RULES.items():
         for i, rx in enumerate(rules):

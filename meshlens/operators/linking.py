@@ -2,17 +2,16 @@
 
 Plan shape
 ----------
-* Gateway routes (J-14) are configuration: a small table compiled on the driver
-  into (regex, replacement) pairs and broadcast (its size is the length of the
-  route list, checked against ``MAX_ROUTES``).  Calls meet routes through an
-  equi-join on the route's first literal path segment; routes starting with a
-  placeholder sit under the key ``*`` that every call also carries, so no call
-  is tested against routes that cannot match.
+* Gateway routes (J-14) are rows of E-12, compiled into (regex, replacement)
+  columns.  Calls meet routes through an equi-join on the route's literal
+  prefix: a call carries its path's prefixes of the lengths that occur, so no
+  call is tested against routes that cannot match (regex locations, which
+  have no literal prefix, meet all calls).
 * Call → endpoint (J-12/J-13): the exact tier is an equi-join on the
-  normalized route.  The fuzzy tier works on *distinct* normalized call routes
+  normalized route.  The fuzzy tier works on *distinct* normalized routes
   (many calls collapse into one template), blocked by a shared path segment
-  and by the exact length bound of the similarity threshold, then scored with
-  one Arrow UDF (X-05) and joined back to the calls.
+  and by the length bound of the similarity that each call still needs, then
+  scored with one Arrow UDF (X-05) and joined back to the calls.
 * Event links (J-15) are an equi-join on the event type (AQE splits a hot
   type); the fuzzy tier compares distinct type names only, with the
   lossless length-ratio bound ``2·min/(la+lb) ≥ .8``.
@@ -20,17 +19,15 @@ Plan shape
 
 from __future__ import annotations
 
-import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlens.functions.urls import normalize_url
 
-MAX_ROUTES = 100_000
 API_LINK_THRESHOLD = 70     # percent
 EVENT_LINK_THRESHOLD = 80   # percent
 
@@ -101,91 +98,80 @@ def routing_key_matches(key: Column, pattern: Column) -> Column:
 
 # --------------------------------------------------------------------------- J-14 gateway
 
-def _ocelot_compile(downstream: str, upstream: str):
-    names = re.findall(r"\{([^}]+)\}", downstream)
-    java_rx, sql_rx, pos = "", "", 0
-    java_rep, sql_rep = upstream.replace("\\", "\\\\").replace("$", "\\$"), upstream
-    for i, m in enumerate(re.finditer(r"\{([^}]+)\}", downstream), start=1):
-        lit = downstream[pos:m.start()]
-        if lit:
-            java_rx += r"\Q" + lit + r"\E"
-            sql_rx += r"\Q" + lit + r"\E"
-        grp = "(.+)" if m.group(1).lower() in CATCH_ALL else "([^/]+)"
-        java_rx += f"(?<g{i}>{grp[1:-1]})"
-        sql_rx += grp
-        pos = m.end()
-    tail = downstream[pos:]
-    if tail:
-        java_rx += r"\Q" + tail + r"\E"
-        sql_rx += r"\Q" + tail + r"\E"
-    for i, name in enumerate(names, start=1):
-        token = "{" + name + "}"
-        java_rep = java_rep.replace(token, "${g%d}" % i, 1)
-        sql_rep = sql_rep.replace(token, "\\%d" % i, 1)
-    return f"^{java_rx}$", java_rep, f"^{sql_rx}$", sql_rep
-
-
-def compile_routes(routes) -> list[dict]:
-    """Gateway routes → match/rewrite rules.
-
-    ``routes``: iterable of dicts with ``id, gateway_type`` (``ocelot`` /
-    ``nginx``), ``downstream`` (frontend-facing template or nginx location),
-    ``upstream``, ``priority`` and for nginx ``is_regex``.
-    Each rule holds the Java regex + replacement (Spark) and the RE2 twin
-    (oracle), the blocking key (first literal segment or ``*``) and the sort
-    key of the reference: priority desc, then shortest template first.
-    """
-    out = []
-    for r in routes:
-        down, up = r["downstream"], r["upstream"]
-        if r["gateway_type"] == "ocelot":
-            jrx, jrep, srx, srep = _ocelot_compile(down, up)
-            first = down.strip("/").split("/")[0] if down.strip("/") else ""
-            key = "*" if (not first or "{" in first) else first
-        elif r.get("is_regex"):
-            jrx = f"(?s)^(?:{down}).*$"
-            jrep = up  # Java reads $12 as group 12 when it exists, else $1 then "2"
-            srx = f"(?s)^(?:{down}).*$"
-            srep = re.sub(r"\$(\d)", r"\\\1", up)
-            key = "*"
-        else:
-            jrx = r"(?s)^\Q" + down + r"\E/*(.*)$"
-            jrep = up.rstrip("/").replace("\\", "\\\\").replace("$", "\\$") + "/$1"
-            srx = jrx
-            srep = up.rstrip("/") + "/\\1"
-            first = down.strip("/").split("/")[0] if down.strip("/") else ""
-            key = first if first else "*"
-        out.append(dict(route_id=int(r["id"]), gateway_type=r["gateway_type"], priority=int(r.get("priority") or 0),
-                        tlen=len(down), key=key, regex=jrx, replacement=jrep, sql_regex=srx,
-                        sql_replacement=srep, collapse=(r["gateway_type"] == "nginx" and not r.get("is_regex"))))
-    return out
-
-
-def routes_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
-    if len(rules) > MAX_ROUTES:
-        raise ValueError(f"{len(rules)} gateway routes exceed the broadcast bound {MAX_ROUTES}")
-    schema = ("route_id long, gateway_type string, priority int, tlen int, key string, regex string, "
-              "replacement string, collapse boolean")
-    rows = [(r["route_id"], r["gateway_type"], r["priority"], r["tlen"], r["key"], r["regex"], r["replacement"],
-             r["collapse"]) for r in rules]
-    return spark.createDataFrame(rows, schema)
-
-
-def first_segment(path: Column) -> Column:
-    return F.element_at(F.split(F.regexp_replace(path, r"^/+", ""), "/"), 1)
-
-
-def resolve_gateway(calls: DataFrame, routes: DataFrame, path_col: str = "path", id_col: str = "id") -> DataFrame:
+PLACEHOLDER = r"\{([^}]+)\}"
+
+
+def compile_routes(routes: DataFrame) -> DataFrame:
+    """Gateway routes → match/rewrite rules, as columns.
+
+    ``routes``: id, gateway_type (``ocelot`` / ``nginx``), downstream
+    (frontend-facing template or nginx location), upstream, priority, is_regex.
+    Each rule has a Java regex with its replacement, the literal ``prefix`` that
+    every matching path starts with (the join key; empty for regex locations)
+    and the sort key of the reference: priority desc, then shortest template.
+    An nginx location without a regex matches by plain prefix (``/de`` matches
+    ``/developers``)."""
+    down, up = F.col("downstream"), F.coalesce("upstream", F.lit("/"))
+    ocelot = F.col("gateway_type") == "ocelot"
+    is_regex = ~ocelot & F.coalesce("is_regex", F.lit(False))
+
+    def quoted(c: Column) -> Column:
+        return F.when(c == "", F.lit("")).otherwise(F.concat(F.lit("\\Q"), c, F.lit("\\E")))
+
+    names = F.regexp_extract_all(down, F.lit(PLACEHOLDER), F.lit(1))
+    parts = F.split(down, PLACEHOLDER, -1)
+    numbered = F.transform(names, lambda n, i: F.struct(n.alias("name"), (i + 1).cast("string").alias("no"),
+                                                        F.element_at(parts, i + 2).alias("after")))
+    body = F.aggregate(numbered, quoted(F.element_at(parts, 1)), lambda acc, x: F.concat(
+        acc, F.lit("(?<g"), x["no"], F.when(F.lower(x["name"]).isin(*CATCH_ALL), ">.+)").otherwise(">[^/]+)"),
+        quoted(x["after"])))
+    plain = F.regexp_replace(up, r"([\\$])", r"\\$1")
+    filled = F.aggregate(numbered, plain, lambda acc, x: F.replace(
+        acc, F.concat(F.lit("{"), x["name"], F.lit("}")), F.concat(F.lit("${g"), x["no"], F.lit("}"))))
+    stem = F.concat(F.regexp_replace(plain, "/+$", ""), F.lit("/$1"))
+    return routes.where(down.isNotNull() & (down != "")).select(
+        F.col("id").cast("long").alias("route_id"), "gateway_type", F.coalesce("priority", F.lit(0)).alias("priority"),
+        F.length(down).alias("tlen"),
+        F.when(ocelot, F.element_at(parts, 1)).when(is_regex, F.lit("")).otherwise(down).alias("prefix"),
+        F.when(ocelot, F.concat(F.lit("^"), body, F.lit("$")))
+        .when(is_regex, F.concat(F.lit("(?s)^(?:"), down, F.lit(").*$")))
+        .otherwise(F.concat(F.lit("(?s)^"), quoted(down), F.lit("/*(.*)$"))).alias("regex"),
+        # a regex location's text keeps its $1, $2 …; any other dollar sign is itself
+        F.when(ocelot, filled).when(is_regex, F.regexp_replace(up, r"\$(?![0-9])", r"\\\$")).otherwise(stem)
+        .alias("replacement"),
+        (~ocelot & ~is_regex).alias("collapse"))
+
+
+def routes_from_configs(ocelot: DataFrame, nginx: DataFrame) -> DataFrame:
+    """The route table of E-12's rows: (id, gateway_type, downstream, upstream, priority, is_regex)."""
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.select(F.xxhash64("gateway_type", *df.columns).alias("id"), "gateway_type", "downstream", "upstream",
+                         "priority", "is_regex").distinct()
+    o = ocelot.select("gateway_type", F.col("downstream_path").alias("downstream"), F.col("upstream_path").alias("upstream"),
+                      "priority", F.lit(False).alias("is_regex"))
+    n = nginx.select("gateway_type", F.col("downstream_path").alias("downstream"), F.col("upstream_path").alias("upstream"),
+                     F.lit(0).alias("priority"), F.col("modifier").contains("~").alias("is_regex"))
+    return numbered(o).unionByName(numbered(n))
+
+
+def resolve_gateway(calls: DataFrame, rules: DataFrame, path_col: str = "path", id_col: str = "id") -> DataFrame:
     """J-14: the first matching route (priority desc, shortest template, route
-    id) rewrites the call path; calls without a match are not returned."""
-    keyed = calls.select(id_col, path_col,
-                         F.explode(F.array(first_segment(F.col(path_col)), F.lit("*"))).alias("key"))
-    cand = keyed.join(F.broadcast(routes), "key").where(F.regexp(F.col(path_col), F.col("regex")))
-    w = Window.partitionBy(id_col).orderBy(F.col("priority").desc(), F.col("tlen").asc(), F.col("route_id").asc())
-    best = cand.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    rewritten = F.regexp_replace(F.col(path_col), F.col("regex"), F.col("replacement"))
-    rewritten = F.when(F.col("collapse"), F.regexp_replace(rewritten, "/{2,}", "/")).otherwise(rewritten)
-    return best.select(id_col, path_col, "route_id", "gateway_type", rewritten.alias("resolved_path"))
+    id) rewrites the call path; calls without a match are not returned.
+
+    ``rules``: output of :func:`compile_routes`.  Calls meet rules by an equi-join
+    on the prefixes of their path whose lengths occur in the rules."""
+    sizes = sorted(r[0] for r in rules.select(F.length("prefix")).distinct().collect())  # at most a path's length
+    path = F.col(path_col)
+    prefixes = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sizes]) if sizes else \
+        F.array().cast("array<string>")
+    keyed = calls.select(id_col, path_col, F.explode(F.array_compact(prefixes)).alias("prefix"))
+    cand = keyed.join(rules, "prefix").where(F.regexp(path, F.col("regex")))
+    best = cand.groupBy(id_col, path_col).agg(F.min_by(
+        F.struct("route_id", "gateway_type", "regex", "replacement", "collapse"),
+        F.struct(-F.col("priority"), "tlen", "route_id")).alias("r"))
+    rewritten = F.regexp_replace(path, F.col("r.regex"), F.col("r.replacement"))
+    rewritten = F.when(F.col("r.collapse"), F.regexp_replace(rewritten, "/{2,}", "/")).otherwise(rewritten)
+    return best.select(id_col, path_col, "r.route_id", "r.gateway_type", rewritten.alias("resolved_path"))
 
 
 # --------------------------------------------------------------------------- J-12 / J-13
@@ -194,43 +180,25 @@ def _segments(route: Column) -> Column:
     return F.array_distinct(F.filter(F.split(route, "/"), lambda s: ~s.isin("", "*", "api")))
 
 
-FALLBACK_MIN_CANDIDATES = 20
-FALLBACK_ENDPOINTS = 500
-
-
-def fallback_endpoint_ids(endpoints: DataFrame, n: int = FALLBACK_ENDPOINTS) -> list[int]:
-    """The reference's fallback candidates: up to ``n`` endpoint-like symbols
-    (lowest ids here).  A bounded list (at most ``n`` ids) read once."""
-    ids = [r[0] for r in endpoints.select("id").orderBy("id").limit(n).collect()]
-    if len(ids) > n:
-        raise ValueError("fallback endpoint list exceeds its bound")
-    return ids
-
+def candidate_endpoints(call_routes: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """J-13 on distinct normalized call routes: every endpoint with the same route or
+    a shared path segment (``''``, ``*``, ``api`` ignored), whatever their number.
 
-def candidate_endpoints(call_routes: DataFrame, endpoints: DataFrame, min_ratio: float = 0.6,
-                        fallback_ids: list[int] | None = None) -> DataFrame:
-    """J-13 on distinct normalized call routes: endpoints with the same route,
-    or sharing a path segment (``''``, ``*``, ``api`` ignored) whose route length
-    allows ``ratio ≥ min_ratio`` (exact bound ``2·min/(la+lb)``); a route with
-    fewer than 20 such candidates also gets the fallback endpoints (the
-    reference's ≤ 500 endpoint-like symbols), attached by exploding that
-    bounded id list and equi-joining on id.  The reference's arbitrary cut at
-    200 candidates is not applied (every candidate is scored)."""
-    cr = call_routes.select("call_route").distinct()
+    ``call_routes`` may carry ``min_ratio``, the least similarity with which the route
+    can still reach the caller's threshold; a candidate whose lengths rule that ratio
+    out (``2·min/(la+lb)`` is an upper bound) is left out."""
+    if "min_ratio" not in call_routes.columns:
+        call_routes = call_routes.withColumn("min_ratio", F.lit(0.0))
+    cr = call_routes.groupBy("call_route").agg(F.min("min_ratio").alias("min_ratio"))
     ep = endpoints.select(F.col("id").alias("endpoint_id"), F.col("route").alias("ep_route"))
-    exact = cr.join(ep, cr["call_route"] == ep["ep_route"]).select("call_route", "endpoint_id", "ep_route")
-    cs = cr.select("call_route", F.explode(_segments(F.col("call_route"))).alias("seg"))
-    es = ep.select("endpoint_id", "ep_route", F.explode(_segments(F.col("ep_route"))).alias("seg"))
-    shared = (cs.join(es, "seg").select("call_route", "endpoint_id", "ep_route").distinct()
-              .where(ratio_upper_bound(F.length("call_route"), F.length("ep_route")) >= min_ratio))
-    cand = exact.unionByName(shared).distinct()
-    if fallback_ids is None:
-        return cand
-    counts = cand.groupBy("call_route").agg(F.count(F.lit(1)).alias("n"))
-    needy = (cr.join(counts, "call_route", "left").where(F.coalesce("n", F.lit(0)) < FALLBACK_MIN_CANDIDATES)
-             .select("call_route", F.explode(F.array(*[F.lit(i).cast("bigint") for i in fallback_ids])).alias("endpoint_id")))
-    extra = needy.join(ep, "endpoint_id").select("call_route", "endpoint_id", "ep_route")
-    return cand.unionByName(extra).distinct()
+    routes = ep.select("ep_route").distinct()  # pairs are made of distinct routes, endpoints join at the end
+    exact = cr.join(routes, cr["call_route"] == routes["ep_route"]).select("call_route", "ep_route")
+    cs = cr.select("call_route", "min_ratio", F.explode(_segments(F.col("call_route"))).alias("seg"))
+    es = routes.select("ep_route", F.explode(_segments(F.col("ep_route"))).alias("seg"))
+    shared = (cs.join(es, "seg")
+              .where(ratio_upper_bound(F.length("call_route"), F.length("ep_route")) >= F.col("min_ratio") - 1e-9)
+              .select("call_route", "ep_route"))
+    return exact.unionByName(shared).distinct().join(ep, "ep_route").select("call_route", "endpoint_id", "ep_route")
 
 
 def link_calls_to_endpoints(calls: DataFrame, endpoints: DataFrame, resolved: DataFrame | None = None,
@@ -248,7 +216,10 @@ def link_calls_to_endpoints(calls: DataFrame, endpoints: DataFrame, resolved: Da
     else:
         c = c.withColumn("resolved_path", F.lit(None).cast("string"))
     c = c.withColumn("call_route", normalize_url(F.coalesce("resolved_path", "path")))
-    cand = candidate_endpoints(c.select("call_route"), endpoints, fallback_ids=fallback_endpoint_ids(endpoints))
+    # the other two parts of the score give at most 30 + (20 or 10) points
+    points = F.when(F.col("resolved_path").isNotNull(), 50).otherwise(40)
+    cand = candidate_endpoints(c.select("call_route", F.greatest(F.lit(0.0), (F.lit(threshold) - points) / 50.0)
+                                        .alias("min_ratio")), endpoints)
     sim = cand.withColumn("url_score", F.when(F.col("call_route") == F.col("ep_route"), F.lit(1.0))
                           .otherwise(sequence_ratio(F.col("call_route"), F.col("ep_route"))))
     ep = endpoints.select(F.col("id").alias("endpoint_id"), F.col("http_method").alias("ep_method"),

@@ -315,35 +315,51 @@ def nearest_preceding(df: DataFrame, keys: list[str], pos_col: str, is_anchor: C
 # --------------------------------------------------------------------------- set operations
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", hash_col: str = "content_hash") -> DataFrame:
-    """S-04: A / M / D / R between two snapshots.
-
-    One full-outer join on the path classifies A, M, D; a second equi-join
-    on the content hash pairs D with A rows into renames (same hash, other
-    path), which are removed from the A and D sets."""
-    o = old.select(F.col(key).alias("old_path"), F.col(hash_col).alias("old_hash"))
-    n = new.select(F.col(key).alias("new_path"), F.col(hash_col).alias("new_hash"))
-    j = o.join(n, o["old_path"] == n["new_path"], "full_outer")
-    added = j.where(F.col("old_path").isNull()).select("new_path", "new_hash")
-    deleted = j.where(F.col("new_path").isNull()).select("old_path", "old_hash")
-    modified = j.where(F.col("old_path").isNotNull() & F.col("new_path").isNotNull()
-                       & (F.col("old_hash") != F.col("new_hash")))
-    # rename: a deleted path whose exact content re-appears under an added
-    # path.  Copies are paired 1:1 — the k-th deleted path (by name) of a hash
-    # with its k-th added path — by an equi-join on (hash, k); no all-pairs
-    # product inside a hash group even when one hash holds many copies.
-    dk = deleted.withColumn("k", F.row_number().over(Window.partitionBy("old_hash").orderBy("old_path")))
-    ak = added.withColumn("k", F.row_number().over(Window.partitionBy("new_hash").orderBy("new_path")))
-    renamed = (dk.join(ak, (dk["old_hash"] == ak["new_hash"]) & (dk["k"] == ak["k"]), "inner")
-               .select("old_path", "new_path", "old_hash", "new_hash"))
-    add_only = added.join(renamed.select("new_path"), "new_path", "left_anti")
-    del_only = deleted.join(renamed.select("old_path"), "old_path", "left_anti")
-    cols = ["change", "old_path", "new_path"]
-    return (add_only.select(F.lit("A").alias("change"), F.lit(None).cast("string").alias("old_path"), "new_path")
-            .unionByName(del_only.select(F.lit("D").alias("change"), "old_path",
-                                         F.lit(None).cast("string").alias("new_path")))
-            .unionByName(modified.select(F.lit("M").alias("change"), "old_path", "new_path"))
-            .unionByName(renamed.select(F.lit("R").alias("change"), "old_path", "new_path"))
-            .select(*cols))
+    """S-04: A / M / D / R between two snapshots (columns change, old_path, new_path, old_hash, new_hash).
+
+    Both snapshots are tagged, united and aggregated per path (one shuffle,
+    combined map-side), which classifies A, M and D; hashes are compared
+    null-safe, so a null hash on both sides is unchanged and never a rename.
+    A deleted path whose exact content re-appears under an added path is a
+    rename; copies are paired 1:1, the k-th deleted path (by name) of a hash
+    with its k-th added path.  The k-th place is counted in buckets of the
+    path's own hash, so one content with very many copies is spread out."""
+    def side(df: DataFrame, tag: int) -> DataFrame:
+        return df.select(F.col(key).alias("path"), F.col(hash_col).alias("hash"), F.lit(tag).alias("tag"))
+
+    def of(tag: int) -> Column:
+        return F.max(F.when(F.col("tag") == tag, F.struct(F.col("hash"))))
+
+    both = (side(old, 0).unionByName(side(new, 1)).groupBy("path").agg(of(0).alias("o"), of(1).alias("n"))
+            .withColumn("change", F.when(F.col("o").isNull(), "A").when(F.col("n").isNull(), "D")
+                        .when(~F.col("o.hash").eqNullSafe(F.col("n.hash")), "M"))
+            .where(F.col("change").isNotNull())
+            .select("change", "path", F.col("o.hash").alias("old_hash"), F.col("n.hash").alias("new_hash")))
+    moved = F.col("change").isin("A", "D") & F.coalesce("old_hash", "new_hash").isNotNull()
+    rows = both.where(moved).withColumn("hash", F.coalesce("old_hash", "new_hash"))
+    # a hash with both an added and a deleted path; the others can't be renames
+    paired = (rows.groupBy("hash").agg(F.count_if(F.col("change") == "A").alias("na"),
+                                       F.count_if(F.col("change") == "D").alias("nd"))
+              .where("na > 0 and nd > 0").select("hash"))
+    rows = rows.join(paired, "hash").withColumn("lead2", F.substring("path", 1, 2))
+    # place = rows in earlier buckets (a path prefix, so buckets are in order) + place in the own bucket
+    sizes = rows.groupBy("hash", "change", "lead2").agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("hash", "change").orderBy("lead2").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    inside = Window.partitionBy("hash", "change", "lead2").orderBy("path")
+    placed = (rows.withColumn("r", F.row_number().over(inside)).join(offsets, ["hash", "change", "lead2"])
+              .select("hash", "change", "path", (F.col("r") + F.col("offset")).alias("k")))
+    renamed = (placed.groupBy("hash", "k").agg(F.max(F.when(F.col("change") == "D", F.col("path"))).alias("old_path"),
+                                               F.max(F.when(F.col("change") == "A", F.col("path"))).alias("new_path"))
+               .where("old_path is not null and new_path is not null"))
+    taken = renamed.select(F.explode(F.array(F.struct(F.lit("D").alias("change"), F.col("old_path").alias("path")),
+                                             F.struct(F.lit("A").alias("change"), F.col("new_path").alias("path"))))
+                           .alias("x")).select("x.change", "x.path")
+    rest = both.join(taken, ["change", "path"], "left_anti")
+    return (rest.select("change", F.when(F.col("change") != "A", F.col("path")).alias("old_path"),
+                        F.when(F.col("change") != "D", F.col("path")).alias("new_path"), "old_hash", "new_hash")
+            .unionByName(renamed.select(F.lit("R").alias("change"), "old_path", "new_path",
+                                        F.col("hash").alias("old_hash"), F.col("hash").alias("new_hash"))))
 
 
 def segment_overlap(a: Column, b: Column) -> Column:
@@ -404,13 +420,13 @@ def config_search(cfg: DataFrame, key_glob: str, repository=None, environment=No
                          .otherwise(F.col("config_value")))
 
 
-def config_findings(cfg: DataFrame, cap: int = 50) -> DataFrame:
+def config_findings(cfg: DataFrame, top: int | None = None) -> DataFrame:
     """F-06: secret entries or keys about connections / endpoints / keys, value
-    masked; the first ``cap`` by (id, key)."""
+    masked; only the first ``top`` by (id, key) when asked for."""
     k = F.lower("config_key")
     hit = (F.col("is_secret") == 1) | k.contains("connection") | k.contains("endpoint") | k.contains("key")
-    return (cfg.where(hit).withColumn("masked_value", F.lit("********"))
-            .orderBy("id", "config_key").limit(cap))
+    out = cfg.where(hit).withColumn("masked_value", F.lit("********"))
+    return out if top is None else out.orderBy("id", "config_key").limit(top)
 
 
 def doc_search(sections: DataFrame, query: str, preview: int = 300) -> DataFrame:
@@ -429,8 +445,8 @@ GENERIC_STOP_WORDS = ("find", "get", "list", "show", "all", "the")
 
 def generic_keywords(text: str) -> list[str]:
     """F-12 keyword list (driver-side, from the user's text): words longer than
-    3 characters, not stop words, first 3."""
-    return [w for w in text.lower().split() if len(w) > 3 and w not in GENERIC_STOP_WORDS][:3]
+    3 characters, not stop words."""
+    return [w for w in text.lower().split() if len(w) > 3 and w not in GENERIC_STOP_WORDS]
 
 
 def generic_keyword_filter(ctx: DataFrame, text: str) -> DataFrame:

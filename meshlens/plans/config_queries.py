@@ -48,6 +48,10 @@ def e12_ocelot_routes(spark, sf_dir):
     return C.ocelot_routes(_ocelot(_t(spark, sf_dir)), "id", "text")
 
 
+# DuckDB patterns for the probe text: one location, its target
+_LOCATION = r"(?s)location\s+([=~*]*)\s*(\S+)\s*\{([^}]*)\}"
+_PROXY = r"proxy_pass ([^;]+);"
+_TARGET = r"^http://([^:/]+)(?::([0-9]+))?(/.*)?$"
 NGINX_SQL = """('server {' || chr(10) || '  location /' || split_part(trim(path, '/'), '/', 1) || '/ {' || chr(10)
   || '    proxy_pass http://' || host || ':8080/api/;' || chr(10) || '  }' || chr(10)
   || '  location ~ ^/x/(.*)$ { proxy_set_header Host $host; proxy_pass http://b' || CAST(id % 4 AS VARCHAR) || '/$1; }' || chr(10)
@@ -65,14 +69,14 @@ def _nginx(t):
 
 @register("e12_nginx_routes", sql=f"""
 WITH t AS (SELECT id, {NGINX_SQL} AS text FROM v_calls),
-l AS (SELECT id, unnest(regexp_extract_all(text, {sq(C.NGINX_LOCATION)}, 1)) AS m,
-             unnest(regexp_extract_all(text, {sq(C.NGINX_LOCATION)}, 2)) AS p,
-             unnest(regexp_extract_all(text, {sq(C.NGINX_LOCATION)}, 3)) AS b FROM t),
-x AS (SELECT *, trim(regexp_extract(b, {sq(C.PROXY_PASS)}, 1)) AS proxy FROM l)
+l AS (SELECT id, unnest(regexp_extract_all(text, {sq(_LOCATION)}, 1)) AS m,
+             unnest(regexp_extract_all(text, {sq(_LOCATION)}, 2)) AS p,
+             unnest(regexp_extract_all(text, {sq(_LOCATION)}, 3)) AS b FROM t),
+x AS (SELECT *, trim(regexp_extract(b, {sq(_PROXY)}, 1)) AS proxy FROM l)
 SELECT id, 'nginx' AS gateway_type, trim(m) AS modifier, trim(p) AS downstream_path,
-       CASE WHEN regexp_extract(proxy, {sq(C.PROXY_URL)}, 3) = '' THEN '/' ELSE regexp_extract(proxy, {sq(C.PROXY_URL)}, 3) END AS upstream_path,
-       regexp_extract(proxy, {sq(C.PROXY_URL)}, 1) AS upstream_host,
-       CAST(nullif(regexp_extract(proxy, {sq(C.PROXY_URL)}, 2), '') AS INTEGER) AS upstream_port
+       CASE WHEN regexp_extract(proxy, {sq(_TARGET)}, 3) = '' THEN '/' ELSE regexp_extract(proxy, {sq(_TARGET)}, 3) END AS upstream_path,
+       regexp_extract(proxy, {sq(_TARGET)}, 1) AS upstream_host,
+       CAST(nullif(regexp_extract(proxy, {sq(_TARGET)}, 2), '') AS INTEGER) AS upstream_port
 FROM x WHERE proxy <> ''""")
 def e12_nginx_routes(spark, sf_dir):
     return C.nginx_routes(_nginx(_t(spark, sf_dir)), "id", "text")

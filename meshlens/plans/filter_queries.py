@@ -41,8 +41,7 @@ def f04_config_search(spark, sf_dir):
 @register("f06_config_findings", sql=f"""
 SELECT id, config_key, '********' AS masked_value FROM {CFG_SQL}
 WHERE is_secret = 1 OR contains(lower(config_key), 'connection') OR contains(lower(config_key), 'endpoint')
-   OR contains(lower(config_key), 'key')
-ORDER BY id, config_key LIMIT 50""")
+   OR contains(lower(config_key), 'key')""")
 def f06_config_findings(spark, sf_dir):
     return R.config_findings(_cfg(_t(spark, sf_dir))).select("id", "config_key", "masked_value")
 

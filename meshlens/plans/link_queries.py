@@ -26,13 +26,26 @@ GATEWAY_ROUTES = (
          is_regex=True),
     dict(id=4, gateway_type="nginx", downstream="/de/", upstream="/german/", priority=0),
 )
-RULES = L.compile_routes(GATEWAY_ROUTES)
+
+
+def _rules(spark):
+    rows = [(r["id"], r["gateway_type"], r["downstream"], r["upstream"], r["priority"], r.get("is_regex", False))
+            for r in GATEWAY_ROUTES]
+    return L.compile_routes(spark.createDataFrame(
+        rows, "id long, gateway_type string, downstream string, upstream string, priority int, is_regex boolean"))
+
+
+# the same four routes as DuckDB patterns: (id, type, priority, template length, pattern, replacement, collapse)
+_ROUTE_ROWS = (
+    (1, "ocelot", 1, 16, r"^/en/(.+)$", r"/lang/en/\1", False),
+    (2, "ocelot", 0, 12, r"^/([^/]+)/([^/]+)$", r"/content/\2/\1", False),
+    (3, "nginx", 2, 21, r"(?s)^(?:^/fr/([0-9]+)\.html).*$", r"/legacy/fr/\1", False),
+    (4, "nginx", 0, 4, r"(?s)^/de//*(.*)$", r"/german/\1", True),
+)
 
 
 def _routes_sql() -> str:
-    rows = ", ".join(
-        f"({r['route_id']}, '{r['gateway_type']}', {r['priority']}, {r['tlen']}, {sq(r['sql_regex'])}, "
-        f"{sq(r['sql_replacement'])}, {str(r['collapse']).upper()})" for r in RULES)
+    rows = ", ".join(f"({i}, '{t}', {p}, {n}, {sq(rx)}, {sq(rep)}, {str(c).upper()})" for i, t, p, n, rx, rep, c in _ROUTE_ROWS)
     return f"(SELECT * FROM (VALUES {rows}) AS t(route_id, gateway_type, priority, tlen, regex, replacement, collapse))"
 
 
@@ -48,7 +61,28 @@ RESOLVE_SQL = f"""
 @register("j14_resolve_gateway", sql=f"SELECT id, path, CAST(route_id AS BIGINT) AS route_id, gateway_type, resolved_path FROM {RESOLVE_SQL}")
 def j14_resolve_gateway(spark, sf_dir):
     c = probes.v_calls(_t(spark, sf_dir))
-    return L.resolve_gateway(c, L.routes_frame(spark, RULES))
+    return L.resolve_gateway(c, _rules(spark))
+
+
+def _config_texts(t):
+    """One nginx configuration per first letter of the call paths, with a commented-out location."""
+    letter = F.substring(F.regexp_replace("path", "^/+", ""), 1, 1)
+    letters = probes.v_calls(t).select(letter.alias("c")).where(F.col("c") != "").distinct()
+    return letters.select(F.col("c").alias("id"), F.concat(
+        F.lit("server {\n  # location /"), F.col("c"), F.lit(" { proxy_pass http://old/gone/; }\n  location /"), F.col("c"),
+        F.lit(" {\n    if ($x) { return 1; }\n    proxy_pass http://svc-"), F.col("c"), F.lit(":80/api/;\n  }\n}")).alias("text"))
+
+
+@register("j14_gateway_from_configs", sql="""
+SELECT id, path, 'nginx' AS gateway_type, regexp_replace('/api/' || ltrim(substr(path, 3), '/'), '/{2,}', '/', 'g') AS resolved_path
+FROM v_calls WHERE regexp_matches(path, '^/[^/]')""")
+def j14_gateway_from_configs(spark, sf_dir):
+    """J-14 on the routes that E-12 reads from configuration texts; locations match by plain prefix."""
+    from meshlens.operators import configs as C
+    t = _t(spark, sf_dir)
+    nginx = C.nginx_routes(_config_texts(t), "id", "text")
+    ocelot = C.ocelot_routes(_config_texts(t).where("false"), "id", "text")
+    return L.resolve_gateway(probes.v_calls(t), L.compile_routes(L.routes_from_configs(ocelot, nginx))).drop("route_id")
 
 
 _SEG = "list_distinct(list_filter(string_split({r}, '/'), lambda s: s NOT IN ('', '*', 'api')))"
@@ -61,18 +95,13 @@ cand AS (SELECT DISTINCT call_route, endpoint_id, ep_route FROM (
   SELECT cr.call_route, ep.endpoint_id, ep.ep_route FROM cr JOIN ep ON cr.call_route = ep.ep_route
   UNION ALL
   SELECT cr.call_route, ep.endpoint_id, ep.ep_route FROM cr JOIN ep
-    ON len(list_intersect({_SEG.format(r='cr.call_route')}, {_SEG.format(r='ep.ep_route')})) >= 1
-  WHERE 2.0 * least(length(cr.call_route), length(ep.ep_route)) / (length(cr.call_route) + length(ep.ep_route)) >= 0.6)),
-counts AS (SELECT call_route, count(*) AS n FROM cand GROUP BY call_route),
-fb AS (SELECT endpoint_id, ep_route FROM ep ORDER BY endpoint_id LIMIT 500),
-extra AS (SELECT cr.call_route, fb.endpoint_id, fb.ep_route FROM cr LEFT JOIN counts USING (call_route), fb
-          WHERE coalesce(counts.n, 0) < 20)
-SELECT DISTINCT * FROM (SELECT * FROM cand UNION ALL SELECT * FROM extra)""")
+    ON len(list_intersect({_SEG.format(r='cr.call_route')}, {_SEG.format(r='ep.ep_route')})) >= 1))
+SELECT * FROM cand""")
 def j13_candidate_endpoints(spark, sf_dir):
     t = _t(spark, sf_dir)
     c = probes.v_calls(t).select(normalize_url(F.col("path")).alias("call_route"))
     e = probes.v_endpoints(t)
-    return L.candidate_endpoints(c, e, fallback_ids=L.fallback_endpoint_ids(e))
+    return L.candidate_endpoints(c, e)
 
 
 @register("j12_exact_links", sql="""
@@ -88,18 +117,12 @@ def j12_exact_links(spark, sf_dir):
     """J-12 exact tier: calls whose normalized route equals an endpoint route
     (D oracle).  The full operator with the fuzzy tier is ``j12_link_calls_to_endpoints``."""
     t = _t(spark, sf_dir)
-    c = probes.v_calls(t)
     e = probes.v_endpoints(t).withColumn("name", F.col("route"))
-    j = (c.select("id", F.col("http_method").alias("call_method"), normalize_url(F.col("path")).alias("call_route"))
-         .join(e.select(F.col("id").alias("endpoint_id"), F.col("route").alias("call_route"),
-                        F.col("http_method").alias("ep_method"), "name"), "call_route"))
-    ok = L.http_method_matches(F.col("call_method"), F.col("ep_method"), F.lit(None).cast("string"), F.col("name"))
-    score = F.lit(0.5) + F.when(ok, 0.3).otherwise(0.0) + F.lit(0.1)
-    j = j.withColumn("score", F.round(score, 6))
-    return (j.where(F.col("score") * 100 >= 70 - 1e-9)
-            .select(F.col("id").alias("call_id"), "endpoint_id", "score",
-                    F.floor(F.col("score") * 100 + 1e-9).cast("int").alias("match_confidence"),
-                    F.when(F.col("score") >= 0.9, "exact").otherwise("fuzzy").alias("match_method")))
+    c = probes.v_calls(t)
+    best = L.link_calls_to_endpoints(c, e)
+    exact = c.select(F.col("id").alias("call_id"), normalize_url(F.col("path")).alias("route"))
+    return (best.join(exact, "call_id").join(e.select(F.col("id").alias("endpoint_id"), "route"), ["endpoint_id", "route"])
+            .drop("route"))
 
 
 @register("j12_link_calls_to_endpoints")
@@ -108,7 +131,7 @@ def j12_link_calls_to_endpoints(spark, sf_dir):
     t = _t(spark, sf_dir)
     c = probes.v_calls(t)
     e = probes.v_endpoints(t).withColumn("name", F.col("route"))
-    resolved = L.resolve_gateway(c, L.routes_frame(spark, RULES))
+    resolved = L.resolve_gateway(c, _rules(spark))
     return L.link_calls_to_endpoints(c, e, resolved)
 
 

@@ -118,7 +118,7 @@ def dq05_screen_names(spark, sf_dir):
 
 
 def _sanitize_sql(text: str) -> str:
-    out = f"replace(left({text}, 10000), chr(0), '')"
+    out = f"replace({text}, chr(0), '')"
     for p in E.DANGEROUS_PATTERNS:
         out = f"regexp_replace({out}, {sq('(?i)' + p)}, '', 'g')"
     return out

@@ -379,7 +379,7 @@ UNION ALL SELECT 'M', old_path, new_path FROM j WHERE old_path IS NOT NULL AND n
 UNION ALL SELECT 'R', old_path, new_path FROM ren""")
 def s04_snapshot_diff(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    return R.snapshot_diff(probes.v_old(t), probes.v_new(t))
+    return R.snapshot_diff(probes.v_old(t), probes.v_new(t)).select("change", "old_path", "new_path")
 
 
 PROJECTS_SQL = """(SELECT CAST(row_number() OVER (ORDER BY repository, language) AS BIGINT) AS id,

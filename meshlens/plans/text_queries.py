@@ -375,7 +375,7 @@ heads AS (SELECT id, seg, line_no AS start_line, CAST(length(regexp_extract(s, '
 body AS (SELECT * FROM l3 WHERE NOT is_boundary AND seg > 0),
 counts AS (SELECT id, seg, count(*) AS n_lines, min(line_no) AS first_line FROM body GROUP BY ALL),
 firsts AS (SELECT b.id, b.seg, string_agg(b.line, chr(10) ORDER BY b.line_no) AS content
-           FROM body b JOIN counts c USING (id, seg) WHERE b.line_no < c.first_line + 50 GROUP BY ALL)
+           FROM body b JOIN counts c USING (id, seg) GROUP BY ALL)
 SELECT h.id AS doc_id, h.start_line, h.level, h.title, h.start_line + coalesce(c.n_lines, 0) AS end_line,
        coalesce(f.content, '') AS content
 FROM heads h LEFT JOIN counts c USING (id, seg) LEFT JOIN firsts f USING (id, seg)"""
@@ -402,7 +402,7 @@ closes AS (SELECT id, CAST(nf // 2 AS INTEGER) AS block, line_no AS end_line FRO
 inner_l AS (SELECT id, CAST((nf + 1) // 2 AS INTEGER) AS block, line_no, line FROM l3 WHERE NOT is_fence AND nf % 2 = 1),
 counts AS (SELECT id, block, count(*) AS line_count, min(line_no) AS first_line FROM inner_l GROUP BY ALL),
 firsts AS (SELECT i.id, i.block, string_agg(i.line, chr(10) ORDER BY i.line_no) AS code
-           FROM inner_l i JOIN counts c USING (id, block) WHERE i.line_no < c.first_line + 50 GROUP BY ALL)
+           FROM inner_l i JOIN counts c USING (id, block) GROUP BY ALL)
 SELECT o.id AS doc_id, o.start_line, c.end_line, o.language, n.line_count, f.code
 FROM opens o JOIN closes c USING (id, block) JOIN counts n USING (id, block) JOIN firsts f USING (id, block)""")
 def e09_code_blocks(spark, sf_dir):

@@ -33,17 +33,17 @@ def build_file_table(files: DataFrame, old: DataFrame | None = None) -> DataFram
 def read_lines(files: DataFrame, ranges: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """SRC-04: numbered line slices: 1-based, inclusive, end clamped to the file,
     trailing blank lines of the slice dropped, ``%6d | line`` formatting.
-    ``ranges``: (id, start_line, end_line)."""
-    lines = files.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    lines = lines.select(id_col, (F.col("pos") + 1).alias("line_no"), "line")
-    n = files.select(id_col, F.size(F.split(F.col(text_col), "\n")).alias("n_lines"))
-    r = ranges.join(n, id_col).withColumn("end_c", F.least("end_line", "n_lines"))
-    sl = (lines.join(r, id_col).where((F.col("line_no") >= F.col("start_line")) & (F.col("line_no") <= F.col("end_c"))))
-    last_text = (sl.where(F.trim("line") != "").groupBy(id_col, "start_line", "end_line")
-                 .agg(F.max("line_no").alias("last_text")))
-    sl = sl.join(last_text, [id_col, "start_line", "end_line"]).where(F.col("line_no") <= F.col("last_text"))
-    return sl.select(id_col, "start_line", "end_line", "line_no",
-                     F.format_string("%6d | %s", F.col("line_no"), F.col("line")).alias("text"))
+    ``ranges``: (id, start_line, end_line).  A file's lines are cut in its own
+    row; only the asked lines are exploded."""
+    lines = F.split(F.col(text_col), "\n")
+    first = F.greatest(F.col("start_line").cast("int"), F.lit(1))
+    size = F.greatest(F.least(F.col("end_line").cast("int"), F.size(lines)) - first + 1, F.lit(0))
+    part = files.select(id_col, text_col).join(ranges, id_col).withColumn("_part", F.slice(lines, first, size))
+    filled = F.array_max(F.transform("_part", lambda l, i: F.when(F.trim(l) != "", i + 1)))
+    part = part.withColumn("_part", F.slice("_part", F.lit(1), F.coalesce(filled, F.lit(0))))
+    ex = part.select(id_col, "start_line", "end_line", first.alias("_first"), F.posexplode("_part").alias("_pos", "_line"))
+    return ex.select(id_col, "start_line", "end_line", (F.col("_first") + F.col("_pos")).alias("line_no"),
+                     F.format_string("%6d | %s", F.col("_first") + F.col("_pos"), F.col("_line")).alias("text"))
 
 
 def repository_catalog(files: DataFrame) -> DataFrame:
@@ -57,29 +57,34 @@ def repository_catalog(files: DataFrame) -> DataFrame:
 def replace_by_key(df: DataFrame, path: str, key: str, fmt: str = "parquet") -> None:
     """SNK-01: replace all rows of the keys present in ``df`` (dynamic partition
     overwrite by ``key``); other keys' partitions are untouched."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(key).format(fmt).save(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).format(fmt).save(path))
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], version_col: str | None = None) -> DataFrame:
-    """SNK-02: update matching rows, insert new ones, keep untouched ones;
-    ``version_col`` is increased by one on rows that were updated."""
-    value_cols = [c for c in updates.columns if c not in keys]
-    t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in target.columns if c not in keys])
-    u = updates.select(*keys, F.lit(True).alias("_u"), *[F.col(c).alias(f"_u_{c}") for c in value_cols])
-    j = t.join(u, keys, "full_outer")
-    cols = [F.col(k) for k in keys]
-    for c in value_cols:
-        tc = F.col(f"_t_{c}") if c in target.columns else F.lit(None)
-        cols.append(F.when(F.col("_u"), F.col(f"_u_{c}")).otherwise(tc).alias(c))
+    """SNK-02: update matching rows, insert new ones, keep untouched ones.
+
+    All columns of ``target`` stay: a column that ``updates`` doesn't have keeps
+    its value (null on new rows), a column that only ``updates`` has is added.
+    Keys match null-safe; ``updates`` must hold a key once.  ``version_col`` is
+    increased by one on rows that were updated."""
+    values = [c for c in target.columns if c not in keys and c != version_col]
+    values += [c for c in updates.columns if c not in keys and c not in values and c != version_col]
+    t = target.select(*[F.col(k).alias(f"_tk_{k}") for k in keys], F.lit(True).alias("_t"),
+                      *[F.col(c).alias(f"_t_{c}") for c in target.columns if c not in keys])
+    u = updates.select(*[F.col(k).alias(f"_uk_{k}") for k in keys], F.lit(True).alias("_u"),
+                       *[F.col(c).alias(f"_u_{c}") for c in updates.columns if c not in keys])
+    j = t.join(u, reduce(lambda a, b: a & b, [F.col(f"_tk_{k}").eqNullSafe(F.col(f"_uk_{k}")) for k in keys]), "full_outer")
+    cols = [F.when(F.col("_u"), F.col(f"_uk_{k}")).otherwise(F.col(f"_tk_{k}")).alias(k) for k in keys]
+    for c in values:
+        if c not in updates.columns:
+            cols.append(F.col(f"_t_{c}").alias(c))
+        elif c not in target.columns:
+            cols.append(F.col(f"_u_{c}").alias(c))
+        else:
+            cols.append(F.when(F.col("_u"), F.col(f"_u_{c}")).otherwise(F.col(f"_t_{c}")).alias(c))
     if version_col:
-        cols.append(F.when(F.col("_u") & F.col(f"_t_{version_col}").isNotNull(), F.col(f"_t_{version_col}") + 1)
-                    .when(F.col("_u"), F.lit(1)).otherwise(F.col(f"_t_{version_col}")).alias(version_col))
+        old = F.col(f"_t_{version_col}") if version_col in target.columns else F.lit(None).cast("int")
+        cols.append(F.when(F.col("_u"), F.coalesce(old, F.lit(0)) + 1).otherwise(old).alias(version_col))
     return j.select(*cols)
 
 
@@ -103,8 +108,16 @@ def export_file_name(name: F.Column, max_len: int = 100) -> F.Column:
 
 
 def export_docs(df: DataFrame, path: str, name_col: str, text_col: str) -> None:
-    """SNK-05: one text document per row under ``path/name=<file name>/``."""
-    (df.select(export_file_name(F.col(name_col)).alias("name"), F.col(text_col).alias("value"))
+    """SNK-05: one text document per row under ``path/name=<file name>/``.
+
+    Of different names that give the same file name, all but the first get a
+    suffix made from the whole name, so each document has its own folder."""
+    named = df.select(export_file_name(F.col(name_col)).alias("name"), F.col(name_col).alias("_full"),
+                      F.col(text_col).alias("value"))
+    first = named.groupBy("name").agg(F.min("_full").alias("_first"))
+    name = F.when(F.col("_full").eqNullSafe(F.col("_first")), F.col("name")) \
+        .otherwise(F.concat(F.col("name"), F.lit("~"), F.substring(F.sha2("_full", 256), 1, 16)))
+    (named.join(first, "name", "left").select(name.alias("name"), "value")
      .write.mode("overwrite").partitionBy("name").text(path))
 
 

@@ -20,7 +20,8 @@ from meshlens.session import ensure_checkpoint_dir
 
 def skip_unchanged(old: DataFrame, new: DataFrame, key: str = "path", hash_col: str = "content_hash") -> DataFrame:
     """ST-02: new rows that need work (their (path, hash) is not stored yet)."""
-    return new.join(old.select(key, hash_col), [key, hash_col], "left_anti")
+    o = old.select(F.col(key).alias("_k"), F.col(hash_col).alias("_h"))
+    return new.join(o, new[key].eqNullSafe(o["_k"]) & new[hash_col].eqNullSafe(o["_h"]), "left_anti")
 
 
 def apply_changes(old: DataFrame, new: DataFrame, key: str = "path", hash_col: str = "content_hash") -> DataFrame:
@@ -30,16 +31,15 @@ def apply_changes(old: DataFrame, new: DataFrame, key: str = "path", hash_col: s
     under the new path; added and modified files take the new row; deleted
     files disappear.  ``change`` tells which case produced each row."""
     diff = snapshot_diff(old, new, key, hash_col)
-    unchanged = (old.join(new.select(key, hash_col), [key, hash_col], "left_semi")
-                 .select("id", key, hash_col, F.lit("=").alias("change")))
-    am = (diff.where(F.col("change").isin("A", "M")).select(F.col("new_path").alias(key), "change")
-          .join(new.select("id", key, hash_col), key)
-          .select("id", key, hash_col, "change"))
-    moved = (diff.where(F.col("change") == "R")
-             .join(old.select("id", F.col(key).alias("old_path")), "old_path")
-             .join(new.select(F.col(key).alias("new_path"), hash_col), "new_path")
-             .select("id", F.col("new_path").alias(key), hash_col, F.lit("R").alias("change")))
-    return unchanged.unionByName(am).unionByName(moved)
+    o = old.select(F.col("id").alias("_oid"), F.col(key).alias("_k"), F.col(hash_col).alias("_h"))
+    same = new.join(o, new[key].eqNullSafe(o["_k"]) & new[hash_col].eqNullSafe(o["_h"]))
+    unchanged = same.select(F.col("_oid").alias("id"), key, hash_col, F.lit("=").alias("change"))
+    changes = diff.where(F.col("change") != "D").select("change", "old_path", F.col("new_path").alias(key))
+    moved = o.select(F.col("_oid"), F.col("_k").alias("old_path"))
+    touched = (new.select("id", key, hash_col).join(changes, key).join(moved, "old_path", "left")
+               .select(F.when(F.col("change") == "R", F.col("_oid")).otherwise(F.col("id")).alias("id"),
+                       key, hash_col, "change"))
+    return unchanged.unionByName(touched)
 
 
 def sync_report(old: DataFrame, new: DataFrame, key: str = "path", hash_col: str = "content_hash") -> DataFrame:
@@ -50,8 +50,11 @@ def sync_report(old: DataFrame, new: DataFrame, key: str = "path", hash_col: str
 def carry_over(old: DataFrame, new: DataFrame, value_cols: list[str], primary: str, fallback: str) -> DataFrame:
     """ST-03: values of re-extracted rows are kept from the previous snapshot,
     matched by ``primary`` (e.g. FQN) and otherwise by ``fallback`` (e.g. name).
-    Fallback keys that are ambiguous in the old snapshot are not used."""
-    o1 = old.select(F.col(primary).alias("_k1"), *[F.col(c).alias(f"_p_{c}") for c in value_cols])
+    Keys that are ambiguous in the old snapshot are not used, so no new row is
+    repeated."""
+    o1 = (old.groupBy(F.col(primary).alias("_k1"))
+          .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(f"_p_{c}") for c in value_cols])
+          .where(F.col("_n") == 1).drop("_n"))
     o2 = (old.groupBy(F.col(fallback).alias("_k2"))
           .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(f"_f_{c}") for c in value_cols])
           .where(F.col("_n") == 1).drop("_n"))
@@ -92,45 +95,68 @@ def rebuild_edges(edges: DataFrame, symbols: DataFrame, changed_files: DataFrame
 
 # --------------------------------------------------------------------------- Structured Streaming
 
+def merge_changes(current: DataFrame | None, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """The table after ``changes``: of each key the change of the largest ``order`` counts; ``D`` deletes, others replace."""
+    cols = [c for c in changes.columns if c not in (key, order)]
+    latest = (changes.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(order, *cols)).alias("_c"))
+              .select(key, "_c.*"))
+    kept = latest.where(F.col("change") != "D").drop("change")
+    if current is None:
+        return kept
+    gone = latest.select(F.col(key).alias("_k"))
+    return current.join(gone, current[key].eqNullSafe(gone["_k"]), "left_anti").unionByName(kept)
+
+
+def read_table(spark: SparkSession, target_dir: str) -> DataFrame | None:
+    """The current version of a table of :func:`stream_apply_changes`; None before its first batch."""
+    done = _versions(spark, target_dir)
+    return spark.read.parquet(f"{target_dir}/v={max(done)}") if done else None
+
+
+def _versions(spark: SparkSession, target_dir: str) -> list[int]:
+    """Numbers of the complete versions (those with a ``_SUCCESS`` mark), from a listing: a read error is raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    return [int(p.getName()[2:]) for p in names if fs.exists(mark(p, "_SUCCESS"))]
+
+
 def stream_apply_changes(spark: SparkSession, changes_dir: str, schema: str, target_dir: str,
-                         checkpoint_dir: str, key: str = "path"):
-    """ST-01 (stream form): change rows (``change``, key, columns…) arriving as
+                         checkpoint_dir: str, key: str = "path", order: str = "seq", keep_versions: int = 2):
+    """ST-01 (stream form): change rows (``change``, key, ``order``, columns…) arriving as
     parquet files are merged into the target table per micro-batch:
-    D rows delete the key, other rows replace it.  Runs with
-    ``Trigger.AvailableNow`` so a catch-up run processes what is there and stops;
-    the checkpoint makes a restarted run resume exactly once."""
+    D rows delete the key, other rows replace it, the largest ``order`` wins.
+
+    Every micro-batch writes one new version folder ``v=<batch>`` from the last
+    complete one; a version counts only once its ``_SUCCESS`` mark is there, so a
+    crash leaves the former version in place and a repeated batch writes the
+    same version again.  Runs with ``Trigger.AvailableNow``; the last
+    ``keep_versions`` versions stay for readers."""
     stream = spark.readStream.schema(schema).parquet(changes_dir)
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        # latest change per key inside the batch wins (by file order id)
-        latest = batch.dropDuplicates([key])
-        try:
-            current = batch.sparkSession.read.parquet(target_dir)
-        except Exception:  # first batch: empty target
-            current = None
-        upserts = latest.where(F.col("change") != "D").drop("change")
-        if current is None:
-            merged = upserts
-        else:
-            merged = current.join(latest.select(key), key, "left_anti").unionByName(upserts)
-        # write to an epoch folder, then the table folder points at it
-        merged.write.mode("overwrite").parquet(f"{target_dir}.epoch{epoch_id}")
-        batch.sparkSession.read.parquet(f"{target_dir}.epoch{epoch_id}") \
-            .write.mode("overwrite").parquet(target_dir)
+        session = batch.sparkSession
+        done = [v for v in _versions(session, target_dir) if v < epoch_id]
+        current = session.read.parquet(f"{target_dir}/v={max(done)}") if done else None
+        merge_changes(current, batch, key, order).write.mode("overwrite").parquet(f"{target_dir}/v={epoch_id}")
+        for v in sorted(done)[:max(0, len(done) + 1 - keep_versions)]:
+            old = session._jvm.org.apache.hadoop.fs.Path(f"{target_dir}/v={v}")
+            old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
 
 
-def stream_link_events(events_stream: DataFrame, subs: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """ST-06: published events (stream) joined to the static subscription table
-    on event type (exact tier of J-15), repeated publications of the same
-    (event, subscription) pair within the watermark dropped."""
+def stream_link_events(pubs: DataFrame, subs: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """ST-06: published events (stream; ts, event_type, repo, topic, routing_key) joined to
+    the static subscription table on event type (exact tier of J-15), repeated
+    publications of the same (event, subscription) pair within the watermark dropped."""
     # watermarks need TIMESTAMP (the tables store TIMESTAMP_NTZ in UTC)
-    pubs = (events_stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-            .select("ts", "event_type", (F.col("user_id") % 10).alias("pub_repo"),
-                    F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("topic"),
-                    F.concat(F.col("event_type"), F.lit("."), (F.col("user_id") % 2).cast("string")).alias("routing_key")))
+    pubs = (pubs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+            .select("ts", "event_type", F.col("repo").alias("pub_repo"), "topic", "routing_key"))
     j = pubs.join(subs.select("event_type", F.col("id").alias("sub_id"), F.col("repo").alias("sub_repo"),
                               "queue", "pattern"), "event_type")
     pts = (F.lit(70) + F.when(F.col("topic") == F.col("queue"), 20).otherwise(0)

@@ -53,13 +53,55 @@ def test_x09_routing_key(spark, key, pattern, expected):
 
 
 def _resolve(spark, route, path):
-    rules = L.compile_routes([dict(id=1, priority=0, **route)])
+    r = dict(is_regex=False) | route
+    rules = L.compile_routes(spark.createDataFrame(
+        [(1, r["gateway_type"], r["downstream"], r["upstream"], 0, r["is_regex"])],
+        "id long, gateway_type string, downstream string, upstream string, priority int, is_regex boolean"))
     calls = spark.createDataFrame([(1, path)], "id long, path string")
-    out = L.resolve_gateway(calls, L.routes_frame(spark, rules)).collect()
+    out = L.resolve_gateway(calls, rules).collect()
     return out[0]["resolved_path"] if out else None
 
 
+def test_nginx_locations(spark):
+    from meshlens.operators import configs as C
+    text = """# location /old { proxy_pass http://gone; }
+server {
+  location = /exact { proxy_pass http://a:81; }
+  location ~* ^/x/(.*)$ { if ($a) { set $b 1; } proxy_pass https://b.c/y/$1; }
+  location /de{ proxy_set_header location x; proxy_pass http://d/e/; } # tail
+  location /none { return 200; }
+  location /outer { root /r; location /inner { proxy_pass http://in:9; } }
+}"""
+    rows = C.nginx_routes(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string"), "id", "text").collect()
+    assert sorted((r.modifier, r.downstream_path, r.upstream_host, r.upstream_port, r.upstream_path) for r in rows) == [
+        ("", "/de", "d", None, "/e/"), ("", "/inner", "in", 9, "/"), ("=", "/exact", "a", 81, "/"),
+        ("~*", "^/x/(.*)$", "b.c", None, "/y/$1")]
+
+
+def test_sections_blocks_and_json_are_whole(spark):
+    from meshlens.functions.jsonflat import flatten_json
+    from meshlens.operators import extract as E
+    from meshlens.operators import relational as R
+    text = "# head\n" + "\n".join(f"line {i}" for i in range(1, 80)) + "\nneedle\n```py\n" + "x\n" * 90 + "```\n## next\n#notahead\nz"
+    d = spark.createDataFrame([(1, text), (2, "no heads"), (3, None), (4, "")], "id long, text string")
+    sec = sorted(E.doc_sections(d, "id", "text").collect(), key=lambda r: r.start_line)
+    assert [(r.title, r.level, r.start_line) for r in sec] == [("head", 1, 1), ("next", 2, 174)]
+    assert "needle" in sec[0].content and sec[0].end_line == 173 and sec[1].content == ""
+    (b,) = E.code_blocks(d, "id", "text").collect()
+    assert (b.start_line, b.end_line, b.language, b.line_count, b.code) == (82, 173, "py", 90, "\n".join(["x"] * 90))
+    sym = E.doc_sections(d, "id", "text").selectExpr("id", "'DOCUMENT_SECTION' as kind", "title as name",
+                                                     "content as documentation", "title as signature")
+    assert R.doc_search(sym, "needle").count() == 1
+    deep = '{"a":' * 30 + '[1, {"b": "x{[\\"}"}, [], {}, null]' + "}" * 30
+    got = {(r.key, r.value) for r in flatten_json(spark.createDataFrame([(1, deep), (2, None), (3, "5")], "id long, j string"),
+                                                  "id", "j").collect()}
+    stem = ":".join("a" * 30)
+    assert got == {(f"{stem}:0", "1"), (f"{stem}:1:b", 'x{["}'), (f"{stem}:4", None)}
+
+
 def test_j14_gateway(spark):
+    assert _resolve(spark, dict(gateway_type="nginx", downstream="/de", upstream="/german/"), "/developers/x") == "/german/velopers/x"
+    assert _resolve(spark, dict(gateway_type="nginx", downstream="/de/", upstream="/german/"), "/developers/x") is None
     assert _resolve(spark, dict(gateway_type="ocelot", downstream="/api/{everything}", upstream="/{everything}"),
                     "/api/users/123/orders") == "/users/123/orders"
     assert _resolve(spark, dict(gateway_type="ocelot", downstream="/api/users/{userId}/orders/{orderId}",

@@ -17,6 +17,13 @@ def scratch():
     return tempfile.mkdtemp(prefix="meshlens-test-")
 
 
+def published(events):
+    """The events table as published messages, as the probe view has them."""
+    return events.select("ts", "event_type", (F.col("user_id") % 10).alias("repo"),
+                         F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("topic"),
+                         F.concat(F.col("event_type"), F.lit("."), (F.col("user_id") % 2).cast("string")).alias("routing_key"))
+
+
 def test_stream_link_events_matches_batch_twin(spark, sf_dir):
     t = load_tables(spark, sf_dir)
     schema = t.events.schema
@@ -26,7 +33,7 @@ def test_stream_link_events_matches_batch_twin(spark, sf_dir):
     # watermark moved on and be dropped as late (correct streaming semantics,
     # but then the stream is not comparable with its batch twin)
     stream = spark.readStream.schema(schema).parquet(src)
-    links = I.stream_link_events(stream, probes.v_sub(t))
+    links = I.stream_link_events(published(stream), probes.v_sub(t))
     name = "links_" + os.path.basename(scratch()).replace("-", "_")
     q = links.writeStream.format("memory").queryName(name).outputMode("append").start()
     q.processAllAvailable()
@@ -42,13 +49,54 @@ def test_stream_link_events_matches_batch_twin(spark, sf_dir):
 def test_stream_apply_changes(spark):
     root = scratch()
     changes, target, ckpt = f"{root}/changes", f"{root}/target", f"{root}/ckpt"
-    schema = "change string, path string, content_hash string"
-    spark.createDataFrame([("A", "a.py", "h1"), ("A", "b.py", "h2")], schema).write.mode("append").parquet(changes)
-    I.stream_apply_changes(spark, changes, schema, target, ckpt).awaitTermination()
-    spark.createDataFrame([("D", "a.py", None), ("M", "b.py", "h3")], schema).write.mode("append").parquet(changes)
-    I.stream_apply_changes(spark, changes, schema, target, ckpt).awaitTermination()
-    rows = {r["path"]: r["content_hash"] for r in spark.read.parquet(target).collect()}
-    assert rows == {"b.py": "h3"}
+    schema = "change string, path string, content_hash string, seq long"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(changes)
+        I.stream_apply_changes(spark, changes, schema, target, ckpt).awaitTermination()
+        return {r["path"]: r["content_hash"] for r in I.read_table(spark, target).collect()}
+
+    assert I.read_table(spark, target) is None
+    assert run([("A", "a.py", "h1", 1), ("A", "b.py", "h2", 2), ("A", "n.py", None, 3)]) == {
+        "a.py": "h1", "b.py": "h2", "n.py": None}
+    # A and D of one key in one batch: the later one counts, in both orders
+    assert run([("D", "a.py", None, 4), ("M", "b.py", "h3", 5), ("A", "c.py", "h", 7), ("D", "c.py", None, 6),
+                ("A", "d.py", "h", 8), ("D", "d.py", None, 9)]) == {"b.py": "h3", "c.py": "h", "n.py": None}
+    # a version without its mark (a crash while writing) is passed over
+    os.makedirs(f"{target}/v=99")
+    assert run([("A", "e.py", "h", 10)]) == {"b.py": "h3", "c.py": "h", "e.py": "h", "n.py": None}
+    # a failing read of the target fails the batch and doesn't overwrite it
+    last = max(I._versions(spark, target))
+    for f in os.listdir(f"{target}/v={last}"):
+        if f.endswith(".parquet"):
+            with open(f"{target}/v={last}/{f}", "w") as out:
+                out.write("broken")
+    try:
+        run([("A", "f.py", "h", 11)])
+        raise AssertionError("the read error was swallowed")
+    except Exception as e:
+        assert "swallowed" not in str(e)
+    assert max(I._versions(spark, target)) == last
+
+
+def test_apply_changes_keeps_null_hashes_and_duplicates(spark):
+    schema = "id long, path string, content_hash string"
+    old = spark.createDataFrame([(1, "a", None), (2, "b", "h"), (3, "c", "x"), (4, "d", "x"), (5, "e", "g")], schema)
+    new = spark.createDataFrame([(11, "a", None), (12, "b", None), (13, "c2", "x"), (14, "d2", "x"), (15, "d3", "x"),
+                                 (16, "f", None)], schema)
+    got = {(r.id, r.path, r.content_hash, r.change) for r in I.apply_changes(old, new).collect()}
+    assert got == {(1, "a", None, "="), (12, "b", None, "M"), (3, "c2", "x", "R"), (4, "d2", "x", "R"),
+                   (15, "d3", "x", "A"), (16, "f", None, "A")}
+    assert {(r.path, r.id) for r in I.skip_unchanged(old, new).collect()} == {
+        ("b", 12), ("c2", 13), ("d2", 14), ("d3", 15), ("f", 16)}
+
+
+def test_carry_over_does_not_repeat_rows(spark):
+    old = spark.createDataFrame([("x.f", "f", "one"), ("x.f", "f", "two"), ("y.g", "g", "three")],
+                                "fqn string, name string, note string")
+    new = spark.createDataFrame([(1, "x.f", "f"), (2, "y.g", "g"), (3, "z.g", "g")], "id long, fqn string, name string")
+    got = sorted((r.id, r.note) for r in I.carry_over(old, new, ["note"], "fqn", "name").collect())
+    assert got == [(1, None), (2, "three"), (3, "three")]
 
 
 def test_enrichment_batches(spark, sf_dir):
@@ -76,6 +124,9 @@ def test_export_docs_and_scan_corpus(spark):
     sinks.export_docs(df, root, "name", "text")
     names = sorted(d for d in os.listdir(root) if d.startswith("name="))
     assert names == ["name=abcdefg", "name=svc_api_x_y"]
+    twins = spark.createDataFrame([("p" * 120 + c, c) for c in "abc"], "name string, text string")
+    sinks.export_docs(twins, f"{root}-twins", "name", "text")
+    assert len([d for d in os.listdir(f"{root}-twins") if d.startswith("name=")]) == 3
     listed = scan_corpus(spark, root, "*.txt")
     assert sorted(r["content"].strip() for r in listed.collect()) == ["hello", "world"]
 
@@ -85,6 +136,10 @@ def test_upsert_versions(spark):
     upd = spark.createDataFrame([(2, "B"), (3, "c")], "id long, v string")
     got = {r["id"]: (r["v"], r["version"]) for r in sinks.upsert(target, upd, ["id"], "version").collect()}
     assert got == {1: ("a", 1), 2: ("B", 2), 3: ("c", 1)}
+    wide = spark.createDataFrame([(1, "a", "kept"), (2, "b", "kept"), (None, "n", "kept")], "id long, v string, note string")
+    rows = sinks.upsert(wide, spark.createDataFrame([(2, "B", 5), (None, "N", 6)], "id long, v string, extra int"), ["id"])
+    assert {tuple(r) for r in rows.select("id", "v", "note", "extra").collect()} == {
+        (1, "a", "kept", None), (2, "B", "kept", 5), (None, "N", "kept", 6)}
 
 
 def test_stream_link_events_drops_late_and_repeated_events(spark):
@@ -101,7 +156,7 @@ def test_stream_link_events_drops_late_and_repeated_events(spark):
     spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     name = "late_" + os.path.basename(root).replace("-", "_")
-    q = I.stream_link_events(stream, subs).writeStream.format("memory").queryName(name).outputMode("append").start()
+    q = I.stream_link_events(published(stream), subs).writeStream.format("memory").queryName(name).outputMode("append").start()
     q.processAllAvailable()
     # the watermark is now t0 + 5 min - 1 hour; a later batch brings one late and one fresh event
     later = [(3, t0 + dt.timedelta(hours=3), 1, "click", 1.0, "{}"), (4, t0 - dt.timedelta(hours=2), 4, "click", 1.0, "{}")]
