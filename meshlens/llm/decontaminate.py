@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import SHINGLE, grams, utf8, word_hashes
+from meshlens.llm.common import SHINGLE, grams, slices, utf8, word_hashes
 
 RADIUS = 20
 SIMILARITY = 0.8
@@ -140,7 +140,7 @@ class Index:
 def _search(index) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx: Index = index.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             raw, bounds = utf8(batch.column(1))
             h, words = word_hashes(raw, bounds)
             found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import _SPACE, mix_int, remainder, training_rows, utf8, word_hashes, grams, mix
+from meshlens.llm.common import _SPACE, grams, mix, mix_int, remainder, slices, training_rows, utf8, word_hashes
 
 DIM = 1 << 18
 #: At most so many labelled rows train the model.
@@ -69,7 +69,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: intercept and weights.  Slot DIM is the intercept, which is not regularised."""
     z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
     rows: list[tuple[np.ndarray, int]] = []
-    for batch in batches:
+    for batch in slices(batches, 0):
         rows += [(f.astype(np.int32), y) for f, y in zip(features(batch.column(0)), batch.column(1).to_pylist())]
 
     def weights(i):
@@ -104,7 +104,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             s = [w[DIM] + w[f].sum(dtype=np.float64) / np.sqrt(max(1, len(f))) for f in features(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(np.array(s, float)))],
                                              ["doc_id", "score"])
