@@ -2,7 +2,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import Row
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,14 +43,15 @@ def odd_texts():
 @pytest.fixture(scope="session")
 def odd(spark):
     """The odd texts with all columns of documents, null languages and sources, and columns whose names clash."""
-    rows = [Row(doc_id=i, text=t, lang=None if k % 7 == 0 else "en" if k % 2 else "de",
+    rows = [dict(doc_id=i, text=t, lang=None if k % 7 == 0 else "en" if k % 2 else "de",
                 source=None if k % 5 == 0 else f"src{k % 3}", n_chars=None, label=k, score=0.5, n=k, cls=k, name="x",
                 rid=k, ref=k, kept="?", comp=k, key=k, value=None, level=k, tokens=k, w=1.0, carrier=0)
             for k, (i, t) in enumerate(odd_texts())]
     schema = ("doc_id long, text string, lang string, source string, n_chars long, label long, score double, n long, "
               "cls long, name string, rid long, ref long, kept string, comp long, key long, value string, level long, "
               "tokens long, w double, carrier long")
-    return spark.createDataFrame(rows, schema).repartition(5)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], schema).repartition(5)
 
 
 @pytest.fixture(scope="session")
