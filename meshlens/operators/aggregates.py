@@ -238,12 +238,13 @@ def _lang_key(c: str = "language") -> Column:
     return F.coalesce(F.lower(F.col(c)), F.lit("unknown"))
 
 
-def module_stats(files: DataFrame, symbols: DataFrame, min_depth: int = 1, max_depth: int = 10) -> DataFrame:
-    """A-14: per (repository, directory) over its *direct* files: counts, lines,
+def module_stats(files: DataFrame, symbols: DataFrame, min_depth: int = 1, max_depth: int | None = None) -> DataFrame:
+    """A-14: per (repository, directory of any depth) over its *direct* files: counts, lines,
     language counts, entry points, test hint, module type by indicator file;
     kept when a package, ≥ 2 files or ≥ 5 symbols."""
-    f = with_dir(files).where((F.col("dir_depth") >= 1) & (F.col("dir_depth") <= max_depth)
-                              & (F.col("dir_depth") >= min_depth))
+    f = with_dir(files).where((F.col("dir_depth") >= 1) & (F.col("dir_depth") >= min_depth))
+    if max_depth is not None:
+        f = f.where(F.col("dir_depth") <= max_depth)
     prio = None
     for i, (_, names) in enumerate(MODULE_INDICATORS):
         cond = F.col("filename").isin(list(names))
@@ -498,17 +499,15 @@ def significant_symbols(ctx: DataFrame, enriched: Column) -> DataFrame:
     return ctx.where(cond)
 
 
-def key_symbols(ctx: DataFrame, first: int = 200, keep: int = 50) -> DataFrame:
-    """A-28: per repository, the ``first`` most complex symbols, then +1000 for
-    endpoints and Controller/Service/Handler/Manager names, top ``keep``."""
+def key_symbols(ctx: DataFrame, keep: int = 50) -> DataFrame:
+    """A-28: per repository the top ``keep`` symbols by complexity, +1000 for
+    endpoints and Controller/Service/Handler/Manager names, of all symbols."""
     c = F.coalesce(F.col("complexity"), F.lit(0))
-    w1 = Window.partitionBy("repository").orderBy(c.desc(), F.col("id"))
-    stage = ctx.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= first)
     hp = F.col("kind") == "ENDPOINT"
     for p in KEY_SYMBOL_NAME_PARTS:
         hp = hp | F.col("name").contains(p)
-    stage = stage.withColumn("priority_score", c + F.when(hp, 1000).otherwise(0))
-    w2 = Window.partitionBy("repository").orderBy(F.col("priority_score").desc(), F.col("_r1"))
+    stage = ctx.withColumn("priority_score", c + F.when(hp, 1000).otherwise(0))
+    w2 = Window.partitionBy("repository").orderBy(F.col("priority_score").desc(), c.desc(), F.col("id"))
     return (stage.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= keep)
             .select("repository", "id", "name", "priority_score", F.col("rank").cast("bigint").alias("rank")))
 

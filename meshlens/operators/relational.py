@@ -376,8 +376,9 @@ def fuse_lists(a: DataFrame, b: DataFrame, key: str, score: str = "score") -> Da
 
 def sample_per_group(df: DataFrame, group: list[str], id_col: str, n: int = 5, seed: int = 42) -> DataFrame:
     """T-04: ``n`` pseudo-random rows per group, reproducible: the random key is
-    a hash of (seed, id), so a retried task draws the same sample."""
-    w = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col))
+    the md5 of ``seed:id``, so a retried task draws the same sample."""
+    draw = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(id_col).cast("string")).cast("binary"))
+    w = Window.partitionBy(*group).orderBy(draw, F.col(id_col))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 

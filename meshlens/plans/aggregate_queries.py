@@ -196,7 +196,7 @@ MODULE_STATS_SQL = f"""
 WITH f AS (SELECT d.*, coalesce(c.n, 0) AS symbol_count, {_indicator_case('filename')} AS prio
            FROM {FILES_DIR_SQL.format(src='v_files')} d
            LEFT JOIN (SELECT file_id, count(*) AS n FROM v_symbols GROUP BY file_id) c ON c.file_id = d.id
-           WHERE dir_depth >= 1 AND dir_depth <= 10),
+           WHERE dir_depth >= 1),
 langs AS (SELECT repository, dir, array_to_string(list_sort(list(lang || ':' || CAST(c AS VARCHAR))), ',') AS languages
           FROM (SELECT repository, dir, lang, count(*) AS c FROM f GROUP BY ALL) GROUP BY ALL),
 g AS (SELECT repository, dir, count(*) AS file_count, CAST(sum(symbol_count) AS BIGINT) AS symbol_count,
@@ -407,12 +407,11 @@ def a27_language_file_symbol_stats(spark, sf_dir):
 
 
 @register("a28_key_symbols", sql=f"""
-WITH s1 AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY coalesce(complexity, 0) DESC, id) AS r1
-            FROM {CTX_SQL}),
+WITH s1 AS (SELECT * FROM {CTX_SQL}),
 s2 AS (SELECT *, coalesce(complexity, 0) + CASE WHEN kind = 'ENDPOINT' OR contains(name, 'Controller')
             OR contains(name, 'Service') OR contains(name, 'Handler') OR contains(name, 'Manager') THEN 1000 ELSE 0 END
-            AS priority_score FROM s1 WHERE r1 <= 200),
-s3 AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY priority_score DESC, r1) AS rank FROM s2)
+            AS priority_score FROM s1),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY priority_score DESC, coalesce(complexity, 0) DESC, id) AS rank FROM s2)
 SELECT repository, id, name, priority_score, CAST(rank AS BIGINT) AS rank FROM s3 WHERE rank <= 50""")
 def a28_key_symbols(spark, sf_dir):
     t = _t(spark, sf_dir)

@@ -149,8 +149,8 @@ def g04_interface_edges(spark, sf_dir):
 
 # Node-id offsets of the service graph: symbols keep their ids, endpoints and
 # subscription handlers get their own ranges.
-ENDPOINT_BASE = 3_000_000
-HANDLER_BASE = 5_000_000
+ENDPOINT_BASE = 3_000_000_000_000
+HANDLER_BASE = 5_000_000_000_000
 
 
 def _service_edges(t):

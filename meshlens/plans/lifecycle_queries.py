@@ -34,7 +34,7 @@ def pattern_probe(t):
     p = t.part
     b = F.substring_index("p_brand", "#", -1).cast("int")
     classes = (p.select("p_brand").distinct().withColumn("b", b)
-               .select((F.lit(1_000_000) + F.col("b")).cast("bigint").alias("id"),
+               .select((F.lit(1_000_000_000_000) + F.col("b")).cast("bigint").alias("id"),
                        _class_name(F.col("b")).alias("name"), F.col("p_brand").alias("fqn"),
                        F.lit("CLASS").alias("kind")))
     first = F.substring_index("p_name", " ", 1)
@@ -67,7 +67,7 @@ _VERB_SQL = "CASE " + " ".join(f"WHEN split_part(p_name, ' ', 1) = '{w}' THEN '{
 _B = "CAST(split_part(p_brand, '#', 2) AS INTEGER)"
 
 PROBE_SQL = f"""
-cls AS (SELECT DISTINCT CAST(1000000 + {_B} AS BIGINT) AS id, {_cname_sql(_B)} AS name, p_brand AS fqn,
+cls AS (SELECT DISTINCT CAST(1000000000000 + {_B} AS BIGINT) AS id, {_cname_sql(_B)} AS name, p_brand AS fqn,
                'CLASS' AS kind FROM part),
 mem AS (SELECT p_partkey AS id,
           CASE WHEN split_part(p_name, ' ', 2) = 'anvil' THEN {_cname_sql(_B)}
@@ -144,7 +144,7 @@ def p05_observer(spark, sf_dir):
 
 
 @register("p06_layer_counts", sql=f"""WITH {PROBE_SQL},
-cr AS (SELECT c.*, f.repository FROM cls c JOIN v_files f ON f.id = (c.id - 1000000) % (SELECT count(*) FROM documents))
+cr AS (SELECT c.*, f.repository FROM cls c JOIN v_files f ON f.id = (c.id - 1000000000000) % (SELECT count(*) FROM documents))
 SELECT repository, count(*) FILTER (WHERE kind = 'CLASS' AND contains(lower(name), 'controller')) AS controllers,
        count(*) FILTER (WHERE kind = 'CLASS' AND contains(lower(name), 'service')) AS services,
        count(*) FILTER (WHERE kind IN ('CLASS', 'INTERFACE') AND contains(lower(name), 'repository')) AS repositories
@@ -154,7 +154,7 @@ def p06_layer_counts(spark, sf_dir):
     classes, _ = pattern_probe(t)
     n_docs = t.documents.select(F.count(F.lit(1))).scalar()
     files = probes.v_files(t).select(F.col("id").alias("fid"), "repository")
-    cr = classes.withColumn("fid", (F.col("id") - 1_000_000) % n_docs).join(files, "fid")
+    cr = classes.withColumn("fid", (F.col("id") - 1_000_000_000_000) % n_docs).join(files, "fid")
     return P.layer_counts(cr)
 
 
@@ -318,7 +318,7 @@ def p09_service_boundaries(spark, sf_dir):
     t = _t(spark, sf_dir)
     classes, _ = pattern_probe(t)
     ctrl = (classes.where(F.col("name").endswith("Controller"))
-            .groupBy(((F.col("id") - 1_000_000).cast("bigint")).alias("project_id")).agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(((F.col("id") - 1_000_000_000_000).cast("bigint")).alias("project_id")).agg(F.count(F.lit(1)).alias("n")))
     return P.service_boundaries(_service_projects(t), ctrl)
 
 

@@ -48,7 +48,7 @@ def a25_unique_external_calls(spark, sf_dir):
 
 
 @register("a30_service_controllers", sql="""
-WITH cls AS (SELECT DISTINCT CAST(1000000 + b AS BIGINT) AS id, 'Brand' || CAST(b AS VARCHAR) || CASE b % 6
+WITH cls AS (SELECT DISTINCT CAST(1000000000000 + b AS BIGINT) AS id, 'Brand' || CAST(b AS VARCHAR) || CASE b % 6
                WHEN 0 THEN 'Factory' WHEN 1 THEN 'Repository' WHEN 2 THEN 'Builder' WHEN 3 THEN 'Singleton'
                WHEN 4 THEN 'Controller' ELSE 'EventHandler' END AS name, b FROM (
              SELECT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS b FROM part))
@@ -57,7 +57,7 @@ def a30_service_controllers(spark, sf_dir):
     """A-30: controllers (name suffix) of each service (probe: service = brand mod 3)."""
     classes, _ = pattern_probe(_t(spark, sf_dir))
     return (classes.where(F.col("name").endswith("Controller"))
-            .select(((F.col("id") - 1_000_000) % 3).alias("service_id"), F.col("id").alias("controller_id"),
+            .select(((F.col("id") - 1_000_000_000_000) % 3).alias("service_id"), F.col("id").alias("controller_id"),
                     F.col("name").alias("controller_name")))
 
 

@@ -27,7 +27,7 @@ SELECT p_partkey AS id, p_name AS name, p_type AS signature, p_brand || '.' || p
        CAST(p_partkey % (SELECT count(*) FROM documents) AS BIGINT) AS file_id
 FROM part
 UNION ALL
-SELECT CAST(1000000 + b AS BIGINT) AS id, p_brand AS name, NULL AS signature, p_brand AS fqn,
+SELECT CAST(1000000000000 + b AS BIGINT) AS id, p_brand AS name, NULL AS signature, p_brand AS fqn,
        NULL AS parent_name, NULL AS complexity, NULL AS start_line, NULL AS end_line,
        CASE WHEN b % 5 = 0 THEN 'INTERFACE' ELSE 'CLASS' END AS kind, 'PUBLIC' AS access,
        NULL AS documentation, CAST(b % (SELECT count(*) FROM documents) AS BIGINT) AS file_id
@@ -40,10 +40,10 @@ SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst,
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 WHERE a.l_partkey <> b.l_partkey
 UNION ALL
-SELECT CAST(1000000 + b AS BIGINT), CAST(1000000 + b - b % 5 AS BIGINT), 'IMPLEMENTS'
+SELECT CAST(1000000000000 + b AS BIGINT), CAST(1000000000000 + b - b % 5 AS BIGINT), 'IMPLEMENTS'
 FROM v_brands WHERE b % 5 <> 0 AND (b - b % 5) IN (SELECT b FROM v_brands)
 UNION ALL
-SELECT CAST(1000000 + b AS BIGINT), CAST(1000000 + b - 1 AS BIGINT), 'INHERITS'
+SELECT CAST(1000000000000 + b AS BIGINT), CAST(1000000000000 + b - 1 AS BIGINT), 'INHERITS'
 FROM v_brands WHERE b % 5 = 2""",
     "v_tree": """
 SELECT 'r' || r_regionkey AS node, r_name AS name, NULL::VARCHAR AS parent, 'REGION' AS level FROM region

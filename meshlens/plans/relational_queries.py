@@ -275,7 +275,7 @@ def t06_entry_points_first(spark, sf_dir):
 
 @register("t07_symbols_in_file", sql="""
 SELECT file_id, kind, count(*) AS n, min(start_line) AS first_line,
-       left(coalesce(arg_min_null(documentation, CAST(start_line AS BIGINT) * 1000000000 + id), ''), 100) AS first_doc_preview
+       left(coalesce(arg_min_null(documentation, CAST(start_line AS BIGINT) * 100000000000000 + id), ''), 100) AS first_doc_preview
 FROM v_symbols WHERE file_id IS NOT NULL GROUP BY file_id, kind""")
 def t07_symbols_in_file(spark, sf_dir):
     """T-07: per file and kind: count, first line and the first symbol's 100-char
@@ -287,7 +287,10 @@ def t07_symbols_in_file(spark, sf_dir):
         .alias("first_doc_preview"))
 
 
-@register("t04_sample_per_group")
+@register("t04_sample_per_group", sql="""
+SELECT id, repository, language, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY repository, language ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS rn FROM v_files)
+WHERE rn <= 5""")
 def t04_sample_per_group(spark, sf_dir):
     f = probes.v_files(load_tables(spark, sf_dir)).select("id", "repository", "language", "path")
     return R.sample_per_group(f, ["repository", "language"], "id", n=5)

@@ -77,14 +77,14 @@ def j24_reference_edges(spark, sf_dir):
     return RS.reference_edges(probes.v_symbols(t), refs)
 
 
-SIG_SYMBOLS_SQL = """(SELECT id, name, kind, fqn, CASE WHEN id >= 1000000 THEN 'class ' || name || ' : Brand#'
-  || CAST(id - 1000000 + 1 AS VARCHAR) || ', IMissing' ELSE signature END AS signature FROM v_symbols)"""
+SIG_SYMBOLS_SQL = """(SELECT id, name, kind, fqn, CASE WHEN id >= 1000000000000 THEN 'class ' || name || ' : Brand#'
+  || CAST(id - 1000000000000 + 1 AS VARCHAR) || ', IMissing' ELSE signature END AS signature FROM v_symbols)"""
 
 
 def _sig_symbols(t):
     s = probes.v_symbols(t)
-    sig = F.when(F.col("id") >= 1_000_000, F.concat(F.lit("class "), F.col("name"), F.lit(" : Brand#"),
-                                                     (F.col("id") - 1_000_000 + 1).cast("string"),
+    sig = F.when(F.col("id") >= 1_000_000_000_000, F.concat(F.lit("class "), F.col("name"), F.lit(" : Brand#"),
+                                                     (F.col("id") - 1_000_000_000_000 + 1).cast("string"),
                                                      F.lit(", IMissing"))).otherwise(F.col("signature"))
     return s.withColumn("signature", sig)
 
@@ -251,7 +251,7 @@ EXISTING_SQL = f"""(SELECT id, id % 3 AS repository_id, project_path AS file_pat
   CASE WHEN id % 2 = 0 THEN 'g' || CAST(id AS VARCHAR) END AS project_guid,
   CASE WHEN id % 5 = 0 THEN 'orphan' ELSE regexp_replace(split_part(project_path, '/', -1), '\\.csproj$', '') END AS name
   FROM {PROJECTS_SQL})"""
-NEW_SQL = f"""(SELECT id + 500000 AS id, repository_id,
+NEW_SQL = f"""(SELECT id + 2000000000000 AS id, repository_id,
   CASE id % 4 WHEN 0 THEN file_path WHEN 1 THEN 'moved/' || file_path WHEN 2 THEN '/app/' || file_path
               ELSE 'other/' || file_path END AS file_path,
   CASE WHEN id % 4 = 1 THEN project_guid END AS project_guid,
@@ -272,7 +272,7 @@ def _new_projects(t):
     i = F.col("id")
     path = (F.when(i % 4 == 0, F.col("file_path")).when(i % 4 == 1, F.concat(F.lit("moved/"), F.col("file_path")))
             .when(i % 4 == 2, F.concat(F.lit("/app/"), F.col("file_path"))).otherwise(F.concat(F.lit("other/"), F.col("file_path"))))
-    return e.select((i + 500000).alias("id"), "repository_id", path.alias("file_path"),
+    return e.select((i + 2000000000000).alias("id"), "repository_id", path.alias("file_path"),
                     F.when(i % 4 == 1, F.col("project_guid")).alias("project_guid"), "name")
 
 
@@ -374,7 +374,7 @@ CQRS_SQL = """(SELECT p_partkey AS id, replace(p_brand, '#', '') || 'Q' || CAST(
   CASE p_partkey % 3 WHEN 0 THEN ['IRequest<int>'] WHEN 1 THEN ['ICommand', 'IDisposable'] ELSE ['BaseThing'] END AS bases
   FROM part
   UNION ALL
-  SELECT 10000000 + p_partkey, replace(p_brand, '#', '') || 'Q' || CAST(p_partkey AS VARCHAR) || 'Handler', ['IRequestHandler']
+  SELECT 9000000000000 + p_partkey, replace(p_brand, '#', '') || 'Q' || CAST(p_partkey AS VARCHAR) || 'Handler', ['IRequestHandler']
   FROM part WHERE p_partkey % 2 = 0)"""
 
 
@@ -385,7 +385,7 @@ def _cqrs(t):
     bases = (F.when(k % 3 == 0, F.array(F.lit("IRequest<int>"))).when(k % 3 == 1, F.array(F.lit("ICommand"), F.lit("IDisposable")))
              .otherwise(F.array(F.lit("BaseThing"))))
     req = p.select(k.alias("id"), name.alias("name"), bases.alias("bases"))
-    hnd = p.where(k % 2 == 0).select((F.lit(10_000_000) + k).alias("id"), F.concat(name, F.lit("Handler")).alias("name"),
+    hnd = p.where(k % 2 == 0).select((F.lit(9_000_000_000_000) + k).alias("id"), F.concat(name, F.lit("Handler")).alias("name"),
                                       F.array(F.lit("IRequestHandler")).alias("bases"))
     return req.unionByName(hnd)
 

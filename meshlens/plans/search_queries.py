@@ -21,10 +21,8 @@ def _qvec(t):
     return search.query_vector(probes.v_vec(t), "chunk_id", QUERY_VEC_ID)
 
 
-@register("v04_hybrid_search", sql=f"""
-WITH q AS (SELECT vector::DOUBLE[] AS qv FROM v_vec WHERE chunk_id = {QUERY_VEC_ID}),
-kw_scored AS (
-  SELECT id, name,
+KW_SCORED_SQL = f"""
+(SELECT id, name,
     (CASE WHEN lower(name) = '{QUERY_TEXT}' THEN 10.0 WHEN contains(lower(name), '{QUERY_TEXT}') THEN 5.0
           WHEN contains(lower(coalesce(fqn, '')), '{QUERY_TEXT}') THEN 4.0
           WHEN contains(lower(coalesce(signature, '')), '{QUERY_TEXT}') THEN 2.0
@@ -38,11 +36,15 @@ kw_scored AS (
          WHEN contains(lower(coalesce(signature, '')), 'widget') THEN 1.0
          WHEN contains(lower(coalesce(documentation, '')), 'widget') THEN 0.5 ELSE 0.0 END AS t2
     FROM v_symbols
-    WHERE parent_name IS NOT NULL AND (contains(lower(name), 'red') OR contains(lower(coalesce(signature, '')), 'red')
+    WHERE contains(lower(name), 'red') OR contains(lower(coalesce(signature, '')), 'red')
        OR contains(lower(coalesce(documentation, '')), 'red') OR contains(lower(coalesce(fqn, '')), 'red')
        OR contains(lower(name), 'widget') OR contains(lower(coalesce(signature, '')), 'widget')
-       OR contains(lower(coalesce(documentation, '')), 'widget') OR contains(lower(coalesce(fqn, '')), 'widget')))
-),
+       OR contains(lower(coalesce(documentation, '')), 'widget') OR contains(lower(coalesce(fqn, '')), 'widget')))"""
+
+
+@register("v04_hybrid_search", sql=f"""
+WITH q AS (SELECT vector::DOUBLE[] AS qv FROM v_vec WHERE chunk_id = {QUERY_VEC_ID}),
+kw_scored AS (SELECT * FROM {KW_SCORED_SQL}),
 kw AS (SELECT id AS symbol_id, row_number() OVER (ORDER BY score DESC, name, id) AS rank
        FROM kw_scored ORDER BY score DESC, name, id LIMIT {2 * LIMIT}),
 sims AS (SELECT symbol_id, round(list_cosine_similarity(vector::DOUBLE[], (SELECT qv FROM q)), 6) AS score FROM v_vec),
@@ -59,39 +61,17 @@ FROM f ORDER BY score DESC, symbol_id LIMIT {LIMIT}
 """)
 def v04_hybrid_search(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    members = probes.v_members(t)
-    return search.hybrid_search(members, probes.v_vec(t), QUERY_TEXT, _qvec(t),
+    return search.hybrid_search(probes.v_symbols(t), probes.v_vec(t), QUERY_TEXT, _qvec(t),
                                 limit=LIMIT, threshold=VEC_THRESHOLD)
 
 
-KW_SCORED_SQL = f"""
-(SELECT id, name,
-    (CASE WHEN lower(name) = '{QUERY_TEXT}' THEN 10.0 WHEN contains(lower(name), '{QUERY_TEXT}') THEN 5.0
-          WHEN contains(lower(coalesce(fqn, '')), '{QUERY_TEXT}') THEN 4.0
-          WHEN contains(lower(coalesce(signature, '')), '{QUERY_TEXT}') THEN 2.0
-          WHEN contains(lower(coalesce(documentation, '')), '{QUERY_TEXT}') THEN 1.0 ELSE 0.0 END)
-    + t1 + t2 + ((CASE WHEN t1 > 0 THEN 1 ELSE 0 END) + (CASE WHEN t2 > 0 THEN 1 ELSE 0 END)) / 2.0 * 3.0 AS score
-  FROM (SELECT *,
-    CASE WHEN contains(lower(name), 'red') THEN 2.0 WHEN contains(lower(coalesce(fqn, '')), 'red') THEN 1.5
-         WHEN contains(lower(coalesce(signature, '')), 'red') THEN 1.0
-         WHEN contains(lower(coalesce(documentation, '')), 'red') THEN 0.5 ELSE 0.0 END AS t1,
-    CASE WHEN contains(lower(name), 'widget') THEN 2.0 WHEN contains(lower(coalesce(fqn, '')), 'widget') THEN 1.5
-         WHEN contains(lower(coalesce(signature, '')), 'widget') THEN 1.0
-         WHEN contains(lower(coalesce(documentation, '')), 'widget') THEN 0.5 ELSE 0.0 END AS t2
-    FROM v_symbols
-    WHERE parent_name IS NOT NULL AND (contains(lower(name), 'red') OR contains(lower(coalesce(signature, '')), 'red')
-       OR contains(lower(coalesce(documentation, '')), 'red') OR contains(lower(coalesce(fqn, '')), 'red')
-       OR contains(lower(name), 'widget') OR contains(lower(coalesce(signature, '')), 'widget')
-       OR contains(lower(coalesce(documentation, '')), 'widget') OR contains(lower(coalesce(fqn, '')), 'widget'))))"""
-
-
 @register("v01_keyword_search", sql=f"""
 SELECT id, name, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (ORDER BY score DESC, name, id) AS BIGINT) AS rank
 FROM {KW_SCORED_SQL} ORDER BY score DESC, name, id LIMIT 100""")
 def v01_keyword_search(spark, sf_dir):
     """V-01: top 100 keyword hits (every match scored before the limit)."""
     t = load_tables(spark, sf_dir)
-    return search.keyword_search(probes.v_members(t), QUERY_TEXT, 100).select(
+    return search.keyword_search(probes.v_symbols(t), QUERY_TEXT, 100).select(
         "id", "name", F.col("score").cast("double"), "rank")
 
 
@@ -208,7 +188,7 @@ def s01_fuse_lists(spark, sf_dir):
     """S-01: outer union by id of the keyword and vector hit lists with both scores and their sum."""
     from meshlens.operators.relational import fuse_lists
     t = load_tables(spark, sf_dir)
-    kw = search.keyword_search(probes.v_members(t), QUERY_TEXT, 40).select(F.col("id").alias("symbol_id"),
+    kw = search.keyword_search(probes.v_symbols(t), QUERY_TEXT, 40).select(F.col("id").alias("symbol_id"),
                                                                           F.col("score").cast("double"))
     vs = search.vector_search(probes.v_vec(t), _qvec(t), 40, VEC_THRESHOLD).select("symbol_id", "score")
     return fuse_lists(kw, vs, "symbol_id").select("symbol_id", "score_a", "score_b", F.round("score", 6).alias("score"))

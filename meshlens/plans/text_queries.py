@@ -610,7 +610,7 @@ def _symbols_sql() -> str:
                          f"FROM l WHERE language = '{lang}'")
     stops = ", ".join(sq(w) for w in E.SYMBOL_STOP_NAMES)
     lines = ("(SELECT id, language, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INTEGER) AS line_no, "
-             "unnest(string_split(content, chr(10))) AS line FROM v_code WHERE octet_length(encode(content)) <= 1000000)")
+             "unnest(string_split(content, chr(10))) AS line FROM v_code)")
     return (f"WITH l AS {lines}, h AS ({' UNION ALL '.join(parts)}) "
             f"SELECT id, language, line_no, rule_no, name FROM h WHERE length(name) > 1 AND name NOT IN ({stops})")
 

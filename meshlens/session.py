@@ -43,9 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only when unset.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; we read it
-    from the session.  Only when nothing is configured do we pick our own:
-    a scratch folder for local masters (tests), otherwise a folder under the
-    shared warehouse directory (never a machine-local temp dir on a cluster).
+    from the session.  Only a local master (tests) gets a scratch folder of its
+    own; a cluster without the setting is an error, because a driver-local
+    default would lose the tables of a lost executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,10 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        if sc.master.startswith("local"):
-            configured = tempfile.mkdtemp(prefix="meshlens-ckpt-")
-        else:
-            wh = spark.conf.get("spark.sql.warehouse.dir")
-            configured = wh.rstrip("/") + "/_meshlens_checkpoints"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="meshlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

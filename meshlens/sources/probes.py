@@ -20,7 +20,7 @@ from meshlens.sources.tables import Tables
 KIND_BY_MOD3 = ("METHOD", "FUNCTION", "VARIABLE")
 ACCESS_BY_MOD4 = ("PUBLIC", "PRIVATE", "PROTECTED", None)
 EDGE_TYPE_BY_FLAG = {"A": "CALLS", "N": "USES", "R": "IMPORTS"}
-TYPE_ID_BASE = 1_000_000
+TYPE_ID_BASE = 1_000_000_000_000
 HTTP_BY_MOD4 = ("GET", "POST", "PUT", "DELETE")
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_UPPER = ASCII_LOWER.upper()
@@ -296,9 +296,3 @@ def v_code(t: Tables) -> DataFrame:
     lang = F.when(k % 4 == 0, "python").when(k % 4 == 1, "go").when(k % 4 == 2, "typescript").otherwise("csharp")
     code = F.when(k % 4 == 0, py).when(k % 4 == 1, go).when(k % 4 == 2, ts).otherwise(cs)
     return p.select(k.alias("id"), lang.alias("language"), code.alias("content"))
-
-
-def v_members(t: Tables) -> DataFrame:
-    """Member rows of :func:`v_symbols` only (methods, functions, variables —
-    the symbols that have a parent type), without building the type rows."""
-    return v_symbols(t).where(F.col("parent_name").isNotNull())
