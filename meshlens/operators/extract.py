@@ -1,60 +1,16 @@
 """Extraction jobs over text tables.
 
-Each job is a narrow ``select`` + ``explode`` over the text column: no per-file
-state, no shuffle, so it scales linearly with the corpus and runs in the scan
-stage.  Rule lists are applied as one array-building expression per row (one
+Each job is a ``select`` + ``explode`` over the text column, row-local but for
+E-17, E-19 and E-01, which number lines first; calls and events are in ``calls``.  Rule lists are applied as one array-building expression per row (one
 ``regexp_extract_all`` per rule, concatenated, exploded once) — never as a
 join of rules × files.  Line numbers come from splitting on ``\\n`` first.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# URL body: any run of non-quote characters.  A flat character class keeps the
-# Java regex engine linear (a repeated alternation group recurses per
-# character and overflows the stack on long minified lines).
-URL_BODY = r"([^\"'\n]*)"
-Q = "[\"']"
-
-# Outgoing HTTP call rules (E-02, C#).  (library, method, regex);
-# group 1 is the URL.
-CSHARP_CALL_RULES = (
-    ("HttpClient", "GET", r"\.GetAsync\s*(?:<[^>]+>)?\s*\(\s*\$?" + Q + URL_BODY + Q),
-    ("HttpClient", "POST", r"\.PostAsync\s*(?:<[^>]+>)?\s*\(\s*\$?" + Q + URL_BODY + Q),
-    ("HttpClient", "PUT", r"\.PutAsync\s*(?:<[^>]+>)?\s*\(\s*\$?" + Q + URL_BODY + Q),
-    ("HttpClient", "DELETE", r"\.DeleteAsync\s*(?:<[^>]+>)?\s*\(\s*\$?" + Q + URL_BODY + Q),
-    ("HttpClient", "PATCH", r"\.PatchAsync\s*(?:<[^>]+>)?\s*\(\s*\$?" + Q + URL_BODY + Q),
-    ("HttpClient.Json", "GET", r"\.GetFromJsonAsync\s*(?:<[^>]+>)?\s*\(\s*\$?" + Q + URL_BODY + Q),
-    ("HttpClient.Json", "POST", r"\.PostAsJsonAsync\s*(?:<[^>]+>)?\s*\(\s*\$?" + Q + URL_BODY + Q),
-    ("HttpClient.Json", "PUT", r"\.PutAsJsonAsync\s*(?:<[^>]+>)?\s*\(\s*\$?" + Q + URL_BODY + Q),
-    ("Refit", "GET", r"\[Get\s*\(\s*\$?" + Q + URL_BODY + Q + r"\s*\)\]"),
-    ("Refit", "POST", r"\[Post\s*\(\s*\$?" + Q + URL_BODY + Q + r"\s*\)\]"),
-    ("Refit", "PUT", r"\[Put\s*\(\s*\$?" + Q + URL_BODY + Q + r"\s*\)\]"),
-    ("Refit", "DELETE", r"\[Delete\s*\(\s*\$?" + Q + URL_BODY + Q + r"\s*\)\]"),
-    ("Flurl", "GET", Q + URL_BODY + Q + r"\s*\.\s*GetAsync"),
-    ("Flurl", "POST", Q + URL_BODY + Q + r"\s*\.\s*PostJsonAsync"),
-)
-
-# Browser / JavaScript call rules (E-03) and the HTML link
-# probe rule (href / src attributes are the calls a page makes).
-JS_CALL_RULES = (
-    ("fetch", "GET", r"\bfetch\s*\(\s*" + Q + URL_BODY + Q),
-    ("axios", "GET", r"\baxios\.get\s*\(\s*" + Q + URL_BODY + Q),
-    ("axios", "POST", r"\baxios\.post\s*\(\s*" + Q + URL_BODY + Q),
-    ("axios", "PUT", r"\baxios\.put\s*\(\s*" + Q + URL_BODY + Q),
-    ("axios", "DELETE", r"\baxios\.delete\s*\(\s*" + Q + URL_BODY + Q),
-    ("angular", "GET", r"\bhttp\.get\s*(?:<[^>]+>)?\s*\(\s*" + Q + URL_BODY + Q),
-    ("angular", "POST", r"\bhttp\.post\s*(?:<[^>]+>)?\s*\(\s*" + Q + URL_BODY + Q),
-    ("swr", "GET", r"\buseSWR\s*\(\s*" + Q + URL_BODY + Q),
-    ("got", "GET", r"\bgot\s*\(\s*" + Q + URL_BODY + Q),
-    ("html", "GET", r"\bhref\s*=\s*\"([^\"]*)\""),
-    ("html", "GET", r"\bsrc\s*=\s*\"([^\"]*)\""),
-)
-
 
 def rule_needle(rx: str) -> str:
     """A literal every match of ``rx`` must contain (its longest required
@@ -114,44 +70,12 @@ def rule_needle(rx: str) -> str:
     return max(runs, key=len) if any(runs) else ""
 
 
-def _tagger(lib: str, method: str):
-    return lambda u: F.struct(F.lit(lib).alias("library"), F.lit(method).alias("http_method"), u.alias("url"))
-
-
-def _rule_hits(line: Column, rules) -> Column:
-    """Array<struct<library, http_method, url>> of every rule match in ``line``
-    (rules with a literal prefix are searched by the regex engine's fast
-    literal scan, cheaper than a separate ``instr`` guard)."""
-    arrays = [F.transform(F.regexp_extract_all(line, F.lit(rx), 1), _tagger(lib, m)) for lib, m, rx in rules]
-    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-
-
-def _any_rule(text: Column, rules) -> Column:
-    """Cheap pre-filter: the text holds at least one rule's needle."""
-    needles = sorted({rule_needle(rx) for _, _, rx in rules})
-    if "" in needles:
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, [F.instr(text, n) > 0 for n in needles])
-
-
 def numbered_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no 1-based, line) for every line of every text."""
     return df.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")) \
         .select(id_col, (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def extract_calls(files: DataFrame, id_col: str, text_col: str, rules) -> DataFrame:
-    """E-02 / E-03: one row per call: method, URL, library, line, dynamic flag.
-    Texts without any hit are dropped before their lines are exploded."""
-    hit = files.where(_any_rule(F.col(text_col), rules))
-    lines = numbered_lines(hit, id_col, text_col)
-    ex = lines.select(id_col, "line_no", F.explode(_rule_hits(F.col("line"), rules)).alias("h"))
-    url = F.col("h.url")
-    return ex.select(id_col, "line_no", F.col("h.library").alias("library"),
-                     F.col("h.http_method").alias("http_method"), url.alias("url_pattern"),
-                     (url.contains("{") | url.contains("$")).alias("is_dynamic_url"))
-
-
 # Import rules (E-05): ES named, ES default, C# using.
 IMPORT_NAMED = r"import\s*\{([^}]*)\}\s*from\s*['\"]([^'\"]+)['\"]"
 IMPORT_DEFAULT = r"import\s+(\w+)\s+from\s*['\"]([^'\"]+)['\"]"
@@ -440,28 +364,6 @@ def _rule_tag(i: int):
     return lambda h: F.struct(F.lit(i).alias("rule_no"), h.alias("name"))
 
 
-# Event publication rules (E-04): (library, regex); group 1 = event type.
-EVENT_RULES = (
-    ("MassTransit.Publish", r"\.Publish\s*<([^>]+)>"),
-    ("MassTransit.Publish", r"\.Publish\s*\(\s*new\s+([^\s{(]+)"),
-    ("MassTransit.PublishBatch", r"\.PublishBatch\s*<([^>]+)>"),
-    ("MassTransit.Send", r"\.Send\s*<([^>]+)>"),
-    ("MassTransit.Send", r"\.Send\s*\(\s*new\s+([^\s{(]+)"),
-    ("MassTransit.Request", r"\.Request\s*<([^>]+)>"),
-    ("QueueEvent", r"\.QueueEvent\s*\(\s*new\s+(\w+)"),
-)
-CONSUMER_RULE = r"IConsumer\s*<\s*(\w+)\s*>"
-
-
-def extract_events(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """E-04: published events (library, event type, line) and ``IConsumer<T>``
-    subscriptions, one row per finding, lines numbered."""
-    rules = tuple((lib, "PUBLISH", rx) for lib, rx in EVENT_RULES) + (("MassTransit.Consumer", "SUBSCRIBE", CONSUMER_RULE),)
-    out = extract_calls(files, id_col, text_col, rules)
-    return out.select(id_col, "line_no", F.col("library").alias("messaging_library"),
-                      F.col("http_method").alias("direction"), F.col("url_pattern").alias("event_type_name"))
-
-
 HOOK_RE = r"\b(use[A-Z]\w*)\s*\(([^()]*)"
 
 

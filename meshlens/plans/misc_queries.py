@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meshlens.operators import calls as CALLS
 from meshlens.operators import aggregates as A
 from meshlens.operators import extract as E
 from meshlens.operators import relational as R
@@ -90,7 +91,7 @@ def p10_library_services(spark, sf_dir):
 @register("j33_handler_for_subscription", sql=f"""
 WITH l AS (SELECT id, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS BIGINT) AS line_no,
                   unnest(string_split(content, chr(10))) AS line FROM v_code WHERE language = 'csharp'),
-subs AS (SELECT id, line_no, unnest(regexp_extract_all(line, {sq(E.CONSUMER_RULE)}, 1)) AS event_type_name FROM l),
+subs AS (SELECT id, line_no, unnest(regexp_extract_all(line, {sq(CALLS.EVENT_RULES[-1].regex)}, 1)) AS event_type_name FROM l),
 cls AS (SELECT id, line_no, unnest(regexp_extract_all(line, {sq(E.SYMBOL_RULES['csharp'][1])}, 1)) AS class_name FROM l)
 SELECT s.id, s.line_no, s.event_type_name,
        (SELECT arg_max(c.class_name, c.line_no) FROM cls c WHERE c.id = s.id AND c.line_no <= s.line_no) AS handler_class
@@ -106,7 +107,7 @@ def j33_handler_for_subscription(spark, sf_dir):
     w = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumn("handler_class", F.last(cls, ignorenulls=True).over(w))
     subs = lines.select("id", "line_no", "handler_class",
-                        F.explode(F.regexp_extract_all("line", F.lit(E.CONSUMER_RULE), 1)).alias("event_type_name"))
+                        F.explode(F.regexp_extract_all("line", F.lit(CALLS.EVENT_RULES[-1].regex), 1)).alias("event_type_name"))
     return subs.select("id", "line_no", "event_type_name", "handler_class")
 
 

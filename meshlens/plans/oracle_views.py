@@ -103,11 +103,16 @@ SELECT p_partkey AS id,
     WHEN 1 THEN 'func ' || replace(p_name, ' ', '_') || '() {}' || chr(10) || 'type ' || replace(p_brand, '#', '') || ' struct {}'
     WHEN 2 THEN 'export class ' || replace(p_brand, '#', '') || ' {}' || chr(10) || 'export const ' || replace(p_name, ' ', '_')
       || ' = (a) => a;' || chr(10) || 'interface I' || replace(p_brand, '#', '') || ' {}' || chr(10)
-      || 'const [v, setV] = useState(0); useEffect(() => {}, []);'
+      || 'const [v, setV] = useState(0); useEffect(() => {}, []);' || chr(10)
+      || 'await fetch(`/api/${v}/' || replace(p_name, ' ', '_') || '`, { method: ''post'' }); axios.get(' || chr(10)
+      || '  ' || chr(39) || '/v' || CAST(p_partkey AS VARCHAR) || chr(39) || '); axios({ url: ''/c'', method: "PUT" });'
     ELSE 'public class ' || replace(p_brand, '#', '') || 'Handler : IConsumer<' || replace(p_brand, '#', '') || 'Created> {'
       || chr(10) || '    public async Task<int> ' || replace(p_name, ' ', '_') || '(int a) { await bus.Publish<'
       || replace(p_brand, '#', '') || 'Created>(msg); _bus.Send(new ' || replace(p_brand, '#', '') || 'Command()); }'
-      || chr(10) || '}' END AS content
+      || chr(10) || '  client.GetAsync(' || chr(10) || '    baseUrl + "/api/' || replace(p_name, ' ', '_')
+      || '"); api.HttpPost<int>("p/' || CAST(p_partkey AS VARCHAR) || '", d); [HttpGet("no")] x.QueueEvent(Made'
+      || replace(p_brand, '#', '') || '(1));' || chr(10)
+      || '  new RestRequest($"r/{a["k"]}/' || CAST(p_partkey AS VARCHAR) || '", Method.Put); }' END AS content
 FROM part""",
     "v_turns": """
 SELECT conv_id, turn, role, text FROM conversations""",

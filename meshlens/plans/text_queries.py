@@ -8,6 +8,7 @@ from meshlens.functions import code as X
 from meshlens.functions.text import WORD_RE, first_n_and_more, mask, token_estimate, tokenize, truncate
 from meshlens.functions.urls import image_name, normalize_url, service_host
 from meshlens.functions.vectors import cosine
+from meshlens.operators import calls as K
 from meshlens.operators import aggregates as A
 from meshlens.operators import extract as E
 from meshlens.operators import relational as R
@@ -323,29 +324,42 @@ def x31_first_n_and_more(spark, sf_dir):
 # ----------------------------------------------------------------------------- E-*
 
 def _calls_sql(rules, src: str, id_expr: str, text: str) -> str:
-    any_rx = "|".join(f"(?:{rx})" for _, _, rx in rules)
-    lines = LINES_SQL.format(id=id_expr, text=text, src=src, where=f"WHERE regexp_matches({text}, {sq(any_rx)})")
+    """Every rule over whole texts: line = 1 + line breaks in the pieces and matches before."""
+    breaks = "(length({x}) - length(replace({x}, chr(10), '')))"
     parts = []
-    for lib, m, rx in rules:
-        parts.append(f"SELECT id, line_no, '{lib}' AS library, '{m}' AS http_method, url AS url_pattern, "
-                     f"(contains(url, '{{') OR contains(url, '$')) AS is_dynamic_url "
-                     f"FROM (SELECT id, line_no, unnest(regexp_extract_all(line, {sq(rx)}, 1)) AS url FROM l)")
-    return f"WITH l AS {lines}\n" + "\nUNION ALL ".join(parts)
+    for r in rules:
+        rx = sq(r.re2)
+        verbs = "".join(f"nullif(regexp_extract_all(t, {rx}, {g})[i], ''), " for g in r.verbs)
+        url = sq(r.fixed_url) if r.fixed_url else f"{sq(r.prefix)} || regexp_extract_all(t, {rx}, {r.url})[i]"
+        parts.append(
+            f"SELECT id, CAST(1 + coalesce(list_sum(list_transform(p[1:i], lambda x: {breaks.format(x='x')})), 0) "
+            f"+ coalesce(list_sum(list_transform(h[1:i - 1], lambda x: {breaks.format(x='x')})), 0) AS BIGINT) AS line_no, "
+            f"{sq(r.library)} AS library, upper(coalesce({verbs}{sq(r.verb)})) AS http_method, {url} AS url_pattern "
+            f"FROM (SELECT id, t, p, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT id, t, string_split_regex(t, {rx}) AS p, "
+            f"regexp_extract_all(t, {rx}) AS h FROM l WHERE regexp_matches(t, {rx})))")
+    return (f"WITH l AS (SELECT {id_expr} AS id, {text} AS t FROM {src}), c AS ({' UNION ALL '.join(parts)})\n"
+            "SELECT *, (contains(url_pattern, '{') OR contains(url_pattern, '$')) AS is_dynamic_url FROM c")
 
 
-ALL_CALL_RULES = E.CSHARP_CALL_RULES + E.JS_CALL_RULES
+ALL_CALL_RULES = K.CSHARP_CALL_RULES + K.JS_CALL_RULES
 
 
 @register("e02_extract_http_calls", sql=_calls_sql(ALL_CALL_RULES, "pages", "page_id", "html"))
 def e02_extract_http_calls(spark, sf_dir):
     pg = _t(spark, sf_dir).pages.withColumnRenamed("page_id", "id")
-    return E.extract_calls(pg, "id", "html", ALL_CALL_RULES).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return K.extract_calls(pg, "id", "html", ALL_CALL_RULES).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-@register("e03_extract_js_calls", sql=_calls_sql(E.JS_CALL_RULES, "documents", "doc_id", "text"))
+@register("e02_extract_client_calls", sql=_calls_sql(K.CSHARP_CALL_RULES, "v_code", "id", "content"))
+def e02_extract_client_calls(spark, sf_dir):
+    c = probes.v_code(_t(spark, sf_dir))
+    return K.extract_calls(c, "id", "content", K.CSHARP_CALL_RULES).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+@register("e03_extract_js_calls", sql=_calls_sql(K.JS_CALL_RULES, "v_code", "id", "content"))
 def e03_extract_js_calls(spark, sf_dir):
-    d = _t(spark, sf_dir).documents.withColumnRenamed("doc_id", "id")
-    return E.extract_calls(d, "id", "text", E.JS_CALL_RULES).withColumn("line_no", F.col("line_no").cast("bigint"))
+    c = probes.v_code(_t(spark, sf_dir))
+    return K.extract_calls(c, "id", "content", K.JS_CALL_RULES).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @register("e05_extract_imports", sql=f"""
@@ -622,15 +636,12 @@ def e01_extract_symbols(spark, sf_dir):
         "id", "language", F.col("line_no").cast("int"), F.col("rule_no").cast("int"), "name")
 
 
-_EVENT_RULES = tuple((lib, "PUBLISH", rx) for lib, rx in E.EVENT_RULES) + (("MassTransit.Consumer", "SUBSCRIBE", E.CONSUMER_RULE),)
-
-
 @register("e04_extract_events", sql="SELECT id, line_no, library AS messaging_library, http_method AS direction, "
-                                    "url_pattern AS event_type_name FROM (" + _calls_sql(_EVENT_RULES, "v_code", "id", "content")
-                                    .replace("WITH l AS", "WITH l AS", 1) + ")")
+                                    "url_pattern AS event_type_name FROM ("
+                                    + _calls_sql(K.EVENT_RULES, "v_code", "id", "content") + ")")
 def e04_extract_events(spark, sf_dir):
     c = probes.v_code(_t(spark, sf_dir))
-    return E.extract_events(c, "id", "content").withColumn("line_no", F.col("line_no").cast("bigint"))
+    return K.extract_events(c, "id", "content").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 _REACT = ", ".join(sq(h) for h in E.REACT_HOOKS)

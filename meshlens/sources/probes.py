@@ -289,10 +289,15 @@ def v_code(t: Tables) -> DataFrame:
                   nl, F.lit("def helper_"), k.cast("string"), F.lit("():"), nl, F.lit("    pass"))
     go = F.concat(F.lit("func "), n, F.lit("() {}"), nl, F.lit("type "), b, F.lit(" struct {}"))
     ts = F.concat(F.lit("export class "), b, F.lit(" {}"), nl, F.lit("export const "), n, F.lit(" = (a) => a;"), nl,
-                  F.lit("interface I"), b, F.lit(" {}"), nl, F.lit("const [v, setV] = useState(0); useEffect(() => {}, []);"))
+                  F.lit("interface I"), b, F.lit(" {}"), nl, F.lit("const [v, setV] = useState(0); useEffect(() => {}, []);"), nl,
+                  F.lit("await fetch(`/api/${v}/"), n, F.lit("`, { method: 'post' }); axios.get("), nl,
+                  F.lit("  '/v"), k.cast("string"), F.lit("'); axios({ url: '/c', method: \"PUT\" });"))
     cs = F.concat(F.lit("public class "), b, F.lit("Handler : IConsumer<"), b, F.lit("Created> {"), nl,
                   F.lit("    public async Task<int> "), n, F.lit("(int a) { await bus.Publish<"), b,
-                  F.lit("Created>(msg); _bus.Send(new "), b, F.lit("Command()); }"), nl, F.lit("}"))
+                  F.lit("Created>(msg); _bus.Send(new "), b, F.lit("Command()); }"), nl,
+                  F.lit("  client.GetAsync("), nl, F.lit("    baseUrl + \"/api/"), n, F.lit("\"); api.HttpPost<int>(\"p/"),
+                  k.cast("string"), F.lit("\", d); [HttpGet(\"no\")] x.QueueEvent(Made"), b, F.lit("(1));"), nl,
+                  F.lit("  new RestRequest($\"r/{a[\"k\"]}/"), k.cast("string"), F.lit("\", Method.Put); }"))
     lang = F.when(k % 4 == 0, "python").when(k % 4 == 1, "go").when(k % 4 == 2, "typescript").otherwise("csharp")
     code = F.when(k % 4 == 0, py).when(k % 4 == 1, go).when(k % 4 == 2, ts).otherwise(cs)
     return p.select(k.alias("id"), lang.alias("language"), code.alias("content"))

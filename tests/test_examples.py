@@ -266,3 +266,67 @@ def test_dq03_spans(spark):
     df = spark.createDataFrame([(1, text)], "id long, text string")
     r = E.scan_secrets(df, "id", "text").collect()
     assert r[0]["type"] == "password" and text[r[0]["start"]:r[0]["end"]] == 'password = "hunter2"'
+
+
+def _calls(spark, text, rules):
+    from meshlens.operators import calls as K
+    rows = K.extract_calls(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string"), "id", "t", rules).collect()
+    assert all(r.id == 1 for r in rows)
+    return sorted((r.line_no, r.library, r.http_method, r.url_pattern, r.is_dynamic_url) for r in rows)
+
+
+CLIENT_CALLS = [
+    ('x.GetAsync(\n  "/api/users")', (1, "HttpClient", "GET", "/api/users", False)),
+    ('\n\nclient.GetAsync(baseUrl + "/api/users");', (3, "HttpClient", "GET", "/api/users", False)),
+    ('c.PostAsync("api/" + "v1" + "/users", b);', (1, "HttpClient", "POST", "api/", False)),
+    ('c.GetAsync($"api/{config["v1"]}/{o.Id()}/d");', (1, "HttpClient", "GET", 'api/{config["v1"]}/{o.Id()}/d', True)),
+    ('c.PutAsJsonAsync<T>("u", x)', (1, "HttpClient.Json", "PUT", "u", False)),
+    ('s.Delete<Dto>("d/1")', (1, "ServiceStack", "DELETE", "d/1", False)),
+    ('new RestRequest("r", Method.POST)', (1, "RestSharp", "POST", "r", False)),
+    ('new RestRequest("r")', (1, "RestSharp", "GET", "r", False)),
+    ('[Put("/p/{id}")]', (1, "Refit", "PUT", "/p/{id}", True)),
+    ('"f".PostUrlEncodedAsync(x)', (1, "Flurl", "POST", "f", False)),
+    ('k.Execute<T>(new Uri("odata/x"))', (1, "OData", "GET", "odata/x", False)),
+    ('_api.HttpGet<User>("api/users/1");\n[HttpGet("route")]', (1, "GenericWrapper", "GET", "api/users/1", False)),
+    ('new HttpRequestMessage(HttpMethod.Get, "api/test")', (1, "HttpClient.SendAsync", "GET", "api/test", False)),
+    ('new GreeterClient(channel)', (1, "Grpc.Core", "GRPC", "grpc://GreeterClient", False)),
+    ('GrpcChannel.ForAddress("https://l:5001")', (1, "Grpc.Net.Client", "GRPC", "https://l:5001", False)),
+    ('await c.ExecuteAsync<R>(q)', (1, "StrawberryShake", "GRAPHQL", "graphql://query", False)),
+    ('conn.On("Got", (u) => {})', (1, "SignalR.Client", "SIGNALR", "signalr://Got", False)),
+    ('ws.ConnectAsync(new Uri("ws://s"), t)', (1, "ClientWebSocket", "WEBSOCKET", "ws://s", False)),
+    ('var x = Get(1); // "nothing"', None),
+]
+
+
+def test_client_calls(spark):
+    from meshlens.operators import calls as K
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CLIENT_CALLS)], "id long, t string")
+    got = sorted((r.id, r.line_no, r.library, r.http_method, r.url_pattern, r.is_dynamic_url)
+                 for r in K.extract_calls(df, "id", "t", K.CSHARP_CALL_RULES).collect())
+    assert got == [(i, *want) for i, (_, want) in enumerate(CLIENT_CALLS) if want]
+
+
+def test_js_calls(spark):
+    from meshlens.operators.calls import JS_CALL_RULES as J
+    text = """fetch('/a');
+const r = await fetch("/b", {
+  headers: h, method: 'POST' });
+axios.patch(`/c/${id}`);
+axios({ method: 'delete', url: '/d' }); axios({ url: '/e' })
+this.http.put<T>('/f', x); this.$http.get('/g'); https.request('/h', { method: 'PUT' });
+got('/i'); got.post('/j'); superagent.get('/k'); useSWR('/l'); $fetch('/m', { method: 'PATCH' });
+prefetch('/no'); map.get('/no');"""
+    assert _calls(spark, text, J) == [
+        (1, "fetch", "GET", "/a", False), (2, "fetch", "POST", "/b", False), (4, "axios", "PATCH", "/c/${id}", True),
+        (5, "axios", "DELETE", "/d", False), (5, "axios", "GET", "/e", False), (6, "angular", "PUT", "/f", False),
+        (6, "node", "PUT", "/h", False), (6, "vue", "GET", "/g", False), (7, "got", "GET", "/i", False),
+        (7, "got", "POST", "/j", False), (7, "nuxt", "PATCH", "/m", False), (7, "superagent", "GET", "/k", False),
+        (7, "swr", "GET", "/l", False)]
+
+
+def test_events(spark):
+    from meshlens.operators import calls as K
+    text = "class H : IConsumer<Made> {\n bus.Publish<Done>(m); r.QueueEvent(CreateMessage(x));\n b.Publish(\n new Gone{}); }"
+    rows = K.extract_events(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()
+    assert sorted((r.line_no, r.direction, r.event_type_name) for r in rows) == [
+        (1, "SUBSCRIBE", "Made"), (2, "PUBLISH", "CreateMessage"), (2, "PUBLISH", "Done"), (3, "PUBLISH", "Gone")]
