@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,17 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` bytes of a text column (one row at least)."""
+    for batch in batches:
+        ends = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _cuts(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about CHUNK_BYTES that end at a row's end or, in a long row, at white space."""
     at, end = 0, int(bounds[-1])
@@ -165,7 +177,10 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_sets(col: pa.Array, n: int = SHINGLE) -> Iterator[np.ndarray]:
-    """For each row the sorted distinct hashes of its ``n``-word shingles; fewer words make one shingle."""
+    """For each row the sorted distinct hashes of its ``n``-word shingles; fewer words make one shingle.
+
+    No word gives an empty set.
+    """
     raw, bounds = utf8(col)
     h, words = word_hashes(raw, bounds)
     whole = grams(h, n)
