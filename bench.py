@@ -25,6 +25,9 @@ HEADLINE = (
     "a17_module_hash",
     "s04_snapshot_diff",
     "e02_extract_http_calls",
+    "e08_doc_sections",
+    "x27_flatten_json",
+    "e06_extract_config",
     "dq03_scan_secrets",
     "dq08_exact_duplicates",
     "v06_chunk_words",

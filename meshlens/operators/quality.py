@@ -27,10 +27,6 @@ def validate_symbols(df: DataFrame, name: str = "name", start: str = "start_line
     return df.withColumn("errors", errs).withColumn("is_valid", F.size("errors") == 0)
 
 
-# Column length caps (DQ-02).
-MAX_LENGTHS = {"name": 1000, "fully_qualified_name": 2000, "return_type": 1000}
-
-
 def clip_lengths(df: DataFrame, caps: dict[str, int]) -> DataFrame:
     """DQ-02: cut each capped column and flag rows where any cut happened."""
     cut = reduce(lambda a, b: a | b, [F.coalesce(F.length(c) > n, F.lit(False)) for c, n in caps.items()])

@@ -237,11 +237,15 @@ def files_without_symbols(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def orphan_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """J-10: edges whose source or target symbol is missing."""
-    ids = symbols.select("id")
-    ok = (edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-          .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    return edges.join(ok, ["src", "dst", "type"], "left_anti")
+    """J-10: edges whose source or target symbol is missing (a null end is missing).
+
+    Two joins against the distinct ids flag the ends; every edge row is decided
+    once, whatever its type."""
+    ids = symbols.select("id").distinct()
+    src = ids.select(F.col("id").alias("src"), F.lit(True).alias("_has_src"))
+    dst = ids.select(F.col("id").alias("dst"), F.lit(True).alias("_has_dst"))
+    flagged = edges.join(src, "src", "left").join(dst, "dst", "left")
+    return flagged.where("_has_src is null or _has_dst is null").select(*edges.columns)
 
 
 def clean_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ name never multiplies the reference rows.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,12 +143,6 @@ def link_symbols_to_service(symbols: DataFrame, file_projects: DataFrame, projec
             .select("id", "service_id"))
 
 
-def merge_edge_sets(*edge_sets: DataFrame) -> DataFrame:
-    """Union of derived edge sets (src, dst, type), distinct."""
-    return reduce(DataFrame.unionByName, [e.select("src", "dst", "type") for e in edge_sets]).distinct()
-
-
-
 def resolve_usages(usages: DataFrame, symbols: DataFrame) -> DataFrame:
     """J-21: member usage → target by priority: (1) a member of that name in
     the user's own class, (2) in the receiver's type, (3) a static

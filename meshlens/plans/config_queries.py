@@ -243,9 +243,9 @@ npmd AS (SELECT npm.path, e.key AS package, NULL::VARCHAR AS version, json_extra
 pl AS (SELECT path, trim(unnest(string_split(content, chr(10)))) AS l FROM f
        WHERE ends_with(base, '.txt') AND contains(base, 'requirements')),
 pip AS (SELECT path, regexp_extract(l, {sq(C.REQ_LINE)}, 1) AS package,
-               CASE WHEN contains(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 3)), '==')
-                    THEN trim(split_part(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 3)), '==', 2)) END AS version,
-               nullif(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 3)), '') AS version_constraint,
+               CASE WHEN contains(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 2)), '==')
+                    THEN trim(split_part(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 2)), '==', 2)) END AS version,
+               nullif(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 2)), '') AS version_constraint,
                false AS is_dev_dependency, 'pip' AS dependency_type
         FROM pl WHERE l <> '' AND NOT starts_with(l, '#') AND NOT starts_with(l, '-r ') AND NOT starts_with(l, '-c ')
           AND NOT starts_with(l, '-e ') AND NOT starts_with(l, '--') AND regexp_matches(l, {sq(C.REQ_LINE)})),

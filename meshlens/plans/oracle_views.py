@@ -45,11 +45,6 @@ FROM v_brands WHERE b % 5 <> 0 AND (b - b % 5) IN (SELECT b FROM v_brands)
 UNION ALL
 SELECT CAST(1000000000000 + b AS BIGINT), CAST(1000000000000 + b - 1 AS BIGINT), 'INHERITS'
 FROM v_brands WHERE b % 5 = 2""",
-    "v_tree": """
-SELECT 'r' || r_regionkey AS node, r_name AS name, NULL::VARCHAR AS parent, 'REGION' AS level FROM region
-UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey, 'NATION' FROM nation
-UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey, 'CUSTOMER' FROM customer
-UNION ALL SELECT 's' || s_suppkey, s_name, 'n' || s_nationkey, 'SUPPLIER' FROM supplier""",
     "v_calls": """
 SELECT page_id AS id, url,
        regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme,

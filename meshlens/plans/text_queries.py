@@ -582,7 +582,7 @@ def _route_syms(t):
 
 @register("x07_extract_route", sql=f"""
 SELECT id, coalesce(doc_route, attr_route,
-  nullif(regexp_extract(coalesce(signature, ''), {sq(SIG_ROUTE)}, 2), ''),
+  nullif(regexp_extract(coalesce(signature, ''), {sq(SIG_ROUTE)}, 1), ''),
   nullif(regexp_extract(coalesce(documentation, ''), {sq(ROUTE_ATTR_DOC)}, 1), ''),
   nullif(regexp_extract(coalesce(documentation, ''), {sq(HTTP_ATTR_DOC)}, 1), ''),
   nullif(regexp_extract(coalesce(documentation, ''), {sq(API_DOC)}, 1), '')) AS route

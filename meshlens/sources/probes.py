@@ -132,26 +132,6 @@ def v_edges(t: Tables) -> DataFrame:
     return item_edges.unionByName(impl).unionByName(inh)
 
 
-def v_tree(t: Tables) -> DataFrame:
-    """Containment hierarchy region → nation → customer / supplier."""
-    r = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"),
-                        F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"),
-                        F.lit("REGION").alias("level"))
-    n = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("node"),
-                        F.col("n_name").alias("name"),
-                        F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"),
-                        F.lit("NATION").alias("level"))
-    c = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"),
-                          F.col("c_name").alias("name"),
-                          F.concat(F.lit("n"), F.col("c_nationkey")).alias("parent"),
-                          F.lit("CUSTOMER").alias("level"))
-    s = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"),
-                          F.col("s_name").alias("name"),
-                          F.concat(F.lit("n"), F.col("s_nationkey")).alias("parent"),
-                          F.lit("SUPPLIER").alias("level"))
-    return r.unionByName(n).unionByName(c).unionByName(s)
-
-
 URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)"
 URL_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"

@@ -330,3 +330,11 @@ def test_events(spark):
     rows = K.extract_events(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()
     assert sorted((r.line_no, r.direction, r.event_type_name) for r in rows) == [
         (1, "SUBSCRIBE", "Made"), (2, "PUBLISH", "CreateMessage"), (2, "PUBLISH", "Done"), (3, "PUBLISH", "Gone")]
+
+
+def test_orphan_edges_with_null_type_and_ends(spark):
+    from meshlens.operators import relational as R
+    edges = spark.createDataFrame([(1, 2, None), (1, 9, "A"), (None, 2, "B"), (1, 9, "A")], "src long, dst long, type string")
+    symbols = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    got = sorted(map(str, map(tuple, R.orphan_edges(edges, symbols).collect())))
+    assert got == sorted(map(str, [(1, 9, "A"), (1, 9, "A"), (None, 2, "B")]))
