@@ -111,7 +111,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``most`` bytes of a text column (one row at least)."""
     for batch in batches:
         ends = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)])
