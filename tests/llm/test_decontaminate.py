@@ -23,6 +23,9 @@ def brute(docs, items):
             if not x or not w:
                 continue
             a = multiset(x)
+            n = min(5, len(x))
+            if not any(tuple(w[i:i + n]) in a for i in range(len(w) - n + 1)):
+                continue  # no common shingle, so no similarity
             for s in range(max(1, len(w) - len(x) + 1)):
                 win = w[s:s + len(x)]
                 if len(x) < 5 and len(win) < len(x):
