@@ -38,7 +38,8 @@ YOU = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu
                 "usted ustedes ti tuyo tuya vosotros".split())
 _DISGUISE = str.maketrans("0134578@$!+", "oieastbasit")
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$*!+][0-9@$*!+\w]*")
+# starts where a run of letters starts and never backtracks into it, so a very long run takes linear time
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$*!+][0-9@$*!+\w]*")
 _LONG = re.compile(r"(\w)\1\1")
 _PUNCT = re.compile(r"[!?]")
 _RUN = re.compile(r"[!?.*#$%&]{2,}")
