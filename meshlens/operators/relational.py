@@ -290,13 +290,17 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def first_chunk(chunks: DataFrame, key: str, order_col: str, text_col: str, max_len: int = 2000) -> DataFrame:
-    """W-02: first chunk per key, cut at ``max_len`` chars plus ``...``.
+def first_chunk(chunks: DataFrame, key: str, order_col: str, text_col: str, max_len: int | None = None) -> DataFrame:
+    """W-02: first chunk per key; with ``max_len`` cut at that many chars plus
+    ``...``, and ``snippet_cut`` says where.
     ``min_by`` is a hash aggregate (partial + final), no sort per group."""
     g = chunks.groupBy(key).agg(F.min_by(F.col(text_col), F.col(order_col)).alias("snippet"))
+    if max_len is None:
+        return g
     s = F.col("snippet")
-    return g.select(key, F.when(F.length(s) > max_len, F.concat(F.substring(s, 1, max_len), F.lit("...")))
-                    .otherwise(s).alias("snippet"))
+    cut = F.coalesce(F.length(s) > max_len, F.lit(False))
+    return g.select(key, F.when(cut, F.concat(F.substring(s, 1, max_len), F.lit("..."))).otherwise(s).alias("snippet"),
+                    cut.alias("snippet_cut"))
 
 
 def running_budget(df: DataFrame, keys: list[str], order: list[Column], len_col: Column,

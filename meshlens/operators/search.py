@@ -188,16 +188,16 @@ def ivf_search(spark, vectors: DataFrame, qvec: list[float], k: int = 20, n_list
     return _ranked(scored, order, k, "rank")
 
 
-def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_body_lines: int = 100,
-                  max_calls: int = 5) -> DataFrame:
+def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_body_lines: int | None = None,
+                  max_calls: int | None = None) -> DataFrame:
     """V-08: the code chunk text of every symbol — file, namespace, parent class
-    (name and signature), signature, body lines (≤ ``max_body_lines``), first
-    ``max_calls`` callees, implemented and inherited types — with its SHA-256
-    and word count.
+    (name and signature), signature, body lines, callees, implemented and
+    inherited types — with its SHA-256 and word count.
 
-    Neighbour lists are bounded before they are collected: callees through a
-    per-symbol ``row_number() <= max_calls`` (partial top-k before the
-    shuffle); implemented / inherited types are a class's declared bases."""
+    All lines and callees count; with ``max_body_lines`` or ``max_calls`` the
+    first ones do, and ``body_cut`` or ``calls_cut`` says whether there are more
+    (callees through a per-symbol ``row_number()``, a partial top-k before the
+    shuffle)."""
     from meshlens.functions.code import namespace_of
 
     s = symbols.select("id", "name", "kind", "fqn", "signature", "parent_name", "start_line", "end_line", "file_id")
@@ -206,11 +206,15 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_bo
                .agg(F.min_by(F.struct(F.col("name").alias("pname"), F.col("signature").alias("psig")), F.col("id")).alias("p")))
     names = symbols.select(F.col("id").alias("dst"), F.col("name").alias("dst_name"))
     calls = edges.where(F.col("type") == "CALLS").join(names, "dst")
-    wc = Window.partitionBy("src").orderBy("dst_name", "dst")
-    calls = (calls.withColumn("k", F.row_number().over(wc)).where(F.col("k") <= max_calls)
-             .groupBy(F.col("src").alias("id"))
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dst_name", "dst"))),
-                                           lambda x: x["dst_name"]), ", ").alias("calls")))
+    callee = F.struct("dst_name", "dst")
+    calls_cut = F.lit(False)
+    if max_calls is not None:
+        wc = Window.partitionBy("src").orderBy("dst_name", "dst")
+        calls = calls.withColumn("k", F.row_number().over(wc)).where(F.col("k") <= max_calls + 1)
+        callee, calls_cut = F.when(F.col("k") <= max_calls, callee), F.max(F.col("k")) > max_calls
+    calls = (calls.groupBy(F.col("src").alias("id"))
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(callee)), lambda x: x["dst_name"]), ", ")
+                  .alias("calls"), calls_cut.alias("calls_cut")))
 
     def bases(t, col):
         return (edges.where(F.col("type") == t).join(names, "dst").groupBy(F.col("src").alias("id"))
@@ -220,7 +224,8 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_bo
          .join(bases("IMPLEMENTS", "impl"), "id", "left").join(bases("INHERITS", "inh"), "id", "left"))
     ns = namespace_of(F.col("fqn"))
     n_lines = F.size("lines")
-    last = F.least(n_lines, F.col("end_line"), F.col("start_line") + max_body_lines - 1)
+    end = F.least(n_lines, F.col("end_line"))
+    last = end if max_body_lines is None else F.least(end, F.col("start_line") + max_body_lines - 1)
     body = F.array_join(F.slice("lines", F.col("start_line"), F.greatest(last - F.col("start_line") + 1, F.lit(0))), "\n")
     has_parent = F.col("p").isNotNull()
     parts = F.array(
@@ -236,10 +241,15 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_bo
         F.when(F.col("impl").isNotNull(), F.concat(F.lit("// Implements: "), F.col("impl"))),
         F.when(F.col("inh").isNotNull(), F.concat(F.lit("// Inherits from: "), F.col("inh"))))
     content = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n")
-    out = j.select("id", content.alias("content"))
+    flags = {}
+    if max_body_lines is not None:
+        flags["body_cut"] = F.coalesce(end > last, F.lit(False))
+    if max_calls is not None:
+        flags["calls_cut"] = F.coalesce("calls_cut", F.lit(False))
+    out = j.select("id", content.alias("content"), *(c.alias(n) for n, c in flags.items()))
     return out.select("id", F.lit("code").alias("content_type"), F.sha2("content", 256).alias("content_hash"),
                       F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")).cast("bigint").alias("word_count"),
-                      F.length("content").cast("bigint").alias("char_count"))
+                      F.length("content").cast("bigint").alias("char_count"), *flags)
 
 
 PARSED_SYMBOL_SCHEMA = ("struct<name: string, kind: string, fully_qualified_name: string, signature: string, "
@@ -248,12 +258,15 @@ PARSED_SYMBOL_SCHEMA = ("struct<name: string, kind: string, fully_qualified_name
                         "closure_variables: array<string>, linq_pattern: string>>")
 
 
-def build_symbol_rows(parsed: DataFrame, id_col: str, json_col: str) -> DataFrame:
+def build_symbol_rows(parsed: DataFrame, id_col: str, json_col: str, max_fqn: int | None = None,
+                      max_return_type: int | None = None) -> DataFrame:
     """V-10: symbol rows from parser output (JSON): complexity (parser value,
     default 1, plus the parameter count when the parser left the default),
-    FQN (name when missing) cut at 2000, return type cut at 1000, token count
-    = words of the signature, partial / lambda flags, closure variables, LINQ
-    pattern."""
+    FQN (name when missing), return type, token count = words of the
+    signature, partial / lambda flags, closure variables, LINQ pattern.
+
+    With ``max_fqn`` or ``max_return_type`` that text is cut, and ``fqn_cut``
+    or ``return_type_cut`` says where."""
     p = F.from_json(F.col(json_col), PARSED_SYMBOL_SCHEMA)
     d = parsed.select(F.col(id_col), p.alias("p"))
     c = F.coalesce(F.col("p.complexity"), F.lit(1))
@@ -262,12 +275,18 @@ def build_symbol_rows(parsed: DataFrame, id_col: str, json_col: str) -> DataFram
     sig = F.col("p.signature")
     tokens = F.when(sig.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split(sig, r"\s+"), lambda w: w != "")))
     sd = F.col("p.structured_docs")
+    fqn, return_type, flags = F.coalesce(F.col("p.fully_qualified_name"), F.col("p.name")), F.col("p.return_type"), []
+    if max_fqn is not None:
+        flags.append(F.coalesce(F.length(fqn) > max_fqn, F.lit(False)).alias("fqn_cut"))
+        fqn = F.substring(fqn, 1, max_fqn)
+    if max_return_type is not None:
+        flags.append(F.coalesce(F.length(return_type) > max_return_type, F.lit(False)).alias("return_type_cut"))
+        return_type = F.substring(return_type, 1, max_return_type)
     return d.select(id_col, F.col("p.name").alias("name"), F.col("p.kind").alias("kind"),
-                    F.substring(F.coalesce(F.col("p.fully_qualified_name"), F.col("p.name")), 1, 2000).alias("fqn"),
-                    F.substring(F.col("p.return_type"), 1, 1000).alias("return_type"),
+                    fqn.alias("fqn"), return_type.alias("return_type"),
                     complexity.cast("int").alias("complexity"), complexity.cast("int").alias("complexity_score"),
                     tokens.cast("int").alias("token_count"),
                     F.when(F.coalesce(sd["is_partial"], F.lit(False)), 1).otherwise(0).alias("is_partial"),
                     F.when(F.coalesce(sd["is_lambda"], F.lit(False)), 1).otherwise(0).alias("is_lambda"),
                     F.array_join(F.coalesce(sd["closure_variables"], F.array().cast("array<string>")), ",")
-                    .alias("closure_variables"), sd["linq_pattern"].alias("linq_pattern"))
+                    .alias("closure_variables"), sd["linq_pattern"].alias("linq_pattern"), *flags)

@@ -172,7 +172,7 @@ SELECT id, 'code' AS content_type, sha256(content) AS content_hash,
 FROM t""")
 def v08_symbol_chunks(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    return search.symbol_chunks(probes.v_symbols(t), probes.v_files(t), probes.v_edges(t))
+    return search.symbol_chunks(probes.v_symbols(t), probes.v_files(t), probes.v_edges(t), 100, 5).drop("body_cut", "calls_cut")
 
 
 @register("s01_fuse_lists", sql=f"""
@@ -242,4 +242,5 @@ SELECT id, name, kind, left(coalesce(fqn0, name), 2000) AS fqn, left(return_type
        array_to_string(coalesce(cv, []), ',') AS closure_variables, linq_pattern
 FROM x""")
 def v10_build_symbol_rows(spark, sf_dir):
-    return search.build_symbol_rows(_parsed(load_tables(spark, sf_dir)), "id", "j")
+    return search.build_symbol_rows(_parsed(load_tables(spark, sf_dir)), "id", "j", 2000, 1000).drop(
+        "fqn_cut", "return_type_cut")
