@@ -6,12 +6,14 @@ languages are ranked by the logistic loss of their codeword against the margins,
 languages get the exhaustive code, more get the best of several random codes of 4 bits per doubling.  A prediction
 whose two smallest losses lie within ``AMBIGUOUS`` is flagged.
 
-The classifiers are fitted on a bounded sample (``MAX_TRAIN`` documents, at most ``MAX_TRAIN`` * DIM floats).  Scoring
-is one pass over Arrow batches without a shuffle.
+Every language of the training rows is learned: the languages are counted over all of them, and the sample is drawn
+per language, an equal part of ``MAX_TRAIN`` documents each but ``LEAST`` at the least (all, where it has fewer).  So the
+sample is bounded by ``MAX_TRAIN`` documents or by ``LEAST`` a language.  Scoring is one pass over Arrow batches without
+a shuffle.
 
 Cases: null text or text without a letter gives ``und`` with score 0; rows of null lang are not learned from; without
 any training row all documents are ``und``, with one language that language wins; ties go to the smaller language
-value; repeated rows are predicted alike; an empty table gives no rows; other columns are ignored.
+value; repeated rows are predicted alike, and one of them is learned from; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from meshlens.llm.common import CHUNK_BYTES, remainder, utf8
 
 DIM = 2048
 MAX_TRAIN = 3000
+#: Documents a language is learned from at least, if it has them.
+LEAST = 20
 AMBIGUOUS = 0.5
 STEPS, RATE, DECAY = 300, 8.0, 1e-4
 
@@ -74,17 +79,39 @@ def codewords(n: int) -> np.ndarray:
 
 def _hist_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = [x.tobytes() for x in histograms(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), batch.column(1)], ["hist", "lang"])
+        h = [x.tobytes() for x in histograms(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h, pa.binary())],
+                                         ["doc_id", "lang", "hist"])
+
+
+def _sampled(docs: DataFrame, max_train: int) -> DataFrame | None:
+    """(doc_id, lang) to learn from: of each language the ids of the smallest hashes, outside the held-out fold.
+
+    A hash threshold from the language's number of ids leaves about twice as many rows as are wanted and 60 more, so
+    that the ranks of a large language aren't computed over all its rows in one task.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(5) != 0)).select("doc_id", "lang")
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
+    if not found:
+        return None
+    each = max(LEAST, max_train // len(found))
+    share = docs.sparkSession.createDataFrame([(r["lang"], (2.0 * each + 60) / max(1, r["n"])) for r in found],
+                                              "lang string, share double")
+    near = (rows.join(F.broadcast(share), "lang")
+            .where(F.xxhash64("doc_id") / F.lit(2.0 ** 64) + 0.5 < F.col("share")).select("doc_id", "lang").distinct())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).select("doc_id", "lang")
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, codewords and weights (DIM + 1 rows) from a bounded sample outside the held-out fold."""
-    ids = (docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(5) != 0))
-           .select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_train))
-    rows = (docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(ids), ["doc_id", "lang"]).select("text", F.col("lang").cast("string"))
-            .mapInArrow(_hist_rows, "hist binary, lang string").limit(2 * max_train).collect())
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"),
+                       F.coalesce("text", F.lit("")).alias("text"))
+    ids = _sampled(docs, max_train)
+    rows = [] if ids is None else (
+        docs.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+        .mapInArrow(_hist_rows, "doc_id long, lang string, hist binary")
+        .groupBy("doc_id", "lang").agg(F.min("hist").alias("hist")).collect())  # a repeated id counts once a language
     rows.sort(key=lambda r: (r["lang"], bytes(r["hist"])))
     langs = sorted({r["lang"] for r in rows})
     code = codewords(len(langs))
