@@ -11,11 +11,12 @@ At similarity 0.8 two fingerprints differ in 9.7 of 64 bits on average, with a d
 
 Scale: documents stay where they are (no shuffle).  The index of the items is broadcast in blocks of ``BLOCK_BYTES`` of
 item text at most; a larger benchmark takes several passes over the documents, each with a block of bounded size.
+For several passes the rows are saved with a key of their own first, and the passes are merged by that key.
 
 Cases: null or empty items and documents match nothing; fewer than five words make one shingle, so such an item must
 occur word for word; equal items are all reported, in order; of equal similarities the smallest item_id is the best;
-a document shorter than an item is compared whole; empty tables give clean documents or no rows; repeated rows and
-other columns are harmless.
+a document shorter than an item is compared whole; empty tables give clean documents or no rows; every row is
+judged by itself at any number of passes, also with a repeated or null doc_id; other columns are harmless.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import SHINGLE, grams, slices, utf8, word_hashes
+from meshlens.llm.common import SHINGLE, Scratch, grams, slices, utf8, word_hashes
 
 RADIUS = 20
 SIMILARITY = 0.8
@@ -157,30 +158,41 @@ def _search(index) -> object:
             best = [min(f, key=lambda i, f=f: (-f[i], i)) if f else None for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.int64()),
-                 pa.array([f[b] if f else 0.0 for f, b in zip(found, best)], pa.float64())],
-                ["doc_id", "items", "best_item", "similarity"])
+                 pa.array([f[b] if f else 0.0 for f, b in zip(found, best)], pa.float64()), *batch.columns[2:]],
+                ["doc_id", "items", "best_item", "similarity", *batch.schema.names[2:]])
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, contaminated, items (ids found), best_item and similarity of every row of ``docs``."""
-    spark = docs.sparkSession
+def _judged(rows: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """doc_id, items, best_item, similarity and _row of each row of ``rows`` (doc_id, text, _row), _row being unique."""
+    spark = rows.sparkSession
     bench = (benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
              .where("item_id is not null and text is not null").distinct())
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = 1 + int(size // block_bytes)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if passes > 1:  # saved, so that a row has the same key in every pass
+        rows = Scratch(spark).save(rows)
     out = None
     for p in range(passes):  # each pass has a block of items of about block_bytes
         block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(Index([r["item_id"] for r in block], [r["text"] for r in block]))
-        found = docs.mapInArrow(_search(index), "doc_id long, items array<long>, best_item long, similarity double")
+        found = rows.mapInArrow(_search(index),
+                                "doc_id long, items array<long>, best_item long, similarity double, _row long")
         out = found if out is None else out.union(found)
     if passes > 1:
         best = F.max_by("best_item", F.struct("similarity", -F.col("best_item")))
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                                        best.alias("best_item"), F.max("similarity").alias("similarity"))
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "best_item", "similarity")
+        out = out.groupBy("_row").agg(F.first("doc_id").alias("doc_id"),
+                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+                                      best.alias("best_item"), F.max("similarity").alias("similarity"))
+    return out.select("doc_id", "items", "best_item", "similarity", "_row")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, contaminated, items (ids found), best_item and similarity of every row of ``docs``."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
+                       F.monotonically_increasing_id().alias("_row"))
+    return _judged(rows, benchmark, block_bytes).select("doc_id", (F.size("items") > 0).alias("contaminated"), "items",
+                                                        "best_item", "similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
