@@ -58,6 +58,18 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_id(text: Column) -> Column:
+    """A hash of the text, which with the doc_id says which row is meant; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of which ``gone`` has the doc_id (also null) and text_id; all columns stay."""
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_id").alias("_gone_text")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone"))
+                     & (text_id(docs["text"]) == F.col("_gone_text")), "left_anti")
+
+
 def remainder(mod: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % mod

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import SHINGLE, Scratch, grams, slices, utf8, word_hashes
+from meshlens.llm.common import SHINGLE, Scratch, grams, slices, text_id, utf8, without, word_hashes
 
 RADIUS = 20
 SIMILARITY = 0.8
@@ -164,7 +164,10 @@ def _search(index) -> object:
 
 
 def _judged(rows: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
-    """doc_id, items, best_item, similarity and _row of each row of ``rows`` (doc_id, text, _row), _row being unique."""
+    """items, best_item, similarity and all columns but the text of each row of ``rows`` (doc_id, text, _row, ...).
+
+    _row is a number, unique per row; columns after it are numbers too.
+    """
     spark = rows.sparkSession
     bench = (benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
              .where("item_id is not null and text is not null").distinct())
@@ -176,15 +179,15 @@ def _judged(rows: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFram
     for p in range(passes):  # each pass has a block of items of about block_bytes
         block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(Index([r["item_id"] for r in block], [r["text"] for r in block]))
-        found = rows.mapInArrow(_search(index),
-                                "doc_id long, items array<long>, best_item long, similarity double, _row long")
+        found = rows.mapInArrow(_search(index), "doc_id long, items array<long>, best_item long, similarity double, "
+                                + ", ".join(f"{c} long" for c in rows.columns[2:]))
         out = found if out is None else out.union(found)
     if passes > 1:
         best = F.max_by("best_item", F.struct("similarity", -F.col("best_item")))
-        out = out.groupBy("_row").agg(F.first("doc_id").alias("doc_id"),
+        out = out.groupBy("_row").agg(*(F.first(c).alias(c) for c in ["doc_id", *rows.columns[3:]]),
                                       F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
                                       best.alias("best_item"), F.max("similarity").alias("similarity"))
-    return out.select("doc_id", "items", "best_item", "similarity", "_row")
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -197,6 +200,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns stay."""
-    out = (decontaminate(docs, benchmark).where("contaminated and doc_id is not null")
-           .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(out, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
+                       F.monotonically_increasing_id().alias("_row"), text_id(F.col("text")).alias("text_id"))
+    return without(docs, _judged(rows, benchmark, BLOCK_BYTES).where("size(items) > 0"))

@@ -24,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.llm.common import Scratch, remainder, training_rows
+from meshlens.llm.common import Scratch, remainder, text_id, training_rows, without
 
 #: At most so many labelled rows train the model.
 MAX_TRAIN = 20_000
@@ -103,19 +103,19 @@ def extract(lexicon: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [row(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))],
-                                             ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64())), *batch.columns[2:]],
+                                             ["doc_id", "features", *batch.schema.names[2:]])
     return run
 
 
 def _features(docs: DataFrame, lexicon: set[str]) -> DataFrame:
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(extract(lexicon), "doc_id long, features array<double>")
+    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_id(F.col("text")).alias("text_id"))
+            .mapInArrow(extract(lexicon), "doc_id long, features array<double>, text_id long")
             .withColumn("features", array_to_vector("features")))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; learns where crc32(doc_id) mod 5 is not 0."""
+def _scored(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, text_id, held_out, score and predicted of every row."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(training_rows(docs, labels, "toxic", 5, 0, max_train))
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -135,15 +135,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
             held = margin(seen)
         curve = IsotonicRegression(featuresCol="margin", predictionCol="fit").fit(held.select("margin", "label"))
         scored = (curve.transform(margin(_features(docs, lexicon)))
-                  .select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "fit")).alias("score")))
+                  .select("doc_id", "text_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "fit")).alias("score")))
     else:
-        scored = docs.select(F.col("doc_id").cast("long"), F.lit((ones + 1) / (n + 2)).alias("score"))
-    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+        scored = docs.select(F.col("doc_id").cast("long"), text_id(F.col("text")).alias("text_id"),
+                             F.lit((ones + 1) / (n + 2)).alias("score"))
+    return scored.select("doc_id", "text_id", (remainder(5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; learns where crc32(doc_id) mod 5 is not 0."""
+    return _scored(docs, labels, max_train).drop("text_id")
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted toxic; all columns stay."""
-    out = (toxicity(docs, labels).where("predicted = 1 and doc_id is not null")
-           .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(out, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows predicted toxic, each by its own text; all columns stay."""
+    return without(docs, _scored(docs, labels).where("predicted = 1"))
