@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlens.llm import mixing
+from meshlens.llm import hadamard_clusters, mixing
 from meshlens.llm.chat_rotation import rotate, speakers
 from meshlens.llm.common import table
 from meshlens.llm.decontaminate import decontaminate
@@ -147,3 +147,8 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_pii")
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_hadamard_clusters", hadamard_clusters.oracle())
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
