@@ -15,6 +15,7 @@ from meshlens.llm.jaccard_join import jaccard_join
 from meshlens.llm.language_id import language_id
 from meshlens.llm.pii import personal_data
 from meshlens.llm.quality import quality
+from meshlens.llm.substring_dedup import substring_dedup
 from meshlens.llm.toxicity import toxicity
 from meshlens.llm.warc_revisit import capture_records, resolve_revisits
 
@@ -149,6 +150,11 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+@_query("op11_substring_dedup")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 @_query("op12_hadamard_clusters", hadamard_clusters.oracle())
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hadamard_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
