@@ -16,6 +16,7 @@ from meshlens.llm.language_id import language_id
 from meshlens.llm.pii import personal_data
 from meshlens.llm.quality import quality
 from meshlens.llm.substring_dedup import substring_dedup
+from meshlens.llm.token_alignment import align
 from meshlens.llm.toxicity import toxicity
 from meshlens.llm.warc_revisit import capture_records, resolve_revisits
 
@@ -158,3 +159,8 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_hadamard_clusters", hadamard_clusters.oracle())
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hadamard_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_token_alignment")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
