@@ -40,8 +40,10 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: A chunk is closed at this many documents or entries (pair, document).
 CHUNK_DOCS, CHUNK_ENTRIES = 8192, 1 << 21
-#: Bytes of text handled at a time, and units that a task remembers.
-SLICE_BYTES, UNITS = 2 << 20, 200_000
+#: Bytes of text handled at a time, units that a task remembers, and units encoded together.
+SLICE_BYTES, UNITS, BLOCK = 2 << 20, 400_000, 1024
+#: What stands between ids: in a side of a group, between its sides, between groups, after the last one.
+SEPARATORS = (",", "|", ";", "")
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -72,19 +74,37 @@ class Vocabularies:
                         for i, p in enumerate(pieces)]
         self.splits = all("▁" not in p.lstrip("▁") for p in pieces)
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.size = max(len(self.a_bytes), len(self.b_bytes))
+        #: Ids as text with what may follow them: at SEPARATORS[k] * size + id.
+        self.written = [str(i) + sep for sep in SEPARATORS for i in range(self.size)]
 
     def units(self, text: str) -> list[str]:
         return _CUT.split(text) if self.splits else [text]
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Token ids of space + unit by A and B; empty where the tokens' bytes differ from it."""
-        a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
-        for i, u in enumerate(units):
-            raw = b" " + u.encode()
-            if b"".join([self.a_bytes[x] for x in a[i]]) != raw or b"".join([self.b_bytes[x] for x in b[i]]) != raw:
-                a[i], b[i] = [], []
-        return a, b
+    def encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Tokens of space + unit by A and by B, and the unit of each; none where their bytes differ from it.
+
+        Units that begin and end with a character are encoded many at a time, with spaces between them.
+        """
+        size = np.array([len(u.encode()) + 1 for u in units], np.int64)
+        plain = [i for i, u in enumerate(units) if self.splits and not u[0].isspace() and not u[-1].isspace()]
+        todo = [plain[i:i + BLOCK] for i in range(0, len(plain), BLOCK)]
+        todo += [[i] for i in sorted(set(range(len(units))).difference(plain))]
+        out = [[(np.zeros(0, np.int64), np.zeros(0, np.int64))] for _ in "ab"]
+        while todo:
+            texts, failed = [" ".join([units[i] for i in block]) for block in todo], []
+            a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            for block, text, *ids in zip(todo, texts, a, self.b.encode(texts, num_threads=1)):
+                raw = b" " + text.encode()
+                if all(b"".join([t[i] for i in x]) == raw for t, x in zip((self.a_bytes, self.b_bytes), ids)):
+                    owner, upto = np.array(block), np.cumsum(size[block])
+                    for side, x, length in zip(out, ids, (self.a_len, self.b_len)):
+                        x = np.array(x, np.int64)
+                        side.append((x, owner[np.searchsorted(upto, np.cumsum(length[x]))]))
+                elif len(block) > 1:
+                    failed += [[i] for i in block]
+            todo = failed
+        return [tuple(map(np.concatenate, zip(*side))) for side in out]
 
 
 @lru_cache(maxsize=2)
@@ -103,37 +123,53 @@ class Units:
         self.at = np.zeros(1, np.int64)
         self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def codes(self, text: str, new: list[str]) -> list[int]:
+        """Numbers of a text's units; unknown ones get the next numbers and join ``new``."""
+        out, known = [], self.known
+        for u in self.voc.units(text):
+            code = known.get(u)
+            if code is None:
+                code = known[u] = len(known)
+                new.append(u)
+            out.append(code)
+        return out
+
     def add(self, units: list[str]) -> None:
         if not units:
             return
-        a_ids, b_ids = self.voc.encode(units)
-        n = len(units)
-        a, b = (np.array([x for ids in t for x in ids], np.int64) for t in (a_ids, b_ids))
-        a_unit, b_unit = (np.repeat(np.arange(n), [len(ids) for ids in t]) for t in (a_ids, b_ids))
+        n, (a_len, b_len) = len(units), (self.voc.a_len, self.voc.b_len)
+        (a, a_unit), (b, b_unit) = self.voc.encode(units)
         # units one after the other on one axis of bytes: both encodings of a unit end together
-        a_end, b_end = np.cumsum(self.voc.a_len[a]), np.cumsum(self.voc.b_len[b])
+        a_end, b_end = np.cumsum(a_len[a]), np.cumsum(b_len[b])
         ends = np.intersect1d(a_end, b_end, assume_unique=True)
         a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
-        low = np.searchsorted(b_end, a_end - self.voc.a_len[a], "right")
-        linked = np.searchsorted(b_end - self.voc.b_len[b], a_end, "left") - low
+        low = np.searchsorted(b_end, a_end - a_len[a], "right")
+        linked = np.searchsorted(b_end - b_len[b], a_end, "left") - low
         i = np.repeat(np.arange(len(a)), linked)
         j = np.arange(len(i)) - np.repeat(np.cumsum(linked) - linked, linked) + low[i]
+        pairs = len(a_len) * len(b_len)
+        key, times = np.unique(a_unit[i] * pairs + a[i] * len(b_len) + b[j], return_counts=True)
+        unit, pair = np.divmod(key, pairs)
         group_unit = a_unit[np.searchsorted(a_end, ends)]
-        size = len(self.voc.b_bytes)
-        key = a_unit[i] * (len(self.voc.a_bytes) * size) + a[i] * size + b[j]
-        key, times = np.unique(key, return_counts=True)
-        unit, pair = np.divmod(key, len(self.voc.a_bytes) * size)
         counts = np.stack([np.bincount(x, minlength=n) for x in (a_unit, b_unit, group_unit, a_unit[i])])
-        self.known.update(zip(units, range(len(self.text), len(self.text) + n)))
-        a_text, b_text = a.astype(str).tolist(), b.astype(str).tolist()
-        a_at, b_at = (np.r_[0, np.searchsorted(g, np.arange(len(ends)), "right")].tolist() for g in (a_group, b_group))
-        groups = [",".join(a_text[s:e]) + "|" + ",".join(b_text[t:f])
-                  for s, e, t, f in zip(a_at, a_at[1:], b_at, b_at[1:])]
-        g_at = np.r_[0, np.cumsum(counts[2])].tolist()
-        self.text += [";".join(groups[s:e]) for s, e in zip(g_at, g_at[1:])]
         self.counts = np.concatenate([self.counts, counts], axis=1)
         self.at = np.r_[self.at, self.at[-1] + np.cumsum(np.bincount(unit, minlength=n))]
         self.pair, self.times = np.r_[self.pair, pair], np.r_[self.times, times]
+        # the groups of each unit as text: A tokens, then B tokens, group by group
+        side = np.r_[2 * a_group, 2 * b_group + 1]
+        order = np.argsort(side, kind="stable")
+        side, unit = side[order], np.r_[a_unit, b_unit][order]
+        last = np.ones(len(side), dtype=bool)
+        last[:-1] = unit[1:] != unit[:-1]
+        after = np.where(side & 1, 2, 1)
+        after[:-1][side[1:] == side[:-1]] = 0
+        after[last] = 3
+        written = [self.voc.written[k] for k in (after * self.voc.size + np.r_[a, b][order]).tolist()]
+        text, at = [""] * n, 0
+        for u, end in zip(unit[last].tolist(), (np.flatnonzero(last) + 1).tolist()):
+            text[u] = "".join(written[at:end])
+            at = end
+        self.text += text
 
 
 def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +188,11 @@ class Chunk:
         self.entries = 0
 
     def add(self, units: Units, texts: list[str | None], ids: list, groups: bool) -> None:
+        new: list[str] = []
+        found = [units.codes(t, new) if t else [] for t in texts]
+        units.add(new)
         codes, docs = [], []
-        for doc_id, text in zip(ids, texts):
-            mine = [units.known[u] for u in units.voc.units(text)] if text else []
+        for doc_id, mine in zip(ids, found):
             n = units.counts[:, mine].sum(axis=1)
             if mine and not units.counts[0, mine].all():
                 mine, n = [], n * 0
@@ -247,9 +285,7 @@ def _index(a_path: str, b_path: str, groups: bool) -> Callable:
                     chunk, number = Chunk(), number + 1
                 if len(units.text) > UNITS:
                     units = Units(voc)
-                texts = rows.column(1).to_pylist()
-                units.add(list({u: None for t in texts if t for u in voc.units(t) if u not in units.known}))
-                chunk.add(units, texts, rows.column(0).to_pylist(), groups)
+                chunk.add(units, rows.column(1).to_pylist(), rows.column(0).to_pylist(), groups)
         if chunk.docs:
             yield _written(number, chunk)
     return run
