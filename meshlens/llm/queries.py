@@ -72,26 +72,29 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROTATION_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-     s AS (SELECT conv_id, coalesce(turn, 0) AS turn, text, role = 'system' AS is_system, (coalesce(turn, 0) // 256) AS part,
-                  CASE WHEN role = 'user' THEN 'user' || CAST((coalesce(turn, 0) // 2) % 2 AS VARCHAR) ELSE role END AS speaker
-           FROM t),
+WITH t AS (SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+     n AS (SELECT conv_id, turn, text, role = 'system' AS is_system,
+                  CASE WHEN role = 'user' THEN 'user' || CAST((turn // 2) % 2 AS VARCHAR) ELSE role END AS speaker FROM t),
+     s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, is_system, md5(text)) - 1 AS rank FROM n),
      p AS (SELECT DISTINCT conv_id, speaker AS participant FROM s WHERE NOT is_system),
-     x AS (SELECT s.*, participant, speaker = participant AND NOT is_system AS target,
+     c AS (SELECT conv_id, part, last_value(system IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY part
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS system
+           FROM (SELECT conv_id, rank // 256 AS part, arg_max(text, rank) FILTER (is_system) AS system FROM s GROUP BY ALL)),
+     x AS (SELECT s.*, rank // 256 AS part, participant, speaker = participant AND NOT is_system AS target,
                   CASE WHEN is_system THEN '<|system|>' WHEN speaker = participant THEN '<|assistant|>'
                        ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
            FROM s JOIN p USING (conv_id)),
      y AS (SELECT *, head || text || '<|end|>' || chr(10) AS piece FROM x),
-     z AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, part, participant
-                                                   ORDER BY turn, speaker, is_system, text
+     z AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, participant ORDER BY rank
                                                    ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM y),
      g AS (SELECT conv_id, CAST(part AS INTEGER) AS part, participant, CAST(count(*) AS INTEGER) AS n_turns,
-                  CAST(count(*) FILTER (target) AS INTEGER) AS n_targets,
-                  string_agg(piece, '' ORDER BY turn, speaker, is_system, text) AS rendered,
+                  CAST(count(*) FILTER (target) AS INTEGER) AS n_targets, CAST(min(upto - length(piece)) AS BIGINT) AS start,
+                  string_agg(piece, '' ORDER BY rank) AS rendered,
                   coalesce(string_agg(CAST(upto - length(piece) + length(head) AS VARCHAR) || ':' || CAST(upto - 8 AS VARCHAR),
-                                      ',' ORDER BY turn, speaker, is_system, text) FILTER (target), '') AS mask
+                                      ',' ORDER BY rank) FILTER (target), '') AS mask
            FROM z GROUP BY conv_id, part, participant)
-SELECT *, sha256(rendered) AS rendered_sha256 FROM g"""
+SELECT g.*, coalesce('<|system|>' || chr(10) || c.system || '<|end|>' || chr(10), '') AS context, sha256(rendered) AS rendered_sha256
+FROM g JOIN c ON c.conv_id = g.conv_id AND c.part = g.part"""
 
 
 @_query("op2_chat_rotation", _ROTATION_SQL)

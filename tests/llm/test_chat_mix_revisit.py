@@ -18,34 +18,48 @@ def turns():
     rows = [(1, 0, "sys", True, "Be kind."), (1, 1, "ann", False, "hi"), (1, 2, "bob", False, None),
             (1, 3, "ann", False, "x" * 200000), (1, 3, "cy", False, "\U0001F600 tie"), (1, 3, "cy", False, "\U0001F600 tie"),
             (2, 0, "sys", True, "alone"), (3, None, None, None, "who"), (None, 1, "ann", False, "no id"), (4, 0, "bob", False, "")]
-    rows += [(5, i, ("ann", "bob", "cy")[i % 3], False, f"turn {i}") for i in range(40)]
+    rows += [(5, i, ("ann", "bob", "cy")[i % 3], i % 50 == 20, f"turn {i}") for i in range(300)]
+    rows += [(6, None if i % 2 else 4, ("ann", "bob")[i % 3 == 0], False, f"equal {i % 40}") for i in range(90)]
+    rows += [(7, 1, "ann", False, "the same")] * 70
     return [r + (7, "clash") for r in rows]
 
 
-def test_rotation(spark):
-    got = rotate(spark.createDataFrame(turns(), TURNS), 16).collect()
-    convs = defaultdict(list)
+def whole(rows, me):
+    """The rendering of a whole dialogue, its mask, and (size, targets, system turn so far) after every turn."""
+    text, mask, after, system = "", [], [], None
+    order = sorted(rows, key=lambda r: (r[0], r[1], r[2], hashlib.md5(r[3].encode()).hexdigest()))
+    for _, s, y, x in order:
+        text += "<|system|>\n" if y else "<|assistant|>\n" if s == me else f"<|user name={s}|>\n"
+        if s == me and not y:
+            mask.append(f"{len(text)}:{len(text) + len(x)}")
+        text += x + "<|end|>\n"
+        system = x if y else system
+        after.append((len(text), len(mask), system))
+    return text, mask, after
+
+
+@pytest.mark.parametrize("size", [16, 256, 1000])
+def test_rotation(spark, size):
+    got = rotate(spark.createDataFrame(turns(), TURNS).repartition(5), size).collect()
+    convs, parts = defaultdict(list), defaultdict(list)
     for c, t, s, y, x, *_ in turns():
         convs[c].append((t or 0, s or "unknown", bool(y), x or ""))
-    want = {}
-    for c, rows in convs.items():
-        for me in {s for _, s, y, _ in rows if not y}:
-            for part in {t // 16 for t, *_ in rows}:
-                text, mask, n, targets = "", [], 0, 0
-                for t, s, y, x in sorted(r for r in rows if r[0] // 16 == part):
-                    text += "<|system|>\n" if y else "<|assistant|>\n" if s == me else f"<|user name={s}|>\n"
-                    if s == me and not y:
-                        mask.append(f"{len(text)}:{len(text) + len(x)}")
-                        targets += 1
-                    text += x + "<|end|>\n"
-                    n += 1
-                want[c, part, me] = (n, targets, text, ",".join(mask), hashlib.sha256(text.encode()).hexdigest())
-    assert {(r.conv_id, r.part, r.participant): (r.n_turns, r.n_targets, r.rendered, r["mask"], r.rendered_sha256)
-            for r in got} == want and len(got) == len(want)
     for r in got:
-        for span in filter(None, r["mask"].split(",")):
-            s, e = map(int, span.split(":"))
-            assert r.rendered[:s].endswith("<|assistant|>\n") and r.rendered[e:].startswith("<|end|>\n")
+        parts[r.conv_id, r.participant].append(r)
+    assert set(parts) == {(c, s) for c, rows in convs.items() for _, s, y, _ in rows if not y}
+    for (c, me), mine in parts.items():
+        mine.sort(key=lambda r: r.part)
+        text, mask, after = whole(convs[c], me)
+        assert "".join(r.rendered for r in mine) == text
+        assert ",".join(filter(None, (r["mask"] for r in mine))) == ",".join(mask)
+        at = 0
+        for k, r in enumerate(mine):
+            begin, targets, system = after[at - 1] if at else (0, 0, None)
+            at += r.n_turns
+            assert (r.part, r.start, r.n_targets) == (k, begin, after[at - 1][1] - targets)
+            assert r.n_turns == min(size, len(convs[c]) - k * size)
+            assert r.context == ("" if system is None else f"<|system|>\n{system}<|end|>\n")
+            assert r.rendered_sha256 == hashlib.sha256(r.rendered.encode()).hexdigest()
 
 
 def test_rotation_of_nothing(spark):
