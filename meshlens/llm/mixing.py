@@ -1,19 +1,21 @@
 """Operator 3, mixing sources to target weights by iterative proportional fitting (DataFrame functions only).
 
 Documents fall into cells (source, language, topic).  The cells' token weights are raked to the target marginals of
-source, language and topic in turn, for ``SWEEPS`` sweeps.  A document is then sampled with probability
-weight / tokens of its cell, scaled so that the largest is 1: the expected tokens of the sample have the raked
-marginals, and no cell is sampled beyond what it holds.  One rare cell with a high ratio lowers all the others.
+source, language and topic in turn, in rounds of ``SWEEPS`` sweeps, until no marginal is off by more than ``TOLERANCE``;
+targets that contradict each other are raked until a round no longer helps, and the error that is left is warned of.
 
-With ``share``, the draw is calibrated instead: the expected tokens of the sample are that share of all tokens.  A
-cell's probability is min(1, lambda * weight / tokens); a cell at 1 is kept whole and the others share the rest of the
-budget.  The weights are then raked until no marginal is off by more than ``TOLERANCE``; targets that contradict each
-other are raked until a sweep no longer helps, and the error that is left is warned of.
+The draw is calibrated to a budget: the expected tokens of the sample are ``share`` of all tokens.  A cell's probability
+is min(1, lambda * weight / tokens); a cell at 1 is kept whole and the others share the rest of the budget, so a rare
+cell never lowers the others.  With ``share=None`` the largest ratio is scaled to 1 instead: all marginals are exact,
+but one rare cell of a high ratio shrinks the whole sample.
 
 Unless targets are given, a value's target share is its share of the tokens to the power ``EXPONENT``, which damps
 large sources and languages.  A document is kept when a number drawn from the md5 of its id is below its probability,
 so the sample is the same at any partitioning.
 
+A table without topics gets a stand-in: of four classes of words by their first letter, the one with the most words in
+the whole text.
+
 Scale: one aggregation over the documents, pre-aggregated per task, gives the cells; raking works on the cells alone,
 whose number is that of (source, language, topic) triples.  A hot source is one row per language and topic there.
 
@@ -34,27 +36,33 @@ from meshlens.llm.common import Scratch
 
 DIMS = ("source", "lang", "topic")
 EXPONENT = 0.7
-SWEEPS = 6
+SWEEPS = 12
 #: Largest difference of a raked share from its target share, and the least gain of a round of sweeps.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 GAIN = 0.01
-TOPICS = 4
+#: Share of the tokens that a sample keeps.
+SHARE = 0.65
+#: Stand-in topics: first letters of the words that speak for each.
+TOPICS = {"t0": "a-fA-F", "t1": "g-mG-M", "t2": "n-sN-S", "t3": "t-zT-Z"}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def topic_of(text: Column) -> Column:
-    """A stand-in topic for tables without one: a bucket of the first word."""
-    first = F.md5(F.regexp_extract(text, _WORD, 0).cast("binary"))
-    return F.concat(F.lit("t"), (F.conv(F.substring(first, 1, 4), 16, 10).cast("long") % TOPICS).cast("string"))
+    """A stand-in topic for tables without one: the class of the most words of the text, ties by name."""
+    words = F.concat(F.lit(" "), text)
+    best = F.greatest(*(F.struct(F.regexp_count(words, F.lit(rf"[\x20\x09-\x0D][{letters}]")).alias("n"),
+                                 F.lit(-i).alias("i"), F.lit(t).alias("topic")) for i, (t, letters) in enumerate(TOPICS.items())))
+    return best["topic"]
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns that mixing needs, under names that can't clash."""
+def described(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """``docs`` with the columns that mixing needs, under names that can't clash; ``topic``: the tables' own topic."""
     text = F.coalesce("text", F.lit(""))
+    topic = topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit("unknown"))
     return docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")),
                              "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")),
-                             "_topic": topic_of(text), "_tokens": F.regexp_count(text, F.lit(_WORD)).cast("long")})
+                             "_topic": topic, "_tokens": F.regexp_count(text, F.lit(_WORD)).cast("long")})
 
 
 def _targeted(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
@@ -134,28 +142,31 @@ def _calibrated(raked: DataFrame, share: float) -> float:
     return raked.where("ratio > 0").select(((F.lit(budget) - whole) / left).alias("l")).agg(F.max("l")).first()[0] or 0.0
 
 
-def _decided(docs: DataFrame, targets: dict[str, DataFrame] | None, share: float | None) -> DataFrame:
-    rows = described(docs)
+def _decided(docs: DataFrame, targets: dict[str, DataFrame] | None, share: float | None,
+             topic: Column | None) -> DataFrame:
+    rows = described(docs, topic)
     draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     draw = F.conv(F.substring(draw, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     return (rows.join(probabilities(rows, targets, share), [f"_{d}" for d in DIMS])
             .withColumn("_kept", draw < F.col("probability")))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float | None = SHARE,
+        topic: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and kept of every row of ``docs``."""
-    return _decided(docs.select("doc_id", "text", "source", "lang"), targets, share).select(
+    return _decided(docs, targets, share, topic).select(
         "doc_id", *(F.col(f"_{d}").alias(d) for d in DIMS), F.col("_tokens").alias("n_tokens"), "probability",
         F.col("_kept").alias("kept"))
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float | None = SHARE,
+           topic: Column | None = None) -> DataFrame:
     """The sampled rows of ``docs``, all columns."""
-    return _decided(docs, targets, share).where("_kept").select(*docs.columns)
+    return _decided(docs, targets, share, topic).where("_kept").select(*docs.columns)
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL."""
+    """The query in DuckDB SQL, with one round of sweeps."""
     steps = []
     last = "start"
     for i in range(SWEEPS):
@@ -165,16 +176,23 @@ def oracle() -> str:
                          f"ELSE 0 END AS w FROM {last})")
             last = f"s{i}{d}"
     targets = ", ".join(f"power(CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE), {EXPONENT}) AS t_{d}" for d in DIMS)
-    first = r"substr(md5(regexp_extract(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1, 4)"
+    hits = ", ".join(rf"len(regexp_extract_all(' ' || coalesce(text, ''), '[\x20\x09-\x0D][{x}]'))" for x in TOPICS.values())
+    names = ", ".join(f"'{t}'" for t in TOPICS)
+    order = "ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
-                  't' || CAST(CAST('0x' || {first} AS BIGINT) % {TOPICS} AS VARCHAR) AS topic,
+WITH h AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, [{hits}] AS hits,
                   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+     d AS (SELECT doc_id, source, lang, [{names}][list_position(hits, list_max(hits))] AS topic, n_tokens FROM h),
      cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
      start AS (SELECT *, CAST(tokens AS DOUBLE) AS w, {targets} FROM cells),
      {", ".join(steps)},
-     r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM {last}),
-     p AS (SELECT source, lang, topic, round(ratio / (SELECT max(ratio) FROM r), 9) AS probability FROM r)
+     r AS (SELECT source, lang, topic, tokens, w, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM {last}),
+     l AS (SELECT max((budget - before) / rest) AS factor FROM (
+             SELECT {SHARE} * (SELECT sum(tokens) FROM r) AS budget,
+                    coalesce(sum(tokens) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                    sum(w) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+             FROM r WHERE ratio > 0)),
+     p AS (SELECT source, lang, topic, round(least(1.0, ratio * (SELECT factor FROM l)), 9) AS probability FROM r)
 SELECT doc_id, source, lang, topic, n_tokens, probability,
        CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept
 FROM d JOIN p USING (source, lang, topic)"""

@@ -84,28 +84,45 @@ def python_mix(rows, sweeps=mixing.SWEEPS, targets=None):
             w = {c: x * goal[d].get(c[d], 0) / total[c[d]] if total[c[d]] else 0.0 for c, x in w.items()}
     ratio = {c: w[c] / n if n else 0.0 for c, n in cells.items()}
     top = max(ratio.values()) or 1.0
-    return {c: r / top for c, r in ratio.items()}, w
+    return {c: r / top for c, r in ratio.items()}, w, ratio
+
+
+def calibrated(ratio, cells, share):
+    """min(1, lambda * ratio) with lambda found by bisection."""
+    budget, lo, hi = share * sum(cells.values()), 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(1, mid * r) * cells[c] for c, r in ratio.items()) < budget else (lo, mid)
+    return {c: min(1, hi * r) for c, r in ratio.items()}
 
 
 def described(odd):
     out = []
     for r in odd.select("doc_id", "text", "source", "lang").collect():
         ws = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
-        bucket = int(hashlib.md5((ws[0] if ws else "").encode()).hexdigest()[:4], 16) % mixing.TOPICS
-        out.append((r.doc_id, r.source or "unknown", r.lang or "unknown", f"t{bucket}", len(ws)))
+        hits = [sum(bool(re.match(f"[{letters}]", x)) for x in ws) for letters in mixing.TOPICS.values()]
+        out.append((r.doc_id, r.source or "unknown", r.lang or "unknown", f"t{hits.index(max(hits))}", len(ws)))
     return out
 
 
-def test_mixing(odd):
+@pytest.mark.filterwarnings("ignore:mixing")
+@pytest.mark.parametrize("share", [None, 0.65])
+def test_mixing(odd, monkeypatch, share):
+    monkeypatch.setattr(mixing, "TOLERANCE", 1.0)  # one round of sweeps
     rows = described(odd)
-    p, w = python_mix(rows)
-    got = mixing.mix(odd).collect()
+    p, _, ratio = python_mix(rows)
+    if share:
+        cells = Counter()
+        for _, *c, n in rows:
+            cells[tuple(c)] += n
+        p = calibrated(ratio, cells, share)
+    got = mixing.mix(odd, share=share).collect()
     assert Counter((r.doc_id, r.source, r.lang, r.topic, r.n_tokens) for r in got) == Counter(rows)
     for r in got:
         assert r.probability == pytest.approx(p[r.source, r.lang, r.topic], abs=1e-8)
         draw = int(hashlib.md5(("null" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:13], 16) / 2 ** 52
         assert r.kept == (draw < r.probability)
-    out = mixing.sample(odd)
+    out = mixing.sample(odd, share=share)
     assert out.columns == odd.columns and out.count() == sum(r.kept for r in got)
 
 

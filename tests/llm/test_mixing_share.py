@@ -39,8 +39,16 @@ def test_raked_below_the_tolerance(spark):
             all_[r[d]] += r[3]
         goal = {v: n ** mixing.EXPONENT for v, n in all_.items()}
         for v in goal:
-            assert kept[v] / sum(kept.values()) == pytest.approx(goal[v] / sum(goal.values()), abs=1e-5)
+            assert kept[v] / sum(kept.values()) == pytest.approx(goal[v] / sum(goal.values()), abs=mixing.TOLERANCE)
 
 
 def test_share_of_nothing(none):
     assert mixing.mix(none, share=0.5).collect() == []
+
+
+@pytest.mark.filterwarnings("ignore:mixing")
+def test_own_topics(spark):
+    rows = [(i, "a b", "en", "s", None if i == 3 else f"k{i % 2}") for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS + ", subject string")
+    got = {r.doc_id: r.topic for r in mixing.mix(docs, topic=docs["subject"]).collect()}
+    assert got == {i: "unknown" if i == 3 else f"k{i % 2}" for i in range(8)}
