@@ -176,29 +176,64 @@ def resolve_gateway(calls: DataFrame, rules: DataFrame, path_col: str = "path",
 
 # --------------------------------------------------------------------------- J-12 / J-13
 
-def _segments(route: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(route, "/"), lambda s: ~s.isin("", "*", "api")))
+def letters(route: Column) -> Column:
+    """The characters of a text as a set: the k-th ``a`` is ``ak``, so common letters are common elements."""
+    ordered = F.array_sort(F.filter(F.split(route, ""), lambda c: c != ""))
+    return F.transform(ordered, lambda c, i: F.concat(c, (i + 1 - F.array_position(ordered, c)).cast("string")))
+
+
+def _need(la: Column, lb: Column, ratio: Column) -> Column:
+    """Letters that two texts must share for that ratio; a matched character is a shared one."""
+    return F.ceil(ratio * (la + lb) / 2 - 1e-9)
+
+
+def _prefixes(routes: DataFrame, route: str, rare: DataFrame) -> DataFrame:
+    """(route, ratio, token, pos, len): the rarest letters of each route, as many as a partner of the least length
+    that can still reach ``ratio`` must meet."""
+    tokens = (routes.select(route, "ratio", F.length(route).alias("len"), F.explode(letters(F.col(route))).alias("token"))
+              .join(rare, "token", "left"))
+    pos = F.row_number().over(Window.partitionBy(route, "ratio").orderBy(F.coalesce("df", F.lit(0)), "token"))
+    least = F.ceil(F.col("len") * F.col("ratio") / (2 - F.col("ratio")) - 1e-9)
+    return (tokens.withColumn("pos", pos).where(F.col("pos") <= F.col("len") - least + 1)
+            .select(route, "ratio", "token", "pos", "len"))
+
+
+def similar_routes(call_routes: DataFrame, routes: DataFrame) -> DataFrame:
+    """(call_route, ep_route, ratio) of all pairs of different routes that may reach ``ratio`` (> 0) of the call's side:
+    by their lengths and by the letters that they share, which bounds X-05 from above.
+
+    ``call_routes``: (call_route, ratio), ``routes``: (ep_route), both distinct.  Letters are ordered by the number of
+    endpoint routes that have them.  A pair with enough common letters has one among the first of both sides, so only
+    these meet in a join, and only where the letters left on both sides can still be enough."""
+    rare = routes.select(F.explode(letters(F.col("ep_route"))).alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"))
+    wanted = [r[0] for r in call_routes.select("ratio").distinct().collect()]  # a value per kind of call
+    if not wanted:
+        return call_routes.select("call_route", F.col("call_route").alias("ep_route"), "ratio").where("false")
+    per_ratio = routes.select("ep_route", F.explode(F.array(*[F.lit(float(w)) for w in wanted])).alias("ratio"))
+    a = _prefixes(call_routes, "call_route", rare).withColumnsRenamed({"pos": "pos_a", "len": "len_a"})
+    b = _prefixes(per_ratio, "ep_route", rare).withColumnsRenamed({"pos": "pos_b", "len": "len_b"})
+    need = _need(F.col("len_a"), F.col("len_b"), F.col("ratio"))
+    left = F.least(F.col("len_a") - F.col("pos_a"), F.col("len_b") - F.col("pos_b")) + 1
+    met = (a.join(b, ["ratio", "token"])
+           .where((F.least("len_a", "len_b") >= need) & (left >= need) & (F.col("call_route") != F.col("ep_route")))
+           .select("call_route", "ep_route", "ratio").distinct())
+    shared = F.size(F.array_intersect(letters(F.col("call_route")), letters(F.col("ep_route"))))
+    return met.where(shared >= _need(F.length("call_route"), F.length("ep_route"), F.col("ratio")))
 
 
 def candidate_endpoints(call_routes: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """J-13 on distinct normalized call routes: every endpoint with the same route or
-    a shared path segment (``''``, ``*``, ``api`` ignored), whatever their number.
-
-    ``call_routes`` may carry ``min_ratio``, the least similarity with which the route
-    can still reach the caller's threshold; a candidate whose lengths rule that ratio
-    out (``2·min/(la+lb)`` is an upper bound) is left out."""
+    """J-13 on distinct normalized call routes: every endpoint whose route is the same or may be as similar as
+    ``min_ratio`` (a column of ``call_routes``; by default what a call without a gateway needs), whatever their number.
+    No segment need be shared: the result is that of comparing each call route with all endpoint routes."""
     if "min_ratio" not in call_routes.columns:
-        call_routes = call_routes.withColumn("min_ratio", F.lit(0.0))
-    cr = call_routes.groupBy("call_route").agg(F.min("min_ratio").alias("min_ratio"))
+        call_routes = call_routes.withColumn("min_ratio", F.lit((API_LINK_THRESHOLD - 40) / 50.0))
+    cr = call_routes.groupBy("call_route").agg(F.min("min_ratio").alias("ratio"))
     ep = endpoints.select(F.col("id").alias("endpoint_id"), F.col("route").alias("ep_route"))
     routes = ep.select("ep_route").distinct()  # pairs are made of distinct routes, endpoints join at the end
     exact = cr.join(routes, cr["call_route"] == routes["ep_route"]).select("call_route", "ep_route")
-    cs = cr.select("call_route", "min_ratio", F.explode(_segments(F.col("call_route"))).alias("seg"))
-    es = routes.select("ep_route", F.explode(_segments(F.col("ep_route"))).alias("seg"))
-    shared = (cs.join(es, "seg")
-              .where(ratio_upper_bound(F.length("call_route"), F.length("ep_route")) >= F.col("min_ratio") - 1e-9)
-              .select("call_route", "ep_route"))
-    return exact.unionByName(shared).distinct().join(ep, "ep_route").select("call_route", "endpoint_id", "ep_route")
+    similar = similar_routes(cr, routes).select("call_route", "ep_route")
+    return exact.unionByName(similar).join(ep, "ep_route").select("call_route", "endpoint_id", "ep_route")
 
 
 def link_calls_to_endpoints(calls: DataFrame, endpoints: DataFrame, resolved: DataFrame | None = None,
@@ -207,7 +242,8 @@ def link_calls_to_endpoints(calls: DataFrame, endpoints: DataFrame, resolved: Da
     30·method match + (20 gateway-resolved, else 10); keep ≥ ``threshold``;
     method label gateway_resolved / exact (≥ 90) / fuzzy; ties → lowest id.
 
-    ``calls``: id, path, http_method.  ``endpoints``: id, route, http_method
+    A call with an endpoint of its own route and method has its best already; only the other calls' routes are
+    compared with the rest.  ``calls``: id, path, http_method.  ``endpoints``: id, route, http_method
     (+ optional signature/name).  ``resolved``: J-14 output (id, resolved_path).
     """
     c = calls.select("id", "path", F.col("http_method").alias("call_method"))
@@ -215,30 +251,34 @@ def link_calls_to_endpoints(calls: DataFrame, endpoints: DataFrame, resolved: Da
         c = c.join(resolved.select("id", "resolved_path"), "id", "left")
     else:
         c = c.withColumn("resolved_path", F.lit(None).cast("string"))
-    c = c.withColumn("call_route", normalize_url(F.coalesce("resolved_path", "path")))
+    c = (c.withColumn("call_route", normalize_url(F.coalesce("resolved_path", "path")))
+         .withColumn("gateway", F.col("resolved_path").isNotNull()))
+    ep = endpoints.select(F.col("id").alias("endpoint_id"), F.col("route").alias("ep_route"), F.col("http_method").alias("ep_method"),
+                          *[F.col(c_).alias("ep_" + c_) if c_ in endpoints.columns else F.lit(None).cast("string").alias("ep_" + c_)
+                            for c_ in ("signature", "name")])
+    method_ok = http_method_matches(F.col("call_method"), F.col("ep_method"), F.col("ep_signature"), F.col("ep_name"))
+    points = F.when(method_ok, 0.3).otherwise(0.0) + F.when(F.col("gateway"), 0.2).otherwise(0.1)
+
+    def scored(pairs: DataFrame, url_score: Column) -> DataFrame:
+        return pairs.select("id", "gateway", "endpoint_id", method_ok.alias("method_ok"),
+                            F.round(0.5 * url_score + points, 6).alias("score"))
+
+    same = scored(c.join(ep, F.col("call_route") == F.col("ep_route")), F.lit(1.0))
+    settled = same.where("method_ok").select("id").distinct()
     # the other two parts of the score give at most 30 + (20 or 10) points
-    points = F.when(F.col("resolved_path").isNotNull(), 50).otherwise(40)
-    cand = candidate_endpoints(c.select("call_route", F.greatest(F.lit(0.0), (F.lit(threshold) - points) / 50.0)
-                                        .alias("min_ratio")), endpoints)
-    sim = cand.withColumn("url_score", F.when(F.col("call_route") == F.col("ep_route"), F.lit(1.0))
-                          .otherwise(sequence_ratio(F.col("call_route"), F.col("ep_route"))))
-    ep = endpoints.select(F.col("id").alias("endpoint_id"), F.col("http_method").alias("ep_method"),
-                          *[F.col(c_).alias("ep_" + c_) for c_ in ("signature", "name") if c_ in endpoints.columns])
-    j = c.join(sim, "call_route").join(ep, "endpoint_id")
-    sig = F.col("ep_signature") if "ep_signature" in j.columns else F.lit(None).cast("string")
-    nm = F.col("ep_name") if "ep_name" in j.columns else F.lit(None).cast("string")
-    method_ok = http_method_matches(F.col("call_method"), F.col("ep_method"), sig, nm)
-    gw = F.col("resolved_path").isNotNull()
-    score = (F.lit(0.5) * F.col("url_score") + F.when(method_ok, 0.3).otherwise(0.0)
-             + F.when(gw, 0.2).otherwise(0.1))
-    j = j.withColumn("score", F.round(score, 6))
-    w = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("endpoint_id").asc())
-    best = j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    label = F.when(gw, "gateway_resolved").when(F.col("score") >= 0.9, "exact").otherwise("fuzzy")
-    return (best.where(F.col("score") * 100 >= threshold - 1e-9)
-            .select(F.col("id").alias("call_id"), "endpoint_id", F.col("score"),
-                    F.floor(F.col("score") * 100 + 1e-9).cast("int").alias("match_confidence"),
-                    label.alias("match_method")))
+    ratio = F.greatest(F.lit(0.01), (F.lit(threshold) - F.when(F.col("gateway"), 50).otherwise(40)) / 50.0)
+    rest = c.join(settled, "id", "left_anti").withColumn("ratio", ratio)
+    routes = rest.groupBy("call_route").agg(F.min("ratio").alias("ratio"))
+    sim = (similar_routes(routes, ep.select("ep_route").distinct())
+           .withColumn("url_score", sequence_ratio(F.col("call_route"), F.col("ep_route")))
+           .where(F.col("url_score") >= F.col("ratio") - 1e-9).drop("ratio"))
+    near = scored(rest.join(sim, "call_route").join(ep, "ep_route"), F.col("url_score"))
+    best = (same.unionByName(near).where(F.col("score") * 100 >= threshold - 1e-9).groupBy("id")
+            .agg(F.max(F.struct("score", (-F.col("endpoint_id")).alias("minus"), "gateway")).alias("b")))
+    score = F.col("b.score")
+    label = F.when(F.col("b.gateway"), "gateway_resolved").when(score >= 0.9, "exact").otherwise("fuzzy")
+    return best.select(F.col("id").alias("call_id"), (-F.col("b.minus")).alias("endpoint_id"), score.alias("score"),
+                       F.floor(score * 100 + 1e-9).cast("int").alias("match_confidence"), label.alias("match_method"))
 
 
 # --------------------------------------------------------------------------- J-15 events

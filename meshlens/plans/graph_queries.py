@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from meshlens.functions import code as X
 from meshlens.operators import graph as G
+from meshlens.operators import linking as L
 from meshlens.plans.catalog import register
+from meshlens.plans.link_queries import EVENT_LINKS_SQL, RESOLVE_SQL, links_sql
 from meshlens.sources import probes
 from meshlens.sources.tables import load_tables
 
@@ -147,61 +149,62 @@ def g04_interface_edges(spark, sf_dir):
     return G.interface_edges(probes.v_symbols(t), probes.v_edges(t))
 
 
-# Node-id offsets of the service graph: symbols keep their ids, endpoints and
-# subscription handlers get their own ranges.
-ENDPOINT_BASE = 3_000_000_000_000
-HANDLER_BASE = 5_000_000_000_000
+# Nodes of the service graph: four times the id, plus the kind, so ranges never meet.
+SYMBOL, ENDPOINT, HANDLER = 0, 1, 2
 
 
-def _service_edges(t):
-    """G-11 edge set: CALLS between symbols ∪ API links (caller symbol →
-    endpoint) ∪ event links (publisher symbol → subscription handler).  The
-    call / event rows carry their symbol: part key = row id mod part count."""
-    from meshlens.functions.urls import normalize_url
-    from meshlens.operators import linking as L
-    n_parts = t.part.select(F.count(F.lit(1))).scalar()
-    calls = probes.v_edges(t).where(F.col("type") == "CALLS").select("src", "dst", F.lit("CALLS").alias("type"))
-    c = probes.v_calls(t).select("id", normalize_url(F.col("path")).alias("route"))
-    e = probes.v_endpoints(t).select(F.col("id").alias("endpoint_id"), "route")
-    api = c.join(e, "route").select((F.col("id") % n_parts).alias("src"),
-                                    (F.lit(ENDPOINT_BASE) + F.col("endpoint_id")).alias("dst"), F.lit("API_CALL").alias("type"))
-    ev = L.link_events(probes.v_pub(t), probes.v_sub(t), fuzzy=False).select(
-        (F.col("pub_id") % n_parts).alias("src"), (F.lit(HANDLER_BASE) + F.col("sub_id")).alias("dst"),
-        F.lit("EVENT").alias("type"))
-    return calls.unionByName(api).unionByName(ev)
+def _service_node(key, kind: int):
+    return (key * 4 + kind).alias("node")
 
 
-SERVICE_EDGES_SQL = f"""(SELECT src, dst, 'CALLS' AS relation FROM v_edges WHERE type = 'CALLS'
-  UNION ALL
-  SELECT c.id % (SELECT count(*) FROM part), {ENDPOINT_BASE} + e.id, 'API_CALL'
-  FROM v_calls c JOIN v_endpoints e ON e.route = {{norm}}
-  UNION ALL
-  SELECT p.id % (SELECT count(*) FROM part), {HANDLER_BASE} + s.id, 'EVENT'
-  FROM v_pub p JOIN v_sub s ON p.event_type = s.event_type
-  WHERE p.repo <> s.repo AND 70 + CASE WHEN p.topic = s.queue THEN 20 ELSE 0 END
-        + CASE WHEN regexp_matches('.' || p.routing_key, '^' || array_to_string(list_transform(string_split(s.pattern, '.'),
-            lambda w: CASE WHEN w = '*' THEN '\\.[^.]*' WHEN w = '#' THEN '(?:\\.[^.]*)*' ELSE '\\.\\Q' || w || '\\E' END), '')
-            || '$') THEN 10 ELSE 0 END >= 80)"""
+def _service_edges(spark, t):
+    """G-11 edge set: CALLS between symbols ∪ API links of J-12 (caller symbol → endpoint) ∪ event links (publisher
+    symbol → subscription handler), with their confidence.  The call / event rows carry their symbol: part key = row id
+    mod part count."""
+    from meshlens.plans.link_queries import api_links
+    n_parts = t.part.select(F.count(F.lit(1))).scalar()
+
+    def edges(df, src, dst, kind, relation, confidence):
+        return df.select((src * 4).alias("src"), (dst * 4 + kind).alias("dst"), F.lit(relation).alias("type"),
+                         confidence.cast("int").alias("confidence"))
+    calls = edges(probes.v_edges(t).where(F.col("type") == "CALLS"), F.col("src"), F.col("dst"), SYMBOL, "CALLS", F.lit(100))
+    api = edges(api_links(spark, t), F.col("call_id") % n_parts, F.col("endpoint_id"), ENDPOINT, "API_CALL",
+                F.col("match_confidence"))
+    ev = edges(L.link_events(probes.v_pub(t), probes.v_sub(t), fuzzy=False), F.col("pub_id") % n_parts, F.col("sub_id"),
+               HANDLER, "EVENT", F.col("match_confidence"))
+    return calls.unionByName(api).unionByName(ev)
 
 
-def _svc_edges_sql() -> str:
-    from meshlens.plans.oracle_views import norm_url_sql
-    return SERVICE_EDGES_SQL.replace("{norm}", norm_url_sql("c.path"))
+SERVICE_EDGES_SQL = f"""se AS (SELECT src * 4 AS src, dst * 4 + {SYMBOL} AS dst, 'CALLS' AS relation, 100 AS confidence FROM v_edges WHERE type = 'CALLS'
+  UNION ALL SELECT call_id % (SELECT count(*) FROM part) * 4, endpoint_id * 4 + {ENDPOINT}, 'API_CALL',
+                   CAST(floor(score * 100 + 1e-9) AS INTEGER) FROM api_links
+  UNION ALL SELECT pub_id % (SELECT count(*) FROM part) * 4, sub_id * 4 + {HANDLER}, 'EVENT', match_confidence FROM {EVENT_LINKS_SQL})"""
 
 
-@register("g11_cross_service_trace", sql=_walk_sql(DEPTH, _svc_edges_sql()))
+@register("g11_cross_service_trace", sql=f"""
+WITH {links_sql(RESOLVE_SQL)}, {SERVICE_EDGES_SQL},
+{_walk_ctes(DEPTH, 'se', seeds_sql=f"SELECT id * 4 AS seed FROM v_symbols WHERE name = '{SEED_NAME}'")}
+SELECT trav.seed // 4 AS seed, node // 4 AS id, CAST(node % 4 AS INTEGER) AS kind, depth, trav.relation, parent // 4 AS parent,
+       max(se.confidence) AS confidence
+FROM trav JOIN se ON se.src = parent AND se.dst = node AND se.relation = trav.relation GROUP BY ALL""")
 def g11_cross_service_trace(spark, sf_dir):
     """G-11: one traversal across code calls, API links and event links from
-    the seed symbols; each node carries the edge kind that first reached it."""
+    the seed symbols; each node (symbol 0, endpoint 1, handler 2) carries the kind of edge that first
+    reached it and that edge's confidence."""
     t = _t(spark, sf_dir)
-    return G.traverse(_seeds(t), _service_edges(t), depth=DEPTH, direction="down")
+    edges = _service_edges(spark, t).groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"))
+    trav = G.traverse(_seeds(t).select((F.col("seed") * 4).alias("seed")), edges, depth=DEPTH, direction="down")
+    taken = edges.select(F.col("src").alias("parent"), F.col("dst").alias("node"), F.col("type").alias("relation"), "confidence")
+    quarter = {c: F.floor(F.col(c) / 4) for c in ("seed", "parent")}
+    return (trav.join(taken, ["parent", "node", "relation"])
+            .select(quarter["seed"].alias("seed"), F.floor(F.col("node") / 4).alias("id"),
+                    (F.col("node") % 4).cast("int").alias("kind"), "depth", "relation", quarter["parent"].alias("parent"), "confidence"))
 
 
 # ----------------------------------------------------------------------------- G-08
 
 from meshlens.functions.code import layer, layer_sql  # noqa: E402
 from meshlens.plans.link_queries import _templates  # noqa: E402
-from meshlens.operators import linking as L  # noqa: E402
 
 MATCH_SQL = """(WITH ep AS (SELECT id AS endpoint_id, '/' || replace(route, '*', '{p}') AS template, http_method AS ep_method
                           FROM v_endpoints),

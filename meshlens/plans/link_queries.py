@@ -85,18 +85,17 @@ def j14_gateway_from_configs(spark, sf_dir):
     return L.resolve_gateway(probes.v_calls(t), L.compile_routes(L.routes_from_configs(ocelot, nginx))).drop("route_id")
 
 
-_SEG = "list_distinct(list_filter(string_split({r}, '/'), lambda s: s NOT IN ('', '*', 'api')))"
+# letters that two texts share: the lesser count of each character
+_SHARED = ("list_sum(list_transform(list_distinct(string_split({a}, '')), "
+           "lambda ch: least(length({a}) - length(replace({a}, ch, '')), length({b}) - length(replace({b}, ch, '')))))")
 
 
 @register("j13_candidate_endpoints", sql=f"""
 WITH cr AS (SELECT DISTINCT {norm_url_sql('path')} AS call_route FROM v_calls),
-ep AS (SELECT id AS endpoint_id, route AS ep_route FROM v_endpoints),
-cand AS (SELECT DISTINCT call_route, endpoint_id, ep_route FROM (
-  SELECT cr.call_route, ep.endpoint_id, ep.ep_route FROM cr JOIN ep ON cr.call_route = ep.ep_route
-  UNION ALL
-  SELECT cr.call_route, ep.endpoint_id, ep.ep_route FROM cr JOIN ep
-    ON len(list_intersect({_SEG.format(r='cr.call_route')}, {_SEG.format(r='ep.ep_route')})) >= 1))
-SELECT * FROM cand""")
+ep AS (SELECT id AS endpoint_id, route AS ep_route FROM v_endpoints)
+SELECT call_route, endpoint_id, ep_route FROM cr JOIN ep
+  ON call_route = ep_route OR (call_route <> '' AND ep_route <> ''
+     AND 2 * {_SHARED.format(a='call_route', b='ep_route')} >= 0.6 * (length(call_route) + length(ep_route)) - 1e-9)""")
 def j13_candidate_endpoints(spark, sf_dir):
     t = _t(spark, sf_dir)
     c = probes.v_calls(t).select(normalize_url(F.col("path")).alias("call_route"))
@@ -104,6 +103,55 @@ def j13_candidate_endpoints(spark, sf_dir):
     return L.candidate_endpoints(c, e)
 
 
+def ratio_ctes(pairs: str) -> str:
+    """Ratcliff–Obershelp similarity as recursive CTEs: ``pairs`` (a, b) → ``ro`` (a, b, ratio).  Each step finds the
+    longest common block of a piece (earliest in a, then in b) and goes on left and right of it."""
+    block = """list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_filter(list_transform(
+      range(1, length(x) - i + 2), lambda k: struct_pack(k := k, i := -i, j := -strpos(y, substr(x, i, k)))), lambda m: m.j < 0))))"""
+    return f"""cut(a, b, x, y, m) AS (
+  SELECT a, b, a, b, {block.replace('(x', '(a').replace('(y,', '(b,')} FROM {pairs}
+  UNION ALL
+  SELECT a, b, x, y, {block} FROM (
+    SELECT a, b, unnest([substr(x, 1, -m.i - 1), substr(x, -m.i + m.k)]) AS x,
+           unnest([substr(y, 1, -m.j - 1), substr(y, -m.j + m.k)]) AS y FROM cut WHERE m IS NOT NULL)
+  WHERE x <> '' AND y <> ''),
+ro AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(sum(m.k), 0) / (length(a) + length(b)) END AS ratio
+       FROM cut GROUP BY a, b)"""
+
+
+_SYNONYMS = " OR ".join(
+    f"(lower(call_method) = '{verb}' AND (" + " OR ".join(f"contains(lower(ep_route), '{w}')" for w in words) + "))"
+    for verb, words in L.METHOD_SYNONYMS.items())
+_METHOD_OK = f"(upper(call_method) = upper(ep_method) OR contains(lower(ep_route), lower(call_method)) OR {_SYNONYMS})"
+
+
+def links_sql(resolved: str | None) -> str:
+    """J-12 over all pairs of calls and endpoints as a query body (starts with WITH RECURSIVE)."""
+    gateway = f"LEFT JOIN {resolved} g ON g.id = c.id" if resolved else "LEFT JOIN (SELECT 0 AS id, '' AS resolved_path WHERE false) g ON g.id = c.id"
+    route = norm_url_sql("coalesce(resolved_path, c.path)")
+    return f"""RECURSIVE lc AS (SELECT c.id AS call_id, c.http_method AS call_method, g.resolved_path IS NOT NULL AS gateway,
+                  {route} AS call_route FROM v_calls c {gateway}),
+le AS (SELECT id AS endpoint_id, route AS ep_route, http_method AS ep_method FROM v_endpoints),
+lp AS (SELECT DISTINCT call_route AS a, ep_route AS b FROM (SELECT DISTINCT call_route FROM lc), (SELECT DISTINCT ep_route FROM le)
+          WHERE call_route <> '' AND ep_route <> ''
+            AND 2 * {_SHARED.format(a='call_route', b='ep_route')} >= 0.4 * (length(call_route) + length(ep_route)) - 1e-9),
+{ratio_ctes('lp')},
+ls AS (SELECT call_id, endpoint_id, gateway,
+              round(0.5 * CASE WHEN call_route = ep_route THEN 1.0 ELSE ratio END + CASE WHEN {_METHOD_OK} THEN 0.3 ELSE 0.0 END
+                    + CASE WHEN gateway THEN 0.2 ELSE 0.1 END, 6) AS score
+       FROM lc JOIN le ON true LEFT JOIN ro ON ro.a = call_route AND ro.b = ep_route WHERE call_route = ep_route OR ratio IS NOT NULL),
+api_links AS (SELECT call_id, arg_min(endpoint_id, (-score, endpoint_id)) AS endpoint_id, CAST(max(score) AS DOUBLE) AS score,
+                 any_value(gateway) AS gateway FROM ls WHERE score * 100 >= 70 - 1e-9 GROUP BY call_id)"""
+
+
+_LINK_COLUMNS = """SELECT call_id, endpoint_id, score, CAST(floor(score * 100 + 1e-9) AS INTEGER) AS match_confidence,
+       CASE WHEN gateway THEN 'gateway_resolved' WHEN score >= 0.9 THEN 'exact' ELSE 'fuzzy' END AS match_method FROM api_links"""
+
+
+def _named_endpoints(t):
+    return probes.v_endpoints(t).withColumn("name", F.col("route"))
+
+
 @register("j12_exact_links", sql="""
 WITH c AS (SELECT id, http_method AS call_method, {norm} AS call_route FROM v_calls),
 j AS (SELECT c.id AS call_id, e.id AS endpoint_id,
@@ -114,10 +162,10 @@ SELECT call_id, endpoint_id, CAST(round(score, 6) AS DOUBLE) AS score, CAST(floo
        CASE WHEN score >= 0.9 THEN 'exact' ELSE 'fuzzy' END AS match_method
 FROM j WHERE score * 100 >= 70 - 1e-9""".replace("{norm}", norm_url_sql("path")))
 def j12_exact_links(spark, sf_dir):
-    """J-12 exact tier: calls whose normalized route equals an endpoint route
-    (D oracle).  The full operator with the fuzzy tier is ``j12_link_calls_to_endpoints``."""
+    """J-12 exact tier: calls whose normalized route equals an endpoint route.
+    The full operator with the fuzzy tier is ``j12_link_calls_to_endpoints``."""
     t = _t(spark, sf_dir)
-    e = probes.v_endpoints(t).withColumn("name", F.col("route"))
+    e = _named_endpoints(t)
     c = probes.v_calls(t)
     best = L.link_calls_to_endpoints(c, e)
     exact = c.select(F.col("id").alias("call_id"), normalize_url(F.col("path")).alias("route"))
@@ -125,17 +173,18 @@ def j12_exact_links(spark, sf_dir):
             .drop("route"))
 
 
-@register("j12_link_calls_to_endpoints")
+@register("j12_link_calls_to_endpoints", sql=f"WITH {links_sql(RESOLVE_SQL)} {_LINK_COLUMNS}")
 def j12_link_calls_to_endpoints(spark, sf_dir):
     """J-12 full: gateway rewrite, exact + fuzzy candidates, best per call."""
     t = _t(spark, sf_dir)
     c = probes.v_calls(t)
-    e = probes.v_endpoints(t).withColumn("name", F.col("route"))
-    resolved = L.resolve_gateway(c, _rules(spark))
-    return L.link_calls_to_endpoints(c, e, resolved)
+    return L.link_calls_to_endpoints(c, _named_endpoints(t), L.resolve_gateway(c, _rules(spark)))
 
 
-@register("x05_sequence_ratio")
+@register("x05_sequence_ratio", sql=f"""
+WITH RECURSIVE t AS (SELECT id, {norm_url_sql('path')} AS a, lower(regexp_replace(path, '^/+|/+$', '', 'g')) AS b FROM v_calls),
+p AS (SELECT DISTINCT a, b FROM t), {ratio_ctes('p')}
+SELECT id, CAST(ratio AS DOUBLE) AS ratio FROM t JOIN ro USING (a, b)""")
 def x05_sequence_ratio(spark, sf_dir):
     """X-05 on every call: normalized route vs the raw lower-cased path."""
     c = probes.v_calls(_t(spark, sf_dir))
@@ -206,18 +255,29 @@ def j15_link_events_fuzzy(spark, sf_dir):
     return L.link_events(probes.v_pub(t), probes.v_sub(t), fuzzy=True)
 
 
+def api_links(spark, t):
+    """J-12's links between the calls and endpoints of the tables, with the repositories of both."""
+    c = probes.v_calls(t)
+    links = L.link_calls_to_endpoints(c, _named_endpoints(t), L.resolve_gateway(c, _rules(spark)))
+    return (links.join(c.select(F.col("id").alias("call_id"), F.col("repository").alias("call_repo")), "call_id")
+            .join(probes.v_endpoints(t).select(F.col("id").alias("endpoint_id"), F.col("repository").alias("ep_repo")),
+                  "endpoint_id"))
+
+
+API_SQL = f"""{links_sql(RESOLVE_SQL)},
+api AS (SELECT l.*, c.repository AS call_repo, e.repository AS ep_repo
+        FROM api_links l JOIN v_calls c ON c.id = l.call_id JOIN v_endpoints e ON e.id = l.endpoint_id)"""
+
+
 @register("g10_cross_service_edges", sql=f"""
-WITH api AS (SELECT c.repository AS src_repo, e.repository AS dst_repo FROM v_calls c
-             JOIN v_endpoints e ON e.route = {norm_url_sql('c.path')}),
+WITH {API_SQL},
 ev AS (SELECT CAST(pub_repo AS VARCHAR) AS src_repo, CAST(sub_repo AS VARCHAR) AS dst_repo FROM {EVENT_LINKS_SQL})
 SELECT src_repo, dst_repo, kind, count(*) AS links FROM (
-  SELECT src_repo, dst_repo, 'api' AS kind FROM api UNION ALL SELECT src_repo, dst_repo, 'event' FROM ev)
+  SELECT call_repo AS src_repo, ep_repo AS dst_repo, 'api' AS kind FROM api UNION ALL SELECT src_repo, dst_repo, 'event' FROM ev)
 GROUP BY ALL""")
 def g10_cross_service_edges(spark, sf_dir):
     t = _t(spark, sf_dir)
-    c = probes.v_calls(t).withColumn("route", normalize_url(F.col("path")))
-    e = probes.v_endpoints(t).select("route", F.col("repository").alias("dst_repo"))
-    api = c.join(e, "route").select(F.col("repository").alias("src_repo"), "dst_repo")
+    api = api_links(spark, t).select(F.col("call_repo").alias("src_repo"), F.col("ep_repo").alias("dst_repo"))
     ev = L.link_events(probes.v_pub(t), probes.v_sub(t), fuzzy=False)
     return L.cross_service_edges(api, ev)
 
@@ -295,10 +355,12 @@ def j35_mapping_report(spark, sf_dir):
 
 
 @register("a07_integration_summary", sql=f"""
+WITH {links_sql(RESOLVE_SQL)}
 SELECT 'count' AS section, 'outgoing_calls' AS item, count(*) AS n FROM v_calls
 UNION ALL SELECT 'count', 'published_events', count(*) FROM v_pub
 UNION ALL SELECT 'count', 'subscriptions', count(*) FROM v_sub
 UNION ALL SELECT 'count', 'event_links', count(*) FROM {EVENT_LINKS_SQL}
+UNION ALL SELECT 'count', 'api_links', count(*) FROM api_links
 UNION ALL SELECT * FROM (SELECT 'top_url', route, count(*) AS n FROM (SELECT {norm_url_sql('path')} AS route FROM v_calls)
                          GROUP BY route ORDER BY n DESC, route LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 'top_event', event_type, count(*) AS n FROM v_pub GROUP BY event_type
@@ -317,7 +379,8 @@ def a07_integration_summary(spark, sf_dir):
     top_ev = (pubs.groupBy(F.col("event_type").alias("item")).agg(F.count(F.lit(1)).alias("n"))
               .orderBy(F.col("n").desc(), "item").limit(5).select(F.lit("top_event").alias("section"), "item", "n"))
     out = cnt(calls, "outgoing_calls")
-    for part in (cnt(pubs, "published_events"), cnt(subs, "subscriptions"), cnt(links, "event_links"), top_url, top_ev):
+    for part in (cnt(pubs, "published_events"), cnt(subs, "subscriptions"), cnt(links, "event_links"),
+                 cnt(api_links(spark, t), "api_links"), top_url, top_ev):
         out = out.unionByName(part)
     return out
 
@@ -345,9 +408,8 @@ def j29_match_endpoint(spark, sf_dir):
 # ----------------------------------------------------------------------------- J-11
 
 @register("j11_connected_endpoints", sql=f"""
-WITH np AS (SELECT count(*) AS n FROM part),
-api AS (SELECT c.id AS call_id, c.repository AS call_repo, e.id AS endpoint_id, e.repository AS ep_repo
-        FROM v_calls c JOIN v_endpoints e ON e.route = {norm_url_sql('c.path')}),
+WITH {API_SQL},
+np AS (SELECT count(*) AS n FROM part),
 ev AS (SELECT * FROM {EVENT_LINKS_SQL})
 SELECT api.call_id % (SELECT n FROM np) AS symbol_id, 'outgoing_call' AS relation, api.endpoint_id AS other_id,
        api.ep_repo AS other_repository FROM api
@@ -355,16 +417,13 @@ UNION ALL SELECT api.endpoint_id % (SELECT n FROM np), 'incoming_call', api.call
 UNION ALL SELECT ev.pub_id % (SELECT n FROM np), 'publishes_to', ev.sub_id, CAST(ev.sub_repo AS VARCHAR) FROM ev
 UNION ALL SELECT ev.sub_id % (SELECT n FROM np), 'subscribed_from', ev.pub_id, CAST(ev.pub_repo AS VARCHAR) FROM ev""")
 def j11_connected_endpoints(spark, sf_dir):
-    """J-11 in long form: for every symbol, the endpoints its calls reach, the
+    """J-11 in long form: for every symbol, the endpoints its calls reach (J-12 links), the
     calls reaching the endpoints it serves, the subscriptions its events reach
     and the publishers of the events it handles (probe: a call / endpoint /
     event row belongs to the symbol id = row id mod part count)."""
     t = _t(spark, sf_dir)
     n = t.part.select(F.count(F.lit(1))).scalar()
-    c = probes.v_calls(t).select(F.col("id").alias("call_id"), F.col("repository").alias("call_repo"),
-                                 normalize_url(F.col("path")).alias("route"))
-    e = probes.v_endpoints(t).select(F.col("id").alias("endpoint_id"), F.col("repository").alias("ep_repo"), "route")
-    api = c.join(e, "route")
+    api = api_links(spark, t)
     ev = L.link_events(probes.v_pub(t), probes.v_sub(t), fuzzy=False)
     parts = [
         api.select((F.col("call_id") % n).alias("symbol_id"), F.lit("outgoing_call").alias("relation"),

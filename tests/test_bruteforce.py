@@ -63,7 +63,7 @@ def test_scc_matches_tarjan(spark, sf_dir):
 
 
 def test_call_endpoint_links_match_all_pairs_scan(spark, sf_dir):
-    """J-12: the length bound must not lose the best of all endpoints that share a segment."""
+    """J-12: the letters' bound must not lose the best of all endpoints, also of those that share no segment."""
     t = load_tables(spark, sf_dir)
     calls = probes.v_calls(t)
     eps = probes.v_endpoints(t).withColumn("name", F.col("route"))
@@ -82,10 +82,7 @@ def test_call_endpoint_links_match_all_pairs_scan(spark, sf_dir):
         path = res.get(c["id"]) or c["path"]
         cr = norm[path]
         best = None
-        # candidates: the same route or a shared segment, without any bound
-        segs = {x for x in cr.split("/") if x not in ("", "*", "api")}
-        cands = [e for e in e_rows if e["route"] == cr or segs & {x for x in e["route"].split("/")}]
-        for e in sorted(cands, key=lambda r: r["id"]):
+        for e in sorted(e_rows, key=lambda r: r["id"]):
             sim = 1.0 if cr == e["route"] else SequenceMatcher(None, cr, e["route"]).ratio()
             cl, name = c["http_method"].lower(), e["route"].lower()
             ok = (c["http_method"].upper() == (e["http_method"] or "").upper() or cl in name
@@ -99,6 +96,33 @@ def test_call_endpoint_links_match_all_pairs_scan(spark, sf_dir):
     assert not diff, sorted(diff.items())[:8]
 
 
+def test_routes_without_a_common_segment_link(spark):
+    calls = spark.createDataFrame([(1, "/users/5", "GET"), (2, "/", "GET"), (3, "/ab/cd", "POST"), (4, "/aaaa", "GET")],
+                                  "id long, path string, http_method string")
+    eps = spark.createDataFrame([(7, "user/*", "GET"), (8, "orders/*", "GET"), (9, "", "GET"), (10, "xabycdz", "POST"), (11, "a", "GET")],
+                                "id long, route string, http_method string")
+    got = {r.call_id: (r.endpoint_id, r.score) for r in L.link_calls_to_endpoints(calls, eps).collect()}
+    want = {1: 7, 2: 9}
+    assert {k: v[0] for k, v in got.items() if k in want} == want
+    assert got[1][1] == round(0.5 * SequenceMatcher(None, "users/*", "user/*").ratio() + 0.4, 6)
+    for i, route, ep in ((3, "ab/cd", "xabycdz"), (4, "aaaa", "a")):
+        assert (i in got) == (SequenceMatcher(None, route, ep).ratio() >= 0.6)
+
+
+def test_similar_routes_equal_a_scan(spark):
+    """No pair that reaches the ratio is left out, at any ratio and with repeated letters."""
+    import random
+    rng = random.Random(4)
+    names = ["".join(rng.choice("aab/c*d") for _ in range(rng.randrange(1, 14))) for _ in range(80)]
+    a, b = sorted(set(names[:40])), sorted(set(names[40:]))
+    for ratio in (0.1, 0.4, 0.6, 0.9):
+        calls = spark.createDataFrame([(x, ratio) for x in a], "call_route string, ratio double")
+        got = {(r.call_route, r.ep_route) for r in L.similar_routes(calls, spark.createDataFrame([(x,) for x in b], "ep_route string")).collect()}
+        near = {(x, y) for x in a for y in b if x != y and SequenceMatcher(None, x, y).ratio() >= ratio}
+        assert near <= got
+        assert got == {(x, y) for x in a for y in b if x != y and SequenceMatcher(None, x, y).quick_ratio() >= ratio - 1e-9}
+
+
 def test_gateway_calls_link_at_low_similarity(spark):
     """A gateway-resolved call needs a similarity of .4 only, and many endpoints cut none off."""
     calls = spark.createDataFrame([(1, "/old", "GET")], "id long, path string, http_method string")
