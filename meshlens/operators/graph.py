@@ -9,6 +9,8 @@ The loop's only driver action is the emptiness test of the new frontier.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +74,105 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 3, direction: str
     return out.select("seed", "node", F.col("depth").cast("int"), "relation", "parent")
 
 
+@dataclass(frozen=True)
+class KeyedEdges:
+    """Edges kept as member → key → member: every (src, key) of ``out`` reaches every (key, dst) of ``into``.
+
+    A key with m members on one side and n on the other takes m + n rows, not m·n.  Where both sides have a ``tag``,
+    members of equal tags don't reach each other.  ``pairs`` expands the edges of chosen members only."""
+    out: DataFrame
+    into: DataFrame
+    relation: str
+
+    def _steps(self, frontier: DataFrame) -> DataFrame:
+        """(*frontier columns, dst) for a frontier with a ``src`` column."""
+        into = self.into
+        if "tag" in self.out.columns:
+            return (frontier.join(self.out, "src").join(into.withColumnRenamed("tag", "_tag"), "key")
+                    .where(F.col("tag") != F.col("_tag")).drop("key", "tag", "_tag"))
+        return frontier.join(self.out, "src").join(into, "key").drop("key")
+
+    def pairs(self, members: DataFrame | None = None) -> DataFrame:
+        """The edges (src, dst, type) of ``members`` (src), or all of them."""
+        start = self.out.select("src").distinct() if members is None else members.select("src").distinct()
+        return (self._steps(start).where(F.col("src") != F.col("dst")).distinct()
+                .withColumn("type", F.lit(self.relation)).select("src", "dst", "type"))
+
+    def rows(self) -> DataFrame:
+        """The stored rows: (side, member, key)."""
+        return (self.out.select(F.lit("out").alias("side"), F.col("src").alias("member"), "key")
+                .unionByName(self.into.select(F.lit("in").alias("side"), F.col("dst").alias("member"), "key")))
+
+
+def _first_targets(df: DataFrame, by: str, most: int) -> DataFrame:
+    """The ``most`` smallest targets per ``by``: in breadth-first order by id, a result of half as many nodes per seed
+    takes none beyond them."""
+    w = Window.partitionBy(by).orderBy("dst")
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def budgeted_traverse(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 5, direction: str = "down",
+                      types=None, keyed: Sequence[KeyedEdges] = (), max_symbols: int = 50,
+                      max_tokens: int = 10000) -> DataFrame:
+    """G-02 / G-03 / G-04 / G-05 in one loop: BFS under a budget of symbols and tokens per seed.
+
+    ``nodes``: (node, tokens), the nodes that pass the layer / external filter; others are neither reported nor
+    expanded.  ``keyed`` edges are expanded per frontier.  A seed takes nodes in the order of (depth, node) while it
+    has fewer than ``max_symbols`` and the tokens before a node are below ``max_tokens``; at the first node that it
+    can't take it is ``truncated`` and leaves the frontier, so later levels shrink.
+
+    A node can offer at most twice the budget of its smallest targets, so a hub's other edges are never joined.
+    Returns (seed, node, depth, relation, parent, k, truncated)."""
+    ensure_checkpoint_dir(seeds.sparkSession)
+    nodes = nodes.select("node", "tokens").checkpoint(eager=True)
+    known = nodes.select(F.col("node").alias("dst"))
+    most = 2 * max_symbols + 2
+    e = directed_edges(edges, direction, types).distinct().join(known, "dst", "left_semi")
+    near = _first_targets(e.select("src", "dst").distinct(), "src", most)
+    e = e.join(near, ["src", "dst"], "left_semi").checkpoint(eager=True)
+    keyed = [KeyedEdges(x.out, x.into.join(known, "dst", "left_semi").checkpoint(eager=True), x.relation) for x in keyed]
+    visited = seeds.select("seed", F.col("seed").alias("node"))
+    frontier, levels = visited, []
+    for d in range(1, depth + 1):
+        at = frontier.withColumnRenamed("node", "src")
+        step = at.join(e, "src").select("seed", F.col("dst").alias("node"), "relation", F.col("src").alias("parent"))
+        for x in keyed:
+            step = step.unionByName(x._steps(at).where(F.col("src") != F.col("dst")).select(
+                "seed", F.col("dst").alias("node"), F.lit(x.relation).alias("relation"), F.col("src").alias("parent")))
+        new = (step.join(visited, ["seed", "node"], "left_anti").groupBy("seed", "node")
+               .agg(F.min("relation").alias("relation"), F.min("parent").alias("parent")))
+        w = Window.partitionBy("seed").orderBy("node")
+        new = new.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_symbols + 1).join(nodes, "node")
+        if levels:
+            spent = reduce(DataFrame.unionByName, levels).groupBy("seed").agg(
+                F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("spent"))
+            new = new.join(spent, "seed", "left")
+        else:
+            new = new.withColumns({"n": F.lit(0), "spent": F.lit(0)})
+        before = F.coalesce("spent", F.lit(0)) + F.coalesce(
+            F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        new = new.withColumn("k", F.coalesce("n", F.lit(0)) + F.col("rn")).withColumn("before", before)
+        ok = (F.col("k") <= max_symbols) & (F.col("before") < max_tokens)
+        end = F.min(F.when(~ok, F.col("rn"))).over(Window.partitionBy("seed"))
+        new = (new.withColumn("end", end).where(F.col("end").isNull() | (F.col("rn") <= F.col("end")))
+               .select("seed", "node", F.lit(d).alias("depth"), "relation", "parent", F.col("k").cast("long").alias("k"),
+                       F.col("tokens").cast("long").alias("tokens"),
+                       F.coalesce(F.col("rn") == F.col("end"), F.lit(False)).alias("over")).checkpoint(eager=True))
+        if new.isEmpty():
+            break
+        levels.append(new)
+        kept = new.where(~F.col("over")).select("seed", "node")
+        visited = visited.unionByName(kept)
+        frontier = kept.join(new.where("over").select("seed"), "seed", "left_anti")
+    if not levels:
+        return seeds.sparkSession.createDataFrame([], "seed long, node long, depth int, relation string, parent long, "
+                                                      "k long, truncated boolean")
+    out = reduce(DataFrame.unionByName, levels)
+    cut = out.where("over").select("seed", F.lit(True).alias("truncated"))
+    return (out.where(~F.col("over")).join(cut, "seed", "left")
+            .select("seed", "node", "depth", "relation", "parent", "k", F.coalesce("truncated", F.lit(False)).alias("truncated")))
+
+
 def limit_traversal(nodes: DataFrame, tokens: Column, max_symbols: int = 50, max_tokens: int = 10000) -> DataFrame:
     """G-02: keep nodes in BFS order (depth, node id) while fewer than
     ``max_symbols`` were kept and the tokens spent before them are below
@@ -154,8 +255,7 @@ def cycles_3(edges: DataFrame, types=("IMPORTS", "USES")) -> DataFrame:
     return j.where(cyc).select("a", "b", "c")
 
 
-def strongly_connected(edges: DataFrame, types=None, max_rounds: int | None = None,
-                       max_steps: int | None = None) -> DataFrame:
+def strongly_connected(edges: DataFrame, types=None) -> DataFrame:
     """G-07 (set form): strongly connected components with ≥ 2 nodes, by the
     forward-coloring / backward-reach method, run until every node is placed.
 
@@ -164,16 +264,13 @@ def strongly_connected(edges: DataFrame, types=None, max_rounds: int | None = No
     fix-point (colors); from each color root (node whose color is its own id)
     edges are walked backwards inside the color and the reached nodes form the
     root's component, which leaves the graph.  Every step is a join +
-    aggregate, cut from its lineage by a reliable checkpoint.  ``max_rounds`` /
-    ``max_steps`` only bound runaway inputs; by default the loops run to the end
-    so no component is dropped."""
+    aggregate, cut from its lineage by a reliable checkpoint.  The loops run to the
+    end: no component is dropped."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges if not types else edges.where(F.col("type").isin(list(types)))
     e = e.where(F.col("src") != F.col("dst")).select("src", "dst").distinct().checkpoint(eager=True)
     found = []
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
+    while True:
         # trim: a node that has no incoming or no outgoing edge is its own component
         while True:
             has_in = e.select(F.col("dst").alias("id")).distinct()
@@ -189,9 +286,7 @@ def strongly_connected(edges: DataFrame, types=None, max_rounds: int | None = No
         if nodes.isEmpty():
             break
         color = nodes.select("id", F.col("id").alias("color")).checkpoint(eager=True)
-        steps = 0
-        while max_steps is None or steps < max_steps:
-            steps += 1
+        while True:
             prop = (color.join(e, color["id"] == e["src"]).select(F.col("dst").alias("id"), "color")
                     .unionByName(color).groupBy("id").agg(F.max("color").alias("color"))).checkpoint(eager=True)
             changed = prop.join(color.withColumnRenamed("color", "old"), "id").where(F.col("color") != F.col("old"))
@@ -203,9 +298,7 @@ def strongly_connected(edges: DataFrame, types=None, max_rounds: int | None = No
               .join(color.select(F.col("id").alias("dst"), F.col("color").alias("cd")), "dst")
               .where(F.col("cs") == F.col("cd")).select("src", "dst", F.col("cs").alias("color")))
         reach = color.where(F.col("id") == F.col("color")).select("id", "color").checkpoint(eager=True)
-        steps = 0
-        while max_steps is None or steps < max_steps:
-            steps += 1
+        while True:
             back = (reach.join(ce.select(F.col("dst").alias("id"), F.col("src").alias("nid"), "color"),
                                ["id", "color"])
                     .select(F.col("nid").alias("id"), "color"))
@@ -224,24 +317,34 @@ def strongly_connected(edges: DataFrame, types=None, max_rounds: int | None = No
     return allc.join(sizes.where(F.col("size") >= 2), "component").select("id", "component", "size")
 
 
-def interface_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """G-04: derived edges INTERFACE → implementing class and CLASS → heir
-    (reverse IMPLEMENTS / INHERITS); interface METHOD → same-named METHOD of
-    an implementing class (members linked to their type by parent name = FQN)."""
+def interface_keys(symbols: DataFrame, edges: DataFrame) -> KeyedEdges:
+    """G-04 for methods: interface METHOD → (interface, name) → same-named METHODs of the implementing classes
+    (members linked to their type by parent name = FQN).  Rows grow with the members, not with their pairs."""
     s = symbols.select("id", "name", "kind", "fqn", "parent_name")
+    iface = s.where(F.col("kind") == "INTERFACE").select(F.col("id").alias("iid"), F.col("fqn").alias("ifqn"))
+    cls = s.where(F.col("kind") == "CLASS").select(F.col("id").alias("cid"), F.col("fqn").alias("cfqn"))
+    impl = (edges.where(F.col("type") == "IMPLEMENTS").select(F.col("dst").alias("iid"), F.col("src").alias("cid")).distinct()
+            .join(iface.select("iid"), "iid").join(cls, "cid"))
+    methods = s.where(F.col("kind") == "METHOD")
+    key = F.concat_ws(":", F.col("iid").cast("string"), F.col("name"))
+    out = (methods.select(F.col("id").alias("src"), "name", F.col("parent_name").alias("ifqn")).join(iface, "ifqn")
+           .select("src", key.alias("key")).distinct())
+    into = (methods.select(F.col("id").alias("dst"), "name", F.col("parent_name").alias("cfqn")).join(impl, "cfqn")
+            .select(key.alias("key"), "dst").distinct().join(out.select("key"), "key", "left_semi"))
+    return KeyedEdges(out, into, "IMPLEMENTED_BY")
+
+
+def type_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """G-04 for types: INTERFACE → implementing class and base → heir (reverse IMPLEMENTS / INHERITS)."""
     impl = (edges.where(F.col("type") == "IMPLEMENTS")
-            .join(s.select(F.col("id").alias("dst"), F.col("kind").alias("dkind")), "dst")
-            .where(F.col("dkind") == "INTERFACE")
+            .join(symbols.where(F.col("kind") == "INTERFACE").select(F.col("id").alias("dst")), "dst")
             .select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("IMPLEMENTED_BY").alias("type")))
     heirs = (edges.where(F.col("type") == "INHERITS")
              .select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("INHERITED_BY").alias("type")))
-    iface = s.where(F.col("kind") == "INTERFACE").select(F.col("id").alias("iid"), F.col("fqn").alias("ifqn"))
-    cls = s.where(F.col("kind") == "CLASS").select(F.col("id").alias("cid"), F.col("fqn").alias("cfqn"))
-    pairs = (impl.select(F.col("src").alias("iid"), F.col("dst").alias("cid")).join(iface, "iid").join(cls, "cid"))
-    im = s.where(F.col("kind") == "METHOD").select(F.col("id").alias("im"), F.col("name").alias("mname"),
-                                                    F.col("parent_name").alias("ifqn"))
-    cm = s.where(F.col("kind") == "METHOD").select(F.col("id").alias("cm"), F.col("name").alias("mname"),
-                                                    F.col("parent_name").alias("cfqn"))
-    methods = (pairs.join(im, "ifqn").join(cm, ["cfqn", "mname"])
-               .select(F.col("im").alias("src"), F.col("cm").alias("dst"), F.lit("IMPLEMENTED_BY").alias("type")))
-    return impl.unionByName(heirs).unionByName(methods).distinct()
+    return impl.unionByName(heirs).distinct()
+
+
+def interface_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """G-04: derived edges INTERFACE → implementing class, base → heir, and interface METHOD → same-named METHOD of an
+    implementing class, all pairs; :func:`interface_keys` keeps the last kind factored."""
+    return type_edges(symbols, edges).unionByName(interface_keys(symbols, edges).pairs()).distinct()

@@ -9,9 +9,9 @@ Plan shape
   have no literal prefix, meet all calls).
 * Call → endpoint (J-12/J-13): the exact tier is an equi-join on the
   normalized route.  The fuzzy tier works on *distinct* normalized routes
-  (many calls collapse into one template), blocked by a shared path segment
-  and by the length bound of the similarity that each call still needs, then
-  scored with one Arrow UDF (X-05) and joined back to the calls.
+  (many calls collapse into one template): an inverted index of their rarest
+  letters with the length and count bounds of the similarity that each call
+  still needs; survivors are scored with one Arrow UDF (X-05).
 * Event links (J-15) are an equi-join on the event type (AQE splits a hot
   type); the fuzzy tier compares distinct type names only, with the
   lossless length-ratio bound ``2·min/(la+lb) ≥ .8``.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlens.functions.urls import normalize_url
+from meshlens.operators.graph import KeyedEdges
 
 API_LINK_THRESHOLD = 70     # percent
 EVENT_LINK_THRESHOLD = 80   # percent
@@ -322,6 +323,25 @@ def link_events(pubs: DataFrame, subs: DataFrame, threshold: int = EVENT_LINK_TH
                     F.floor(F.col("points") + 1e-9).cast("int").alias("match_confidence")))
 
 
+def event_keys(pubs: DataFrame, subs: DataFrame) -> KeyedEdges:
+    """J-15's links of equal event types, factored: publisher → key → subscriber of another repository (``tag``).
+
+    With the type equal (70 points) a link needs the topic to be the queue (20) or the routing key to match the pattern
+    (10).  So a key is a type with a topic, or a type with a routing key; patterns are matched with the distinct
+    routing keys of their type, never with publishers.  Rows grow with publishers and subscribers, not their pairs."""
+    def key(kind: str, value: Column) -> Column:
+        return F.to_json(F.struct(F.lit(kind).alias("kind"), F.col("event_type"), value.alias("value"))).alias("key")
+    p = pubs.select(F.col("id").alias("src"), F.col("repo").cast("string").alias("tag"), "event_type", "topic", "routing_key")
+    s = subs.select(F.col("id").alias("dst"), F.col("repo").cast("string").alias("tag"), "event_type", "queue", "pattern")
+    routes = p.select("event_type", "routing_key").distinct().join(s.select("event_type", "pattern").distinct(), "event_type")
+    routes = routes.where(routing_key_matches(F.col("routing_key"), F.col("pattern")))
+    out = (p.where(F.col("topic").isNotNull()).select("src", "tag", key("topic", F.col("topic")))
+           .unionByName(p.where(F.col("routing_key").isNotNull()).select("src", "tag", key("route", F.col("routing_key")))))
+    into = (s.where(F.col("queue").isNotNull()).select(key("topic", F.col("queue")), "dst", "tag")
+            .unionByName(s.join(routes, ["event_type", "pattern"]).select(key("route", F.col("routing_key")), "dst", "tag")))
+    return KeyedEdges(out.distinct(), into.distinct().join(out.select("key"), "key", "left_semi"), "EVENT")
+
+
 def cross_service_edges(api_links: DataFrame, event_links: DataFrame) -> DataFrame:
     """G-10: repository-pair service graph from API and event links."""
     a = api_links.select(F.col("src_repo").cast("string").alias("src_repo"),

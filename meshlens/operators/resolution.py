@@ -11,11 +11,11 @@ name never multiplies the reference rows.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions.code import base_types, clean_type
+from meshlens.operators.graph import KeyedEdges
 
 
 def symbol_index(symbols: DataFrame) -> DataFrame:
@@ -67,14 +67,17 @@ def inheritance_edges(symbols: DataFrame) -> DataFrame:
             .select("src", F.col("symbol_id").alias("dst"), F.lit("INHERITS").alias("type")).distinct())
 
 
+def override_keys(methods: DataFrame) -> KeyedEdges:
+    """J-27 factored by name: override METHOD → name → every symbol of that name that is virtual or abstract."""
+    out = methods.where((F.col("kind") == "METHOD") & F.col("is_override")).select(F.col("id").alias("src"), F.col("name").alias("key"))
+    into = methods.where(F.col("is_virtual") | F.col("is_abstract")).select(F.col("name").alias("key"), F.col("id").alias("dst"))
+    return KeyedEdges(out.distinct(), into.distinct().join(out.select("key"), "key", "left_semi"), "OVERRIDES")
+
+
 def override_edges(methods: DataFrame) -> DataFrame:
     """J-27: every override METHOD → every other symbol of the same name that
-    is virtual or abstract.  The join key is the name; its fan-out is exactly
-    the edge set the reference defines (one edge per override/virtual pair)."""
-    o = methods.where((F.col("kind") == "METHOD") & F.col("is_override")).select(F.col("id").alias("src"), "name")
-    v = methods.where(F.col("is_virtual") | F.col("is_abstract")).select(F.col("id").alias("dst"), "name")
-    return (o.join(v, "name").where(F.col("src") != F.col("dst"))
-            .select("src", "dst", F.lit("OVERRIDES").alias("type")))
+    is virtual or abstract: the pairs of :func:`override_keys`."""
+    return override_keys(methods).pairs()
 
 
 def containment_edges(symbols: DataFrame) -> DataFrame:

@@ -223,7 +223,7 @@ def _purpose_case(col: str) -> str:
 
 @register("a15_project_map", sql=f"""
 WITH f AS (SELECT *, array_to_string(parts[1:least(dir_depth, {PROJECT_MAP_DEPTH})], '/') AS target
-           FROM {FILES_DIR_SQL.format(src='v_files')} WHERE dir_depth >= 1),
+           FROM {FILES_DIR_SQL.format(src='v_tree')} WHERE dir_depth >= 1),
 dirs AS (SELECT DISTINCT repository, array_to_string(parts[1:k], '/') AS target
          FROM (SELECT repository, parts, unnest(generate_series(1, greatest(least(len(parts) - 1, {PROJECT_MAP_DEPTH}), 1))) AS k FROM f)),
 tl AS (SELECT repository, target, lang AS top_lang, c AS top_c FROM (
@@ -240,7 +240,7 @@ SELECT d.repository, d.target AS path, split_part(d.target, '/', -1) AS name,
        coalesce(g.dominant_files, '') AS dominant_files
 FROM dirs d LEFT JOIN g USING (repository, target) LEFT JOIN tl USING (repository, target)""")
 def a15_project_map(spark, sf_dir):
-    return A.project_map(probes.v_files(_t(spark, sf_dir)), PROJECT_MAP_DEPTH)
+    return A.project_map(probes.v_tree(_t(spark, sf_dir)), PROJECT_MAP_DEPTH)
 
 
 @register("a16_repository_totals", sql=f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meshlens.functions import code as X
 from meshlens.operators import graph as G
 from meshlens.operators import linking as L
+from meshlens.operators import resolution as RS
 from meshlens.plans.catalog import register
 from meshlens.plans.link_queries import EVENT_LINKS_SQL, RESOLVE_SQL, links_sql
 from meshlens.sources import probes
@@ -65,15 +66,33 @@ def g06_call_tree_up(spark, sf_dir):
     return G.traverse(_seeds(t), probes.v_edges(t), depth=2, direction="up")
 
 
-ALLOWED_SQL = "(SELECT id FROM v_symbols WHERE kind <> 'VARIABLE')"
+# Fixed values pinned for the probe: the layers a trace keeps (X-12); external symbols are left out.
+LAYERS = ("Controller", "Service", "Repository", "Model", "Unknown")
+_EXTERNAL_SQL = " OR ".join(X.contains_any_sql(f"lower({c})", [i.lower() for i in X.EXTERNAL_INDICATORS]) for c in ("path", "fqn"))
+NODES_SQL = f"""(SELECT id, {X.layer_sql('name', 'parent_name', 'path', 'kind')} AS layer, {_EXTERNAL_SQL} AS external FROM v_named)"""
+ALLOWED_SQL = f"(SELECT id FROM {NODES_SQL} WHERE NOT external AND layer IN ({', '.join(repr(x) for x in LAYERS)}))"
+
+
+def _layered(t):
+    """(id, layer, external) of every symbol."""
+    return probes.v_named(t).select("id", X.layer(F.col("name"), F.col("parent_name"), F.col("path"), F.col("kind")).alias("layer"),
+                                    X.is_external(F.col("path"), F.col("fqn")).alias("external"))
+
+
+def _allowed(t):
+    return _layered(t).where(~F.col("external") & F.col("layer").isin(*LAYERS)).select("id")
+
+
+def _token_nodes(t):
+    return probes.v_symbols(t).select(F.col("id").alias("node"), X.token_estimate_signature(
+        F.col("signature"), F.col("documentation")).alias("tokens"))
 
 
 @register("g03_filter_layers", sql=_walk_sql(DEPTH, DOWN_EDGES, ALLOWED_SQL))
 def g03_filter_layers(spark, sf_dir):
-    """G-03: VARIABLE nodes are dropped (not reported, not expanded)."""
+    """G-03: nodes of other layers and external ones are dropped (not reported, not expanded)."""
     t = _t(spark, sf_dir)
-    allowed = probes.v_symbols(t).where(F.col("kind") != "VARIABLE").select("id")
-    return G.traverse(_seeds(t), probes.v_edges(t), depth=DEPTH, direction="down", allowed_nodes=allowed)
+    return G.traverse(_seeds(t), probes.v_edges(t), depth=DEPTH, direction="down", allowed_nodes=_allowed(t))
 
 
 TOKENS_SQL = """CASE WHEN t = 0 THEN 20 ELSE t END FROM (SELECT id, (coalesce(length(signature), 0)
@@ -90,12 +109,10 @@ r3 AS (SELECT *, k <= 50 AND spent < 10000 AS ok FROM r2),
 r4 AS (SELECT *, min(CASE WHEN NOT ok THEN k END) OVER (PARTITION BY seed) AS ff FROM r3)
 SELECT seed, node, depth, CAST(k AS BIGINT) AS k, ff IS NOT NULL AS truncated FROM r4 WHERE ff IS NULL OR k < ff""")
 def g02_limit_traversal(spark, sf_dir):
+    """G-02: seeds leave the frontier at their budget; same rows as cutting the whole traversal."""
     t = _t(spark, sf_dir)
-    s = probes.v_symbols(t).select(F.col("id").alias("node"), "signature", "documentation")
-    nodes = G.traverse(_seeds(t), probes.v_edges(t), depth=DEPTH, direction="down").join(s, "node")
-    out = G.limit_traversal(nodes, X.token_estimate_signature(F.col("signature"), F.col("documentation")),
-                            max_symbols=50, max_tokens=10000)
-    return out.select("seed", "node", "depth", F.col("k").cast("bigint").alias("k"), "truncated")
+    out = G.budgeted_traverse(_seeds(t), probes.v_edges(t), _token_nodes(t), depth=DEPTH, max_symbols=50, max_tokens=10000)
+    return out.select("seed", "node", "depth", "k", "truncated")
 
 
 @register("g07_cycles_2", sql="""
@@ -133,6 +150,24 @@ def g09_degree_stats(spark, sf_dir):
     return G.degree_stats(probes.v_edges(_t(spark, sf_dir)), _TYPES)
 
 
+INTERFACE_KEYS_SQL = """impl AS (SELECT DISTINCT i.id AS iid, i.fqn AS ifqn, c.fqn AS cfqn FROM v_edges e
+         JOIN v_symbols i ON i.id = e.dst AND i.kind = 'INTERFACE' JOIN v_symbols c ON c.id = e.src AND c.kind = 'CLASS'
+         WHERE e.type = 'IMPLEMENTS'),
+iout AS (SELECT DISTINCT m.id AS src, CAST(i.id AS VARCHAR) || ':' || m.name AS key
+         FROM v_symbols m JOIN v_symbols i ON i.fqn = m.parent_name AND i.kind = 'INTERFACE' WHERE m.kind = 'METHOD'),
+iin AS (SELECT DISTINCT CAST(iid AS VARCHAR) || ':' || m.name AS key, m.id AS dst FROM v_symbols m JOIN impl ON cfqn = m.parent_name
+        WHERE m.kind = 'METHOD' AND CAST(iid AS VARCHAR) || ':' || m.name IN (SELECT key FROM iout))"""
+
+
+@register("g04_interface_keys", sql=f"""
+WITH {INTERFACE_KEYS_SQL}
+SELECT 'out' AS side, src AS member, key FROM iout UNION ALL SELECT 'in', dst, key FROM iin""")
+def g04_interface_keys(spark, sf_dir):
+    """G-04 for methods, factored: members of an interface method's key instead of their pairs."""
+    t = _t(spark, sf_dir)
+    return G.interface_keys(probes.v_symbols(t), probes.v_edges(t)).rows()
+
+
 @register("g04_interface_edges", sql="""
 WITH s AS (SELECT id, name, kind, fqn, parent_name FROM v_symbols),
 impl AS (SELECT e.dst AS src, e.src AS dst, 'IMPLEMENTED_BY' AS type FROM v_edges e JOIN s ON s.id = e.dst
@@ -203,7 +238,6 @@ def g11_cross_service_trace(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- G-08
 
-from meshlens.functions.code import layer, layer_sql  # noqa: E402
 from meshlens.plans.link_queries import _templates  # noqa: E402
 
 MATCH_SQL = """(WITH ep AS (SELECT id AS endpoint_id, '/' || replace(route, '*', '{p}') AS template, http_method AS ep_method
@@ -215,45 +249,64 @@ MATCH_SQL = """(WITH ep AS (SELECT id AS endpoint_id, '/' || replace(route, '*',
         FROM req r JOIN ep e ON r.req_method IS NULL OR r.req_method = '' OR e.ep_method = r.req_method)
   SELECT request_id, arg_min(endpoint_id, (tier, endpoint_id)) AS endpoint_id FROM m WHERE tier IS NOT NULL GROUP BY request_id)"""
 SEEDS_G08 = f"SELECT DISTINCT endpoint_id % (SELECT count(*) FROM part) AS seed FROM {MATCH_SQL}"
-CTX_G08 = "(SELECT s.*, f.path FROM v_symbols s LEFT JOIN v_files f ON f.id = s.file_id)"
+TRACE_EDGES_SQL = f"""(SELECT src, dst, type AS relation FROM v_edges
+  UNION ALL SELECT src, dst, relation FROM types
+  UNION ALL SELECT src, dst, 'IMPLEMENTED_BY' FROM iout JOIN iin USING (key) WHERE src <> dst
+  UNION ALL SELECT src, dst, 'HANDLED_BY' FROM handlers)"""
+#: Requests and handlers among the symbols of the probe: a symbol is a request by id, its handler the next symbol.
+HANDLERS_SQL = """handlers AS (SELECT id AS src, id + 1 AS dst FROM v_symbols
+  WHERE id < 1000000000000 AND id % 6 IN (0, 4) AND (id + 1) % 2 = 1 AND id + 1 IN (SELECT id FROM v_symbols))"""
+
+
+def _request_classes(t):
+    """(id, name, bases): requests (every sixth symbol and the one two before it) and handlers named after them."""
+    s = probes.v_symbols(t).where(F.col("id") < probes.TYPE_ID_BASE).select("id")
+    i = F.col("id")
+    bases = F.when(i % 6 == 0, F.array(F.lit("IRequest<int>"))).when(i % 6 == 4, F.array(F.lit("IQuery")))
+    return s.select("id", F.when(i % 2 == 0, F.concat(F.lit("R"), i.cast("string"))).otherwise(
+        F.concat(F.lit("R"), (i - 1).cast("string"), F.lit("Handler"))).alias("name"),
+        F.coalesce(bases, F.array(F.lit("Thing"))).alias("bases"))
 
 
 @register("g08_request_trace", sql=f"""
-WITH RECURSIVE {_walk_ctes(DEPTH, DOWN_EDGES, seeds_sql=SEEDS_G08)},
+WITH RECURSIVE {INTERFACE_KEYS_SQL}, {HANDLERS_SQL},
+types AS (SELECT e.dst AS src, e.src AS dst, 'IMPLEMENTED_BY' AS relation FROM v_edges e JOIN v_symbols i ON i.id = e.dst AND i.kind = 'INTERFACE'
+          WHERE e.type = 'IMPLEMENTS' UNION SELECT dst, src, 'INHERITED_BY' FROM v_edges WHERE type = 'INHERITS'),
+{_walk_ctes(DEPTH, TRACE_EDGES_SQL, ALLOWED_SQL, seeds_sql=SEEDS_G08)},
 r AS (SELECT trav.*, s.tok, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS k
       FROM trav JOIN (SELECT id, {TOKENS_SQL.replace('FROM (SELECT id,', 'AS tok FROM (SELECT id,', 1)}) s ON s.id = trav.node),
 r2 AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY seed ORDER BY depth, node
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM r WHERE k <= 101),
 r3 AS (SELECT *, k <= 100 AND spent < 20000 AS ok FROM r2),
 r4 AS (SELECT *, min(CASE WHEN NOT ok THEN k END) OVER (PARTITION BY seed) AS ff FROM r3),
-kept AS (SELECT r4.seed, r4.node, r4.depth, ff IS NOT NULL AS truncated,
-                {layer_sql('c.name', 'c.parent_name', 'c.path', 'c.kind')} AS layer
-         FROM r4 JOIN {CTX_G08} c ON c.id = r4.node WHERE ff IS NULL OR k < ff),
+kept AS (SELECT r4.seed, r4.node, r4.depth, r4.relation, ff IS NOT NULL AS truncated, n.layer
+         FROM r4 JOIN {NODES_SQL} n ON n.id = r4.node WHERE ff IS NULL OR k < ff),
 per_seed AS (SELECT seed, count(*) AS n_symbols, max(depth) AS max_depth, bool_or(truncated) AS truncated,
+                    count(*) FILTER (relation = 'IMPLEMENTED_BY') AS n_interfaces, count(*) FILTER (relation = 'HANDLED_BY') AS n_handlers,
                     array_to_string(list_sort(list(DISTINCT layer)), ',') AS layers FROM kept GROUP BY seed)
-SELECT mt.request_id, mt.endpoint_id, ps.n_symbols, CAST(ps.max_depth AS INTEGER) AS max_depth, ps.truncated, ps.layers
+SELECT mt.request_id, mt.endpoint_id, ps.n_symbols, CAST(ps.max_depth AS INTEGER) AS max_depth, ps.truncated, ps.n_interfaces,
+       ps.n_handlers, ps.layers
 FROM {MATCH_SQL} mt JOIN per_seed ps ON ps.seed = mt.endpoint_id % (SELECT count(*) FROM part)""")
 def g08_request_trace(spark, sf_dir):
-    """G-08: each request → its endpoint (J-29) → the endpoint's handler symbol
-    (probe: endpoint id mod part count) → BFS (G-01) under the 100-symbol /
-    20 000-token budget (G-02); per request: symbols reached, depth, layers
-    visited (X-12), truncation."""
+    """G-08: each request → its endpoint (J-29) → the endpoint's handler symbol (probe: endpoint id mod part count) →
+    BFS under the 100-symbol / 20 000-token budget (G-02) that skips other layers and external symbols (G-03) and goes
+    on through implementations (G-04) and request handlers (G-05); per request: symbols reached, depth, layers visited
+    (X-12), truncation, and how many symbols were reached by the last two."""
     t = _t(spark, sf_dir)
     n_parts = t.part.select(F.count(F.lit(1))).scalar()
     req = probes.v_calls(t).select("id", "path", "http_method")
     m = L.match_endpoint(req, _templates(t)).select("request_id", "endpoint_id")
     seeds = m.select((F.col("endpoint_id") % n_parts).alias("seed")).distinct()
-    sym = probes.v_symbols(t)
-    trav = G.traverse(seeds, probes.v_edges(t), depth=DEPTH, direction="down")
-    nodes = trav.join(sym.select(F.col("id").alias("node"), "signature", "documentation"), "node")
-    kept = G.limit_traversal(nodes, X.token_estimate_signature(F.col("signature"), F.col("documentation")),
-                             max_symbols=100, max_tokens=20000)
-    ctx = sym.join(probes.v_files(t).select(F.col("id").alias("file_id"), "path"), "file_id", "left")
-    lay = ctx.select(F.col("id").alias("node"),
-                     layer(F.col("name"), F.col("parent_name"), F.col("path"), F.col("kind")).alias("layer"))
-    per_seed = (kept.join(lay, "node").groupBy("seed")
+    sym, edges = probes.v_symbols(t), probes.v_edges(t)
+    edges = edges.unionByName(G.type_edges(sym, edges)).unionByName(RS.request_handlers(_request_classes(t)))
+    nodes = _token_nodes(t).join(_allowed(t).withColumnRenamed("id", "node"), "node", "left_semi")
+    kept = G.budgeted_traverse(seeds, edges, nodes, depth=DEPTH, keyed=[G.interface_keys(sym, probes.v_edges(t))],
+                               max_symbols=100, max_tokens=20000)
+    per_seed = (kept.join(_layered(t).withColumnRenamed("id", "node"), "node").groupBy("seed")
                 .agg(F.count(F.lit(1)).alias("n_symbols"), F.max("depth").cast("int").alias("max_depth"),
                      F.max("truncated").alias("truncated"),
+                     F.count_if(F.col("relation") == "IMPLEMENTED_BY").alias("n_interfaces"),
+                     F.count_if(F.col("relation") == "HANDLED_BY").alias("n_handlers"),
                      F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("layers")))
     return (m.withColumn("seed", F.col("endpoint_id") % n_parts).join(per_seed, "seed")
-            .select("request_id", "endpoint_id", "n_symbols", "max_depth", "truncated", "layers"))
+            .select("request_id", "endpoint_id", "n_symbols", "max_depth", "truncated", "n_interfaces", "n_handlers", "layers"))

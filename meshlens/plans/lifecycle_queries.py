@@ -173,9 +173,9 @@ SELECT repository, max(CASE WHEN contains(lower(path), 'controller') THEN 1 ELSE
       + max(CASE WHEN contains(lower(path), '/infrastructure/') OR starts_with(lower(path), 'infrastructure/') THEN 1 ELSE 0 END)
       + max(CASE WHEN contains(lower(path), '/presentation/') OR starts_with(lower(path), 'presentation/') THEN 1 ELSE 0 END)) >= 3
        AS clean_architecture
-FROM v_files GROUP BY repository""")
+FROM v_tree GROUP BY repository""")
 def p08_architecture_styles(spark, sf_dir):
-    return P.architecture_styles(probes.v_files(_t(spark, sf_dir)))
+    return P.architecture_styles(probes.v_tree(_t(spark, sf_dir)))
 
 
 @register("p11_pattern_report", sql=f"""

@@ -249,6 +249,27 @@ def j15_link_events(spark, sf_dir):
     return L.link_events(probes.v_pub(t), probes.v_sub(t), fuzzy=False)
 
 
+@register("j15_event_keys", sql=f"""
+WITH o AS (SELECT id, event_type, 'topic' AS kind, topic AS value FROM v_pub UNION SELECT id, event_type, 'route', routing_key FROM v_pub),
+i AS (SELECT s.id, event_type, 'topic' AS kind, queue AS value FROM v_sub s
+      UNION SELECT s.id, s.event_type, 'route', k.routing_key FROM v_sub s JOIN (SELECT DISTINCT event_type, routing_key FROM v_pub) k
+        ON k.event_type = s.event_type AND {_rk_match_sql('k.routing_key', 's.pattern')}),
+m AS (SELECT 'out' AS side, * FROM o UNION ALL SELECT 'in', * FROM i WHERE (event_type, kind, value) IN (SELECT (event_type, kind, value) FROM o))
+SELECT side, id AS member, '{{"kind":"' || kind || '","event_type":"' || event_type || '","value":"' || value || '"}}' AS key FROM m""")
+def j15_event_keys(spark, sf_dir):
+    """J-15 (equal types) factored: publishers and subscribers of a topic or a routing key instead of their pairs."""
+    t = _t(spark, sf_dir)
+    return L.event_keys(probes.v_pub(t), probes.v_sub(t)).rows()
+
+
+@register("j15_event_key_pairs", sql=f"SELECT DISTINCT pub_id AS src, sub_id AS dst, 'EVENT' AS type FROM {EVENT_LINKS_SQL} WHERE pub_id % 20 = 0 AND pub_id <> sub_id")
+def j15_event_key_pairs(spark, sf_dir):
+    """The pairs of the factored links on demand: for every publisher whose id is divisible by 20."""
+    t = _t(spark, sf_dir)
+    asked = probes.v_pub(t).where(F.col("id") % 20 == 0).select(F.col("id").alias("src"))
+    return L.event_keys(probes.v_pub(t), probes.v_sub(t)).pairs(asked)
+
+
 @register("j15_link_events_fuzzy")
 def j15_link_events_fuzzy(spark, sf_dir):
     t = _t(spark, sf_dir)

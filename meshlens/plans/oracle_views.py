@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from meshlens.sources.probes import NAME_ENDINGS, TREE_FILES, TREE_FOLDERS
+
 VIEWS: dict[str, str] = {
     "v_files": """
 SELECT doc_id AS id, source AS repository, lang AS language, n_chars AS size_bytes,
@@ -131,6 +133,17 @@ def norm_url_sql(expr: str) -> str:
     return f"lower({s})"
 
 
+_FOLDER = f"[{', '.join(repr(x) for x in TREE_FOLDERS)}][id % {len(TREE_FOLDERS)} + 1]"
+_FILE = f"[{', '.join(repr(x) for x in TREE_FILES)}][id % {len(TREE_FILES)} + 1]"
+_ENDING = f"[{', '.join(repr(x) for x in NAME_ENDINGS)}][id % {len(NAME_ENDINGS)} + 1]"
+VIEWS["v_tree"] = f"""
+SELECT * REPLACE (repository || '/' || {_FOLDER} || '/d' || CAST(id % 13 AS VARCHAR) || '/' || CAST(id AS VARCHAR) || '.' || {_FILE} AS path)
+FROM v_files"""
+VIEWS["v_named"] = f"""
+SELECT * REPLACE (replace(name, ' ', '_') || {_ENDING} AS name,
+                  CASE WHEN id % 10 = 4 THEN 'System.' ELSE '' END || fqn || {_ENDING} AS fqn),
+       {_FOLDER} || '/s' || CAST(id AS VARCHAR) || '.' || {_FILE} AS path
+FROM v_symbols"""
 VIEWS["v_endpoints"] = VIEWS["v_endpoints"].replace("{norm_path}", norm_url_sql("path"))
 
 _NAME_RE = re.compile(r"\b(v_[a-z_]+)\b")

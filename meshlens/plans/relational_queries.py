@@ -38,10 +38,10 @@ _EXCL = "|".join(f"(?:{R.exclusion_glob_regex(g)})" for g in R.DEFAULT_EXCLUSION
 
 
 @register("f02_exclude_paths", sql=f"""
-SELECT id, path FROM v_files WHERE NOT regexp_matches(replace(path, '\\', '/'), '{_EXCL}')""")
+SELECT id, path FROM v_tree WHERE NOT regexp_matches(replace(path, '\\', '/'), '{_EXCL}')""")
 def f02_exclude_paths(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    return R.exclude_paths(probes.v_files(t)).select("id", "path")
+    return R.exclude_paths(probes.v_tree(t)).select("id", "path")
 
 
 _TEST = "|".join(f"(?:{R.exclusion_glob_regex(g)})" for g in R.TEST_PATTERNS)
@@ -51,10 +51,10 @@ _GEN = "|".join(f"(?:(?i){r})" for r in R.GENERATED_REGEXES)
 @register("f03_flag_files", sql=f"""
 SELECT id, path, regexp_matches(replace(path, '\\', '/'), '{_TEST}') AS is_test,
        regexp_matches(path, '{_GEN}') AS is_generated
-FROM v_files""")
+FROM v_tree""")
 def f03_flag_files(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    return R.flag_files(probes.v_files(t))
+    return R.flag_files(probes.v_tree(t))
 
 
 @register("f07_filter_entities", sql="""

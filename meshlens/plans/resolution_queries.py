@@ -112,13 +112,25 @@ METHODS_SQL = """(SELECT p_partkey AS id, p_name AS name,
 SELECT o.id AS src, v.id AS dst, 'OVERRIDES' AS type FROM {METHODS_SQL} o JOIN {METHODS_SQL} v ON v.name = o.name
 WHERE o.kind = 'METHOD' AND o.is_override AND (v.is_virtual OR v.is_abstract) AND o.id <> v.id""")
 def j27_override_edges(spark, sf_dir):
-    p = _t(spark, sf_dir).part
+    return RS.override_edges(_methods(_t(spark, sf_dir)))
+
+
+def _methods(t):
     k = F.col("p_partkey")
-    m = p.select(k.alias("id"), F.col("p_name").alias("name"),
-                 F.when(k % 3 == 0, "METHOD").when(k % 3 == 1, "FUNCTION").otherwise("VARIABLE").alias("kind"),
-                 (F.col("p_size") % 5 == 0).alias("is_override"), (F.col("p_size") % 5 == 1).alias("is_virtual"),
-                 (F.col("p_size") % 7 == 0).alias("is_abstract"))
-    return RS.override_edges(m)
+    return t.part.select(
+        k.alias("id"), F.col("p_name").alias("name"),
+        F.when(k % 3 == 0, "METHOD").when(k % 3 == 1, "FUNCTION").otherwise("VARIABLE").alias("kind"),
+        (F.col("p_size") % 5 == 0).alias("is_override"), (F.col("p_size") % 5 == 1).alias("is_virtual"),
+        (F.col("p_size") % 7 == 0).alias("is_abstract"))
+
+
+@register("j27_override_keys", sql=f"""
+WITH o AS (SELECT DISTINCT id, name FROM {METHODS_SQL} WHERE kind = 'METHOD' AND is_override)
+SELECT 'out' AS side, id AS member, name AS key FROM o
+UNION ALL SELECT 'in', id, name FROM {METHODS_SQL} WHERE (is_virtual OR is_abstract) AND name IN (SELECT name FROM o)""")
+def j27_override_keys(spark, sf_dir):
+    """J-27 factored by name: members instead of pairs."""
+    return RS.override_keys(_methods(_t(spark, sf_dir))).rows()
 
 
 @register("j28_containment_edges", sql="""

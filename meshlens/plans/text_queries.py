@@ -95,17 +95,15 @@ def x11_image_name(spark, sf_dir):
 
 
 @register("x12_layer", sql=f"""
-SELECT id, {X.layer_sql('name', 'parent_name', 'path', 'kind')} AS layer FROM {CTX_SQL}""")
+SELECT id, {X.layer_sql('name', 'parent_name', 'path', 'kind')} AS layer FROM v_named""")
 def x12_layer(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    ctx = R.symbol_context(probes.v_symbols(t), probes.v_files(t))
-    return ctx.select("id", X.layer(F.col("name"), F.col("parent_name"), F.col("path"), F.col("kind")).alias("layer"))
+    return probes.v_named(_t(spark, sf_dir)).select("id", X.layer(F.col("name"), F.col("parent_name"), F.col("path"), F.col("kind")).alias("layer"))
 
 
 @register("x13_roles", sql=f"""
-SELECT id, array_to_string({X.roles_sql('fqn', 'name')}, ',') AS roles FROM v_symbols""")
+SELECT id, array_to_string({X.roles_sql('fqn', 'name')}, ',') AS roles FROM v_named""")
 def x13_roles(spark, sf_dir):
-    s = probes.v_symbols(_t(spark, sf_dir))
+    s = probes.v_named(_t(spark, sf_dir))
     return s.select("id", F.array_join(X.roles(F.col("fqn"), F.col("name")), ",").alias("roles"))
 
 
@@ -118,20 +116,18 @@ def _lang_sql(path: str) -> str:
 
 
 @register("x14_language_of", sql=f"""
-SELECT id, {_lang_sql('path')} AS language FROM v_calls""")
+SELECT id, {_lang_sql('path')} AS language FROM v_tree""")
 def x14_language_of(spark, sf_dir):
-    c = probes.v_calls(_t(spark, sf_dir))
+    c = probes.v_tree(_t(spark, sf_dir))
     return c.select("id", X.language_of(F.col("path")).alias("language"))
 
 
 @register("x15_is_external", sql=f"""
 SELECT id, {X.contains_any_sql("lower(coalesce(path, ''))", [i.lower() for i in X.EXTERNAL_INDICATORS])}
         OR {X.contains_any_sql("lower(coalesce(fqn, ''))", [i.lower() for i in X.EXTERNAL_INDICATORS])} AS is_external
-FROM {CTX_SQL}""")
+FROM v_named""")
 def x15_is_external(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    ctx = R.symbol_context(probes.v_symbols(t), probes.v_files(t))
-    return ctx.select("id", X.is_external(F.col("path"), F.col("fqn")).alias("is_external"))
+    return probes.v_named(_t(spark, sf_dir)).select("id", X.is_external(F.col("path"), F.col("fqn")).alias("is_external"))
 
 
 @register("x16_edge_confidence", sql=f"""
