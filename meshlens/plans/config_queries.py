@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshlens.operators import configs as C
+from meshlens.operators import ddl as D
 from meshlens.plans.catalog import register
 from meshlens.plans.text_queries import sq
 from meshlens.sources import probes
@@ -161,40 +162,99 @@ def e15_docker_services(spark, sf_dir):
                     F.array_join("service_urls", ",").alias("service_urls"))
 
 
-DDL_SQL = """('CREATE TABLE dbo.T' || CAST(p_partkey AS VARCHAR) || ' (' || chr(10) || '  Id INT NOT NULL,' || chr(10)
-  || '  [Name] NVARCHAR(50) NULL DEFAULT ''' || replace(p_name, ' ', '_') || ''',' || chr(10)
-  || '  Price DECIMAL(10, 2) DEFAULT 0,' || chr(10) || '  Size INT,' || chr(10)
-  || '  CONSTRAINT PK_T' || CAST(p_partkey AS VARCHAR) || ' PRIMARY KEY (Id)' || chr(10) || ');')"""
+# Definitions with quotes, nested parentheses and comments; {k}, {n} and {b} stand for the part's key, name and brand.
+_DDL_TEXT = """-- CREATE TABLE Not.There (a INT);
+CREATE TABLE dbo.T{k} (
+  Id INT NOT NULL PRIMARY KEY, /* it's (odd */
+  [Name] NVARCHAR(50) NULL DEFAULT '{n};{b}, (x',
+  Price DECIMAL(10, 2) DEFAULT (round((1 + 2) * 3, 2)),
+  Kind ENUM('a,b', 'c)') NOT NULL, Size ENUM(1,2,3), At TIMESTAMP DEFAULT now(),
+  Note TEXT DEFAULT 'not null',
+  CONSTRAINT PK_T{k} PRIMARY KEY (Id), CHECK (Size IN (1, (2)) AND Name <> ');'),
+  FOREIGN KEY (Kind) REFERENCES dbo.Kinds(Id)
+);
+INSERT INTO x VALUES ('CREATE TABLE Fake (a INT);');
+CREATE OR REPLACE VIEW V{k} (a, b) AS SELECT ';' AS a, "{n}" AS b FROM dbo.T{k} WHERE Id IN (SELECT 1);
+CREATE PROCEDURE P{k}(IN a INT, OUT b DECIMAL(10,2), c VARCHAR(5) DEFAULT ',') BEGIN SELECT a; SELECT '{n}'; END;
+CREATE FUNCTION F{k}() RETURNS INT BEGIN RETURN {k}; END;
+"""
+
+
+def _ddl_sql() -> str:
+    out = sq(_DDL_TEXT)
+    for mark, value in (("{k}", "CAST(p_partkey AS VARCHAR)"), ("{n}", "replace(p_name, ' ', '_')"), ("{b}", "p_brand")):
+        out = f"replace({out}, '{mark}', {value})"
+    return out
+
+
+DDL_SQL = _ddl_sql()
 
 
 def _ddl(t):
-    p = t.part
-    k = F.col("p_partkey").cast("string")
-    txt = F.concat(F.lit("CREATE TABLE dbo.T"), k, F.lit(" (\n  Id INT NOT NULL,\n  [Name] NVARCHAR(50) NULL DEFAULT '"),
-                   F.regexp_replace("p_name", " ", "_"),
-                   F.lit("',\n  Price DECIMAL(10, 2) DEFAULT 0,\n  Size INT,\n  CONSTRAINT PK_T"), k,
-                   F.lit(" PRIMARY KEY (Id)\n);"))
-    return p.select(F.col("p_partkey").alias("id"), txt.alias("text"))
+    text = F.lit(_DDL_TEXT)
+    for mark, value in (("{k}", F.col("p_partkey").cast("string")), ("{n}", F.replace("p_name", F.lit(" "), F.lit("_"))),
+                        ("{b}", F.col("p_brand"))):
+        text = F.replace(text, F.lit(mark), value)
+    return t.part.select(F.col("p_partkey").alias("id"), text.alias("text"))
+
+
+def _re2(pattern: str) -> str:
+    return sq(D.greedy(pattern))
+
+
+def _found_sql(pattern: str, names: list[str]) -> str:
+    groups = ", ".join(f"unnest(regexp_extract_all(text, {_re2(pattern)}, {i + 1})) AS {n}" for i, n in enumerate(names))
+    return f"""(SELECT * FROM (SELECT id, {groups} FROM (
+  SELECT p_partkey AS id, regexp_replace({DDL_SQL}, {_re2(D.COMMENT)}, '\\1', 'g') AS text FROM part)) WHERE {names[0]} <> '')"""
+
+
+_BARE_NAME = """regexp_replace({c}, '[\\[\\]"`'']', '', 'g')"""
+_TRIM = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_ITEMS_SQL = f"list_transform(regexp_extract_all({{c}}, {_re2(D.ITEM)}), lambda x: {_TRIM.format(c='x')})"
+TABLE_ITEMS_SQL = f"""(SELECT *, regexp_replace(d, {_re2(D.OUTSIDE)}, ' ', 'g') AS bare FROM (
+  SELECT id, {_BARE_NAME.format(c='table_name')} AS table_name, CAST(generate_subscripts(items, 1) AS INTEGER) AS ordinal, unnest(items) AS d
+  FROM (SELECT *, {_ITEMS_SQL.format(c='body')} AS items FROM {_found_sql(D.TABLE, ['table_name', 'body'])})) WHERE d <> '')"""
 
 
 @register("e11_ddl_columns", sql=f"""
-WITH t AS (SELECT p_partkey AS id, {DDL_SQL} AS text FROM part),
-b AS (SELECT id, unnest(regexp_extract_all(text, {sq(C.CREATE_TABLE)}, 1)) AS table_name,
-             unnest(regexp_extract_all(text, {sq(C.CREATE_TABLE)}, 2)) AS body FROM t),
-c AS (SELECT id, table_name, generate_subscripts(parts, 1) AS ordinal, unnest(parts) AS def FROM (
-        SELECT id, table_name, list_transform(string_split(regexp_replace(body, '\\(([^),]*),([^)]*)\\)', '(\\1;\\2)', 'g'), ','),
-                                              lambda x: replace(x, ';', ',')) AS parts FROM b)),
-d AS (SELECT id, table_name, ordinal, trim(def) AS d FROM c)
-SELECT id, table_name, CAST(ordinal AS INTEGER) AS ordinal, regexp_extract(d, {sq(C.COLUMN_DEF)}, 1) AS column_name,
-       upper(regexp_replace(regexp_extract(d, {sq(C.COLUMN_DEF)}, 2), '\\s+', '', 'g')) AS data_type,
-       upper(trim(regexp_extract(d, {sq(C.COLUMN_DEF)}, 3))) <> 'NOT NULL' AS nullable,
-       nullif(regexp_extract(d, {sq(C.COLUMN_DEF)}, 4), '') AS default_value
-FROM d WHERE NOT regexp_matches(upper(d), '^(CONSTRAINT|PRIMARY\\s+KEY|FOREIGN\\s+KEY|UNIQUE|CHECK|INDEX)\\b') AND d <> ''
-  AND regexp_matches(d, {sq(C.COLUMN_DEF)})""")
+SELECT id, table_name, ordinal, {_BARE_NAME.format(c=f"regexp_extract(d, {_re2(D.COLUMN)}, 1)")} AS column_name,
+       upper(regexp_replace(regexp_extract(d, {_re2(D.COLUMN)}, 2), '\\s+', ' ', 'g'))
+         || regexp_replace(regexp_extract(d, {_re2(D.COLUMN)}, 3), '\\s*([(),])\\s*', '\\1', 'g') AS data_type,
+       NOT regexp_matches(bare, '(?i)\\bNOT\\s+NULL\\b') AS nullable,
+       nullif(regexp_extract(d, {_re2(D.DEFAULT)}, 1), '') AS default_value
+FROM {TABLE_ITEMS_SQL} WHERE NOT regexp_matches(d, {_re2(D.TABLE_LEVEL)}) AND regexp_matches(d, {_re2(D.COLUMN)})""")
 def e11_ddl_columns(spark, sf_dir):
-    out = C.ddl_columns(_ddl(_t(spark, sf_dir)), "id", "text")
-    return out.select("id", "table_name", F.col("ordinal").cast("int"), "column_name", "data_type", "nullable",
-                      "default_value")
+    return D.ddl_columns(_ddl(_t(spark, sf_dir)), "id", "text")
+
+
+@register("e11_ddl_constraints", sql=f"""
+SELECT id, table_name, ordinal, nullif(regexp_extract(d, '(?i)\\bCONSTRAINT\\s+([\\w$]+)', 1), '') AS constraint_name,
+       upper(regexp_replace(regexp_extract(bare, {_re2(D.CONSTRAINT)}, 1), '\\s+', ' ', 'g')) AS constraint_type, d AS definition
+FROM {TABLE_ITEMS_SQL} WHERE regexp_matches(bare, {_re2(D.CONSTRAINT)})""")
+def e11_ddl_constraints(spark, sf_dir):
+    return D.ddl_constraints(_ddl(_t(spark, sf_dir)), "id", "text")
+
+
+@register("e11_ddl_views", sql=f"""
+SELECT id, {_BARE_NAME.format(c='view_name')} AS view_name, {_TRIM.format(c='query')} AS query
+FROM {_found_sql(D.VIEW, ['view_name', 'query'])}""")
+def e11_ddl_views(spark, sf_dir):
+    return D.ddl_views(_ddl(_t(spark, sf_dir)), "id", "text")
+
+
+@register("e11_ddl_procedures", sql=f"""
+WITH p AS (SELECT id, upper(kind) AS kind, {_BARE_NAME.format(c='name')} AS name, {_TRIM.format(c='body')} AS body,
+                  CASE WHEN contains(upper(returns), 'RETURNS') THEN {_TRIM.format(c='returns')} END AS returns,
+                  list_filter({_ITEMS_SQL.format(c='params')}, lambda x: regexp_matches(x, {_re2(D.PARAMETER)})) AS items
+           FROM {_found_sql(D.PROCEDURE, ['kind', 'name', 'params', 'returns', 'body'])}),
+q AS (SELECT * EXCLUDE items, CAST(g AS INTEGER) AS position, items[g] AS d FROM p LEFT JOIN LATERAL
+        (SELECT unnest(generate_series(1, len(p.items))) AS g) ON true)
+SELECT id, kind, name, position, CASE WHEN d IS NULL THEN NULL WHEN regexp_extract(d, {_re2(D.PARAMETER)}, 1) = '' THEN 'IN'
+                                      ELSE upper(regexp_extract(d, {_re2(D.PARAMETER)}, 1)) END AS direction,
+       regexp_extract(d, {_re2(D.PARAMETER)}, 2) AS param_name,
+       upper(regexp_replace(regexp_extract(d, {_re2(D.PARAMETER)}, 3), '\\s+', '', 'g')) AS param_type, returns, body FROM q""")
+def e11_ddl_procedures(spark, sf_dir):
+    return D.ddl_procedures(_ddl(_t(spark, sf_dir)), "id", "text")
 
 
 MANIFESTS_SQL = """(

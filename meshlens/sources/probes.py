@@ -103,23 +103,27 @@ TREE_FILES = ("main.py", "README.md", "package-lock.json", "File.cs", "file.test
 NAME_ENDINGS = ("Controller", "Service", "Repository", "Dto", "Helper", "", "Handler", "DbContext", "")
 
 
+def _nth(i: F.Column, values) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+
+
 def v_tree(t: Tables) -> DataFrame:
     """``files`` with code-like paths: sources, tests, generated and vendored folders."""
     i = F.col("id")
     return v_files(t).withColumn("path", F.concat_ws(
-        "/", "repository", _pick(i % len(TREE_FOLDERS), TREE_FOLDERS), F.concat(F.lit("d"), (i % 13).cast("string")),
-        F.concat(i.cast("string"), F.lit("."), _pick(i % len(TREE_FILES), TREE_FILES))))
+        "/", "repository", _nth(i, TREE_FOLDERS), F.concat(F.lit("d"), (i % 13).cast("string")),
+        F.concat(i.cast("string"), F.lit("."), _nth(i, TREE_FILES))))
 
 
 def v_named(t: Tables) -> DataFrame:
     """``symbols`` with code-like names and the path of a code-like file."""
     i = F.col("id")
-    ending = _pick(i % len(NAME_ENDINGS), NAME_ENDINGS)
+    ending = _nth(i, NAME_ENDINGS)
     return v_symbols(t).withColumns({
         "name": F.concat(F.replace("name", F.lit(" "), F.lit("_")), ending),
         "fqn": F.concat(F.when(i % 10 == 4, F.lit("System.")).otherwise(F.lit("")), "fqn", ending),
-        "path": F.concat(_pick(i % len(TREE_FOLDERS), TREE_FOLDERS), F.lit("/s"), i.cast("string"), F.lit("."),
-                         _pick(i % len(TREE_FILES), TREE_FILES))})
+        "path": F.concat(_nth(i, TREE_FOLDERS), F.lit("/s"), i.cast("string"), F.lit("."),
+                         _nth(i, TREE_FILES))})
 
 
 def brand_numbers(t: Tables) -> DataFrame:
