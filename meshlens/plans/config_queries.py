@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshlens.operators import configs as C
 from meshlens.operators import ddl as D
+from meshlens.operators import manifests as M
 from meshlens.plans.catalog import register
 from meshlens.plans.text_queries import sq
 from meshlens.sources import probes
@@ -257,61 +258,130 @@ def e11_ddl_procedures(spark, sf_dir):
     return D.ddl_procedures(_ddl(_t(spark, sf_dir)), "id", "text")
 
 
-MANIFESTS_SQL = """(
-  SELECT 'pkgs/' || CAST(p_partkey AS VARCHAR) || '/package.json' AS path,
-         '{"dependencies": {"' || replace(p_name, ' ', '-') || '": "^1.' || CAST(p_size AS VARCHAR) || '.0"}, '
-         || '"devDependencies": {"jest-' || CAST(p_partkey % 7 AS VARCHAR) || '": "~29.0.0"}, "peerDependencies": {}}' AS content
-  FROM part
-  UNION ALL SELECT 'pkgs/' || CAST(p_partkey AS VARCHAR) || '/package-lock.json', '{}' FROM part WHERE p_partkey % 5 = 0
-  UNION ALL SELECT 'py/' || CAST(p_partkey AS VARCHAR) || '/requirements.txt',
-         '# deps' || chr(10) || replace(p_name, ' ', '_') || '==1.' || CAST(p_size AS VARCHAR) || chr(10)
-         || 'flask[async] >= 2.0' || chr(10) || '-r base.txt' || chr(10) || '' FROM part
-  UNION ALL SELECT 'net/' || CAST(p_partkey AS VARCHAR) || '/App.csproj',
-         '<Project><ItemGroup><PackageReference Include="Pkg' || CAST(p_size AS VARCHAR) || '" Version="3.'
-         || CAST(p_partkey % 5 AS VARCHAR) || '.0" /><PackageReference Include="NoVersion" /></ItemGroup></Project>' FROM part)"""
+# Manifests and lock files; {k}, {n}, {m}, {s} and {f} stand for the part's key, name, key mod 7, size and key mod 5.
+_MANIFESTS = (
+    ("pkgs/{k}/package.json", """{"dependencies": {"{n}": "^1.{s}.0"}, "devDependencies": {"jest-{m}": "~29.0.0"}, "peerDependencies": {}}""", None),
+    ("pkgs/{k}/package-lock.json", """{"lockfileVersion": 1, "dependencies": {"{n}": {"version": "1.{s}.0", "requires": {"b": "^1.0.0", "gone": "*"},
+      "dependencies": {"b": {"version": "1.{m}.0", "requires": {"c": "*"}, "dependencies": {"c": {"version": "9.0.{f}"}}}}},
+      "b": {"version": "2.0.0", "requires": {"c": "^1"}}, "c": {"version": "1.1.1"}}}""", 5),
+    ("lock2/{k}/package-lock.json", """{"lockfileVersion": 2, "packages": {"": {"devDependencies": {"jest-{m}": "*"}},
+      "node_modules/jest-{m}": {"version": "29.0.{s}", "dependencies": {"@s/b": "^1", "c": "1"}},
+      "node_modules/jest-{m}/node_modules/@s/b": {"version": "1.0.0", "dependencies": {"c": "*"}}, "node_modules/c": {"version": "{f}.0.0"}},
+      "dependencies": {}}""", 3),
+    ("py/{k}/requirements.txt", "# deps\n{n}==1.{s}\nflask[async] >= 2.0\n-r base.txt\n", None),
+    ("py/{k}/Pipfile", "[[source]]\nurl = \"x\"\n\n[packages]\n{n} = \"==1.{s}\"\nflask = {version = \">=2\", extras = [\"a\"]}\nbare = {path = \".\"}\n\n"
+                       "[dev-packages]\npytest = \"*\"\n", 4),
+    ("py/{k}/pyproject.toml", "[project]\nname = \"x\"\ndependencies = [\n  \"{n}[a]>=1.{s}; python_version > '3'\",\n  \"flask (==2.0)\",\n]\n"
+                              "[project.optional-dependencies]\ndev = [\"pytest\"]\ndocs = [\"mkdocs>=1\"]\n"
+                              "[tool.poetry.dependencies]\npython = \"^3.9\"\nrich = \"^{m}\"\n[tool.poetry.group.test.dependencies]\n"
+                              "tox = {version = \"4.{f}\"}\n", 4),
+    ("net/{k}/App.csproj", """<Project><ItemGroup><PackageReference Include="Pkg{s}" Version="3.{f}.0" /><PackageReference Include="NoVersion" />
+      <PackageReference PrivateAssets="All" Include="Tool" Version="1"/></ItemGroup></Project>""", None),
+    ("net/{k}/packages.config", """<packages><package id="Old{s}" version="1.{f}" targetFramework="net48" /></packages>""", 6),
+)
+_MARKS_SQL = (("{k}", "CAST(p_partkey AS VARCHAR)"), ("{n}", "replace(p_name, ' ', '-')"), ("{m}", "CAST(p_partkey % 7 AS VARCHAR)"),
+              ("{s}", "CAST(p_size AS VARCHAR)"), ("{f}", "CAST(p_partkey % 5 AS VARCHAR)"))
+
+
+def _filled_sql(text: str) -> str:
+    out = sq(text)
+    for mark, value in _MARKS_SQL:
+        out = f"replace({out}, '{mark}', {value})"
+    return out
+
+
+MANIFESTS_SQL = "(" + " UNION ALL ".join(
+    f"SELECT {_filled_sql(path)} AS path, {_filled_sql(text)} AS content FROM part" + (f" WHERE p_partkey % {every} = 0" if every else "")
+    for path, text, every in _MANIFESTS) + ")"
 
 
 def _manifests(t):
-    p = t.part
-    k = F.col("p_partkey").cast("string")
-    npm = p.select(F.concat(F.lit("pkgs/"), k, F.lit("/package.json")).alias("path"),
-                   F.concat(F.lit('{"dependencies": {"'), F.regexp_replace("p_name", " ", "-"), F.lit('": "^1.'),
-                            F.col("p_size").cast("string"), F.lit('.0"}, "devDependencies": {"jest-'),
-                            (F.col("p_partkey") % 7).cast("string"),
-                            F.lit('": "~29.0.0"}, "peerDependencies": {}}')).alias("content"))
-    lock = p.where(F.col("p_partkey") % 5 == 0).select(F.concat(F.lit("pkgs/"), k, F.lit("/package-lock.json")).alias("path"),
-                                                       F.lit("{}").alias("content"))
-    req = p.select(F.concat(F.lit("py/"), k, F.lit("/requirements.txt")).alias("path"),
-                   F.concat(F.lit("# deps\n"), F.regexp_replace("p_name", " ", "_"), F.lit("==1."),
-                            F.col("p_size").cast("string"), F.lit("\nflask[async] >= 2.0\n-r base.txt\n")).alias("content"))
-    cs = p.select(F.concat(F.lit("net/"), k, F.lit("/App.csproj")).alias("path"),
-                  F.concat(F.lit('<Project><ItemGroup><PackageReference Include="Pkg'), F.col("p_size").cast("string"),
-                           F.lit('" Version="3.'), (F.col("p_partkey") % 5).cast("string"),
-                           F.lit('.0" /><PackageReference Include="NoVersion" /></ItemGroup></Project>')).alias("content"))
-    return npm.unionByName(lock).unionByName(req).unionByName(cs)
+    marks = (("{k}", F.col("p_partkey").cast("string")), ("{n}", F.replace("p_name", F.lit(" "), F.lit("-"))),
+             ("{m}", (F.col("p_partkey") % 7).cast("string")), ("{s}", F.col("p_size").cast("string")),
+             ("{f}", (F.col("p_partkey") % 5).cast("string")))
+
+    def filled(text):
+        out = F.lit(text)
+        for mark, value in marks:
+            out = F.replace(out, F.lit(mark), value)
+        return out
+    every = F.array(*[F.struct(filled(path).alias("path"), filled(text).alias("content"),
+                               (F.col("p_partkey") % (n or 1) == 0).alias("on")) for path, text, n in _MANIFESTS])
+    return t.part.select(F.explode(every).alias("f")).where("f.on").select("f.path", "f.content")
+
+
+_REQ = sq(M.REQ_LINE)
+_DEV = ", ".join(sq(x) for x in M.DEV_GROUPS)
+# the nodes of lock files: version 1 opened by recursion, version 2 by path
+LOCK_NODES_CTES = r"""locks AS (SELECT path, content::JSON AS d FROM m WHERE lower(split_part(path, '/', -1)) = 'package-lock.json'),
+roots AS (SELECT locks.path, json_keys(e.value, '$.devDependencies') AS dev FROM locks, json_each(d, '$.packages') e WHERE e.key = ''),
+tree(path, node, package, parent, version, requires, deps) AS (
+  SELECT locks.path, 'node_modules/' || e.key, e.key, '', e.value->>'$.version', e.value->'$.requires', e.value->'$.dependencies'
+  FROM locks, json_each(d, '$.dependencies') e WHERE (d->'$.packages') IS NULL
+  UNION ALL
+  SELECT tree.path, node || '/node_modules/' || e.key, e.key, node, e.value->>'$.version', e.value->'$.requires', e.value->'$.dependencies'
+  FROM tree, json_each(deps) e WHERE deps IS NOT NULL),
+nodes AS (SELECT path, node, package, parent, version, requires, false AS is_dev_dependency FROM tree
+  UNION ALL
+  SELECT locks.path, e.key, split_part(e.key, 'node_modules/', -1), '', e.value->>'$.version', e.value->'$.dependencies',
+         coalesce(list_contains(roots.dev, split_part(e.key, 'node_modules/', -1)), false)
+  FROM locks LEFT JOIN roots ON roots.path = locks.path, json_each(d, '$.packages') e WHERE (d->'$.packages') IS NOT NULL AND e.key <> ''),
+deep AS (SELECT *, CAST(len(string_split(node, 'node_modules/')) - 2 AS INTEGER) AS depth FROM nodes)"""
 
 
 @register("e07_extract_dependencies", sql=f"""
-WITH m AS {MANIFESTS_SQL},
+WITH RECURSIVE m AS {MANIFESTS_SQL}, {LOCK_NODES_CTES},
 f AS (SELECT path, content, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, lower(split_part(path, '/', -1)) AS base FROM m),
-locks AS (SELECT DISTINCT dir FROM f WHERE base = 'package-lock.json'),
-npm AS (SELECT * FROM f WHERE base = 'package.json' AND dir NOT IN (SELECT dir FROM locks)),
+npm AS (SELECT * FROM f WHERE base = 'package.json' AND dir NOT IN (SELECT dir FROM f WHERE base = 'package-lock.json')),
 npmd AS (SELECT npm.path, e.key AS package, NULL::VARCHAR AS version, json_extract_string(e.value, '$') AS version_constraint,
                 g.dev AS is_dev_dependency, 'npm' AS dependency_type
          FROM npm, (VALUES ('dependencies', false), ('devDependencies', true), ('peerDependencies', false)) g(field, dev),
               json_each(npm.content::JSON, '$.' || g.field) e),
-pl AS (SELECT path, trim(unnest(string_split(content, chr(10)))) AS l FROM f
-       WHERE ends_with(base, '.txt') AND contains(base, 'requirements')),
-pip AS (SELECT path, regexp_extract(l, {sq(C.REQ_LINE)}, 1) AS package,
-               CASE WHEN contains(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 2)), '==')
-                    THEN trim(split_part(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 2)), '==', 2)) END AS version,
-               nullif(trim(regexp_extract(l, {sq(C.REQ_LINE)}, 2)), '') AS version_constraint,
-               false AS is_dev_dependency, 'pip' AS dependency_type
-        FROM pl WHERE l <> '' AND NOT starts_with(l, '#') AND NOT starts_with(l, '-r ') AND NOT starts_with(l, '-c ')
-          AND NOT starts_with(l, '-e ') AND NOT starts_with(l, '--') AND regexp_matches(l, {sq(C.REQ_LINE)})),
-nu AS (SELECT path, unnest(regexp_extract_all(content, {sq(C.PACKAGE_REFERENCE)}, 1)) AS package,
-              unnest(regexp_extract_all(content, {sq(C.PACKAGE_REFERENCE)}, 2)) AS v FROM f WHERE ends_with(base, '.csproj'))
-SELECT * FROM npmd UNION ALL SELECT * FROM pip
-UNION ALL SELECT path, package, nullif(v, ''), nullif(v, ''), false, 'nuget' FROM nu""")
+rl AS (SELECT path, trim(unnest(string_split(content, chr(10)))) AS l, false AS dev FROM f WHERE ends_with(base, '.txt') AND contains(base, 'requirements')),
+sec AS (SELECT path, base, regexp_extract(x, '^\\[([^\\]]+)\\]', 1) AS name, x AS body FROM (
+          SELECT path, base, unnest(string_split(regexp_replace(content, {sq(M.SECTION)}, chr(1) || '\\1', 'g'), chr(1))) AS x
+          FROM f WHERE base IN ('pipfile', 'pyproject.toml')) WHERE starts_with(x, '[')),
+arr AS (SELECT path, name, unnest(regexp_extract_all(body, {sq('(?m)' + M.ARRAY.replace('*+', '*'))}, 1)) AS arr,
+               unnest(regexp_extract_all(body, {sq('(?m)' + M.ARRAY.replace('*+', '*'))}, 2)) AS items FROM sec WHERE base = 'pyproject.toml'),
+al AS (SELECT path, trim(regexp_replace(split_part(x, ';', 1), '[()]', ' ', 'g')) AS l, name <> 'project' AND arr IN ({_DEV}) AS dev FROM (
+         SELECT *, unnest(regexp_extract_all(items, '"([^"]*)"', 1)) AS x FROM arr
+         WHERE name = 'project.optional-dependencies' OR (name = 'project' AND arr = 'dependencies'))),
+pl AS (SELECT * FROM rl WHERE l <> '' AND NOT starts_with(l, '#') AND NOT starts_with(l, '-r ') AND NOT starts_with(l, '-c ')
+         AND NOT starts_with(l, '-e ') AND NOT starts_with(l, '--') UNION ALL SELECT * FROM al),
+pip AS (SELECT path, regexp_extract(l, {_REQ}, 1) AS package, trim(regexp_extract(l, {_REQ}, 2)) AS spec, dev FROM pl WHERE regexp_matches(l, {_REQ})),
+ent AS (SELECT path, base, regexp_extract(l, {sq(M.ENTRY)}, 1) AS package, trim(regexp_extract(l, {sq(M.ENTRY)}, 2)) AS v,
+               name IN ('dev-packages', 'tool.poetry.dev-dependencies') OR starts_with(name, 'tool.poetry.group.') AS dev
+        FROM (SELECT *, trim(unnest(string_split(body, chr(10)))) AS l FROM sec)
+        WHERE regexp_matches(l, {sq(M.ENTRY)}) AND ((base = 'pipfile' AND name IN ('packages', 'dev-packages')) OR (base = 'pyproject.toml'
+          AND (name IN ('tool.poetry.dependencies', 'tool.poetry.dev-dependencies') OR regexp_matches(name, '^tool\\.poetry\\.group\\.[^.]+\\.dependencies$'))))),
+entd AS (SELECT path, package, NULL::VARCHAR AS version, nullif(CASE WHEN starts_with(v, '"') THEN regexp_extract(v, '^"([^"]*)"', 1)
+           WHEN starts_with(v, '{{') THEN coalesce(nullif(regexp_extract(v, 'version\\s*=\\s*"([^"]*)"', 1), ''), CASE base WHEN 'pipfile' THEN '*' ELSE '' END)
+           ELSE v END, '') AS version_constraint, dev, 'pip' AS t FROM ent WHERE package <> 'python'),
+xml AS (SELECT path, unnest(regexp_extract_all(content, {sq(M.PACKAGE_REFERENCE)}, 0)) AS tag,
+               unnest(regexp_extract_all(content, {sq(M.PACKAGE_REFERENCE)}, 1)) AS package FROM f WHERE ends_with(base, '.csproj')
+        UNION ALL SELECT path, unnest(regexp_extract_all(content, {sq(M.PACKAGE_ELEMENT)}, 0)), unnest(regexp_extract_all(content, {sq(M.PACKAGE_ELEMENT)}, 1))
+        FROM f WHERE base = 'packages.config'),
+allrows AS (SELECT * FROM npmd
+  UNION ALL SELECT path, package, CASE WHEN contains(spec, '==') THEN trim(split_part(spec, '==', 2)) END, nullif(spec, ''), dev, 'pip' FROM pip
+  UNION ALL SELECT * FROM entd
+  UNION ALL SELECT path, package, nullif(regexp_extract(tag, {sq(M.VERSION_ATTRIBUTE)}, 1), ''), nullif(regexp_extract(tag, {sq(M.VERSION_ATTRIBUTE)}, 1), ''),
+                   regexp_matches(tag, {sq(M.DEV_ATTRIBUTE)}), 'nuget' FROM xml)
+SELECT path, package, version, version_constraint, is_dev_dependency, false AS is_transitive, 0 AS depth, dependency_type FROM allrows
+UNION ALL SELECT path, package, version, version, is_dev_dependency, depth > 0, depth, 'npm' FROM deep""")
 def e07_extract_dependencies(spark, sf_dir):
-    return C.extract_dependencies(_manifests(_t(spark, sf_dir)))
+    return M.extract_dependencies(_manifests(_t(spark, sf_dir)))
+
+
+@register("e07_lock_requirements", sql=f"""
+WITH RECURSIVE m AS {MANIFESTS_SQL}, {LOCK_NODES_CTES},
+req AS (SELECT nodes.path, node, e.key AS package, e.value->>'$' AS range FROM nodes, json_each(requires) e WHERE requires IS NOT NULL),
+up AS (SELECT r.*, n.node AS found, n.version, coalesce(length(regexp_replace(n.node, '/?node_modules/' || r.package || '$', '')), 0) AS len,
+              regexp_replace(n.node, '/?node_modules/' || r.package || '$', '') AS folder
+       FROM req r JOIN nodes n ON n.path = r.path AND n.package = r.package
+       WHERE regexp_replace(n.node, '/?node_modules/' || r.package || '$', '') = '' OR r.node = regexp_replace(n.node, '/?node_modules/' || r.package || '$', '')
+          OR starts_with(r.node, regexp_replace(n.node, '/?node_modules/' || r.package || '$', '') || '/')),
+b AS (SELECT path, node, package, arg_max(struct_pack(found := found, version := version, folder := folder), len) AS b FROM up GROUP BY ALL)
+SELECT path, node, package, range, b.found AS served_by, b.version AS version, CASE WHEN b.found IS NOT NULL THEN b.folder <> node END AS hoisted
+FROM req LEFT JOIN b USING (path, node, package)""")
+def e07_lock_requirements(spark, sf_dir):
+    return M.lock_requirements(_manifests(_t(spark, sf_dir)))
