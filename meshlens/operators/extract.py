@@ -116,23 +116,38 @@ def _numbered_spans(lines: Column, starts: Column, ends: Column, body: Column) -
         F.array_join(F.slice(body, x["a"] + 2, F.greatest(x["b"] - x["a"] - 1, F.lit(0))), "\n").alias("text")))
 
 
+def _once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """``df`` with ``value`` as a column that is computed once per row, however often it is used and however dear it is
+    (a projection would be copied into every use)."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
+# where a line starts whose first character but white space is "#"
+_BEFORE_HEADING = r"(?md)^(?=[^\S\n]*#)"
+
+
 def doc_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """E-08: Markdown headings with level, title, line span and the whole text of
     their section (until the next line starting ``#``).
 
-    Row-local: the positions of ``#`` lines in the array of lines bound the
-    sections; no line crosses a shuffle."""
-    d = docs.select(id_col, F.split(F.col(text_col), "\n").alias("_l"))
-    d = d.withColumn("_s", F.transform("_l", _strip))
-    marks = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.element_at("_s", i + 1).startswith("#"))
-    d = d.withColumn("_m", marks).where(F.size("_m") > 0)
-    ends = F.concat(F.slice("_m", 2, F.size("_m")), F.array(F.size("_l")))
-    ex = d.select(id_col, F.explode(F.filter(_numbered_spans(F.col("_s"), F.col("_m"), ends, F.col("_l")),
-                                             lambda x: x["head"].rlike(HEADING_RE))).alias("x"))
-    return ex.select(id_col, (F.col("x.a") + 1).alias("start_line"),
-                     F.length(F.regexp_extract("x.head", HEADING_RE, 1)).alias("level"),
-                     F.trim(F.regexp_extract("x.head", HEADING_RE, 2)).alias("title"),
-                     F.col("x.b").alias("end_line"), F.col("x.text").alias("content"))
+    Row-local and linear: one split before every ``#`` line gives the sections, one
+    pass over the lines their numbers; no line crosses a shuffle."""
+    d = _once(docs, "_t", F.col(text_col), id_col).where(F.col("_t").contains("#"))
+    lines = F.split("_t", "\n")
+    marks = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"^\s*#"), i + 1)), lambda i: i.isNotNull())
+    d = _once(d, "_x", F.struct(F.size(lines).alias("_n"), marks.alias("_m"), F.split("_t", _BEFORE_HEADING).alias("_p")), id_col)
+    d = d.select(id_col, "_x.*").where(F.size("_m") > 0)
+    ends = F.concat(F.transform(F.slice("_m", 2, F.size("_m")), lambda i: i - 1), F.array("_n"))
+    pieces = F.slice("_p", F.size("_p") - F.size("_m") + 1, F.size("_m"))  # without the text before the first heading
+    ex = d.select(id_col, "_n", F.explode(F.arrays_zip(F.col("_m").alias("start"), ends.alias("end"), pieces.alias("piece"))).alias("x"))
+    head = _strip(F.substring_index("x.piece", "\n", 1))
+    rest = F.expr("CASE WHEN instr(x.piece, '\n') > 0 THEN substring(x.piece, instr(x.piece, '\n') + 1) ELSE '' END")
+    # the line break before the next heading belongs to neither
+    content = F.when((F.col("x.end") < F.col("_n")) & rest.endswith("\n"), F.expr("left(_r, length(_r) - 1)")).otherwise(F.col("_r"))
+    return (ex.withColumns({"_h": head, "_r": rest}).where(F.col("_h").rlike(HEADING_RE))
+            .select(id_col, F.col("x.start").alias("start_line"), F.length(F.regexp_extract("_h", HEADING_RE, 1)).alias("level"),
+                    F.trim(F.regexp_extract("_h", HEADING_RE, 2)).alias("title"), F.col("x.end").alias("end_line"),
+                    content.alias("content")))
 
 
 def code_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -140,10 +155,11 @@ def code_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     the whole code.  Row-local: fences alternate between opening and closing;
     an unclosed last block and blocks without a line are dropped (as in the
     reference)."""
-    d = docs.where(F.col(text_col).contains("```")).select(id_col, F.split(F.col(text_col), "\n").alias("_l"))
-    d = d.withColumn("_s", F.transform("_l", _strip))
+    d = _once(docs, "_t", F.col(text_col), id_col).where(F.col("_t").contains("```"))
+    d = _once(d, "_l", F.split("_t", "\n"), id_col)
+    d = _once(d, "_s", F.transform("_l", _strip), id_col, "_l")
     fences = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.element_at("_s", i + 1).startswith("```"))
-    d = d.withColumn("_f", fences)
+    d = _once(d, "_f", fences, id_col, "_l", "_s")
     pairs = F.sequence(F.lit(0), F.floor(F.size("_f") / 2).cast("int") - 1)
     d = d.where(F.size("_f") > 1).withColumns({
         "_a": F.transform(pairs, lambda k: F.element_at("_f", 2 * k + 1)),

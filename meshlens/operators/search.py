@@ -189,18 +189,19 @@ def ivf_search(spark, vectors: DataFrame, qvec: list[float], k: int = 20, n_list
 
 
 def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_body_lines: int | None = None,
-                  max_calls: int | None = None) -> DataFrame:
-    """V-08: the code chunk text of every symbol — file, namespace, parent class
-    (name and signature), signature, body lines, callees, implemented and
-    inherited types — with its SHA-256 and word count.
+                  max_calls: int | None = None, imports: DataFrame | None = None) -> DataFrame:
+    """V-08: the code chunk text of every symbol — file, namespace, what its file imports
+    (``imports``: file_id, name), parent class (name and signature), signature, body lines,
+    callees, implemented and inherited types — with its SHA-256 and word count; and a
+    documentation chunk (name, kind, file, namespace, text) of every documented symbol.
 
-    All lines and callees count; with ``max_body_lines`` or ``max_calls`` the
+    All lines, imports and callees count; with ``max_body_lines`` or ``max_calls`` the
     first ones do, and ``body_cut`` or ``calls_cut`` says whether there are more
     (callees through a per-symbol ``row_number()``, a partial top-k before the
     shuffle)."""
     from meshlens.functions.code import namespace_of
 
-    s = symbols.select("id", "name", "kind", "fqn", "signature", "parent_name", "start_line", "end_line", "file_id")
+    s = symbols.select("id", "name", "kind", "fqn", "signature", "parent_name", "start_line", "end_line", "file_id", "documentation")
     f = files.select(F.col("id").alias("file_id"), "path", F.split(F.col("content"), "\n").alias("lines"))
     parents = (symbols.where(F.col("fqn").isNotNull()).groupBy(F.col("fqn").alias("parent_name"))
                .agg(F.min_by(F.struct(F.col("name").alias("pname"), F.col("signature").alias("psig")), F.col("id")).alias("p")))
@@ -222,6 +223,11 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_bo
 
     j = (s.join(f, "file_id").join(parents, "parent_name", "left").join(calls, "id", "left")
          .join(bases("IMPLEMENTS", "impl"), "id", "left").join(bases("INHERITS", "inh"), "id", "left"))
+    if imports is None:
+        j = j.withColumn("imports", F.lit(None).cast("string"))
+    else:
+        j = j.join(imports.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("imports")),
+                   "file_id", "left")
     ns = namespace_of(F.col("fqn"))
     n_lines = F.size("lines")
     end = F.least(n_lines, F.col("end_line"))
@@ -231,6 +237,7 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_bo
     parts = F.array(
         F.concat(F.lit("File: "), F.col("path")),
         F.when(ns != "", F.concat(F.lit("Namespace: "), ns)),
+        F.when(F.col("imports") != "", F.concat(F.lit("Imports: "), F.col("imports"))),
         F.lit(""),
         F.when(has_parent, F.concat(F.lit("// In class: "), F.col("p.pname"))),
         F.when(has_parent, F.concat(F.lit("// "), F.coalesce(F.col("p.psig"), F.lit("None")))),
@@ -246,8 +253,14 @@ def symbol_chunks(symbols: DataFrame, files: DataFrame, edges: DataFrame, max_bo
         flags["body_cut"] = F.coalesce(end > last, F.lit(False))
     if max_calls is not None:
         flags["calls_cut"] = F.coalesce("calls_cut", F.lit(False))
-    out = j.select("id", content.alias("content"), *(c.alias(n) for n, c in flags.items()))
-    return out.select("id", F.lit("code").alias("content_type"), F.sha2("content", 256).alias("content_hash"),
+    head = F.array(F.concat("name", F.lit(" ("), "kind", F.lit(")")), F.concat(F.lit("File: "), "path"),
+                   F.when(ns != "", F.concat(F.lit("Namespace: "), ns)), F.lit(""), F.col("documentation"))
+    documentation = F.when(F.col("documentation") != "", F.array_join(F.filter(head, lambda x: x.isNotNull()), "\n"))
+    chunks = F.array(F.struct(F.lit("code").alias("content_type"), content.alias("content")),
+                     F.struct(F.lit("documentation").alias("content_type"), documentation.alias("content")))
+    out = j.select("id", F.explode(F.filter(chunks, lambda c: c["content"].isNotNull())).alias("c"), *(c.alias(n) for n, c in flags.items()))
+    out = out.select("id", "c.*", *flags)
+    return out.select("id", "content_type", F.sha2("content", 256).alias("content_hash"),
                       F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")).cast("bigint").alias("word_count"),
                       F.length("content").cast("bigint").alias("char_count"), *flags)
 

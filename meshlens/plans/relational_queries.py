@@ -309,10 +309,9 @@ def w01_rank_list(spark, sf_dir):
 
 
 @register("w02_first_chunk", sql="""
-SELECT conv_id, CASE WHEN length(snippet) > 2000 THEN left(snippet, 2000) || '...' ELSE snippet END AS snippet
-FROM (SELECT conv_id, arg_min(text, turn) AS snippet FROM v_turns GROUP BY conv_id)""")
+SELECT conv_id, arg_min(text, turn) AS snippet FROM v_turns GROUP BY conv_id""")
 def w02_first_chunk(spark, sf_dir):
-    return R.first_chunk(probes.v_turns(load_tables(spark, sf_dir)), "conv_id", "turn", "text", 2000).drop("snippet_cut")
+    return R.first_chunk(probes.v_turns(load_tables(spark, sf_dir)), "conv_id", "turn", "text")
 
 
 @register("w03_best_match_per_key", sql="""

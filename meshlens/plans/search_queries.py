@@ -141,22 +141,23 @@ WITH s AS (SELECT * FROM v_symbols),
 f AS (SELECT id AS file_id, path, string_split(content, chr(10)) AS lines FROM v_files),
 parents AS (SELECT fqn AS parent_name, arg_min(name, id) AS pname, arg_min_null(signature, id) AS psig, 1 AS has
             FROM v_symbols WHERE fqn IS NOT NULL GROUP BY fqn),
-cn AS (SELECT e.src, d.name AS dst_name, e.dst,
-              row_number() OVER (PARTITION BY e.src ORDER BY d.name, e.dst) AS k
-       FROM v_edges e JOIN v_symbols d ON d.id = e.dst WHERE e.type = 'CALLS'),
-calls AS (SELECT src AS id, string_agg(dst_name, ', ' ORDER BY dst_name, dst) AS calls FROM cn WHERE k <= 5 GROUP BY src),
+cn AS (SELECT e.src, d.name AS dst_name, e.dst FROM v_edges e JOIN v_symbols d ON d.id = e.dst WHERE e.type = 'CALLS'),
+calls AS (SELECT src AS id, string_agg(dst_name, ', ' ORDER BY dst_name, dst) AS calls FROM cn GROUP BY src),
+imp AS (SELECT file_id, string_agg(name, ', ' ORDER BY name) AS imports FROM (SELECT DISTINCT s.file_id, d.name FROM v_edges e
+        JOIN v_symbols s ON s.id = e.src JOIN v_symbols d ON d.id = e.dst WHERE e.type = 'IMPORTS') GROUP BY file_id),
 impl AS (SELECT e.src AS id, string_agg(d.name, ', ' ORDER BY d.name) AS impl FROM v_edges e JOIN v_symbols d ON d.id = e.dst
          WHERE e.type = 'IMPLEMENTS' GROUP BY e.src),
 inh AS (SELECT e.src AS id, string_agg(d.name, ', ' ORDER BY d.name) AS inh FROM v_edges e JOIN v_symbols d ON d.id = e.dst
         WHERE e.type = 'INHERITS' GROUP BY e.src),
-j AS (SELECT s.*, f.path, f.lines, p.pname, p.psig, p.has, c.calls, i.impl, h.inh,
+j AS (SELECT s.*, f.path, f.lines, p.pname, p.psig, p.has, c.calls, i.impl, h.inh, m.imports,
              regexp_extract(s.fqn, '^(.*)\\.[^.]*$', 1) AS ns
       FROM s JOIN f USING (file_id) LEFT JOIN parents p USING (parent_name) LEFT JOIN calls c ON c.id = s.id
-      LEFT JOIN impl i ON i.id = s.id LEFT JOIN inh h ON h.id = s.id),
-b AS (SELECT *, array_to_string(lines[start_line:least(len(lines), end_line, start_line + 99)], chr(10)) AS body FROM j),
+      LEFT JOIN impl i ON i.id = s.id LEFT JOIN inh h ON h.id = s.id LEFT JOIN imp m ON m.file_id = s.file_id),
+b AS (SELECT *, array_to_string(lines[start_line:least(len(lines), end_line)], chr(10)) AS body FROM j),
 t AS (SELECT id, array_to_string(list_filter([
         'File: ' || path,
         CASE WHEN ns <> '' THEN 'Namespace: ' || ns END,
+        CASE WHEN imports <> '' THEN 'Imports: ' || imports END,
         '',
         CASE WHEN has = 1 THEN '// In class: ' || pname END,
         CASE WHEN has = 1 THEN '// ' || coalesce(psig, 'None') END,
@@ -165,14 +166,20 @@ t AS (SELECT id, array_to_string(list_filter([
         CASE WHEN start_line IS NOT NULL AND end_line IS NOT NULL AND body <> '' THEN body END,
         CASE WHEN calls IS NOT NULL THEN chr(10) || '// Calls: ' || calls END,
         CASE WHEN impl IS NOT NULL THEN '// Implements: ' || impl END,
-        CASE WHEN inh IS NOT NULL THEN '// Inherits from: ' || inh END], lambda x: x IS NOT NULL), chr(10)) AS content FROM b)
-SELECT id, 'code' AS content_type, sha256(content) AS content_hash,
+        CASE WHEN inh IS NOT NULL THEN '// Inherits from: ' || inh END], lambda x: x IS NOT NULL), chr(10)) AS content FROM b),
+u AS (SELECT id, 'code' AS content_type, content FROM t
+      UNION ALL SELECT id, 'documentation', array_to_string(list_filter([name || ' (' || kind || ')', 'File: ' || path,
+        CASE WHEN ns <> '' THEN 'Namespace: ' || ns END, '', documentation], lambda x: x IS NOT NULL), chr(10)) FROM j WHERE documentation <> '')
+SELECT id, content_type, sha256(content) AS content_hash,
        CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS BIGINT) AS word_count,
        CAST(length(content) AS BIGINT) AS char_count
-FROM t""")
+FROM u""")
 def v08_symbol_chunks(spark, sf_dir):
     t = load_tables(spark, sf_dir)
-    return search.symbol_chunks(probes.v_symbols(t), probes.v_files(t), probes.v_edges(t), 100, 5).drop("body_cut", "calls_cut")
+    s, e = probes.v_symbols(t), probes.v_edges(t)
+    imports = (e.where(F.col("type") == "IMPORTS").join(s.select(F.col("id").alias("src"), "file_id"), "src")
+               .join(s.select(F.col("id").alias("dst"), "name"), "dst").select("file_id", "name"))
+    return search.symbol_chunks(s, probes.v_files(t), e, imports=imports)
 
 
 @register("s01_fuse_lists", sql=f"""
@@ -233,7 +240,7 @@ x AS (SELECT id, j->>'$.name' AS name, j->>'$.kind' AS kind, j->>'$.fully_qualif
              CAST(j->>'$.structured_docs.is_lambda' AS BOOLEAN) AS is_lambda,
              from_json(j->'$.structured_docs.closure_variables', '["VARCHAR"]') AS cv,
              j->>'$.structured_docs.linq_pattern' AS linq_pattern FROM p)
-SELECT id, name, kind, left(coalesce(fqn0, name), 2000) AS fqn, left(return_type, 1000) AS return_type,
+SELECT id, name, kind, coalesce(fqn0, name) AS fqn, return_type,
        CAST(CASE WHEN c = 1 AND np > 0 THEN c + np ELSE c END AS INTEGER) AS complexity,
        CAST(CASE WHEN c = 1 AND np > 0 THEN c + np ELSE c END AS INTEGER) AS complexity_score,
        CAST(CASE WHEN signature IS NULL THEN 0 ELSE len(list_filter(string_split_regex(signature, '\\s+'), lambda w: w <> '')) END AS INTEGER) AS token_count,
@@ -242,5 +249,4 @@ SELECT id, name, kind, left(coalesce(fqn0, name), 2000) AS fqn, left(return_type
        array_to_string(coalesce(cv, []), ',') AS closure_variables, linq_pattern
 FROM x""")
 def v10_build_symbol_rows(spark, sf_dir):
-    return search.build_symbol_rows(_parsed(load_tables(spark, sf_dir)), "id", "j", 2000, 1000).drop(
-        "fqn_cut", "return_type_cut")
+    return search.build_symbol_rows(_parsed(load_tables(spark, sf_dir)), "id", "j")

@@ -7,12 +7,12 @@ from meshlens.operators import relational as R
 from meshlens.operators import search
 
 SYMBOLS = ("id long, name string, kind string, fqn string, signature string, parent_name string, start_line int, "
-           "end_line int, file_id long")
+           "end_line int, file_id long, documentation string")
 
 
 def chunk_inputs(spark):
-    rows = [(1, "big", "METHOD", None, "def big()", None, 1, 150, 7)]
-    rows += [(10 + i, f"callee{i}", "METHOD", None, f"def callee{i}()", None, 151, 151, 7) for i in range(8)]
+    rows = [(1, "big", "METHOD", None, "def big()", None, 1, 150, 7, None)]
+    rows += [(10 + i, f"callee{i}", "METHOD", None, f"def callee{i}()", None, 151, 151, 7, None) for i in range(8)]
     return (spark.createDataFrame(rows, SYMBOLS),
             spark.createDataFrame([(7, "a.py", "\n".join(f"line {i}" for i in range(151)))], "id long, path string, content string"),
             spark.createDataFrame([(1, 10 + i, "CALLS") for i in range(8)], "src long, dst long, type string"))
@@ -51,3 +51,16 @@ def test_long_first_chunk(spark):
     assert {r.k: r.snippet for r in R.first_chunk(df, "k", "o", "t").collect()} == {1: "x" * 5000, 2: "z", 3: None}
     cut = {r.k: (r.snippet, r.snippet_cut) for r in R.first_chunk(df, "k", "o", "t", 2000).collect()}
     assert cut == {1: ("x" * 2000 + "...", True), 2: ("z", False), 3: (None, False)}
+
+
+def test_imports_and_documentation_chunk(spark):
+    symbols = spark.createDataFrame([(1, "f", "FUNCTION", "ns.f", "def f()", None, 1, 1, 7, "What f does."),
+                                     (2, "g", "FUNCTION", None, None, None, None, None, 7, "")], SYMBOLS)
+    files = spark.createDataFrame([(7, "a.py", "body")], "id long, path string, content string")
+    edges = spark.createDataFrame([], "src long, dst long, type string")
+    imports = spark.createDataFrame([(7, f"m{i}") for i in range(8)] + [(7, "m0"), (9, "other")], "file_id long, name string")
+    got = {(r.id, r.content_type): r.content_hash for r in search.symbol_chunks(symbols, files, edges, imports=imports).collect()}
+    listed = "Imports: " + ", ".join(f"m{i}" for i in range(8))
+    want = {(1, "code"): f"File: a.py\nNamespace: ns\n{listed}\n\ndef f()\nbody", (2, "code"): f"File: a.py\n{listed}\n",
+            (1, "documentation"): "f (FUNCTION)\nFile: a.py\nNamespace: ns\n\nWhat f does."}
+    assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
