@@ -135,6 +135,7 @@ def _hits(text: Column, rule: Rule) -> Column:
 def extract_calls(files: DataFrame, id_col: str, text_col: str, rules) -> DataFrame:
     """E-02 / E-03: one row per call: library, verb, URL, line of its start, dynamic flag."""
     text = F.col(text_col)
+    files = files.select(id_col, F.explode(F.array(text)).alias(text_col))  # a projection would be copied into every rule
     needles = [rule_needle(r.regex) for r in rules]
     if all(needles):
         files = files.where(reduce(lambda a, b: a | b, [F.instr(text, n) > 0 for n in sorted(set(needles))]))

@@ -299,8 +299,8 @@ def extract_config(files: DataFrame, id_col: str, text_col: str, name_col: str)
     from meshlens.functions.code import environment_of, is_secret_key
     from meshlens.functions.jsonflat import flatten_json, strip_json_comments
 
-    cleaned = files.select(F.col(id_col), strip_json_comments(F.col(text_col)).alias("_json"),
-                           environment_of(F.col(name_col)).alias("environment"))
+    cleaned = _once(files.withColumn("environment", environment_of(F.col(name_col))), "_json",
+                    strip_json_comments(F.col(text_col)), id_col, "environment")
     secret = is_secret_key(F.col("key"))
     return (flatten_json(cleaned, id_col, "_json", keep=("environment",))
             .select(id_col, F.col("key").alias("config_key"),

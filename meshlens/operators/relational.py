@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlens.session import ensure_checkpoint_dir
+
 # --------------------------------------------------------------------------- globs
 
 # Default exclusion globs of the reference (F-02).
@@ -332,6 +334,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", hash_col: s
     rename; copies are paired 1:1, the k-th deleted path (by name) of a hash
     with its k-th added path.  The k-th place is counted in buckets of the
     path's own hash, so one content with very many copies is spread out."""
+    ensure_checkpoint_dir(old.sparkSession)
+
     def side(df: DataFrame, tag: int) -> DataFrame:
         return df.select(F.col(key).alias("path"), F.col(hash_col).alias("hash"), F.lit(tag).alias("tag"))
 
@@ -342,7 +346,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", hash_col: s
             .withColumn("change", F.when(F.col("o").isNull(), "A").when(F.col("n").isNull(), "D")
                         .when(~F.col("o.hash").eqNullSafe(F.col("n.hash")), "M"))
             .where(F.col("change").isNotNull())
-            .select("change", "path", F.col("o.hash").alias("old_hash"), F.col("n.hash").alias("new_hash")))
+            .select("change", "path", F.col("o.hash").alias("old_hash"), F.col("n.hash").alias("new_hash"))
+            .checkpoint(eager=True))  # read by three branches: hash the texts once
     moved = F.col("change").isin("A", "D") & F.coalesce("old_hash", "new_hash").isNotNull()
     rows = both.where(moved).withColumn("hash", F.coalesce("old_hash", "new_hash"))
     # a hash with both an added and a deleted path; the others can't be renames

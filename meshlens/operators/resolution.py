@@ -11,11 +11,14 @@ name never multiplies the reference rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions.code import base_types, clean_type
 from meshlens.operators.graph import KeyedEdges
+from meshlens.session import ensure_checkpoint_dir
 
 
 def symbol_index(symbols: DataFrame) -> DataFrame:
@@ -112,6 +115,63 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return j.where(target.isNotNull()).select("call_id", "caller_id", target.alias("target_id"), tier.alias("tier"))
 
 
+def receiver_types(calls: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(call_id, type_name): the type of each call's receiver by the latest declaration of that name before the call
+    whose scope holds it (an as-of join within the file; of equal lines the inner scope).
+
+    ``calls``: call_id, file_id, receiver, line.  ``declarations``: file_id, name, type_name, line, scope_start,
+    scope_end."""
+    d = declarations.select(F.col("file_id").alias("_file"), F.col("name").alias("_name"), "type_name",
+                            F.col("line").alias("_line"), "scope_start", "scope_end")
+    inside = (F.col("scope_start") <= F.col("line")) & (F.col("line") <= F.col("scope_end")) & (F.col("_line") <= F.col("line"))
+    return (calls.join(d, (F.col("file_id") == F.col("_file")) & (F.col("receiver") == F.col("_name")) & inside)
+            .groupBy("call_id").agg(F.max(F.struct("_line", "scope_start", "type_name")).alias("b"))
+            .select("call_id", F.col("b.type_name").alias("type_name")))
+
+
+def resolve_receiver_calls(calls: DataFrame, symbols: DataFrame, declarations: DataFrame, imports: DataFrame) -> DataFrame:
+    """J-20 with receivers and imports, in the order: (1) a call without receiver, or on ``this`` / ``base``: a callable
+    of the caller's file and parent; (2) a method of the caller's own class; (3) a method of the class that types the
+    receiver (its declared type, else its name): classes whose FQN is that name, alone or after an imported namespace;
+    where there are none, classes of that simple name; (4) any callable of the name in the repository.  Lowest id
+    within a tier; each tier is reduced to one candidate per key before it is joined.
+
+    ``calls``: call_id, caller_id, callee_name, receiver, line.  ``symbols``: id, name, kind, fqn, parent_name, file_id,
+    repository.  ``declarations``: see :func:`receiver_types`.  ``imports``: file_id, module."""
+    callable_ = symbols.where(F.col("kind").isin("METHOD", "FUNCTION"))
+    methods = symbols.where(F.col("kind") == "METHOD").groupBy(F.col("parent_name").alias("class_fqn"), "name").agg(F.min("id").alias("m"))
+    t1 = callable_.groupBy("file_id", "parent_name", "name").agg(F.min("id").alias("t1"))
+    classes = symbols.where(F.col("kind").isin("CLASS", "INTERFACE")).select(
+        "repository", "kind", F.col("name").alias("class_name"), F.col("fqn").alias("class_fqn"))
+    own = (classes.where(F.col("kind") == "CLASS").select("repository", "class_fqn").distinct().join(methods, "class_fqn")
+           .select("repository", F.col("class_fqn").alias("parent_name"), "name", F.col("m").alias("t2")))
+    by_fqn = classes.select("repository", "class_fqn").distinct()
+    in_fqn = by_fqn.join(methods, "class_fqn").select("repository", "class_fqn", "name", F.col("m").alias("t3"))
+    by_name = (classes.select("repository", "class_name", "class_fqn").distinct().join(methods, "class_fqn")
+               .groupBy("repository", "class_name", "name").agg(F.min("m").alias("t3n")))
+    t4 = callable_.groupBy("repository", "name").agg(F.min("id").alias("t4"))
+
+    caller = symbols.select(F.col("id").alias("caller_id"), "file_id", "parent_name", "repository")
+    c = calls.join(caller, "caller_id").withColumnRenamed("callee_name", "name")
+    self_call = F.col("receiver").isNull() | F.col("receiver").isin("", "this", "base")
+    c = (c.join(receiver_types(c, declarations), "call_id", "left")
+         .withColumns({"self_call": self_call, "class_name": F.when(~self_call, F.coalesce("type_name", "receiver"))}))
+    named = c.where("class_name is not null").select("call_id", "file_id", "repository", "name", "class_name")
+    spaces = named.join(imports.select("file_id", "module").distinct(), "file_id")
+    fqns = (named.select("call_id", "repository", "name", F.col("class_name").alias("class_fqn"))
+            .unionByName(spaces.select("call_id", "repository", "name", F.concat("module", F.lit("."), "class_name").alias("class_fqn")))
+            .join(by_fqn, ["repository", "class_fqn"]))
+    exact = (fqns.join(in_fqn, ["repository", "class_fqn", "name"], "left").groupBy("call_id").agg(F.min("t3").alias("t3"))
+             .withColumn("known", F.lit(True)))
+    j = (c.join(t1, ["file_id", "parent_name", "name"], "left").join(own, ["repository", "parent_name", "name"], "left")
+         .join(exact, "call_id", "left").join(by_name, ["repository", "class_name", "name"], "left")
+         .join(t4, ["repository", "name"], "left"))
+    tiers = [F.when(F.col("self_call"), F.col("t1")), F.col("t2"), F.when(F.col("known"), F.col("t3")).otherwise(F.col("t3n")), F.col("t4")]
+    tier = F.coalesce(*(F.when(t.isNotNull(), i + 1) for i, t in enumerate(tiers)))
+    return (j.where(tier.isNotNull()).select("call_id", "caller_id", F.coalesce(*tiers).alias("target_id"), tier.alias("tier"),
+                                            "type_name"))
+
+
 # Candidate suffixes tried for an import specifier, in preference order (J-22).
 IMPORT_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".md", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
@@ -139,6 +199,52 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
     return imports.select("import_id").join(best, "import_id", "left")
 
 
+def apply_aliases(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """J-22: ``imports`` with the longest alias that starts their specifier (at a ``/`` or as a whole) replaced by its
+    target; package paths with dots become paths.  ``aliases``: prefix, target; relative specifiers stay.
+
+    Every specifier meets the alias table through its own prefixes, an equi-join however many aliases there are."""
+    spec = F.col("spec")
+    segs = F.split(spec, "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda k: F.array_join(F.slice(segs, 1, k), "/"))
+    keyed = imports.where(~spec.startswith(".")).select("import_id", "spec", F.explode(prefixes).alias("prefix"))
+    best = (keyed.join(aliases.groupBy("prefix").agg(F.min("target").alias("target")), "prefix").groupBy("import_id")
+            .agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("b")))
+    out = imports.join(best, "import_id", "left")
+    aliased = F.concat(F.col("b.target"), F.expr("substring(spec, length(b.prefix) + 1)"))
+    dotted = ~spec.startswith(".") & ~spec.contains("/") & spec.rlike(r"^\w+(\.\w+)+$")
+    return out.withColumn("spec", F.when(F.col("b").isNotNull(), aliased)
+                          .when(dotted, F.translate(spec, ".", "/")).otherwise(spec)).drop("b")
+
+
+def named_import_edges(named: DataFrame, symbols: DataFrame, reexports: DataFrame) -> DataFrame:
+    """J-22: named imports → symbols: the imported file's own symbol of that name, else the one that its re-exports
+    lead to (``export {name} from`` or ``export * from``), to a fix-point; of several at the least distance the lowest id.
+    Distinct (file, name) questions are followed, not imports; a file is asked once per question, so cycles end.
+
+    ``named``: import_id, file_id (the imported file), name.  ``reexports``: file_id, from_file_id, name (null: all).
+    Returns (import_id, symbol_id, hops)."""
+    ensure_checkpoint_dir(named.sparkSession)
+    own = symbols.groupBy("file_id", "name").agg(F.min("id").alias("symbol_id"))
+    links = reexports.select(F.col("file_id").alias("at"), "from_file_id", F.col("name").alias("only")).distinct()
+    asked = named.select("file_id", "name").distinct().withColumn("at", F.col("file_id")).checkpoint(eager=True)
+    seen, found, hops = asked, [], 0
+    while True:
+        here = asked.join(own.withColumnRenamed("file_id", "at"), ["at", "name"], "left")
+        level = (here.where("symbol_id is not null").groupBy("file_id", "name").agg(F.min("symbol_id").alias("symbol_id"))
+                 .withColumn("hops", F.lit(hops)).checkpoint(eager=True))
+        found.append(level)
+        left = asked.join(level, ["file_id", "name"], "left_anti")
+        nxt = (left.join(links, "at").where(F.col("only").isNull() | (F.col("only") == F.col("name")))
+               .select("file_id", "name", F.col("from_file_id").alias("at")).distinct()
+               .join(seen, ["file_id", "name", "at"], "left_anti").checkpoint(eager=True))
+        if nxt.isEmpty():
+            break
+        seen, asked, hops = seen.unionByName(nxt), nxt, hops + 1
+    answers = reduce(DataFrame.unionByName, found)
+    return named.join(answers, ["file_id", "name"]).select("import_id", "symbol_id", "hops")
+
+
 def link_symbols_to_service(symbols: DataFrame, file_projects: DataFrame, project_services: DataFrame) -> DataFrame:
     """J-34: a symbol's service is its file's project's service."""
     fp = file_projects.select(F.col("id").alias("file_id"), "project_id")

@@ -170,6 +170,98 @@ def j20_resolve_calls(spark, sf_dir):
     return RS.resolve_calls(calls, syms).select("call_id", "caller_id", "target_id", F.col("tier").cast("int"))
 
 
+# Symbols in namespaces, calls with receivers, declarations and imports of the probe.
+SPACED_SQL = """(SELECT id, name, kind, file_id, 'r' || CAST(file_id % 2 AS VARCHAR) AS repository,
+  CASE WHEN parent_name IS NULL THEN 'ns' || CAST(id % 3 AS VARCHAR) || '.' || fqn ELSE fqn END AS fqn,
+  'ns' || CAST((1000000000000 + CAST(split_part(parent_name, '#', 2) AS BIGINT)) % 3 AS VARCHAR) || '.' || parent_name AS parent_name FROM v_symbols)"""
+RECEIVER_CALLS_SQL = """(SELECT CAST(e.src AS VARCHAR) || ':' || CAST(e.dst AS VARCHAR) AS call_id, e.src AS caller_id, d.name AS callee_name,
+  CASE e.src % 4 WHEN 1 THEN 'this' WHEN 2 THEN 'v' || CAST(e.dst % 5 AS VARCHAR) WHEN 3 THEN d.parent_name END AS receiver, e.dst % 50 AS line
+  FROM v_edges e JOIN v_symbols d ON d.id = e.dst WHERE e.type = 'CALLS')"""
+DECLARATIONS_SQL = """(SELECT file_id, 'v' || CAST(id % 5 AS VARCHAR) AS name, parent_name AS type_name, start_line AS line,
+  start_line - 10 AS scope_start, end_line + 20 AS scope_end FROM v_symbols WHERE kind = 'VARIABLE')"""
+FILE_IMPORTS_SQL = "(SELECT id AS file_id, 'ns' || CAST(id % 4 AS VARCHAR) AS module FROM v_files)"
+
+
+def _spaced(t):
+    def space(n):
+        return F.concat(F.lit("ns"), (n % 3).cast("string"), F.lit("."))
+    number = F.lit(probes.TYPE_ID_BASE) + F.substring_index("parent_name", "#", -1).cast("long")
+    return probes.v_symbols(t).select(
+        "id", "name", "kind", "file_id", F.concat(F.lit("r"), (F.col("file_id") % 2).cast("string")).alias("repository"),
+        F.when(F.col("parent_name").isNull(), F.concat(space(F.col("id")), "fqn")).otherwise(F.col("fqn")).alias("fqn"),
+        F.concat(space(number), "parent_name").alias("parent_name"))
+
+
+def _receiver_calls(t):
+    d = probes.v_symbols(t).select(F.col("id").alias("dst"), F.col("name").alias("callee_name"), "parent_name")
+    e = probes.v_edges(t).where(F.col("type") == "CALLS").join(d, "dst")
+    k = F.col("src") % 4
+    receiver = F.when(k == 1, F.lit("this")).when(k == 2, F.concat(F.lit("v"), (F.col("dst") % 5).cast("string"))).when(k == 3, F.col("parent_name"))
+    return e.select(F.concat(F.col("src").cast("string"), F.lit(":"), F.col("dst").cast("string")).alias("call_id"),
+                    F.col("src").alias("caller_id"), "callee_name", receiver.alias("receiver"), (F.col("dst") % 50).alias("line"))
+
+
+@register("j20_receiver_calls", sql=f"""
+WITH s AS {SPACED_SQL}, k AS {RECEIVER_CALLS_SQL}, dcl AS {DECLARATIONS_SQL}, imp AS {FILE_IMPORTS_SQL},
+c0 AS (SELECT k.*, s.file_id, s.parent_name, s.repository FROM k JOIN s ON s.id = k.caller_id),
+ty AS (SELECT call_id, max(struct_pack(l := dcl.line, sc := scope_start, t := type_name)).t AS type_name FROM c0 JOIN dcl
+       ON dcl.file_id = c0.file_id AND dcl.name = c0.receiver AND c0.line BETWEEN scope_start AND scope_end AND dcl.line <= c0.line GROUP BY call_id),
+c AS (SELECT c0.*, type_name, coalesce(receiver, '') IN ('', 'this', 'base') AS self_call,
+             CASE WHEN coalesce(receiver, '') NOT IN ('', 'this', 'base') THEN coalesce(type_name, receiver) END AS cls FROM c0 LEFT JOIN ty USING (call_id)),
+f AS (SELECT call_id, repository, callee_name, cls AS fqn FROM c WHERE cls IS NOT NULL
+      UNION ALL SELECT call_id, repository, callee_name, module || '.' || cls FROM c JOIN imp USING (file_id) WHERE cls IS NOT NULL),
+x AS (SELECT f.call_id, min(m.id) AS t3 FROM f JOIN s k ON k.repository = f.repository AND k.fqn = f.fqn AND k.kind IN ('CLASS', 'INTERFACE')
+      LEFT JOIN s m ON m.kind = 'METHOD' AND m.parent_name = k.fqn AND m.name = f.callee_name GROUP BY f.call_id),
+j AS (SELECT c.call_id, c.caller_id, c.type_name,
+  CASE WHEN self_call THEN (SELECT min(id) FROM s WHERE kind IN ('METHOD', 'FUNCTION') AND s.file_id = c.file_id AND s.parent_name = c.parent_name AND s.name = c.callee_name) END AS t1,
+  (SELECT min(m.id) FROM s k JOIN s m ON m.parent_name = k.fqn AND m.kind = 'METHOD'
+   WHERE k.kind = 'CLASS' AND k.repository = c.repository AND k.fqn = c.parent_name AND m.name = c.callee_name) AS t2,
+  CASE WHEN x.call_id IS NOT NULL THEN x.t3 ELSE (SELECT min(m.id) FROM s k JOIN s m ON m.parent_name = k.fqn AND m.kind = 'METHOD'
+   WHERE k.kind IN ('CLASS', 'INTERFACE') AND k.repository = c.repository AND k.name = c.cls AND m.name = c.callee_name) END AS t3,
+  (SELECT min(id) FROM s WHERE kind IN ('METHOD', 'FUNCTION') AND s.repository = c.repository AND s.name = c.callee_name) AS t4
+  FROM c LEFT JOIN x USING (call_id))
+SELECT call_id, caller_id, coalesce(t1, t2, t3, t4) AS target_id,
+       CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 WHEN t3 IS NOT NULL THEN 3 ELSE 4 END AS tier, type_name
+FROM j WHERE coalesce(t1, t2, t3, t4) IS NOT NULL""")
+def j20_receiver_calls(spark, sf_dir):
+    """J-20 with typed receivers, own classes, imported namespaces and the repository as last resort."""
+    t = _t(spark, sf_dir)
+    s = probes.v_symbols(t).where(F.col("kind") == "VARIABLE")
+    decl = s.select("file_id", F.concat(F.lit("v"), (F.col("id") % 5).cast("string")).alias("name"), F.col("parent_name").alias("type_name"),
+                    F.col("start_line").alias("line"), (F.col("start_line") - 10).alias("scope_start"), (F.col("end_line") + 20).alias("scope_end"))
+    imports = probes.v_files(t).select(F.col("id").alias("file_id"), F.concat(F.lit("ns"), (F.col("id") % 4).cast("string")).alias("module"))
+    return RS.resolve_receiver_calls(_receiver_calls(t), _spaced(t), decl, imports)
+
+
+# Named imports: every symbol's file imports the next symbol's name from a file that may only re-export it.
+NAMED_SQL = """(SELECT s.id AS import_id, (s.file_id + s.id % 4) % (SELECT count(*) FROM documents) AS file_id, s.name FROM v_symbols s WHERE s.parent_name IS NOT NULL)"""
+REEXPORTS_SQL = """(SELECT id AS file_id, (id + (SELECT count(*) FROM documents) - 1) % (SELECT count(*) FROM documents) AS from_file_id, NULL::VARCHAR AS name FROM v_files WHERE id % 3 <> 0
+  UNION ALL SELECT file_id, (file_id + (SELECT count(*) FROM documents) - 2) % (SELECT count(*) FROM documents), name FROM v_symbols WHERE id % 5 = 0 AND parent_name IS NOT NULL)"""
+
+
+@register("j22_named_imports", sql=f"""
+WITH RECURSIVE n AS {NAMED_SQL}, r AS {REEXPORTS_SQL},
+own AS (SELECT file_id, name, min(id) AS symbol_id FROM v_symbols GROUP BY ALL),
+w(file_id, name, loc, hops, symbol_id) AS (
+  SELECT DISTINCT n.file_id, n.name, n.file_id, 0, o.symbol_id FROM n LEFT JOIN own o ON o.file_id = n.file_id AND o.name = n.name
+  UNION
+  SELECT w.file_id, w.name, r.from_file_id, w.hops + 1, o.symbol_id FROM w JOIN r ON r.file_id = w.loc AND coalesce(r.name, w.name) = w.name
+  LEFT JOIN own o ON o.file_id = r.from_file_id AND o.name = w.name WHERE w.symbol_id IS NULL AND w.hops < 12),
+b AS (SELECT file_id, name, min(struct_pack(h := hops, s := symbol_id)) AS b FROM w WHERE symbol_id IS NOT NULL GROUP BY ALL)
+SELECT import_id, b.s AS symbol_id, b.h AS hops FROM n JOIN b USING (file_id, name)""")
+def j22_named_imports(spark, sf_dir):
+    """J-22: named imports → symbols, through re-exports."""
+    t = _t(spark, sf_dir)
+    n = t.documents.select(F.count(F.lit(1))).scalar()
+    s = probes.v_symbols(t)
+    members = s.where(F.col("parent_name").isNotNull())
+    named = members.select(F.col("id").alias("import_id"), ((F.col("file_id") + F.col("id") % 4) % n).alias("file_id"), "name")
+    every = probes.v_files(t).where(F.col("id") % 3 != 0).select(F.col("id").alias("file_id"), ((F.col("id") + n - 1) % n).alias("from_file_id"),
+                                                                 F.lit(None).cast("string").alias("name"))
+    some = members.where(F.col("id") % 5 == 0).select("file_id", ((F.col("file_id") + n - 2) % n).alias("from_file_id"), "name")
+    return RS.named_import_edges(named, s, every.unionByName(some))
+
+
 IMPORTS_SQL = """(SELECT id AS import_id, path AS file_path, CASE id % 3
   WHEN 0 THEN './' || CAST(id + 140 AS VARCHAR)
   WHEN 1 THEN '../d' || CAST((id + 20) % 7 AS VARCHAR) || '/' || CAST(id + 20 AS VARCHAR)
@@ -209,6 +301,41 @@ def j22_resolve_imports(spark, sf_dir):
     return out.select("import_id", "file_id", F.col("rank").cast("int"))
 
 
+# Aliases of the probe: two prefixes of different length for every source folder.
+ALIASES_SQL = """(SELECT '@' || repository AS prefix, repository AS target FROM (SELECT DISTINCT repository FROM v_files)
+  UNION ALL SELECT '@' || repository || '/x', repository || '/' || lang FROM (SELECT repository, min(language) AS lang FROM v_files GROUP BY repository))"""
+ALIASED_SQL = """(SELECT id AS import_id, path AS file_path, CASE id % 4 WHEN 0 THEN '@' || repository || '/' || language || '/d' || CAST(id % 7 AS VARCHAR) || '/' || CAST(id AS VARCHAR)
+  WHEN 1 THEN '@' || repository || '/x/d' || CAST(id % 7 AS VARCHAR) || '/' || CAST(id AS VARCHAR) WHEN 2 THEN repository || '.' || language || '.d' || CAST(id % 7 AS VARCHAR) || '.' || CAST(id AS VARCHAR)
+  ELSE './' || CAST(id + 140 AS VARCHAR) END AS spec FROM v_files)"""
+
+
+@register("j22_aliased_imports", sql=f"""
+WITH i AS {ALIASED_SQL}, a AS {ALIASES_SQL},
+b AS (SELECT import_id, arg_max(struct_pack(p := prefix, t := target), length(prefix)) AS b FROM i JOIN a
+      ON NOT starts_with(spec, '.') AND (spec = prefix OR starts_with(spec, prefix || '/')) GROUP BY import_id)
+SELECT i.import_id, CASE WHEN b.b IS NOT NULL THEN b.b.t || substr(spec, length(b.b.p) + 1)
+  WHEN NOT contains(spec, '/') AND regexp_matches(spec, '^\\w+(\\.\\w+)+$') THEN replace(spec, '.', '/') ELSE spec END AS spec,
+  f.id AS file_id
+FROM i LEFT JOIN b USING (import_id) LEFT JOIN v_files f ON f.path = CASE WHEN b.b IS NOT NULL THEN b.b.t || substr(spec, length(b.b.p) + 1)
+  WHEN NOT contains(spec, '/') AND regexp_matches(spec, '^\\w+(\\.\\w+)+$') THEN replace(spec, '.', '/')
+  WHEN starts_with(spec, './') THEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) || substr(spec, 2) ELSE spec END || '.md'""")
+def j22_aliased_imports(spark, sf_dir):
+    """J-22 with an alias table (longest prefix) and dotted package paths."""
+    t = _t(spark, sf_dir)
+    f = probes.v_files(t)
+    i, repo = F.col("id"), F.col("repository")
+    tail = [F.concat(F.lit("d"), (i % 7).cast("string")), i.cast("string")]
+    at = F.concat(F.lit("@"), repo)
+    spec = (F.when(i % 4 == 0, F.concat_ws("/", at, "language", *tail)).when(i % 4 == 1, F.concat_ws("/", at, F.lit("x"), *tail))
+            .when(i % 4 == 2, F.concat_ws(".", repo, "language", *tail)).otherwise(F.concat(F.lit("./"), (i + 140).cast("string"))))
+    imports = f.select(i.alias("import_id"), F.col("path").alias("file_path"), spec.alias("spec"))
+    per = f.groupBy("repository").agg(F.min("language").alias("lang"))
+    aliases = per.select(at.alias("prefix"), repo.alias("target")).unionByName(
+        per.select(F.concat(at, F.lit("/x")).alias("prefix"), F.concat_ws("/", repo, "lang").alias("target")))
+    aliased = RS.apply_aliases(imports, aliases)
+    return aliased.select("import_id", "spec").join(RS.resolve_imports(aliased, f).select("import_id", "file_id"), "import_id")
+
+
 @register("j34_link_symbols_to_service", sql=f"""
 WITH p AS (SELECT id AS project_id, regexp_replace(project_path, '/[^/]*$', '') AS dir FROM {PROJECTS_SQL}),
 anc AS (SELECT f.id, k AS depth, array_to_string(string_split(f.path, '/')[1:k], '/') AS dir
