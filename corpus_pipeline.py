@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled to the raked source, language and topic weights."""
-    return mixing.sample(docs)
+    return mixing.sample(docs, share=mixing.SHARE)
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_dedup_stage), ("near_duplicates", near_duplicate_stage),
