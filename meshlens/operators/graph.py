@@ -348,3 +348,32 @@ def interface_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """G-04: derived edges INTERFACE → implementing class, base → heir, and interface METHOD → same-named METHOD of an
     implementing class, all pairs; :func:`interface_keys` keeps the last kind factored."""
     return type_edges(symbols, edges).unionByName(interface_keys(symbols, edges).pairs()).distinct()
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, component): every node of the undirected links (a, b) with the smallest node it is connected to.
+
+    Each round moves a node to its neighbour (or itself) of the smallest hash, salted by the round, and contracts the
+    links by that map, so chains of rising ids shrink as fast as any other shape.  A hub's links are aggregated before
+    they are shuffled; every round is cut by a reliable checkpoint.  A node linked with itself alone is its own
+    component; null ends are left out.
+    """
+    ensure_checkpoint_dir(links.sparkSession)
+    links = links.select("a", "b").where("a is not null and b is not null").distinct().checkpoint(eager=True)
+    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("label", F.col("node"))
+    rest, turn = links.where("a <> b"), 0
+    while not rest.isEmpty():
+        ends = rest.union(rest.select("b", "a"))
+        near = ends.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), "b")).alias("low"))
+        move = near.select(F.col("a").alias("label"),
+                           F.when(F.col("low.h") < F.xxhash64("a", F.lit(turn)), F.col("low.b")).otherwise(F.col("a")).alias("to")
+                           ).checkpoint(eager=True)
+        labels = (labels.join(move, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+                  .checkpoint(eager=True))
+        rest = (rest.join(move.select(F.col("label").alias("a"), F.col("to").alias("ta")), "a")
+                .join(move.select(F.col("label").alias("b"), F.col("to").alias("tb")), "b").where("ta <> tb")
+                .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+                .checkpoint(eager=True))
+        turn += 1
+    smallest = labels.groupBy("label").agg(F.min("node").alias("component"))
+    return labels.join(smallest, "label").select("node", "component")

@@ -41,6 +41,7 @@ _MODULES = (
     "meshlens.plans.filter_queries",
     "meshlens.plans.config_queries",
     "meshlens.plans.misc_queries",
+    "meshlens.plans.structure_queries",
 )
 
 

@@ -8,12 +8,15 @@ coalesce) and leave the write mode to the caller.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions.code import language_of
+from meshlens.session import ensure_checkpoint_dir
 
 
 def build_file_table(files: DataFrame, old: DataFrame | None = None) -> DataFrame:
@@ -129,5 +132,61 @@ def cascade_delete(parents: DataFrame, parent_key: str, children: list[tuple[str
     return {name: df.join(gone, df[fk] == gone["_k"], "left_anti") for name, df, fk in children}
 
 
+@dataclass(frozen=True)
+class ForeignKey:
+    """``child.column`` points at ``parent.key``; its rows go with the parent's, or are blanked (``set_null``)."""
+
+    child: str
+    column: str
+    parent: str
+    key: str = "id"
+    set_null: bool = False
+
+
+def cascade_tables(tables: dict[str, DataFrame], foreign_keys: list[ForeignKey], start: str,
+                   gone: DataFrame) -> dict[str, DataFrame]:
+    """SNK-06 over a whole graph of tables: every table as it is after the rows of ``start`` in ``gone`` are deleted.
+
+    ``gone`` has one column, named as a column of ``start``.  Tables are visited parents first; what passes from a
+    table to the next are the distinct keys of its deleted rows, kept by a reliable checkpoint.  A row goes if any of
+    its cascading keys points at a deleted row, otherwise its ``set_null`` keys that do are blanked.  A cascading key
+    on its own table is followed level by level.  Null keys point at nothing; a table that nothing touches returns
+    as it is.  Other cycles of tables raise ``graphlib.CycleError``.
+    """
+    ensure_checkpoint_dir(gone.sparkSession)
+    before = {name: {fk.parent for fk in foreign_keys if fk.child == name and fk.parent != name} for name in tables}
+    lost: dict[tuple[str, str], DataFrame] = {}
+    out = {}
+    for name in TopologicalSorter(before).static_order():
+        rows = tables[name]
+        hits = [(fk.column, lost[fk.parent, fk.key]) for fk in foreign_keys
+                if fk.child == name and not fk.set_null and (fk.parent, fk.key) in lost]
+        if name == start:
+            hits.append((gone.columns[0], gone.select(F.col(gone.columns[0]).alias("_k")).distinct().checkpoint(eager=True)))
+        own = [fk for fk in foreign_keys if fk.child == fk.parent == name and not fk.set_null]
+        needed = {fk.key for fk in foreign_keys if fk.parent == name}
+        if hits and needed:
+            found, frontier = None, hits
+            while frontier:
+                new = union_all([rows.join(k, rows[c] == k["_k"], "left_semi").select(*needed)
+                                 for c, k in frontier]).distinct()
+                new = (new if found is None else new.subtract(found)).checkpoint(eager=True)
+                found = new if found is None else found.union(new)
+                frontier = [(fk.column, new.select(F.col(fk.key).alias("_k")).where("_k is not null").distinct())
+                            for fk in own if not new.isEmpty()]
+            for key in needed:
+                lost[name, key] = found.select(F.col(key).alias("_k")).where("_k is not null").distinct().checkpoint(eager=True)
+        hits += [(fk.column, lost[name, fk.key]) for fk in own if (name, fk.key) in lost]
+        for column, k in hits:
+            rows = rows.join(k, rows[column] == k["_k"], "left_anti")
+        for fk in foreign_keys:
+            if fk.child == name and fk.set_null and (fk.parent, fk.key) in lost:
+                k = lost[fk.parent, fk.key].select("_k", F.lit(True).alias("_lost"))
+                rows = (rows.join(k, rows[fk.column] == k["_k"], "left")
+                        .withColumn(fk.column, F.when(F.col("_lost").isNull(), F.col(fk.column))).drop("_k", "_lost"))
+        out[name] = rows
+    return out
+
+
 def union_all(dfs) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)
