@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlens.operators.dealing import dealt_join
 from meshlens.session import ensure_checkpoint_dir
 
 
@@ -94,10 +95,30 @@ class KeyedEdges:
 
     def pairs(self, members: DataFrame | None = None) -> DataFrame:
         """The edges (src, dst, type) of ``members`` (src), or all of them."""
+        if members is None and "tag" not in self.out.columns:
+            return self._all_pairs()
         start = self.out.select("src").distinct() if members is None else members.select("src").distinct()
         return (self._steps(start).where(F.col("src") != F.col("dst")).distinct()
                 .withColumn("type", F.lit(self.relation)).select("src", "dst", "type"))
 
+    def _all_pairs(self, beside: DataFrame | None = None) -> DataFrame:
+        """All edges, and those of ``beside`` (src, dst, type), each once.
+
+        A member of one key that is no source in ``beside`` makes each of its edges once: only the edges of the other
+        members are compared with each other."""
+        out, into = self.out.select("src", "key").distinct(), self.into.select("key", "dst").distinct()
+        several = out.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("src")
+        if beside is not None:
+            several = several.union(beside.select("src")).distinct()
+
+        def made(members: DataFrame) -> DataFrame:
+            return (dealt_join(members, into, "key", "src", "dst").where(F.col("src") != F.col("dst"))
+                    .select("src", "dst", F.lit(self.relation).alias("type")))
+        rest = made(out.join(several, "src", "left_semi"))
+        if beside is not None:
+            rest = rest.unionByName(beside.select("src", "dst", "type"))
+        return made(out.join(several, "src", "left_anti")).unionByName(rest.distinct())
+
     def rows(self) -> DataFrame:
         """The stored rows: (side, member, key)."""
         return (self.out.select(F.lit("out").alias("side"), F.col("src").alias("member"), "key")
