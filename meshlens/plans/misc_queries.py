@@ -8,6 +8,7 @@ from meshlens.operators import calls as CALLS
 from meshlens.operators import aggregates as A
 from meshlens.operators import extract as E
 from meshlens.operators import relational as R
+from meshlens.operators.dealing import dealt_join
 from meshlens.plans.catalog import register
 from meshlens.plans.lifecycle_queries import pattern_probe
 from meshlens.plans.relational_queries import PROJECTS_SQL, _projects
@@ -173,23 +174,26 @@ def j32_service_bundle(spark, sf_dir):
     """J-32 in long form: per service (probe: supplier services; service s owns
     brand s mod 25 and repository s mod 10) its controller classes, their
     methods, its package dependencies and its published event types — each
-    list is an equi-join on the service's key, no per-service arrays."""
+    list is an equi-join on the service's key, no per-service arrays; the joins
+    of many services with many rows of a brand are dealt over tasks by pairs."""
     t = _t(spark, sf_dir)
     sv = _services(t).select(F.col("id").alias("service_id"), (F.col("id") % 25).alias("b"),
                              (F.col("id") % 10).alias("repo"))
-    p = t.part.withColumn("b", F.substring_index("p_brand", "#", -1).cast("int"))
+    p = t.part.withColumn("b", F.substring_index("p_brand", "#", -1).cast("int").cast("long"))
     ctrl = (p.select("b", "p_brand").distinct().where(F.col("b") % 6 == 4)
             .withColumn("name", F.concat(F.lit("Brand"), F.col("b").cast("string"), F.lit("Controller"))))
     first = F.substring_index("p_name", " ", 1)
     second = F.substring_index("p_name", " ", -1)
     meth = (ctrl.select("b", "p_brand", F.col("name").alias("cname"))
-            .join(p.where(F.col("p_partkey") % 3 != 2).select("p_brand", "p_name"), "p_brand")
-            .select("b", F.when(second == "anvil", F.col("cname")).otherwise(F.concat(first, F.lit("_"), second)).alias("name")))
+            .join(p.where(F.col("p_partkey") % 3 != 2).select("p_brand", "p_name", "p_partkey"), "p_brand")
+            .select("b", "p_partkey", F.when(second == "anvil", F.col("cname")).otherwise(F.concat(first, F.lit("_"), second)).alias("name")))
     deps = p.select("b", F.regexp_replace("p_name", " ", "-").alias("name")).distinct()
     ev = probes.v_pub(t).select("repo", "event_type").distinct()
     return (sv.join(ctrl, "b").select("service_id", F.lit("controller").alias("item_kind"), F.col("name").alias("item"))
-            .unionByName(sv.join(meth, "b").select("service_id", F.lit("method").alias("item_kind"), F.col("name").alias("item")))
-            .unionByName(sv.join(deps, "b").select("service_id", F.lit("dependency").alias("item_kind"), F.col("name").alias("item")))
+            .unionByName(dealt_join(sv, meth, "b", "service_id", "p_partkey").select(
+                "service_id", F.lit("method").alias("item_kind"), F.col("name").alias("item")))
+            .unionByName(dealt_join(sv, deps, "b", "service_id", "name").select(
+                "service_id", F.lit("dependency").alias("item_kind"), F.col("name").alias("item")))
             .unionByName(sv.join(ev, "repo").select("service_id", F.lit("published_event").alias("item_kind"),
                                                    F.col("event_type").alias("item"))))
 
