@@ -368,7 +368,7 @@ def type_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def interface_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """G-04: derived edges INTERFACE → implementing class, base → heir, and interface METHOD → same-named METHOD of an
     implementing class, all pairs; :func:`interface_keys` keeps the last kind factored."""
-    return type_edges(symbols, edges).unionByName(interface_keys(symbols, edges).pairs()).distinct()
+    return interface_keys(symbols, edges)._all_pairs(type_edges(symbols, edges))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
