@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meshlens.operators import projects as P
@@ -174,3 +175,27 @@ def test_odd_vectors_are_left_out(spark, tmp_path):
     assert {(r.query_id, r.id) for r in got.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
     empty = VI.build_index(v.limit(0), str(tmp_path / "b"))
     assert VI.search_index(spark, empty, v.select(F.col("symbol_id").alias("query_id"), "vector")).count() == 0
+
+
+def test_search_in_cells_equals_the_joined_search(spark, tmp_path, monkeypatch):
+    """Several runs per list, ties by id, equal and null ids: the rows of scoring every probed pair by expressions."""
+    from collections import Counter
+
+    from meshlens.functions.vectors import cosine
+    monkeypatch.setattr(VI, "BLOCK", 8)
+    monkeypatch.setattr(VI, "ROWS", 3)
+    rows = [(i, [float(i * i % 17 - 8), float(i % 5), 1.0]) for i in range(120)] + [(7, [1.0, 0.0, 0.0]), (None, [0.0, 0.0, 2.0])] \
+        + [(1000 + i, [3.0, 3.0, 3.0]) for i in range(40)]
+    v = spark.createDataFrame(rows, "symbol_id long, vector array<float>")
+    path = VI.build_index(v, str(tmp_path / "c"), n_lists=3)
+    queries = v.select(F.col("symbol_id").alias("query_id"), "vector")
+    pairs = (v.withColumnRenamed("symbol_id", "id").withColumn("v", F.col("vector").cast("array<double>")).drop("vector")
+             .crossJoin(queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    want = (pairs.select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
+            .withColumn("rank", F.row_number().over(best)).where("rank <= 5"))
+    got = VI.search_index(spark, path, queries, 5, 3)
+    assert got.columns == want.columns
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan
