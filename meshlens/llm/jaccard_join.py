@@ -20,7 +20,7 @@ the key's largest component are compared with the others of that key, only acros
 thus compared or already connected, and the components are exact.
 
 Texts on one template that are not similar enough share frequent blocks without linking, so nothing collapses there.
-In such keys each class counts its own shingles, which no other component of such keys has: they all differ in any pair
+So each class counts its own shingles, which no other component that is still compared has: they all differ in any pair
 across components, so two classes can link only if 9 * (own + own') <= n + n'.  Where 9 * own > n on both sides, the
 pair is never made: rows short of own shingles meet all others of their key, the rest meet only those.
 
@@ -47,6 +47,8 @@ FOLD = 8
 FREQUENT = 32
 #: Rounds of further pivots for large groups; like FREQUENT, it moves work only.
 MORE_PIVOTS = 6
+#: Frequent keys by which a class knows the pairs that it has met; like FREQUENT, it moves work only.
+FIRST_KEYS = 32
 #: Rows of (class, pair) that are broadcast to pick texts; beyond that the texts are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Classes that one task remembers so as not to emit the blocks of an equal set twice.
@@ -264,10 +266,11 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _with_slack(open_rows: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """``open_rows`` (key, cls, comp, n, size of the key, ...) with ``slack``: n - 9 * own shingles.
 
-    Only classes in frequent keys are counted; the others keep n."""
-    crowd = scratch.save(open_rows.where(F.col("size") > FREQUENT).select("cls", "comp").distinct())
-    if crowd.isEmpty():
+    Without frequent keys nothing is counted.  Else all classes are: one that meets a counted class in a small key
+    alone may hold that one's shingles, too."""
+    if open_rows.where(F.col("size") > FREQUENT).isEmpty():
         return open_rows.withColumn("slack", F.col("n"))
+    crowd = scratch.save(open_rows.select("cls", "comp").distinct())
     need = scratch.save(crowd.join(classes.select("cls", "carrier"), "cls"))
     ids = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     rows = scratch.save(docs.join(ids, docs["doc_id"].eqNullSafe(ids["carrier"]["doc_id"])
@@ -281,14 +284,23 @@ def _with_slack(open_rows: DataFrame, docs: DataFrame, classes: DataFrame, scrat
 
 
 def _across(open_rows: DataFrame) -> DataFrame:
-    """(a, b): rows outside their key's main component with those of the key's other components that they may link to."""
-    cols = ["key", "cls", "comp", "main", "slack", *_FOLDED]
+    """(a, b): rows outside their key's main component with those of the key's other components that they may link to.
+
+    Near copies share many frequent keys; they meet in the smallest one.  That is not met again in a larger one as far as
+    both have it among their ``FIRST_KEYS``."""
+    cols = ["key", "cls", "comp", "main", "slack", "before", *_FOLDED]
+    first = (open_rows.where(F.col("size") > FREQUENT).groupBy("cls")
+             .agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("first")))
+    before = F.when(F.col("size") > FREQUENT, F.filter("first", lambda x: x < F.col("key")))
+    open_rows = (open_rows.join(first, "cls", "left")
+                 .withColumn("before", F.coalesce(before, F.array().cast("array<long>"))))
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
         left, right = left.select(*cols).alias("l"), right.select(*cols).alias("r")
         return (left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp"))
                           & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.cls") < F.col("r.cls")))
-                          & (F.col("l.slack") + F.col("r.slack") >= 0) & F.expr(_may_link("l.", "r.")))
+                          & (F.col("l.slack") + F.col("r.slack") >= 0) & F.expr(_may_link("l.", "r."))
+                          & ~F.arrays_overlap("l.before", "r.before"))
                 .select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")))
     left = open_rows.where("comp <> main")
     return (met(left.where("slack >= 0"), open_rows)

@@ -117,3 +117,33 @@ def test_template_texts_below_the_threshold_make_no_pairs(spark, monkeypatch, ch
         rows += [(1000 + i, edited(rng, rows[i][1], 0.004)) for i in range(0, n, 7)]  # a few real links
         same(spark, rows)
     assert met[1] > 200 and pairs[1] < 0.25 * met[1]
+
+
+def _open_rows(spark, n_crowd, keys):
+    """Classes of a crowd in frequent keys, and one text that meets a member of the crowd in a small key alone."""
+    rng = random.Random(8)
+    texts = [prose(rng, 40) for _ in range(n_crowd)]
+    texts.append(texts[0] + " end")
+    docs = spark.createDataFrame([(c, t, c) for c, t in enumerate(texts)], "doc_id long, text string, text_id long")
+    ids = jj.Sets(docs.orderBy("doc_id").toArrow().column("text").combine_chunks()).ids().tolist()
+    classes = spark.createDataFrame([(i, (c, c)) for c, i in enumerate(ids)], "cls long, carrier struct<doc_id: long, text_id: long>")
+    rows = [(k, i, i, ids[0], 36, n_crowd, *[0] * jj.FOLD) for k in range(keys) for i in ids[:-1]]
+    rows += [(-1, i, i, ids[0], 36 + (i == ids[-1]), 2, *[0] * jj.FOLD) for i in (ids[0], ids[-1])]
+    schema = "key long, cls long, comp long, main long, n long, size long, " + ", ".join(f"f{i} long" for i in range(jj.FOLD))
+    return ids, docs, classes, spark.createDataFrame(rows, schema)
+
+
+def test_links_of_small_keys_pass_the_own_shingles(spark):
+    ids, docs, classes, rows = _open_rows(spark, 39, 1)
+    with_slack = jj._with_slack(rows, docs, classes, jj.Scratch(spark))
+    slack = {(r.key, r.cls): r.slack for r in with_slack.collect()}
+    assert all(slack[0, i] == 36 - 9 * 36 for i in ids[1:-1])
+    assert {tuple(r) for r in jj._across(with_slack).collect()} == {(min(ids[0], ids[-1]), max(ids[0], ids[-1]))}
+
+
+def test_pairs_of_many_frequent_keys_are_made_once(spark, monkeypatch):
+    """Before they are made distinct, too."""
+    ids, _, _, rows = _open_rows(spark, 40, 20)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.distinct", lambda df: df)
+    made = sorted(map(tuple, jj._across(rows.withColumn("slack", rows["n"])).collect()))
+    assert len(made) == len(set(made)) and len(made) == 40 * 39 // 2 + 1
