@@ -13,7 +13,7 @@ from meshlens.operators import manifests as M
 from meshlens.plans.catalog import register
 from meshlens.plans.text_queries import sq
 from meshlens.sources import probes
-from meshlens.sources.tables import load_tables
+from meshlens.sources.tables import load_tables, spread
 
 
 def _t(spark, sf_dir):
@@ -196,7 +196,7 @@ def _ddl(t):
     for mark, value in (("{k}", F.col("p_partkey").cast("string")), ("{n}", F.replace("p_name", F.lit(" "), F.lit("_"))),
                         ("{b}", F.col("p_brand"))):
         text = F.replace(text, F.lit(mark), value)
-    return t.part.select(F.col("p_partkey").alias("id"), text.alias("text"))
+    return spread(t.part.select("p_partkey", "p_name", "p_brand")).select(F.col("p_partkey").alias("id"), text.alias("text"))
 
 
 def _re2(pattern: str) -> str:
@@ -307,7 +307,7 @@ def _manifests(t):
         return out
     every = F.array(*[F.struct(filled(path).alias("path"), filled(text).alias("content"),
                                (F.col("p_partkey") % (n or 1) == 0).alias("on")) for path, text, n in _MANIFESTS])
-    return t.part.select(F.explode(every).alias("f")).where("f.on").select("f.path", "f.content")
+    return spread(t.part.select("p_partkey", "p_name", "p_size")).select(F.explode(every).alias("f")).where("f.on").select("f.path", "f.content")
 
 
 _REQ = sq(M.REQ_LINE)

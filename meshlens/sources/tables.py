@@ -37,6 +37,12 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
     return Tables(spark, root)
 
 
+def spread(rows: DataFrame, per_task: int = 5_000) -> DataFrame:
+    """``rows`` dealt evenly over tasks of about ``per_task`` rows, for costly work on each row of a table whose files
+    are too small or too few to be read by many tasks."""
+    return rows.repartition(rows.count() // per_task + 1)
+
+
 def scan_corpus(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """SRC-01: recursive file listing with content, filtered by a file-name glob.
 
