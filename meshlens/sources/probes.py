@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlens.functions.urls import normalize_url
-from meshlens.sources.tables import Tables
+from meshlens.sources.tables import Tables, spread
 
 # Fixed values of the probe definitions.
 KIND_BY_MOD3 = ("METHOD", "FUNCTION", "VARIABLE")
@@ -291,7 +291,7 @@ CODE_LANGS = ("python", "go", "typescript", "csharp")
 def v_code(t: Tables) -> DataFrame:
     """Source-code probe: one small file per part, in one of four languages
     (by part key), naming the part's brand as a type and its name as a function."""
-    p = t.part
+    p = t.part.select("p_partkey", "p_name", "p_brand")
     b = F.regexp_replace("p_brand", "#", "")
     n = F.regexp_replace("p_name", " ", "_")
     k = F.col("p_partkey")
@@ -311,4 +311,4 @@ def v_code(t: Tables) -> DataFrame:
                   F.lit("  new RestRequest($\"r/{a[\"k\"]}/"), k.cast("string"), F.lit("\", Method.Put); }"))
     lang = F.when(k % 4 == 0, "python").when(k % 4 == 1, "go").when(k % 4 == 2, "typescript").otherwise("csharp")
     code = F.when(k % 4 == 0, py).when(k % 4 == 1, go).when(k % 4 == 2, ts).otherwise(cs)
-    return p.select(k.alias("id"), lang.alias("language"), code.alias("content"))
+    return spread(p).select(k.alias("id"), lang.alias("language"), code.alias("content"))
