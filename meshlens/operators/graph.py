@@ -45,15 +45,16 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 3, direction: str
     Returns (seed, node, depth, relation, parent)."""
     ensure_checkpoint_dir(seeds.sparkSession)
     # the edge set is read once per level: materialize it once (reliably)
-    e = directed_edges(edges, direction, types).distinct().checkpoint(eager=True)
+    e = directed_edges(edges, direction, types).distinct()
+    if allowed_nodes is not None:  # an edge to another node is never walked
+        e = e.join(allowed_nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "relation")
+    e = e.checkpoint(eager=True)
     visited = seeds.select("seed", F.col("seed").alias("node"))
     frontier = visited
     levels = []
     for d in range(1, depth + 1):
         step = (frontier.join(e, frontier["node"] == e["src"])
                 .select("seed", F.col("dst").alias("node"), "relation", F.col("src").alias("parent")))
-        if allowed_nodes is not None:
-            step = step.join(allowed_nodes.select(F.col("id").alias("node")), "node", "left_semi")
         step = step.join(visited, ["seed", "node"], "left_anti")
         nxt = (step.groupBy("seed", "node")
                .agg(F.min("relation").alias("relation"), F.min("parent").alias("parent"))
