@@ -11,7 +11,7 @@ from meshlens.operators import resolution as RS
 from meshlens.plans.catalog import register
 from meshlens.plans.link_queries import EVENT_LINKS_SQL, RESOLVE_SQL, links_sql
 from meshlens.sources import probes
-from meshlens.sources.tables import load_tables
+from meshlens.sources.tables import load_tables, spread
 
 # Fixed values pinned for the probe: traversal seeds are the symbols a search
 # for this name returns (the reference traverses from a found symbol).
@@ -75,8 +75,9 @@ ALLOWED_SQL = f"(SELECT id FROM {NODES_SQL} WHERE NOT external AND layer IN ({',
 
 def _layered(t):
     """(id, layer, external) of every symbol."""
-    return probes.v_named(t).select("id", X.layer(F.col("name"), F.col("parent_name"), F.col("path"), F.col("kind")).alias("layer"),
-                                    X.is_external(F.col("path"), F.col("fqn")).alias("external"))
+    named = spread(probes.v_named(t).select("id", "name", "parent_name", "path", "kind", "fqn"))
+    return named.select("id", X.layer(F.col("name"), F.col("parent_name"), F.col("path"), F.col("kind")).alias("layer"),
+                        X.is_external(F.col("path"), F.col("fqn")).alias("external"))
 
 
 def _allowed(t):
