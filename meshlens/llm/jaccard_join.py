@@ -20,8 +20,8 @@ the key's largest component are compared with the others of that key, only acros
 thus compared or already connected, and the components are exact.
 
 Texts on one template that are not similar enough share frequent blocks without linking, so nothing collapses there.
-So each class counts its own shingles, which no other component that is still compared has: they all differ in any pair
-across components, so two classes can link only if 9 * (own + own') <= n + n'.  Where 9 * own > n on both sides, the
+In such keys each class counts its own shingles, which no other component of such keys has: they all differ in any pair
+of counted classes across components, so two classes can link only if 9 * (own + own') <= n + n'.  Where 9 * own > n on both sides, the
 pair is never made: rows short of own shingles meet all others of their key, the rest meet only those.
 
 Cases: null or empty text, or text of white space, gives an empty set, linked with nothing; fewer than five words make
@@ -266,11 +266,12 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _with_slack(open_rows: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """``open_rows`` (key, cls, comp, n, size of the key, ...) with ``slack``: n - 9 * own shingles.
 
-    Without frequent keys nothing is counted.  Else all classes are: one that meets a counted class in a small key
-    alone may hold that one's shingles, too."""
-    if open_rows.where(F.col("size") > FREQUENT).isEmpty():
+    Only classes in frequent keys are counted.  Another class may hold their own shingles, too: in keys with such a
+    class all keep n."""
+    crowd = scratch.save(open_rows.where(F.col("size") > FREQUENT).select("cls", "comp").distinct())
+    if crowd.isEmpty():
         return open_rows.withColumn("slack", F.col("n"))
-    crowd = scratch.save(open_rows.select("cls", "comp").distinct())
+    mixed = open_rows.join(crowd, "cls", "left_anti").select("key").distinct().withColumn("mixed", F.lit(True))
     need = scratch.save(crowd.join(classes.select("cls", "carrier"), "cls"))
     ids = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     rows = scratch.save(docs.join(ids, docs["doc_id"].eqNullSafe(ids["carrier"]["doc_id"])
@@ -279,8 +280,9 @@ def _with_slack(open_rows: DataFrame, docs: DataFrame, classes: DataFrame, scrat
     alone = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("shingle")
     own = scratch.save(rows.join(alone, "shingle").groupBy("cls").agg(F.count("*").alias("own")))
     scratch.drop(need, rows)
-    return (open_rows.join(own, "cls", "left")
-            .withColumn("slack", F.col("n") - 9 * F.coalesce("own", F.lit(0))).drop("own"))
+    missing = F.when(F.col("mixed").isNull(), 9 * F.coalesce("own", F.lit(0))).otherwise(0)
+    return (open_rows.join(own, "cls", "left").join(mixed, "key", "left")
+            .withColumn("slack", F.col("n") - missing).drop("own", "mixed"))
 
 
 def _across(open_rows: DataFrame) -> DataFrame:
