@@ -309,6 +309,23 @@ def _across(open_rows: DataFrame) -> DataFrame:
             .union(met(left.where("slack < 0"), open_rows.where("slack >= 0"))).distinct())
 
 
+def _heads(owned: DataFrame, turn: int, before: DataFrame | None) -> DataFrame:
+    """(key, main, pivot, outside): each key's largest component, a class of it and the number of classes outside it.
+
+    A key that the last round (``before``) was of little use for is left to the comparison across components: it stays
+    only while its outside classes fall by a quarter, so the rows of all rounds are at most four times the first's."""
+    heads = (owned.groupBy("key", "comp").agg(F.count("*").alias("size"),
+                                              F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot"))
+             .groupBy("key").agg(F.max_by(F.struct("comp", "pivot"), F.struct("size", "comp")).alias("head"),
+                                 (F.sum("size") - F.max("size")).alias("outside"))
+             .where("outside > 0")
+             .select("key", F.col("head.comp").alias("main"), F.col("head.pivot").alias("pivot"), "outside"))
+    if before is None:
+        return heads
+    was = before.select("key", F.col("outside").alias("was"))
+    return heads.join(was, "key").where("4 * outside <= 3 * was").drop("was")
+
+
 def _best(rows: DataFrame) -> DataFrame:
     """(a, b): of the (cls, pivot) rows each class's most frequent pivot."""
     return (rows.groupBy("cls", "pivot").count().groupBy("cls")
@@ -373,14 +390,11 @@ def _joined(docs: DataFrame) -> DataFrame:
     comp = components(links, scratch)
 
     # frequent blocks that are still kept belong to large groups of near copies: more pivots, until none links any more
-    large = scratch.save(kept.join(frequent.select("key"), "key", "left_semi"))
+    large, heads = scratch.save(kept.join(frequent.select("key"), "key", "left_semi")), None
     for turn in range(MORE_PIVOTS):
         owned = (large.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
                  .withColumn("comp", F.coalesce("comp", "cls")))
-        heads = (owned.groupBy("key", "comp").agg(F.count("*").alias("size"),
-                                                  F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot"))
-                 .groupBy("key").agg(F.max_by(F.struct("comp", "pivot"), F.struct("size", "comp")).alias("head"))
-                 .select("key", F.col("head.comp").alias("main"), F.col("head.pivot").alias("pivot")))
+        heads = scratch.save(_heads(owned, turn, heads))
         found = _pivot_links(_best(owned.join(heads, "key").where("comp <> main")), docs, classes, scratch)
         if found.isEmpty():
             break

@@ -147,3 +147,16 @@ def test_pairs_of_many_frequent_keys_are_made_once(spark, monkeypatch):
     monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.distinct", lambda df: df)
     made = sorted(map(tuple, jj._across(rows.withColumn("slack", rows["n"])).collect()))
     assert len(made) == len(set(made)) and len(made) == 40 * 39 // 2 + 1
+
+
+def test_keys_that_a_round_of_pivots_did_not_serve_leave_the_rounds(spark):
+    """Their rows are not joined again in each round."""
+    def owned(moved):  # 20 classes in each of two keys; in key 1 those below ``moved`` are in one component
+        rows = [(k, c, 0 if k == 1 and c < moved else c) for k in (1, 2) for c in range(20)]
+        return spark.createDataFrame(rows, "key long, cls long, comp long")
+    first = jj._heads(owned(1), 0, None)
+    assert {(r.key, r.outside) for r in first.collect()} == {(1, 19), (2, 19)}
+    second = jj._heads(owned(10), 1, first)
+    assert [(r.key, r.main, r.outside) for r in second.collect()] == [(1, 0, 10)]
+    assert jj._heads(owned(11), 2, second).collect() == []  # by less than a quarter
+    assert jj._heads(owned(20), 2, second).collect() == []  # all in one component
