@@ -1,7 +1,7 @@
 """The pipeline's stages on the smallest tables, each against brute force on its own input."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -9,7 +9,7 @@ import corpus_pipeline
 from meshlens.llm import mixing
 from meshlens.llm.common import Scratch, table
 from meshlens.llm.toxicity import toxicity
-from tests.llm.test_chat_mix_revisit import described, python_mix
+from tests.llm.test_chat_mix_revisit import calibrated, described, python_mix
 from tests.llm.test_decontaminate import brute as brute_items
 from tests.llm.test_jaccard_join import brute as brute_components
 
@@ -23,6 +23,7 @@ def exact(rows):
 
 def test_stages_against_brute_force(spark, sf_dir, monkeypatch):
     monkeypatch.setattr("meshlens.llm.toxicity.TREES", 2)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1.0)  # one round of sweeps, as in python_mix
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     columns, labels = docs.columns, table(spark, sf_dir, "labels")
@@ -40,7 +41,10 @@ def test_stages_against_brute_force(spark, sf_dir, monkeypatch):
         elif name == "decontamination":
             want = {r.doc_id for r, f in zip(rows, brute_items([(r.doc_id, r.text) for r in rows], bench)) if not f}
         else:
-            p, _ = python_mix(described(docs))
+            cells = Counter()
+            for _, *c, n in described(docs):
+                cells[tuple(c)] += n
+            p = calibrated(python_mix(described(docs))[2], cells, mixing.SHARE)
             got = {r.doc_id: r for r in mixing.mix(docs).collect()}
             assert all(abs(r.probability - p[r.source, r.lang, r.topic]) < 1e-8 for r in got.values())
             want = {i for i, r in got.items() if r.kept}
@@ -70,8 +74,8 @@ def test_every_operator_is_registered():
 
 
 @pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_chat_rotation", "op3_mixing", "op7_warc_revisit"])
-def test_queries_with_a_duckdb_twin(spark, sf_dir, name):
-    from collections import Counter
+def test_queries_with_a_duckdb_twin(spark, sf_dir, name, monkeypatch):
+    monkeypatch.setattr(mixing, "TOLERANCE", 1.0)  # the twin of op3 has one round of sweeps
 
     from meshlens.llm.queries import ORACLE, QUERIES
     from meshlens.plans.verify import _norm, duck_connect
