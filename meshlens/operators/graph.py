@@ -9,10 +9,12 @@ The loop's only driver action is the emptiness test of the new frontier.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -277,66 +279,108 @@ def cycles_3(edges: DataFrame, types=("IMPORTS", "USES")) -> DataFrame:
     return j.where(cyc).select("a", "b", "c")
 
 
+#: The first round of :func:`strongly_connected` starts from one node in so many.  It moves work only: results are the same
+#: at any value.
+FEW = 1024
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, ends) of sorted rows (id, end), each end once; a row holds a batch's ends of its id at most."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            ids, ends = (batch.column(i).to_numpy() for i in (0, 1))
+            keep = np.r_[(ids[0], ends[0]) != last, (ids[1:] != ids[:-1]) | (ends[1:] != ends[:-1])]
+            last = ids[-1], ends[-1]
+            ids, ends = ids[keep], ends[keep]
+            first = np.flatnonzero(np.r_[np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.ListArray.from_arrays(
+                pa.array(np.r_[first, len(ids)], pa.int32()), pa.array(ends))], ["id", "ends"])
+
+
+def _neighbours(edges: DataFrame, by: str, to: str) -> DataFrame:
+    """(id, ends): the ends ``to`` of the edges of each end ``by``, dealt by id, so that joins on id move no edges."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (edges.select(F.col(by).cast("long").alias("id"), F.col(to).cast("long").alias("end"))
+            .repartition(parts, "id").sortWithinPartitions("id", "end").mapInArrow(_runs, "id long, ends array<long>")
+            .repartition(parts, "id").checkpoint(eager=True))
+
+
+def _sent(nodes: DataFrame, neighbours: DataFrame, color: Column) -> DataFrame:
+    """(id, sent): ``color`` of the colors that reach each neighbour of ``nodes`` (id, color)."""
+    return (nodes.select("id", "color").join(neighbours, "id").select(F.explode("ends").alias("id"), "color")
+            .groupBy("id").agg(color.alias("sent")))
+
+
+def _rooted(out: DataFrame, into: DataFrame, few: int) -> DataFrame:
+    """(id, color, found) of every node: the largest root that it is reached from (null: none), and whether it reaches
+    that root; roots are one node in ``few``.
+
+    Only nodes whose color has changed send it on, and on the way back each node sends once."""
+    parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    root = F.pmod(F.xxhash64("id"), F.lit(few)) == 0
+    nodes = (out.select("id").union(into.select("id")).distinct().repartition(parts, "id")
+             .select("id", F.when(root, F.col("id")).alias("color"), root.alias("new")).checkpoint(eager=True))
+    while not nodes.where("new").isEmpty():
+        nodes = (nodes.join(_sent(nodes.where("new"), out, F.max("color")), "id", "left")
+                 .select("id", F.greatest("color", "sent").alias("color"),
+                         (F.col("sent").isNotNull() & (F.col("color").isNull() | (F.col("sent") > F.col("color")))).alias("new"))
+                 .checkpoint(eager=True))
+    # a node's color is at least that of each node before it, so the smallest color sent back tells whether its own is
+    own = F.coalesce(F.col("id") == F.col("color"), F.lit(False))
+    nodes = nodes.select("id", "color", own.alias("found"), own.alias("new"))
+    while not nodes.where("new").isEmpty():
+        hit = ~F.col("found") & F.coalesce(F.col("sent") == F.col("color"), F.lit(False))
+        nodes = (nodes.join(_sent(nodes.where("new"), into, F.min("color")), "id", "left")
+                 .select("id", "color", (F.col("found") | hit).alias("found"), hit.alias("new")).checkpoint(eager=True))
+    return nodes.drop("new")
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """The edges left when nodes without an edge in or out, each a component of its own, are taken out again and again."""
+    n = e.count()
+    while n:
+        both = (e.select(F.col("dst").alias("id")).distinct().join(e.select(F.col("src").alias("id")).distinct(), "id")
+                .checkpoint(eager=True))
+        e = (e.join(both.withColumnRenamed("id", "src"), "src", "left_semi")
+             .join(both.withColumnRenamed("id", "dst"), "dst", "left_semi").checkpoint(eager=True))
+        was, n = n, e.count()
+        if n == was:
+            break
+    return e
+
+
 def strongly_connected(edges: DataFrame, types=None) -> DataFrame:
     """G-07 (set form): strongly connected components with ≥ 2 nodes, by the
     forward-coloring / backward-reach method, run until every node is placed.
 
-    Each round first trims nodes without remaining in- or out-edges (they are
-    singleton components), then propagates the largest id forward to a
-    fix-point (colors); from each color root (node whose color is its own id)
-    edges are walked backwards inside the color and the reached nodes form the
-    root's component, which leaves the graph.  Every step is a join +
-    aggregate, cut from its lineage by a reliable checkpoint.  The loops run to the
-    end: no component is dropped."""
+    Each round propagates the largest root forward to a fix-point (colors);
+    from each root that kept its own color, edges are walked backwards inside
+    the color and the reached nodes form the root's component, which leaves
+    the graph with the edges between colors.  The first round has few roots,
+    which place the large components; in the others, after nodes without
+    remaining in- or out-edges are trimmed (they are singleton components),
+    every node is a root.  Ids are longs.  Edges are kept as arrays of
+    neighbours, dealt by node once a round, so a step shuffles only what it
+    sends.  Every step is
+    cut from its lineage by a reliable checkpoint.  The loops run to the end:
+    no component is dropped."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges if not types else edges.where(F.col("type").isin(list(types)))
-    e = e.where(F.col("src") != F.col("dst")).select("src", "dst").distinct().checkpoint(eager=True)
-    found = []
-    while True:
-        # trim: a node that has no incoming or no outgoing edge is its own component
-        while True:
-            has_in = e.select(F.col("dst").alias("id")).distinct()
-            has_out = e.select(F.col("src").alias("id")).distinct()
-            both = has_in.join(has_out, "id").checkpoint(eager=True)
-            trimmed = (e.join(both.withColumnRenamed("id", "src"), "src", "left_semi")
-                       .join(both.withColumnRenamed("id", "dst"), "dst", "left_semi").checkpoint(eager=True))
-            if trimmed.count() == e.count():
-                e = trimmed
-                break
-            e = trimmed
-        nodes = e.select(F.col("src").alias("id")).distinct()
-        if nodes.isEmpty():
-            break
-        color = nodes.select("id", F.col("id").alias("color")).checkpoint(eager=True)
-        while True:
-            prop = (color.join(e, color["id"] == e["src"]).select(F.col("dst").alias("id"), "color")
-                    .unionByName(color).groupBy("id").agg(F.max("color").alias("color"))).checkpoint(eager=True)
-            changed = prop.join(color.withColumnRenamed("color", "old"), "id").where(F.col("color") != F.col("old"))
-            done = changed.isEmpty()
-            color = prop
-            if done:
-                break
-        ce = (e.join(color.select(F.col("id").alias("src"), F.col("color").alias("cs")), "src")
-              .join(color.select(F.col("id").alias("dst"), F.col("color").alias("cd")), "dst")
-              .where(F.col("cs") == F.col("cd")).select("src", "dst", F.col("cs").alias("color")))
-        reach = color.where(F.col("id") == F.col("color")).select("id", "color").checkpoint(eager=True)
-        while True:
-            back = (reach.join(ce.select(F.col("dst").alias("id"), F.col("src").alias("nid"), "color"),
-                               ["id", "color"])
-                    .select(F.col("nid").alias("id"), "color"))
-            new = back.join(reach, ["id", "color"], "left_anti").distinct().checkpoint(eager=True)
-            if new.isEmpty():
-                break
-            reach = reach.unionByName(new).checkpoint(eager=True)
-        comp = reach.select("id", F.col("color").alias("component")).checkpoint(eager=True)
-        found.append(comp)
-        e = (e.join(comp.select(F.col("id").alias("src")), "src", "left_anti")
-             .join(comp.select(F.col("id").alias("dst")), "dst", "left_anti").checkpoint(eager=True))
-    if not found:
-        return edges.sparkSession.createDataFrame([], "id long, component long, size long")
+    e, few, found = e.where(F.col("src") != F.col("dst")).select("src", "dst"), FEW, []
+    while not found or not e.isEmpty():
+        out = _neighbours(e, "src", "dst")
+        into = _neighbours(out.select("id", F.explode("ends").alias("dst")), "dst", "id")
+        nodes = _rooted(out, into, few)
+        found.append(nodes.where("found").select("id", F.col("color").alias("root")))
+        left = nodes.where("not found").select("id", "color")
+        e = _trimmed(left.join(out, "id").select(F.col("id").alias("src"), F.explode("ends").alias("dst"), "color")
+                     .join(left.select(F.col("id").alias("dst"), F.col("color").alias("to")), "dst")
+                     .where(F.col("color").eqNullSafe(F.col("to"))).select("src", "dst").checkpoint(eager=True))
+        few = 1
     allc = reduce(DataFrame.unionByName, found)
-    sizes = allc.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return allc.join(sizes.where(F.col("size") >= 2), "component").select("id", "component", "size")
+    sizes = allc.groupBy("root").agg(F.max("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    return allc.join(sizes.where(F.col("size") >= 2), "root").select("id", "component", "size")
 
 
 def interface_keys(symbols: DataFrame, edges: DataFrame) -> KeyedEdges:
