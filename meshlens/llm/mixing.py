@@ -37,6 +37,8 @@ from meshlens.llm.common import Scratch
 DIMS = ("source", "lang", "topic")
 EXPONENT = 0.7
 SWEEPS = 12
+#: Sweeps in one plan; it moves work only.
+SAVED = 2
 #: Largest difference of a raked share from its target share, and the least gain of a round of sweeps.
 TOLERANCE = 1e-4
 GAIN = 0.01
@@ -85,9 +87,18 @@ def _swept(state: DataFrame, sweeps: int) -> DataFrame:
     return state
 
 
+def _saved_sweeps(state: DataFrame, sweeps: int, scratch: Scratch) -> DataFrame:
+    """``sweeps`` sweeps, saved after every SAVED: one plan of all would have a nested exchange per sweep and dimension,
+    and the driver plans and logs the whole of it anew whenever one of them ends."""
+    for done in range(0, sweeps, SAVED):
+        state = scratch.save(_swept(state, min(SAVED, sweeps - done)))
+    return state
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with raked weights ``w``; ``targets``: per dimension (value, share)."""
-    return _swept(_targeted(cells, targets), sweeps).select(*DIMS, "tokens", "w")
+    scratch = Scratch(cells.sparkSession)
+    return _saved_sweeps(scratch.save(_targeted(cells, targets)), sweeps, scratch).select(*DIMS, "tokens", "w")
 
 
 def marginal_error(state: DataFrame) -> float:
@@ -105,7 +116,7 @@ def marginal_error(state: DataFrame) -> float:
 def _raked_to_tolerance(cells: DataFrame, targets: dict[str, DataFrame] | None, scratch: Scratch) -> DataFrame:
     state, last = scratch.save(_targeted(cells, targets)), float("inf")
     while True:
-        state = scratch.save(_swept(state, SWEEPS))
+        state = _saved_sweeps(state, SWEEPS, scratch)
         error = marginal_error(state)
         if error > TOLERANCE and error > (1 - GAIN) * last:
             warnings.warn(f"mixing: the targets contradict each other; a share stays {error:.2g} off", stacklevel=2)

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from meshlens.llm import mixing
+from meshlens.llm.common import Scratch
 from tests.llm.conftest import prose
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -52,3 +53,22 @@ def test_own_topics(spark):
     docs = spark.createDataFrame(rows, DOCS + ", subject string")
     got = {r.doc_id: r.topic for r in mixing.mix(docs, topic=docs["subject"]).collect()}
     assert got == {i: "unknown" if i == 3 else f"k{i % 2}" for i in range(8)}
+
+
+@pytest.mark.parametrize("share", [None, 0.5])
+def test_no_plan_holds_all_sweeps(spark, monkeypatch, share):
+    rows = spark.createDataFrame([(f"s{i % 5}", f"l{i % 3}", f"t{i % 4}", 10 + i * i) for i in range(60)],
+                                 "_source string, _lang string, _topic string, _tokens long")
+    windows, save = [], Scratch.save
+
+    def counted(self, df):
+        windows.append(df._jdf.queryExecution().optimizedPlan().toString().count("Window ["))
+        return save(self, df)
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = {tuple(r)[:3]: r.probability for r in mixing.probabilities(rows, share=share).collect()}
+    assert 1 <= max(windows) <= 3 * mixing.SAVED
+    assert sum(windows) >= 3 * mixing.SWEEPS  # every sweep is made
+    monkeypatch.setattr(mixing, "SAVED", mixing.SWEEPS)
+    whole = {tuple(r)[:3]: r.probability for r in mixing.probabilities(rows, share=share).collect()}
+    assert max(windows) >= 3 * mixing.SWEEPS
+    assert got == pytest.approx(whole, abs=2e-9) and len(got) == 60
